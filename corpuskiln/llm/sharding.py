@@ -82,9 +82,14 @@ def best_fit_decreasing(sizes: list[int], capacity: int, bins: int | None = None
 
 
 def pack_evenly(sizes: list[int], bins: int) -> list[int]:
-    """The bin of each of the descending sizes, at the least capacity for which best-fit-decreasing needs no more than `bins`."""
+    """The bin of each of the descending sizes, at the least capacity for which best-fit-decreasing needs no more than `bins`.
+
+    A size above an even share of what is left gets a bin of its own first.
+    """
     if not sizes:
         return []
+    if bins > 1 and sizes[0] * bins > sum(sizes):
+        return [bins - 1, *pack_evenly(sizes[1:], bins - 1)]
     low = max(-(-sum(sizes) // bins), sizes[0])
     high = low
     while (found := best_fit_decreasing(sizes, high, bins)) is None:
