@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskiln.llm import decontamination, near_duplicates, sharding
+from corpuskiln.llm import decontamination, near_duplicates, sharding, warc
 from corpuskiln.sources.tables import table
 
 
@@ -19,6 +19,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the WARC archive written of all pages."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its component under links of 0.8 or more over 2-word shingles."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=2)
@@ -27,6 +32,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op4_sharding": op4_sharding,
+    "op5_warc": op5_warc,
     "op9_near_duplicates": op9_near_duplicates,
 }
 
@@ -36,6 +42,13 @@ _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED = rf"list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLES = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+        m AS (SELECT h, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY 1)
+        SELECT page_id, n AS payload_bytes, p.h AS payload_digest,
+               CASE WHEN page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> m THEN m END AS refers_to
+        FROM p LEFT JOIN m ON p.h = m.h AND n >= 1000""",
     "op9_near_duplicates": f"""
         WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
         s AS (
