@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskiln.llm import decontamination, near_duplicates, sharding, warc
+from corpuskiln.llm import decontamination, near_duplicates, sharding, topk, warc
 from corpuskiln.sources.tables import table
 
 
@@ -14,6 +14,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(decontamination.search(index, table(spark, sf_dir, "benchmark")))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of all embeddings for every 50th."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 40 shards of near equal bytes."""
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
@@ -31,6 +36,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op3_topk": op3_topk,
     "op4_sharding": op4_sharding,
     "op5_warc": op5_warc,
     "op9_near_duplicates": op9_near_duplicates,
@@ -42,6 +48,16 @@ _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED = rf"list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLES = {
+    "op3_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS double)) AS double)) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, cast(list_dot_product(q.v, c.v) AS bigint) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, cast(rank AS integer) AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op5_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
         m AS (SELECT h, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY 1)
