@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskiln.llm import decontamination, near_duplicates, sharding, topk, warc
+from corpuskiln.llm import byte_bpe, decontamination, near_duplicates, sharding, token_counts, topk, warc
 from corpuskiln.sources.tables import table
 
 
@@ -29,17 +29,29 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its component under links of 0.8 or more over 2-word shingles."""
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, and what they decode to, as digests."""
+    return byte_bpe.encode(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_topk": op3_topk,
     "op4_sharding": op4_sharding,
     "op5_warc": op5_warc,
+    "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
