@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskiln.llm import byte_bpe, decontamination, near_duplicates, sharding, token_counts, topk, warc
+from corpuskiln.llm import byte_bpe, decontamination, near_duplicates, pii, sharding, token_counts, topk, warc
 from corpuskiln.sources.tables import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data, and the terms near it that give it away."""
+    docs = table(spark, sf_dir, "documents")
+    scanned = pii.scan(docs)
+    return pii.report(pii.spans(scanned, pii.disclosing(docs, scanned)))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the benchmark windows found in it."""
     index = decontamination.build_index(table(spark, sf_dir, "documents"))
@@ -45,6 +52,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
     "op3_topk": op3_topk,
     "op4_sharding": op4_sharding,
