@@ -14,9 +14,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-from corpuskiln.llm.words import Words, text_bytes
+from corpuskiln.llm.words import Words, split_runs, text_bytes
 
 OTHER, LETTER, DIGIT, SPACE = range(4)
 
@@ -81,3 +82,11 @@ def pretokens(texts: pa.Array) -> Words:
     words = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
     coded = words.dictionary_encode()
     return Words(coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), np.searchsorted(cuts, at))
+
+
+def letter_words(texts: pa.Array) -> Words:
+    """The runs of letters of every text, lower-cased, null as empty."""
+    data, at = text_bytes(pc.utf8_lower(texts))
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    widths = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    return split_runs(data, np.repeat(classes()[points] == LETTER, widths), at)

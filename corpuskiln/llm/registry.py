@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskiln.llm import byte_bpe, decontamination, near_duplicates, pii, sharding, token_counts, topk, warc
+from corpuskiln.llm import byte_bpe, decontamination, language_id, near_duplicates, pii, sharding, token_counts, topk, toxicity, warc
 from corpuskiln.sources.tables import table
 
 
@@ -36,6 +36,18 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's number of tokens."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
@@ -57,6 +69,8 @@ QUERIES = {
     "op3_topk": op3_topk,
     "op4_sharding": op4_sharding,
     "op5_warc": op5_warc,
+    "op6_language_id": op6_language_id,
+    "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_byte_bpe": op10_byte_bpe,

@@ -62,13 +62,17 @@ def split_words(texts: pa.Array, mapping: np.ndarray) -> Words:
     """The words of each text under a `byte_map`."""
     data, at = text_bytes(texts)
     mapped = mapping[data]
-    inside = mapped != 0
+    return split_runs(mapped, mapped != 0, at)
+
+
+def split_runs(data: np.ndarray, inside: np.ndarray, at: np.ndarray) -> Words:
+    """The runs of bytes marked `inside`, of texts that begin at `at`."""
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     firsts = at[:-1][at[:-1] < len(data)]
     begins[firsts] = inside[firsts]
     starts = np.flatnonzero(begins)
-    letters = mapped[inside]
+    letters = data[inside]
     ends = np.append(np.flatnonzero(begins[inside]), len(letters)).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(letters)])
     coded = words.dictionary_encode()
