@@ -1,10 +1,58 @@
-"""The training-data pipeline: each stage applies one operator to all that the stage before kept."""
+"""The training-data pipeline: each stage applies one operator to all that the stage before kept.
+
+Documents whose language cannot be told go; one document of each group of near duplicates (five-word shingles, similarity 0.8
+or more) stays; documents with a benchmark passage go; personal data and terms that give it away are replaced; what is left is
+encoded as token ids. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from corpuskiln.llm import byte_bpe, decontamination, language_id, near_duplicates, pii
+from corpuskiln.llm.storage import durable
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in a language that can be told; a null lang is filled in."""
+    return language_id.keep_identified(docs, language_id.fit(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_duplicates.drop_near_duplicates(docs, width=5)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a passage of the benchmark."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without personal data."""
+    return pii.sanitise(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and their digests of every row."""
+    return byte_bpe.encode(docs, with_ids=True)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("personal data", sanitise),
+    ("tokens", encode),
+]
+
+#: Signatures, a corpus model of disclosure and BPE merges have no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Placeholder until the stages' operators are in."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents in order, each written as Parquet and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

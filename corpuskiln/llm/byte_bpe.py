@@ -157,7 +157,7 @@ def _slices(values: pa.Array, offsets: np.ndarray) -> list[memoryview]:
     return [data[at[a] : at[b]] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def decode(ids: pa.Array, tokens: pa.Array, offsets: np.ndarray) -> list[memoryview]:
+def joined(ids: pa.Array, tokens: pa.Array, offsets: np.ndarray) -> list[memoryview]:
     """The bytes of each run of ids between the offsets: their binary pieces, concatenated."""
     return _slices(tokens.take(ids), offsets)
 
@@ -183,21 +183,15 @@ def _assemble(tokens: list[bytes], shared_ids: pa.Array, with_ids: bool):
                 texts = _slices(digits.take(ids), offsets)
                 n = np.diff(offsets)
                 doc_ids = block.column("doc_ids")[0].values
+                columns = [
+                    doc_ids,
+                    pa.array(n.astype(np.int64)),
+                    pa.array([hashlib.sha256(t[:-1]).hexdigest() for t in texts]),
+                    pa.array([hashlib.sha256(b).hexdigest() for b in joined(ids, binary, offsets)]),
+                ]
                 if with_ids:
-                    yield pa.RecordBatch.from_arrays(
-                        [doc_ids, pa.array(n.astype(np.int64)), lists(ids.cast(pa.int32()), offsets), pa.array([bytes(b) for b in decode(ids, binary, offsets)], pa.binary())],
-                        names=["doc_id", "n_tokens", "ids", "decoded"],
-                    )
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        doc_ids,
-                        pa.array(n.astype(np.int64)),
-                        pa.array([hashlib.sha256(t[:-1]).hexdigest() for t in texts]),
-                        pa.array([hashlib.sha256(b).hexdigest() for b in decode(ids, binary, offsets)]),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                    columns.append(lists(ids.cast(pa.int32()), offsets))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     return run
 
@@ -207,7 +201,7 @@ def _library(tokens: list[bytes]):
 
 
 def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens and the digests ids_sha256 and decoded_sha256 of every row; with_ids: doc_id, n_tokens, ids and decoded (binary).
+    """doc_id, n_tokens and the digests ids_sha256 and decoded_sha256 of every row; with_ids: the ids too.
 
     Ids are those of the tiktoken library for the rank file at `path` (by default byte_bpe_50k.tiktoken) and the pre-token
     pattern, without special tokens. Null texts are empty and have no ids. Rows are encoded one by one, whatever their ids;
@@ -229,5 +223,21 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
     shared_ids = often.column("ids").combine_chunks().cast(pa.list_(pa.int32()))
     blocks = rows.mapInArrow(_blocks(tokens, shared), BLOCK_SCHEMA)
     folded = blocks.withColumn("folded", F.transform("fresh", lambda w: merged(w, ranks))).drop("fresh")
-    schema = "doc_id long, n_tokens long, ids array<int>, decoded binary" if with_ids else ENCODED_SCHEMA
-    return folded.mapInArrow(_assemble(tokens, shared_ids, with_ids), schema)
+    return folded.mapInArrow(_assemble(tokens, shared_ids, with_ids), ENCODED_SCHEMA + ", ids array<int>" * with_ids)
+
+
+def _decoded(tokens: list[bytes]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        binary = pa.array(tokens, pa.large_binary())
+        for batch in batches:
+            ids = batch.column(1).fill_null([])
+            ends = ids.offsets.to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bytes(b) for b in joined(ids.flatten(), binary, ends - ends[0])], pa.binary())], names=["doc_id", "data"])
+
+    return run
+
+
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and data: for each row's ids, their binary pieces concatenated (the UTF-8 bytes of the text). Null ids are none."""
+    tokens = read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return encoded.select("doc_id", "ids").mapInArrow(_decoded(tokens), "doc_id long, data binary")

@@ -272,3 +272,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", tex
     by_set = by_set.select("set_key", F.coalesce("component", "rep").alias("component_id"))
     placed = signed.join(by_set, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return placed.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of `docs` whose document is its component's smallest; rows with a null id stay, and so do all rows of a kept id.
+
+    The ids to drop are broadcast only while they are few; beyond that the rows are joined by id.
+    """
+    dropped = durable(near_duplicates(docs, width).filter("not kept and doc_id is not null").select("doc_id").distinct(), "dropped")
+    few = dropped.count() <= FEW_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
