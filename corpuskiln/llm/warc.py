@@ -134,12 +134,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """
     found = durable(candidates(spark, path), "candidates")
     true = durable(reachable(found.select("file", "at", "succ")), "true")
-    width = len(MAGIC)
-    marked = found.select("file", "at", "succ", "size").join(true.withColumn("true", F.lit(True)), ["file", "at"], "left")
+    marked = found.select("file", "at").join(true.withColumn("is_record", F.lit(True)), ["file", "at"], "left")
     # Stretches that are not records belong to the last record before them.
     back = W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    owned = marked.withColumn("owner", F.last(F.when(F.col("true"), F.col("at")), True).over(back))
-    pieces = owned.filter("true is null and owner is not null").select("file", "at", "owner")
+    owned = marked.withColumn("owner", F.last(F.when(F.col("is_record"), F.col("at")), True).over(back))
+    pieces = owned.filter("is_record is null and owner is not null").select("file", "at", "owner")
     parts = found.select("file", "at", "text").join(pieces, ["file", "at"]).groupBy("file", F.col("owner").alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
     rest = parts.select("file", "at", F.array_join(F.transform("parts", lambda p: F.concat(F.lit(MAGIC), p["text"])), "").alias("rest"))
     whole = found.join(true, ["file", "at"]).join(rest, ["file", "at"], "left").withColumn("text", F.concat("text", F.coalesce("rest", F.lit(""))))
