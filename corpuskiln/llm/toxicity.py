@@ -23,9 +23,9 @@ from corpuskiln.llm.words import pieces
 
 #: Bounds: labelled texts that are learned from, and terms of the learned lexicons.
 TRAINING_DOCS, TERMS = 20_000, 4096
-#: A term's log odds must be so many standard errors above even, and so many toxic texts must hold it.
-LEAST_Z, LEAST_DOCS = 2.5, 4
-PREFIXES = (3, 4, 5, 6)
+#: A term's likelihood ratio statistic must be this high, which chance hardly reaches among a million terms, and so many toxic texts must hold it.
+LEAST_G, LEAST_DOCS = 25.0, 4
+PREFIXES = (3, 4, 5, 6, 7, 8)
 INSULTS = frozenset("idiot idiots moron morons stupid scum loser losers trash pathetic worthless disgusting clown clowns dumb fool jerk creep filth vermin".split())
 ADDRESS = re.compile(r"(?i)\b(?:you|du|tu|vous|usted)\b(?:\W+\w+){0,3}?\W+(\w+)")
 
@@ -152,11 +152,19 @@ def label_model(table: np.ndarray, rate: float, rounds: int = 100) -> np.ndarray
     return post[at]
 
 
-def features(x: Looks, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of a text's features: its learned terms, then the sums over them."""
+#: Features of a text besides its learned terms.
+SUMS = 7
+
+
+def features(x: Looks, beginning: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of a text's features: its learned terms, then the sums over beginnings and over whole words."""
+    size = len(beginning)
     values = np.log1p(x.counts)
-    sums = np.array([np.log1p(x.counts.sum()), np.log1p(len(x.places)), min(1.0, 20 * x.counts.sum() / max(x.words, 1)), np.log1p(x.insults)])
-    return np.append(x.places, size + np.arange(4)), np.append(values, sums)
+    sums = [np.log1p(x.insults)]
+    for kind in (beginning[x.places], ~beginning[x.places]):
+        held = x.counts[kind]
+        sums += [np.log1p(held.sum()), np.log1p(len(held)), min(1.0, 20 * held.sum() / max(x.words, 1))]
+    return np.append(x.places, size + np.arange(SUMS)), np.append(values, sums)
 
 
 def _logistic(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, size: int, rounds: int = 300, decay: float = 2e-3) -> tuple[np.ndarray, float]:
@@ -216,17 +224,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     rows, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     counted = sample.mapInArrow(_count_terms, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (rows - toxic + 1))
-    z = odds / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
-    best = counted.withColumns({"odds": odds, "z": z}).filter((F.col("z") >= LEAST_Z) & (F.col("odds") > 1.5) & (F.col("toxic") >= LEAST_DOCS)).orderBy(F.col("z").desc(), "term").limit(TERMS).collect()
+    held, base = F.col("toxic") + F.col("other"), toxic / max(rows, 1)
+    share = F.col("toxic") / held
+    ratio = 2 * (F.col("toxic") * F.log(share / base) + F.when(share < 1, F.col("other") * F.log((1 - share) / (1 - base))).otherwise(0.0))
+    told = (F.col("toxic") >= LEAST_DOCS) & (F.col("odds") > 1.5) & (F.col("g") >= LEAST_G)
+    best = counted.withColumns({"odds": odds, "g": ratio}).filter(told).orderBy(F.col("g").desc(), "term").limit(TERMS).collect() if 0 < toxic < rows else []
     lexicon = Lexicon({r.term: i for i, r in enumerate(best)}, np.array([r.odds for r in best]), np.array([r.term.endswith("*") for r in best], bool))
     seen = sample.mapInArrow(_looks(lexicon), "toxic int, places array<long>, counts array<double>, insults long, addressed long, words long").toArrow()
     looks = [Looks(np.array(r["places"], np.int64), np.array(r["counts"], float), r["insults"], r["addressed"], r["words"]) for r in seen.to_pylist()]
     size = len(best)
-    lexicon.weights, lexicon.bias = np.zeros(size + 4), -2.0
+    lexicon.weights, lexicon.bias = np.zeros(size + SUMS), -2.0
     if looks and 0 < toxic < rows:
         posterior = label_model(np.array([votes(x, lexicon) for x in looks]), toxic / rows)
-        found = [features(x, size) for x in looks]
-        w, bias = _logistic(found, posterior, size + 4)
+        found = [features(x, lexicon.beginning) for x in looks]
+        w, bias = _logistic(found, posterior, size + SUMS)
         a, b = _cut(np.array([v @ w[p] + bias for p, v in found]), seen.column("toxic").to_numpy().astype(float))
         lexicon.weights, lexicon.bias = a * w, a * bias + b
     return lexicon
@@ -236,7 +247,7 @@ def _score(lexicon: Lexicon, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for docs in pieces(batch, "text"):
-                z = np.array([v @ lexicon.weights[p] + lexicon.bias for p, v in (features(x, len(lexicon.terms)) for x in look(docs.column(2), lexicon))])
+                z = np.array([v @ lexicon.weights[p] + lexicon.bias for p, v in (features(x, lexicon.beginning) for x in look(docs.column(2), lexicon))])
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 yield pa.RecordBatch.from_arrays([docs.column(0), docs.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
