@@ -186,12 +186,11 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
-def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        rows = rows.copy()
+def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         out = []
-        for text, places in zip(rows.text, rows.places, strict=True):
-            if text is None or places is None or not len(places):
+        for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if text is None or not places:
                 out.append(text)
                 continue
             parts, at = [], 0
@@ -200,8 +199,7 @@ def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     parts += [text[at : p["start"]], PLACES[p["kind"]]]
                 at = max(at, p["end"])
             out.append("".join(parts) + text[at:])
-        rows["text"] = out
-        yield rows.drop(columns="places")
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "text"])
 
 
 def sanitise(docs: DataFrame, reach: int = 8, generalise: float = 0.7, remove: float = 0.9, support: int = 3) -> DataFrame:
@@ -213,8 +211,13 @@ def sanitise(docs: DataFrame, reach: int = 8, generalise: float = 0.7, remove: f
     scanned = scan(docs, reach)
     found = spans(scanned, disclosing(docs, scanned, generalise, remove, support))
     changed = durable(found.filter((F.size("base") > 0) | (F.size("terms") > 0)).select("text_key", F.concat("base", "terms").alias("places")).dropDuplicates(["text_key"]), "places")
-    keyed = docs.withColumn("text_key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    # All other columns travel as one struct, so that none of their names can clash with those used here.
+    rest = F.struct(*(c for c in docs.columns if c != "text"))
+    keyed = docs.select(rest.alias("row"), "text", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("text_key"))
     few = changed.count() <= 100_000
-    joined = keyed.join(F.broadcast(changed) if few else changed, "text_key", "left").drop("text_key")
-    out = joined.mapInPandas(_rewrite, docs.schema)
-    return out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    joined = keyed.join(F.broadcast(changed) if few else changed, "text_key", "left").select("row", "text", "places")
+    out = joined.mapInArrow(_rewrite, f"row {keyed.schema['row'].dataType.simpleString()}, text string")
+    n_chars = F.coalesce(F.char_length("text"), F.lit(0))
+    return out.select(
+        *(F.col("text") if c == "text" else n_chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.{c}").alias(c) for c in docs.columns),
+    )
