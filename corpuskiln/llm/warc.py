@@ -16,6 +16,8 @@ from corpuskiln.llm.storage import durable, new_path
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+#: Digests, or stretches that are not records, up to this number are broadcast; more are joined.
+FEW = 200_000
 #: Payloads of fewer bytes are always stored in full.
 LEAST_REVISIT = 1000
 
@@ -35,7 +37,8 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     ).withColumn("digest", F.sha1("html"))
     large = F.octet_length("html") >= LEAST_REVISIT
     copied = rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(copied, "digest", "left")
+    copied = durable(copied, "copied")
+    rows = rows.join(F.broadcast(copied) if copied.count() <= FEW else copied, "digest", "left")
     revisit = large & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
 
     def record_id(c: str) -> Column:
@@ -65,46 +68,40 @@ def write(pages: DataFrame, path: str, **columns: str) -> None:
     records(pages, **columns).write.option("lineSep", END).text(path)
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """file, at, size, text, succ and header fields of every stretch that begins with the magic line.
+def stretches(spark: SparkSession, path: str) -> DataFrame:
+    """file, start (of the task's part of the file), n and text of every stretch that follows a magic line, in the order of n.
 
-    at is the offset of the magic; succ the offset at which the next record must begin, null where the header has no length.
-    Offsets are running sums within a task, set off by the sums of the tasks before it in the file.
+    n depends only on the files and on how they are split among tasks, so it is the same each time this DataFrame is run.
     """
-    raw = (
-        spark.read.option("lineSep", MAGIC)
-        .text(path)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("n"),
-            F.col("value").alias("text"),
-        )
-        .withColumn("size", F.octet_length("text"))
-    )
-    head = F.substring_index("text", END, 1)
-    length = F.regexp_extract(head, "(?i)\\r\\nContent-Length: *([0-9]{1,18})(\\r\\n|$)", 1)
-    raw = durable(
-        raw.withColumns(
-            {
-                "head": head,
-                "length": F.when(F.octet_length(head) < F.col("size"), length.try_cast("long")),
-            }
-        ),
-        "stretches",
-    )
-    return _with_offsets(raw)
+    raw = spark.read.option("lineSep", MAGIC).text(path)
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("text"))
 
 
-def _with_offsets(raw: DataFrame) -> DataFrame:
-    before = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+def _head() -> Column:
+    return F.substring_index("text", END, 1)
+
+
+def _length() -> Column:
+    """The length of the block that the header states; null without a whole header."""
+    stated = F.regexp_extract(_head(), "(?i)\\r\\nContent-Length: *([0-9]{1,18})(\\r\\n|$)", 1)
+    return F.when(F.octet_length(_head()) < F.octet_length("text"), stated.try_cast("long"))
+
+
+def candidates(raw: DataFrame) -> DataFrame:
+    """file, n, at and succ of every stretch, without its text.
+
+    at is the offset of the magic; succ the offset at which the next record must begin, null where the header has no length.
+    Offsets are running sums within a task's part of a file, set off by the sums of the parts before it in the file.
+    """
     width = len(MAGIC)
-    parts = raw.groupBy("file", "start").agg(F.sum(F.col("size") + width).alias("bytes")).withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0))).drop("bytes")
+    sizes = raw.select("file", "start", "n", (F.octet_length("text") + width).alias("bytes"), (F.octet_length(_head()) + len(END) + _length()).alias("headed"))
+    sizes = durable(sizes, "stretches")
+    before = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    parts = sizes.groupBy("file", "start").agg(F.sum("bytes").alias("bytes")).select("file", "start", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("before"))
     within = W.partitionBy("file", "start").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
-    places = raw.select("file", "start", "n", "size").withColumn("within", F.coalesce(F.sum(F.col("size") + width).over(within), F.lit(0)))
-    places = places.join(parts, ["file", "start"]).select("n", (F.col("within") + F.col("before") - width).alias("at"))
-    headed = F.when(F.col("length").isNotNull(), F.octet_length("head") + len(END) + F.col("length"))
-    return raw.join(places, "n").withColumn("succ", F.col("at") + width + headed + len(END))
+    placed = sizes.withColumn("within", F.coalesce(F.sum("bytes").over(within), F.lit(0))).join(parts, ["file", "start"])
+    at = F.col("within") + F.col("before") - width
+    return placed.select("file", "n", at.alias("at"), (at + width + F.col("headed") + len(END)).alias("succ"))
 
 
 def reachable(links: DataFrame) -> DataFrame:
@@ -132,16 +129,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     The payload is what follows the HTTP header of the block. Bytes after the last record that the chain reaches in a file are
     not records. An empty folder gives no rows.
     """
-    found = durable(candidates(spark, path), "candidates")
-    true = durable(reachable(found.select("file", "at", "succ")), "true")
-    marked = found.select("file", "at").join(true.withColumn("is_record", F.lit(True)), ["file", "at"], "left")
-    # Stretches that are not records belong to the last record before them.
+    raw = stretches(spark, path)
+    found = durable(candidates(raw), "candidates")
+    true = reachable(found.select("file", "at", "succ"))
+    marked = found.select("file", "n", "at").join(true.withColumn("is_record", F.lit(True)), ["file", "at"], "left")
+    # Stretches that are not records belong to the last record before them; those before the first to none.
     back = W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    owned = marked.withColumn("owner", F.last(F.when(F.col("is_record"), F.col("at")), True).over(back))
-    pieces = owned.filter("is_record is null and owner is not null").select("file", "at", "owner")
-    parts = found.select("file", "at", "text").join(pieces, ["file", "at"]).groupBy("file", F.col("owner").alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
-    rest = parts.select("file", "at", F.array_join(F.transform("parts", lambda p: F.concat(F.lit(MAGIC), p["text"])), "").alias("rest"))
-    whole = found.join(true, ["file", "at"]).join(rest, ["file", "at"], "left").withColumn("text", F.concat("text", F.coalesce("rest", F.lit(""))))
+    owned = marked.withColumn("owner", F.last(F.when(F.col("is_record"), F.col("n")), True).over(back))
+    parts = durable(owned.filter("is_record is null").select("n", "owner"), "parts")
+    cut = parts.filter("owner is not null").select(F.col("owner").alias("n"), "owner").distinct()
+    apart = durable(parts.unionByName(cut).withColumn("apart", F.lit(True)), "apart")
+    # Only records that the magic has cut, and their parts, are shuffled; all others are read as they stand.
+    texts = raw.select("n", "text").join(F.broadcast(apart) if apart.count() <= FEW else apart, "n", "left")
+    pieces = texts.filter("apart and owner is not null").groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("pieces"))
+    joined = pieces.select(F.array_join(F.transform("pieces", lambda p: p["text"]), MAGIC).alias("text"))
+    whole = texts.filter("apart is null").select("text").unionByName(joined)
+    whole = whole.withColumns({"head": _head(), "length": _length()})
     whole = whole.withColumn("block", F.expr(f"substring(cast(text AS binary), octet_length(head) + {len(END) + 1}, cast(length AS int))"))
     http = F.substring_index(F.col("block").cast("string"), END, 1)
     whole = whole.withColumn("http", http)
