@@ -8,9 +8,11 @@ the radius shares a key. Pairs are then held against the full sets.
 With the defaults (16 chunks of 6 symbols, 1 error, radius 31 of 96) a pair at a similarity of exactly 0.8 shares a key with
 probability 1 - (1 - 0.8**6 - 6 * 0.8**5 * 0.2)**16, all but 4e-8, and more similar pairs still more surely.
 
-Nothing expands a group of copies into pairs: equal sets become one class first; members of a key are tested against the
-key's smallest member; what these tests have joined already is not tested again; only members of a key that are still
-in different components are compared with each other, by signature, in blocks of bounded size.
+Nothing expands a group of copies into pairs: equal sets become one class first; members of a key are tested against two
+pivots, the key's smallest member and the one that meets most others over all keys, which is the text the others were made
+from if it is there; then against a pivot of those not joined so far. What these tests have joined is not tested again. Only
+members of a key that are still in different components are compared with each other, by signature and then by set, in
+blocks of bounded size, and each pair only under the first key that it shares.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from corpuskiln.llm.words import SPACED, lists, pieces, split_words
 CHUNKS, SYMBOLS, ERRORS = 16, 6, 1
 #: Pairs whose signatures differ in more symbols are not tested: of pairs at a similarity of 0.8, fewer than one in 10**8.
 FARTHEST = 43
-#: Members of a key that are compared at once.
-BLOCK = 1000
+#: Members of a key that are compared at once, and the largest sets that come along for that; larger ones are joined to the pairs.
+BLOCK, CARRIED = 3000, 1024
 #: Ids up to this number are broadcast; more are joined.
 FEW_IDS = 1_000_000
 
@@ -132,12 +134,29 @@ def _sign(width: int):
     return run
 
 
+def first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The place among `keys` of the first that each signature in `y` shares with `x` under the defaults; -1 if none."""
+    off = (y != x).reshape(len(y), CHUNKS, SYMBOLS)
+    wrong = off.sum(2)
+    may = wrong <= ERRORS
+    chunk = may.argmax(1)
+    rows = np.arange(len(y))
+    # The n-th key of a chunk leaves out its n-th symbol from the end.
+    left_out = np.where(wrong[rows, chunk] == 0, SYMBOLS - 1, off[rows, chunk].argmax(1))
+    return np.where(may.any(1), chunk * SYMBOLS + SYMBOLS - 1 - left_out, -1)
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         symbols = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
         found = keys(symbols)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), found.shape[1])), pa.array(found.ravel())], names=["rep", "key"]
+            [
+                pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), found.shape[1])),
+                pa.array(found.ravel()),
+                pa.array(np.tile(np.arange(found.shape[1], dtype=np.int16), batch.num_rows)),
+            ],
+            names=["rep", "key", "place"],
         )
 
 
@@ -148,7 +167,7 @@ def _sets(width: int):
                 for docs in pieces(batch, "text"):
                     sets = shingle_sets(docs.column(1), width)
                     offsets = np.append(0, np.cumsum([len(s) for s in sets]))
-                    yield pa.RecordBatch.from_arrays([docs.column(0), lists(pa.array(np.concatenate(sets).view(np.int64)), offsets)], names=["rep", "shingles"])
+                    yield pa.RecordBatch.from_arrays([docs.column(0), lists(pa.array(np.concatenate([np.sort(s.view(np.int64)) for s in sets])), offsets)], names=["rep", "shingles"])
 
     return run
 
@@ -161,19 +180,38 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
+def _common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many values each of the others, all ascending and not empty, shares with `one`."""
+    flow = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flow), len(one) - 1)
+    return np.add.reduceat(one[at] == flow, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
+
+
 def _blocks(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one key's members, or of two of its blocks, that lie in different components and have near signatures."""
+    """Pairs of one key's members, or of two of its blocks, that lie in different components and share no earlier key.
+
+    proven: the sets came along and are similar enough; otherwise the signatures are near and the sets are still to be seen.
+    """
     own = rows[rows.side == 0]
     other = rows[rows.side == 1] if (rows.side == 1).any() else own
     x, y = (np.frombuffer(b"".join(s.signature), np.uint16).reshape(len(s), -1) for s in (own, other))
-    reps, parts, sizes = other.rep.to_numpy(), other.component.to_numpy(), other.n_shingles.to_numpy()
-    found_a, found_b = [], []
-    for i, (rep, part, size) in enumerate(zip(own.rep, own.component, own.n_shingles, strict=True)):
+    place = int(rows.place.iloc[0])
+    reps, parts, sizes, sets = other.rep.to_numpy(), other.component.to_numpy(), other.n_shingles.to_numpy(), list(other.shingles)
+    carried = np.array([v is not None for v in sets])
+    found: list[tuple[int, np.ndarray, bool]] = []
+    for i, (rep, part, size, mine) in enumerate(zip(own.rep, own.component, own.n_shingles, own.shingles, strict=True)):
         may = np.flatnonzero((parts != part) & (reps > rep if other is own else reps != rep) & (sizes * 100 >= size * 80) & (size * 100 >= sizes * 80))
         near = may[np.count_nonzero(y[may] != x[i], axis=1) <= FARTHEST]
-        found_a += [min(rep, r) for r in reps[near]]
-        found_b += [max(rep, r) for r in reps[near]]
-    return pd.DataFrame({"a": np.array(found_a, np.int64), "b": np.array(found_b, np.int64)})
+        near = near[first_shared(x[i], y[near]) == place]
+        seen = near[carried[near]] if mine is not None else near[:0]
+        if len(seen):
+            both = _common(np.asarray(mine), [sets[j] for j in seen])
+            found.append((rep, reps[seen[100 * both >= 80 * (size + sizes[seen] - both)]], True))
+        found.append((rep, reps[near[~carried[near]] if mine is not None else near], False))
+    ends = np.concatenate([r for _, r, _ in found]) if found else np.zeros(0, np.int64)
+    starts = np.repeat([r for r, _, _ in found], [len(r) for _, r, _ in found]).astype(np.int64)
+    proven = np.repeat([p for _, _, p in found], [len(r) for _, r, _ in found]).astype(bool)
+    return pd.DataFrame({"a": np.minimum(starts, ends), "b": np.maximum(starts, ends), "proven": proven})
 
 
 def components(nodes_pairs: DataFrame) -> DataFrame:
@@ -228,33 +266,60 @@ def near_duplicates(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", tex
         signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")),
         "classes",
     )
-    index = classes.select("rep", "signature").mapInArrow(_index, "rep long, key long")
+    marks = classes.select("rep", "signature")
+    reps = texts.withColumnRenamed("doc_id", "rep")
+    index = marks.mapInArrow(_index, "rep long, key long, place short")
     met = durable(index.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("members")).filter("members > 1"), "keys")
-    shared = met.filter("members > 2").select("key", "hub")
+    shared = met.filter("members > 2").select("key", "hub", "members")
     few = shared.count() <= FEW_IDS
     members = durable(index.join(F.broadcast(shared) if few else shared, "key").distinct(), "members")
-    to_hub = members.select(F.col("hub").alias("a"), F.col("rep").alias("b")).unionByName(met.filter("members = 2").select(F.col("hub").alias("a"), F.col("last").alias("b")))
-    marks = classes.select("rep", "signature")
-    left, right = (marks.select(F.col("rep").alias(x), F.col("signature").alias(f"{x}_signature")) for x in "ab")
-    near = durable(to_hub.filter("a <> b").distinct().join(left, "a").join(right, "b").mapInArrow(_near, "a long, b long").distinct(), "near")
+    weights = durable(members.groupBy("rep").agg(F.sum("members").alias("weight")), "weights")
+    central = members.select("key", "rep").join(weights, "rep").groupBy("key").agg(F.max(F.struct("weight", "rep"))["rep"].alias("pivot"))
 
-    reps = texts.withColumnRenamed("doc_id", "rep")
-    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    linked = durable(_confirm(first, reps, width), "linked")
-    so_far = durable(components(linked), "components")
+    def near(pairs: DataFrame) -> DataFrame:
+        """The distinct pairs with near signatures."""
+        left, right = (marks.select(F.col("rep").alias(x), F.col("signature").alias(f"{x}_signature")) for x in "ab")
+        return pairs.filter("a <> b").distinct().join(left, "a").join(right, "b").mapInArrow(_near, "a long, b long")
 
-    def with_component(rows: DataFrame, node: str, name: str) -> DataFrame:
+    def placed(rows: DataFrame, so_far: DataFrame, node: str, name: str) -> DataFrame:
         return rows.join(so_far.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
-    open_pairs = with_component(with_component(near.exceptAll(first), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
-    placed = with_component(members, "rep", "component")
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low <> high").select("key", "members")
-    apart = durable(placed.join(split, "key").join(classes.select("rep", "signature", "n_shingles"), "rep"), "apart")
+    def apart(pairs: DataFrame, so_far: DataFrame) -> DataFrame:
+        """The pairs that lie in different components."""
+        return placed(placed(pairs, so_far, "a", "ca"), so_far, "b", "cb").filter("ca <> cb").select("a", "b")
+
+    to_hub = members.select(F.col("hub").alias("a"), F.col("rep").alias("b")).unionByName(met.filter("members = 2").select(F.col("hub").alias("a"), F.col("last").alias("b")))
+    to_pivot = members.select("key", "rep").join(central, "key").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    first = durable(near(to_hub.unionByName(to_pivot)), "near")
+    weighed = first.join(weights.withColumnRenamed("rep", "a"), "a", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+    best = weighed.groupBy("b").agg(F.max(F.struct("weight", "a"))["a"].alias("a")).select("a", "b")
+    links = durable(_confirm(best, reps, width), "linked")
+    so_far = durable(components(links), "components")
+    links = durable(links.unionByName(_confirm(apart(first, so_far), reps, width)), "linked")
+    so_far = durable(components(links), "components")
+
+    # What each key's central component has not taken in meets a pivot of its own.
+    weighty = F.struct(F.coalesce("weight", F.lit(0)).alias("weight"), "rep", "component")
+    inside = durable(placed(members.select("key", "rep"), so_far, "rep", "component").join(weights, "rep"), "placed")
+    tops = inside.groupBy("key").agg(F.max(weighty)["component"].alias("top"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key", "top")
+    outside = inside.join(tops, "key").filter("component <> top")
+    pivots = outside.groupBy("key").agg(F.max(weighty).alias("p")).select("key", F.col("p.rep").alias("a"), F.col("p.component").alias("ca"))
+    second = inside.join(pivots, "key").filter("component <> ca").select("a", F.col("rep").alias("b"))
+    links = durable(links.unionByName(_confirm(durable(near(second), "near"), reps, width)), "linked")
+    so_far = durable(components(links), "components")
+
+    inside = placed(members.select("key", "place", "rep"), so_far, "rep", "component")
+    split = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low <> high").select("key", "members")
+    rest = durable(inside.join(split, "key"), "apart")
+    ids = durable(rest.select("rep").distinct().join(classes.filter(F.col("n_shingles") <= CARRIED).select("rep"), "rep"), "carried")
+    sets = durable(_among(reps, ids, "rep").mapInArrow(_sets(width), "rep long, shingles array<long>").dropDuplicates(["rep"]), "sets")
+    rest = rest.join(classes.select("rep", "signature", "n_shingles").join(sets, "rep", "left"), "rep")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = apart.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rest.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
         "key",
+        "place",
         F.least("own", "other").alias("i"),
         F.greatest("own", "other").alias("j"),
         F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
@@ -262,10 +327,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", tex
         "component",
         "n_shingles",
         "signature",
+        "shingles",
     )
-    across = dealt.groupBy("key", "i", "j").applyInPandas(_blocks, "a long, b long")
-    rest = durable(open_pairs.unionByName(across).distinct(), "rest")
-    links = linked.unionByName(_confirm(rest, reps, width))
+    across = durable(dealt.groupBy("key", "i", "j").applyInPandas(_blocks, "a long, b long, proven boolean"), "across")
+    links = links.unionByName(across.filter("proven").select("a", "b")).unionByName(_confirm(across.filter("not proven").select("a", "b"), reps, width))
     found = components(links)
 
     by_set = classes.select("set_key", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
