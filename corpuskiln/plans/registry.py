@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from corpuskiln.plans import sft
+from corpuskiln.plans import records, sft, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (sft,):
+for _module in (sft, texts, records):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
