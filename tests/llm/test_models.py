@@ -19,11 +19,13 @@ def test_language_of_held_out_documents(spark):
     assert sum(r.lang_pred == langs[r.doc_id][0] for r in known) >= 0.97 * len(known)
 
 
-def test_unseen_words_fall_back_to_shorter_n_grams():
-    model = language_id.model_of({"haus": {"de": 5}, "house": {"en": 5}, "maus": {"de": 2}}, ["de", "en"])
-    assert model.unseen("haustier")[0] > model.unseen("haustier")[1]
-    assert model.unseen("zzo")[1] > model.unseen("zzo")[0]
-    assert (model.unseen("한") == 0).all() or model.unseen("한").shape == (2,)
+def test_unseen_words_fall_back_to_shorter_n_grams(spark):
+    counts = spark.createDataFrame([("de", "haus", 5), ("en", "house", 5), ("de", "maus", 2)], "lang string, word string, n long")
+    model = language_id.model_of(counts, ["de", "en"])
+    tail, rare, foreign = model.unseen(["haustier", "zzo", "한"])
+    assert tail[0] > tail[1]
+    assert rare[1] > rare[0]
+    assert (foreign == 0).all() or foreign.shape == (2,)
 
 
 def test_language_of_odd_rows(spark, odd_docs, no_docs):
