@@ -6,6 +6,10 @@ with term)), where together counts the documents in which the term stands within
 information is log2(N / with entity). A term that gives away more than `generalise` of it is replaced by the kind of word it
 is, and one that gives away more than `remove` of it is removed, wherever it stands that near to the entity. Pairs must
 stand together in `support` different texts, so that chance neighbours and copies of one text prove nothing.
+
+Most entities stand in one text only, so the same is estimated for what they share with others, their classes: the kind, an
+e-mail's domain and the letter runs of its local part, and the beginning of a number. A term acts if it gives away the entity
+or one of its classes.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+#: Pairs and names of entities up to which they are broadcast.
+FEW_NAMES = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 #: What an entity, or a term that must be removed or made general, is replaced by.
 PLACES = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": "", "general": "[TERM]"}
@@ -102,6 +108,16 @@ def near_terms(text: str, found: list[tuple[int, str, int, str]], reach: int) ->
                 yield name, m.group().lower(), m.start(), m.end()
 
 
+def classes(entity: Column) -> Column:
+    """The names that a scanned entity is estimated under: its own, and those of its classes. Only an entity's own has the form kind:value."""
+    parts = F.split(entity, ":", 2)
+    kind, value = parts[0], parts[1]
+    local = F.array_distinct(F.filter(F.split(F.substring_index(value, "@", 1), "[^a-z]+"), lambda x: x != ""))
+    email = F.concat(F.array(F.concat(F.lit("email@"), F.substring_index(value, "@", -1))), F.transform(local, lambda x: F.concat(F.lit("email local "), x)))
+    beginning = F.when(kind == "ip", F.substring_index(value, ".", 2)).when(kind == "card", F.substring(value, 1, 6)).otherwise(F.substring(value, 1, 4))
+    return F.concat(F.array(entity, kind), F.when(kind == "email", email).otherwise(F.array(F.concat(kind, F.lit(" prefix "), beginning))))
+
+
 SCAN_SCHEMA = (
     "doc_id long, text_key binary, base array<struct<start:int,kind:string,end:int>>, near array<struct<entity:string,term:string,start:int,end:int>>, entities array<string>"
 )
@@ -128,8 +144,15 @@ def scan(docs: DataFrame, reach: int = 8, doc_id: str = "doc_id", text: str = "t
     return durable(rows.mapInPandas(_scan(reach), SCAN_SCHEMA), "entities")
 
 
+def _under_classes(rows: DataFrame) -> DataFrame:
+    """Rows with (entity, term, ...) in near, one for each name in `classes`, which replaces the entity's."""
+    near = rows.withColumn("x", F.explode("near")).drop("near")
+    names = near.withColumn("name", F.explode(classes(F.col("x.entity"))))
+    return names.select(*(c for c in rows.columns if c != "near"), F.col("name").alias("entity"), "x.term", "x.start", "x.end")
+
+
 def disclosing(docs: DataFrame, scanned: DataFrame, generalise: float = 0.7, remove: float = 0.9, support: int = 3, text: str = "text") -> DataFrame:
-    """entity, term, share and place (removed or general) of the pairs whose term gives the entity away.
+    """entity, term, share and place (removed or general) of the pairs whose term gives the entity, or the class named as entity, away.
 
     share is PMI over the entity's own information; entities in every document have none to give away. Only the document
     frequencies of terms that have support are needed, so rows of other terms leave the count before it is shuffled, as far
@@ -137,10 +160,15 @@ def disclosing(docs: DataFrame, scanned: DataFrame, generalise: float = 0.7, rem
     """
     total = scanned.count()
     rows = scanned.select("text_key", "near", F.monotonically_increasing_id().alias("row"))
-    met = rows.select("text_key", "row", F.explode("near").alias("x")).select("text_key", "row", "x.entity", "x.term").distinct()
+    met = _under_classes(rows).select("text_key", "row", "entity", "term").distinct()
     together = met.groupBy("entity", "term").agg(F.count("*").alias("together"), F.count_distinct("text_key").alias("texts"))
     together = durable(together.filter(F.col("texts") >= support), "together")
-    with_entity = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
+    names = F.array_distinct(F.flatten(F.transform("entities", classes)))
+    with_entity = scanned.select(F.explode(names).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
+    # Many pairs share a kind, so that the counts of the entities in pairs are broadcast while they are few.
+    supported = together.select("entity").distinct()
+    with_entity = durable(with_entity.join(supported, "entity", "left_semi"), "with-entity")
+    few_entities = with_entity.count() <= FEW_NAMES
     terms = together.select("term").distinct()
     few = terms.count() <= 1_000_000
     in_doc = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}]+"))).alias("term"))
@@ -148,9 +176,10 @@ def disclosing(docs: DataFrame, scanned: DataFrame, generalise: float = 0.7, rem
     pmi = F.log2(F.lit(float(total)) * F.col("together") / (F.col("with_entity") * F.col("with_term")))
     own = F.log2(F.lit(float(total)) / F.col("with_entity"))
     # A term's letters may be written with marks that the count splits at; then its documents with the entity are all that is known.
-    pairs = together.join(with_entity, "entity").join(with_term, "term", "left").withColumn("with_term", F.greatest("with_term", "together"))
+    pairs = together.join(F.broadcast(with_entity) if few_entities else with_entity, "entity").join(with_term, "term", "left").withColumn("with_term", F.greatest("with_term", "together"))
     share = F.when(own > 0, pmi / own)
-    return pairs.withColumn("share", share).filter(F.col("share") >= generalise).select("entity", "term", "share", F.when(F.col("share") >= remove, "removed").otherwise("general").alias("place"))
+    found = pairs.withColumn("share", share).filter(F.col("share") >= generalise).select("entity", "term", "share", F.when(F.col("share") >= remove, "removed").otherwise("general").alias("place"))
+    return durable(found, "disclosing")
 
 
 def _joined(spans: Column) -> Column:
@@ -159,9 +188,10 @@ def _joined(spans: Column) -> Column:
 
 def spans(scanned: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, text_key, base and terms (array of start, kind, end) of every scanned row."""
-    risky = scanned.select("text_key", F.explode("near").alias("x")).select("text_key", "x.*").distinct()
-    risky = risky.join(pairs.select("entity", "term", "place"), ["entity", "term"])
-    # A place near two entities is removed if either asks for it.
+    few = pairs.count() <= FEW_NAMES
+    asked = pairs.select("entity", "term", "place")
+    risky = _under_classes(scanned.select("text_key", "near")).join(F.broadcast(asked) if few else asked, ["entity", "term"])
+    # A place near two entities, or of several classes, is removed if any asks for it.
     risky = risky.groupBy("text_key", "start", "end").agg(F.max("place").alias("place"))
     risky = risky.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", F.col("place").alias("kind"), "end"))).alias("terms"))
     rows = scanned.select("doc_id", "text_key", "base").join(risky, "text_key", "left")

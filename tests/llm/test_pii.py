@@ -67,6 +67,21 @@ def test_disclosing_terms_are_removed_or_made_general_and_others_stay(spark):
     assert all(out[i].text == text for i, text, *_ in other)
 
 
+def test_classes_of_entities_seen_once_give_an_estimate(spark):
+    once = {"email": [f"user{i}@corp.example.org" for i in range(4)], "ip": [f"10.20.{i}.1" for i in range(4)], "phone": [f"+1 (212) 555-010{i}" for i in range(4)]}
+    word = {"email": "Quentin", "ip": "Gateway", "phone": "Hotline"}
+    told = [(100 * n + i, f"report {i} {word[k]} {e} today") for n, (k, es) in enumerate(once.items()) for i, e in enumerate(es)]
+    other = [(1000 + i, f"report {i % 4} today number {i}") for i in range(60)]
+    docs = spark.createDataFrame(told + other, "doc_id long, text string")
+    pairs = pii.disclosing(docs, pii.scan(docs)).collect()
+    assert {(r.entity, r.term, r.place) for r in pairs} >= {("email@corp.example.org", "quentin", "removed"), ("ip prefix 10.20", "gateway", "removed"), ("phone prefix 1212", "hotline", "removed")}
+    out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert not any(w in t for t in out.values() for w in word.values())
+    assert all(out[i] == text for i, text in other)
+    rare = spark.createDataFrame(told[:2] + other, "doc_id long, text string")
+    assert pii.disclosing(rare, pii.scan(rare)).count() == 0
+
+
 def test_copies_of_one_text_prove_nothing(spark):
     docs = spark.createDataFrame([(i, "hello Quentin q@example.org") for i in range(9)] + [(100 + i, f"nothing {i} here") for i in range(40)], "doc_id long, text string")
     scanned = pii.scan(docs)
