@@ -72,6 +72,17 @@ def section_material_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.section_materials(sections, materials)
 
 
+def section_material_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as materials and their brands as sections with all categories, by shared type or name token."""
+    part = table(spark, sf_dir, "part")
+    sections = part.groupBy(F.col("p_brand").alias("section_id")).agg(
+        F.collect_set("p_type").alias("categories"), F.array_distinct(F.flatten(F.collect_list(T.tokens(F.col("p_name"))))).alias("tokens")
+    )
+    none = F.array().cast("array<string>")
+    materials = part.select(F.col("p_partkey").alias("material_id"), F.when(F.col("p_retailprice") > 1000, F.array("p_type")).otherwise(none).alias("categories"), T.tokens(F.col("p_name")).alias("tokens"))
+    return matching.section_materials(sections, materials)
+
+
 def requirement_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with a balance who have no finished order."""
     wanted = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") > 0).alias("required"))
@@ -98,6 +109,13 @@ def snippet_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.top_snippets(first, items)
 
 
+def snippet_topk_user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 4 benchmark items that share most tokens with each user turn."""
+    asked = table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.struct("conv_id", "turn").alias("question_id"), T.tokens(F.col("text")).alias("tokens"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("snippet_id"), T.tokens(F.col("text")).alias("tokens"))
+    return matching.top_snippets(asked, items).select("question_id.conv_id", "question_id.turn", "rank", "snippet_id", "score")
+
+
 def grid_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of a grid for each nation: a wide cell in every row, one too wide and one missing in some."""
     nation = table(spark, sf_dir, "nation")
@@ -119,9 +137,11 @@ QUERIES = {
         dominant_source,
         merge_first_wins_conflicts,
         section_material_match,
+        section_material_match_all,
         requirement_missing,
         jaccard_field_match,
         snippet_topk,
+        snippet_topk_user_turns,
         grid_tiling,
     )
 }
@@ -158,6 +178,10 @@ ORACLES = {
         WITH s AS (SELECT p_brand AS section_id, min(p_type) AS category, list_distinct(flatten(list({_TOKENS.format("p_name")}))) AS tokens FROM part GROUP BY 1),
         m AS (SELECT p_partkey AS material_id, CASE WHEN p_retailprice > 1000 THEN p_type END AS category, {_TOKENS.format("p_name")} AS tokens FROM part WHERE p_size = 50)
         SELECT section_id, material_id FROM s, m WHERE s.category = m.category OR ((s.category IS NULL OR m.category IS NULL) AND len(list_intersect(s.tokens, m.tokens)) > 0)""",
+    "section_material_match_all": f"""
+        WITH s AS (SELECT p_brand AS section_id, list(DISTINCT p_type) AS categories, list_distinct(flatten(list({_TOKENS.format("p_name")}))) AS tokens FROM part GROUP BY 1),
+        m AS (SELECT p_partkey AS material_id, CASE WHEN p_retailprice > 1000 THEN p_type END AS category, {_TOKENS.format("p_name")} AS tokens FROM part)
+        SELECT section_id, material_id FROM s, m WHERE list_contains(s.categories, m.category) OR (m.category IS NULL AND len(list_intersect(s.tokens, m.tokens)) > 0)""",
     "requirement_missing": "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "jaccard_field_match": rf"""
         WITH t AS (SELECT DISTINCT {_KEY.format("p_type")} AS target FROM part),
@@ -178,6 +202,12 @@ ORACLES = {
         s AS (SELECT question_id, snippet_id, 2.0::double * count(*) AS score FROM q JOIN b USING (t) GROUP BY 1, 2)
         SELECT question_id, cast(rank AS integer) AS rank, snippet_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, snippet_id) AS rank FROM s) WHERE rank <= 4""",
+    "snippet_topk_user_turns": f"""
+        WITH q AS (SELECT conv_id, turn, unnest({_TOKENS.format("text")}) AS t FROM conversations WHERE role = 'user'),
+        b AS (SELECT item_id AS snippet_id, unnest({_TOKENS.format("text")}) AS t FROM benchmark),
+        s AS (SELECT conv_id, turn, snippet_id, 2.0::double * count(*) AS score FROM q JOIN b USING (t) GROUP BY 1, 2, 3)
+        SELECT conv_id, turn, cast(rank AS integer) AS rank, snippet_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, snippet_id) AS rank FROM s) WHERE rank <= 4""",
     "grid_tiling": """
         WITH l AS (SELECT n_nationkey AS g, unnest(range(3)) AS r FROM nation),
         c AS (SELECT g, r, unnest(range(2)) AS c FROM l UNION ALL SELECT g, r, 2 + unnest(range(CASE WHEN g % 7 = 0 THEN 3 ELSE 2 END)) AS c FROM l WHERE (g + r) % 5 <> 0),
