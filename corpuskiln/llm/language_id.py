@@ -20,7 +20,7 @@ from corpuskiln.llm.pretokens import letter_words
 from corpuskiln.llm.storage import durable
 from corpuskiln.llm.words import pieces
 
-#: Bounds of the model: labelled documents it is fitted on, words it keeps (the most frequent), n-grams of each length.
+#: Bounds of the model: labelled documents of each language it is fitted on, words it keeps (the most frequent), n-grams of each length.
 TRAINING_DOCS, WORDS, NGRAMS, LONGEST = 20_000, 200_000, 50_000, 4
 SMOOTHING = 0.1
 UNDETERMINED = "und"
@@ -82,11 +82,12 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 
 def fit(docs: DataFrame) -> Model:
-    """A model of the labelled documents that are not held out, or of about TRAINING_DOCS of them chosen by a hash of their ids."""
+    """A model of the labelled documents that are not held out: of each language all, or about TRAINING_DOCS chosen by a hash of their ids."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     by_lang = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1, TRAINING_DOCS / max(sum(r.n for r in by_lang), 1)))
-    counts = rows.filter(share).select("lang", "text").mapInArrow(_count, "lang string, word string, n long")
+    sizes = docs.sparkSession.createDataFrame([(r.lang, r.n) for r in by_lang], "lang string, n long")
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < F.lit(1_000_000_000.0) * TRAINING_DOCS / F.col("n")
+    counts = rows.join(F.broadcast(sizes), "lang").filter(share).select("lang", "text").mapInArrow(_count, "lang string, word string, n long")
     return model_of(counts, [r.lang for r in by_lang])
 
 
@@ -102,17 +103,25 @@ def _most_frequent(table: DataFrame, limit: int) -> DataFrame:
 
 
 def model_of(counts: DataFrame, languages: list[str]) -> Model:
-    """The model of the counts (lang, word, n). Words and n-grams are counted in Spark; only the bounded tables of the model come to the driver."""
+    """The model of the counts (lang, word, n); languages without counts are left out.
+
+    Words and n-grams are counted in Spark; only the bounded tables of the model come to the driver.
+    """
     by = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(languages)]
     again = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(languages))]
-    total = sum((F.col(f"n{i}") for i in range(len(languages))), F.lit(0))
     by_word = durable(counts.groupBy("word").agg(F.sum("n").alias("total"), *by), "word-counts")
+    sums = by_word.agg(F.count("*"), *again).first()
+    counted = [i for i in range(len(languages)) if sums[i + 1]]
+    by_word = by_word.select("word", "total", *(F.col(f"n{i}").alias(f"n{k}") for k, i in enumerate(counted)))
+    languages = [languages[i] for i in counted]
+    again = again[: len(languages)]
 
     def scores(table: DataFrame, limit: int, kind: pa.DataType) -> Scores:
         best = _most_frequent(table, limit).drop("total").toArrow()
         n = np.stack([best.column(f"n{i}").to_numpy() for i in range(len(languages))], 1) + SMOOTHING if languages else np.zeros((best.num_rows, 0))
         return Scores(best.column(0).combine_chunks().cast(pa.binary()).cast(kind), np.log(n / n.sum(0)) if len(n) else n)
 
+    total = sum((F.col(f"n{i}") for i in range(len(languages))), F.lit(0))
     ngrams = []
     padded = F.concat(F.lit("<"), F.substring("word", 1, 64), F.lit(">"))
     for size in range(1, LONGEST + 1):

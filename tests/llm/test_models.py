@@ -28,6 +28,19 @@ def test_unseen_words_fall_back_to_shorter_n_grams(spark):
     assert (foreign == 0).all() or foreign.shape == (2,)
 
 
+def test_small_languages_are_learned_whole_beside_large_ones(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TRAINING_DOCS", 20)
+    large = [(i, f"house mouse garden{i % 7}", "en") for i in range(20_000)]
+    small = [(100_000 + i, f"haus maus wort{chr(97 + i)}", "de") for i in range(12)]
+    empty = [(200_000, "12 34", "xx")]
+    docs = spark.createDataFrame(large + small + empty, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.languages == ["de", "en"]
+    learned = {f"wort{chr(97 + i)}" for i in range(12) if zlib.crc32(str(100_000 + i).encode()) % 5}
+    assert learned <= {w.decode() for w in model.words.terms.to_pylist()}
+    assert {r.lang_pred for r in language_id.predict(docs.filter("lang = 'de'"), model).collect()} == {"de"}
+
+
 def test_language_of_odd_rows(spark, odd_docs, no_docs):
     model = language_id.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     rows = language_id.predict(odd_docs, model).collect()
