@@ -22,6 +22,8 @@ from corpuskiln.llm.words import pieces
 
 #: Bounds of the model: labelled documents of each language it is fitted on, words it keeps (the most frequent), n-grams of each length.
 TRAINING_DOCS, WORDS, NGRAMS, LONGEST = 20_000, 200_000, 50_000, 4
+#: Letters of a word whose n-grams are taken at once, and n-grams looked up at once.
+PIECE, GRAMS = 61, 500_000
 SMOOTHING = 0.1
 UNDETERMINED = "und"
 
@@ -38,6 +40,21 @@ class Scores:
         return pc.fill_null(pc.index_in(terms, self.terms), -1).to_numpy(zero_copy_only=False)
 
 
+def _grams(words: list[str], which: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """The n-grams of the words in `which`, each with its word's place, GRAMS or fewer at once."""
+    owners, grams = [], []
+    for i in which:
+        for at in range(0, len(words[i]) - n + 1, GRAMS):
+            own = [words[i][j : j + n] for j in range(at, min(at + GRAMS, len(words[i]) - n + 1))]
+            if len(grams) + len(own) > GRAMS and grams:
+                yield np.array(owners, np.int64), grams
+                owners, grams = [], []
+            owners += [i] * len(own)
+            grams += own
+    if grams:
+        yield np.array(owners, np.int64), grams
+
+
 @dataclass
 class Model:
     """languages, and the scores of the known words and of the n-grams of each length from 1 on."""
@@ -50,15 +67,16 @@ class Model:
         """For each word, the mean score of its known n-grams of the greatest length of which any is known; else zeros."""
         out = np.zeros((len(words), len(self.languages)))
         left = np.arange(len(words))
-        padded = [f"<{w[:64]}>" for w in words]
+        padded = [f"<{w}>" for w in words]
         for n in range(LONGEST, 0, -1):
-            grams = [padded[i][j : j + n] for i in left for j in range(len(padded[i]) - n + 1)]
-            owners = np.repeat(left, np.array([max(0, len(padded[i]) - n + 1) for i in left], np.int64))
-            place = self.ngrams[n - 1].places(pa.array(grams, pa.string()))
-            owners, values = owners[place >= 0], self.ngrams[n - 1].values[place[place >= 0]]
-            held = np.bincount(owners, minlength=len(words))
-            for k in range(out.shape[1]):
-                out[:, k] += np.bincount(owners, values[:, k], len(words)) / np.maximum(held, 1)
+            sums, held = np.zeros(out.shape), np.zeros(len(words), np.int64)
+            for owners, grams in _grams(padded, left, n):
+                place = self.ngrams[n - 1].places(pa.array(grams, pa.string()))
+                owners, values = owners[place >= 0], self.ngrams[n - 1].values[place[place >= 0]]
+                held += np.bincount(owners, minlength=len(words))
+                for k in range(out.shape[1]):
+                    sums[:, k] += np.bincount(owners, values[:, k], len(words))
+            out += sums / np.maximum(held, 1)[:, None]
             left = left[held[left] == 0]
         return out
 
@@ -123,11 +141,14 @@ def model_of(counts: DataFrame, languages: list[str]) -> Model:
 
     total = sum((F.col(f"n{i}") for i in range(len(languages))), F.lit(0))
     ngrams = []
-    padded = F.concat(F.lit("<"), F.substring("word", 1, 64), F.lit(">"))
+    # Pieces overlap by what the longest n-gram that starts in the first PIECE letters of one needs of the next.
+    padded = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
+    overlapping = F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{1,{PIECE + LONGEST - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    numbers = [f"n{i}" for i in range(len(languages))]
     for size in range(1, LONGEST + 1):
-        starts = F.sequence(F.lit(1), F.char_length(padded) - size + 1)
-        grams = F.when(F.char_length(padded) >= size, F.transform(starts, lambda i: F.substring(padded, i, F.lit(size))))
-        table = by_word.select(F.explode(grams).alias("gram"), *(f"n{i}" for i in range(len(languages)))).groupBy("gram").agg(F.count("*").alias("words"), *again).drop("words")
+        starts = F.sequence(F.lit(1), F.least(F.lit(PIECE), F.char_length("piece") - size + 1))
+        grams = F.when(F.char_length("piece") >= size, F.transform(starts, lambda i: F.substring("piece", i, F.lit(size))))
+        table = by_word.select(F.explode(overlapping).alias("piece"), *numbers).select(F.explode(grams).alias("gram"), *numbers).groupBy("gram").agg(F.count("*").alias("words"), *again).drop("words")
         ngrams.append(scores(durable(table.withColumn("total", total), "gram-counts"), NGRAMS, pa.string()))
     return Model(languages, scores(by_word, WORDS, pa.large_binary()), ngrams)
 

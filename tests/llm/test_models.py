@@ -28,6 +28,20 @@ def test_unseen_words_fall_back_to_shorter_n_grams(spark):
     assert (foreign == 0).all() or foreign.shape == (2,)
 
 
+def test_n_grams_of_whole_runs(spark, monkeypatch):
+    run = "".join(chr(97 + (i * i) % 23) for i in range(300))
+    word = "a" * 70 + "qqqq" + run
+    model = language_id.model_of(spark.createDataFrame([("de", word, 1), ("en", "a" * 70 + "zzzz", 1)], "lang string, word string, n long"), ["de", "en"])
+    for n in range(1, 5):
+        expected = {w[i : i + n] for w in (f"<{word}>", f"<{'a' * 70}zzzz>") for i in range(len(w) - n + 1)}
+        assert set(model.ngrams[n - 1].terms.to_pylist()) == expected
+    words = ["a" * 70 + run + "q", "a" * 90 + "zzzz"]
+    whole = model.unseen(words)
+    assert whole[0, 0] > whole[0, 1] and whole[1, 1] > whole[1, 0]
+    monkeypatch.setattr(language_id, "GRAMS", 7)
+    assert np.allclose(model.unseen(words), whole)
+
+
 def test_small_languages_are_learned_whole_beside_large_ones(spark, monkeypatch):
     monkeypatch.setattr(language_id, "TRAINING_DOCS", 20)
     large = [(i, f"house mouse garden{i % 7}", "en") for i in range(20_000)]
