@@ -35,6 +35,80 @@ CHECKS = (
 )
 
 
+SELF_BLOCK = r"NotebookLM\s*슬라이드\s*생성용\s*프롬프트|이\s*블록은\s*삭제하세요|슬라이드\s*생성에\s*붙여넣으세요|\[작성\s*보강\s*가이드\]|\[AI\s*작성\s*보강\]|섹션은\s*삭제하세요|\(작성\s*필요\s*—"
+CHOICE, CHECKED = r"택\s*1|해당\s*여부", r"[■☑✔▣☒√]|(?<![A-Za-z0-9])[V√●](?![A-Za-z0-9])"
+LABELS = ("명 칭", "명칭", "기업명", "대표자명", "창업아이템명")
+LABELS_NORMAL = ("명칭", "기업명", "대표자명", "창업아이템명", "사업자등록번호", "생년월일", "연락처", "신청분야")
+CLAIM = r"(협업|제휴|협약|MOU|업무\s*협약|독점\s*(?:계약|공급|판매)|납품|공급\s*계약|기술\s*이전)\s*[\(（]?\s*(?:확정|체결|완료|성사)"
+HEDGE = r"검토\s*중|협의\s*중|논의\s*중|추진\s*중|계획\s*중|예정|예상|기대|목표|가능성|희망|\[산출근거|\[출처|출처\s*[:：]|근거\s*[:：]|계약\s*번호|등록\s*번호|특허\s*제?\s*\d"
+
+
+def _lines_that(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """Counts the lines for which a test holds."""
+    return lambda text: F.size(F.filter(F.split(text, "\n"), test))
+
+
+def _cells(line: Column) -> Column:
+    """The trimmed cells of a line; an outer border makes no cell of its own."""
+    bare = F.trim(line)
+    return F.transform(F.split(F.when(bare.startswith("|"), F.regexp_replace(bare, r"^\||\|$", "")).otherwise(bare), r"\|"), lambda c: F.trim(c))
+
+
+def _empty_after(is_label: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """Counts the label cells whose right cell is empty."""
+
+    def empty(cells: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(cells, 1, F.size(cells) - 1).alias("label"), F.slice(cells, 2, F.size(cells)).alias("value"))
+        return F.size(F.filter(pairs, lambda p: is_label(p["label"]) & (p["value"] == "")))
+
+    rows = lambda text: F.transform(F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit("|"))), _cells)
+    return lambda text: F.aggregate(F.transform(rows(text), empty), F.lit(0), lambda a, b: a + b)
+
+
+def _unchecked(text: Column) -> Column:
+    """Choice rows with an empty box and no mark; of rows with one label only the first counts."""
+    rows = F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit("|")) & x.rlike(CHOICE))
+    marks = F.transform(rows, lambda x: F.struct(F.substring(F.get(_cells(x), F.lit(0)), 1, 20).alias("label"), (F.contains(x, F.lit("□")) & ~x.rlike(CHECKED)).alias("open")))
+    start = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(0).alias("n"))
+
+    def step(a: Column, b: Column) -> Column:
+        fresh = ~F.array_contains(a["seen"], b["label"])
+        return F.struct(F.array_union(a["seen"], F.array(b["label"])).alias("seen"), (a["n"] + (fresh & b["open"]).cast("int")).alias("n"))
+
+    return F.aggregate(marks, start, step, lambda a: a["n"])
+
+
+def _recruit_dates(text: Column) -> Column:
+    """Distinct months in lines on recruiting, beyond the first."""
+    own = F.array_join(F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit("채용"))), "\n")
+
+    def months(regex: str) -> Column:
+        year, month = (F.regexp_extract_all(own, F.lit(regex), F.lit(i)) for i in (1, 2))
+        return F.zip_with(year, month, lambda y, m: F.concat(F.substring(y, -2, 2), F.lit("."), m.cast("int").cast("string")))
+
+    found = F.array_union(months(r"[’'‘]\s?(\d{2})\s*\.\s*(\d{1,2})"), months(r"(\d{4})\s*년\s*(\d{1,2})\s*월"))
+    return F.greatest(F.lit(0), F.size(found) - 1)
+
+
+def missing_documents(names: tuple[str, ...]) -> Check:
+    """The required names that a text does not hold, without regard to white space."""
+    bare = [n for n in ("".join(x.split()) for x in names) if n]
+    return Check("missing_required_documents", "fail", lambda text: sum((F.when(F.contains(F.regexp_replace(text, r"\s+", ""), F.lit(n)), 0).otherwise(1) for n in bare), F.lit(0)))
+
+
+#: Further checks of the reference, on lines and cells; rows of tables are lines with a |.
+LINE_CHECKS = (
+    Check("self_inserted_blocks", "fail", _lines_that(lambda x: x.rlike(SELF_BLOCK))),
+    Check("unchecked_choices", "fail", _unchecked),
+    Check("empty_label_fields", "fail", _empty_after(lambda c: c.isin(*LABELS))),
+    Check("recruit_date_conflict", "warn", _recruit_dates),
+    Check("paren_choices", "warn", _lines_that(lambda x: F.contains(x, F.lit("|")) & x.rlike(CHOICE) & ~F.contains(x, F.lit("□")) & x.rlike(r"\(\s*\)") & ~x.rlike(r"\(\s*[VvOX○●√■]\s*\)"))),
+    Check("empty_label_fields_ext", "warn", _empty_after(lambda c: ~c.isin(*LABELS) & F.regexp_replace(c, r"[\s:：]", "").isin(*LABELS_NORMAL))),
+)
+#: Off unless asked for, as in the reference.
+UNVERIFIED_CLAIMS = Check("unverified_claims", "warn", _lines_that(lambda x: x.rlike(CLAIM) & ~x.rlike(HEDGE)))
+
+
 def results(docs: DataFrame, checks: tuple[Check, ...] = CHECKS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, check_id, severity and defects of every document and check, in one pass over the texts; a null text counts as empty."""
     own = F.coalesce(F.col(text), F.lit(""))

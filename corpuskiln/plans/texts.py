@@ -97,6 +97,11 @@ def acceptance_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.rollup(checks.results(_docs(spark, sf_dir)))
 
 
+def acceptance_rollup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roll-up with the checks on lines and cells as well."""
+    return checks.rollup(checks.results(_docs(spark, sf_dir), checks.CHECKS + checks.LINE_CHECKS))
+
+
 def volume_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters, paragraphs and pages (of 900 and of 1500 characters) of each document."""
     n = F.coalesce(F.char_length("text"), F.lit(0))
@@ -152,6 +157,7 @@ QUERIES = {
         doc_type_argmax,
         structure_coverage,
         acceptance_rollup,
+        acceptance_rollup_lines,
         volume_metrics,
         url_normalise,
         citation_status,
