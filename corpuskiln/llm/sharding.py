@@ -108,8 +108,11 @@ def group_key(text: Column) -> Column:
     return F.unhex(F.coalesce(F.md5(text), F.lit("00")))
 
 
-def assign(rows: DataFrame, shards: int) -> DataFrame:
-    """`rows` (with columns group_key and size) with a column shard."""
+def assign(rows: DataFrame, shards: int, capacity: int | None = None) -> DataFrame:
+    """`rows` (with columns group_key and size) with a column shard: `shards` even ones, or as few of a fixed capacity as best fit finds.
+
+    With a capacity, `shards` is a lower bound that only sets the grain.
+    """
     groups = durable(rows.groupBy("group_key").agg(F.sum("size").alias("bytes")), "groups")
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     least = total / (shards * GRAIN)
@@ -119,7 +122,8 @@ def assign(rows: DataFrame, shards: int) -> DataFrame:
     rest = groups.filter(F.col("bytes") <= least).groupBy(parcel.alias("parcel")).agg(F.sum("bytes").alias("bytes"))
     items = [(int(r.bytes), bytes(r.group_key), None) for r in single.collect()] + [(int(r.bytes), None, r.parcel) for r in rest.collect()]
     items.sort(key=lambda x: (-x[0], x[1] or b"", -1 if x[2] is None else x[2]))
-    placed = list(zip(items, pack_evenly([x[0] for x in items], shards), strict=True))
+    sizes = [x[0] for x in items]
+    placed = list(zip(items, pack_evenly(sizes, shards) if capacity is None else best_fit_decreasing(sizes, capacity), strict=True))
     spark = rows.sparkSession
     by_group = spark.createDataFrame([(bytearray(k), s) for (_, k, p), s in placed if p is None], "group_key binary, own_shard int")
     by_parcel = spark.createDataFrame([(p, s) for (_, _, p), s in placed if p is not None], "parcel int, parcel_shard int")
@@ -147,12 +151,13 @@ def with_slots(rows: DataFrame, order: list[str], share: int = 20_000) -> DataFr
     return rows.withColumn("slot", within).join(offsets, ["shard", "chunk"]).withColumn("slot", (F.col("slot") + F.col("before")).cast("long")).drop("chunk", "before")
 
 
-def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", capacity: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of `docs`.
 
     size: UTF-8 bytes of the text plus 16; the law is `bytes`: sums of sizes are near equal, as far as the largest group of
     equal texts allows. Null texts count 16, have the checksum of an empty text and form one group. Repeated rows each get
-    a slot; other columns are ignored.
+    a slot; other columns are ignored. With a capacity, shards hold at most so many bytes, a larger group of equal texts
+    alone has a shard of its own, and their number, which best fit keeps low, replaces `shards`.
     """
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
@@ -160,5 +165,7 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         group_key(F.col(text)).alias("group_key"),
     )
-    placed = with_slots(assign(rows, shards).select("doc_id", "size", "text_crc32", "shard"), ["doc_id", "text_crc32", "size"])
+    if capacity is not None:
+        shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // capacity))
+    placed = with_slots(assign(rows, shards, capacity).select("doc_id", "size", "text_crc32", "shard"), ["doc_id", "text_crc32", "size"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
