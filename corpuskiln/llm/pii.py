@@ -1,15 +1,17 @@
 """Information-theoretic sanitisation of personal data.
 
-The protected entities are the e-mail addresses, IP addresses, card numbers and phone numbers found by fixed rules. The corpus
-tells how strongly a term reveals an entity: with documents as events, PMI(entity; term) = log2(N * together / (with entity *
-with term)), where together counts the documents in which the term stands within `reach` words of the entity. An entity's own
-information is log2(N / with entity). A term that gives away more than `generalise` of it is replaced by the kind of word it
-is, and one that gives away more than `remove` of it is removed, wherever it stands that near to the entity. Pairs must
-stand together in `support` different texts, so that chance neighbours and copies of one text prove nothing.
-
-Most entities stand in one text only, so the same is estimated for what they share with others, their classes: the kind, an
-e-mail's domain and the letter runs of its local part, and the beginning of a number. A term acts if it gives away the entity
-or one of its classes.
+The protected entities are the e-mail addresses, IP addresses, card numbers and phone numbers found by fixed rules, and
+secrets: keys and tokens by their shape or by the name that they are assigned to. The corpus tells how strongly a term reveals
+an entity: with documents as events, PMI(entity; term) = log2(N * together / (with entity * with term)), where each count is
+of the documents that hold the one, the other or both. An entity's own information is log2(N / with entity). A term that
+gives away more than `generalise` of it is replaced by a mark, and one that gives away more than `remove` of it is removed,
+wherever it stands within `reach` words of the entity. Only pairs that stand that near in `support` different texts are
+estimated, so that chance neighbours and copies of one text prove nothing.
+
+Most entities stand in one text only, which proves nothing about them. So the same is estimated for what they share with
+others, their classes: the kind, an e-mail's domain and the letter runs of its local part, and the beginning of a number. A
+term acts if it gives away the entity or one of its classes. A person named in fewer than `support` texts is protected by the
+fixed rules and by these classes alone.
 """
 
 from __future__ import annotations
@@ -21,12 +23,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from corpuskiln.llm.storage import durable
+from corpuskiln.llm.storage import durable, quoted
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that are found beside the base ones.
+MORE_KINDS = ("secret",)
 #: What the kinds look like. An address is found from its @ sign, so that no text takes more than linear time.
 EMAIL_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,9 +41,15 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Pairs and names of entities up to which they are broadcast.
 FEW_NAMES = 200_000
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
+#: Secrets: values of 8 or more characters with a digit, assigned to a telling name; keys by their shape; private key blocks.
+SECRET = re.compile(
+    r"(?i:\b(?:[a-z0-9]+[_-])*(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|auth)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<value>(?=[A-Za-z0-9_/+.=~-]*[0-9])[A-Za-z0-9_/+.=~-]{8,})"
+    r"|\b(?P<shape>sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{30,}|gh[pousr]_[A-Za-z0-9]{30,}|(?:AKIA|ASIA)[0-9A-Z]{16}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)"
+    r"|(?P<block>-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)"
+)
 #: What an entity, or a term that must be removed or made general, is replaced by.
-PLACES = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": "", "general": "[TERM]"}
+PLACES = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "removed": "", "general": "[TERM]"}
 
 
 def luhn(digits: str) -> bool:
@@ -80,6 +92,11 @@ def entities(text: str) -> list[tuple[int, str, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
+def secrets(text: str) -> list[tuple[int, str, int, str]]:
+    """(start, kind, end, entity) of the secrets in a text, by start."""
+    return [(m.start(m.lastgroup), "secret", m.end(m.lastgroup), m[m.lastgroup]) for m in SECRET.finditer(text)]
+
+
 def near_terms(text: str, found: list[tuple[int, str, int, str]], reach: int) -> Iterator[tuple[str, str, int, int]]:
     """(entity, term, start, end) of the words within `reach` words of each entity and outside all entities."""
     starts, busy = [x[0] for x in found], []
@@ -119,27 +136,35 @@ def classes(entity: Column) -> Column:
 
 
 SCAN_SCHEMA = (
-    "doc_id long, text_key binary, base array<struct<start:int,kind:string,end:int>>, near array<struct<entity:string,term:string,start:int,end:int>>, entities array<string>"
+    "doc_id long, text_key binary, base array<struct<start:int,kind:string,end:int>>, more array<struct<start:int,kind:string,end:int>>, "
+    "near array<struct<entity:string,term:string,start:int,end:int>>, entities array<string>, terms array<string>"
 )
 
 
 def _scan(reach: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            base, near, names = [], [], []
+            base, more, near, names, terms = [], [], [], [], []
             for text in rows.text:
-                found = entities(text or "")
-                base.append([{"start": a, "kind": k, "end": b} for a, k, b, _ in found])
+                own, beside = entities(text or ""), secrets(text or "")
+                found = sorted(own + beside, key=lambda x: x[0]) if beside else own
+                for out, places in ((base, own), (more, beside)):
+                    out.append([{"start": a, "kind": k, "end": b} for a, k, b, _ in places])
                 near.append([dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in dict.fromkeys(near_terms(text or "", found, reach))] if found else [])
                 names.append(sorted({f"{k}:{e}" for _, k, _, e in found}))
+                terms.append(sorted({w.lower() for w in WORD.findall(text)}) if found else [])
             keys = [hashlib.md5((t or "").encode()).digest() for t in rows.text]
-            yield pd.DataFrame({"doc_id": rows.doc_id.astype("Int64"), "text_key": keys, "base": base, "near": near, "entities": names})
+            yield pd.DataFrame({"doc_id": rows.doc_id.astype("Int64"), "text_key": keys, "base": base, "more": more, "near": near, "entities": names, "terms": terms})
 
     return run
 
 
 def scan(docs: DataFrame, reach: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the entities' places and, within `reach` words of each, the terms; written to the shared folder."""
+    """Per row: the entities' places (base kinds, and more) and names, within `reach` words of each the terms, and the terms of texts with entities; written to the shared folder.
+
+    A null text is an empty one and has none of these; repeated rows and null ids each keep their own row; other columns are
+    left behind, whatever their names.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return durable(rows.mapInPandas(_scan(reach), SCAN_SCHEMA), "entities")
 
@@ -154,32 +179,34 @@ def _under_classes(rows: DataFrame) -> DataFrame:
 def disclosing(docs: DataFrame, scanned: DataFrame, generalise: float = 0.7, remove: float = 0.9, support: int = 3, text: str = "text") -> DataFrame:
     """entity, term, share and place (removed or general) of the pairs whose term gives the entity, or the class named as entity, away.
 
-    share is PMI over the entity's own information; entities in every document have none to give away. Only the document
-    frequencies of terms that have support are needed, so rows of other terms leave the count before it is shuffled, as far
-    as the terms are few; the result is the same either way.
+    share is PMI over the entity's own information; entities in every document have none to give away. Repeated rows are
+    documents of their own, but support asks for different texts. Only the frequencies of terms and pairs that have support are
+    needed, so other rows leave the counts before they are shuffled, as far as the pairs are few; the result is the same either
+    way. Words are runs of letters, each in lower case; one with letters that only one of Python and Java knows is left out.
     """
     total = scanned.count()
-    rows = scanned.select("text_key", "near", F.monotonically_increasing_id().alias("row"))
-    met = _under_classes(rows).select("text_key", "row", "entity", "term").distinct()
-    together = met.groupBy("entity", "term").agg(F.count("*").alias("together"), F.count_distinct("text_key").alias("texts"))
-    together = durable(together.filter(F.col("texts") >= support), "together")
+    met = _under_classes(scanned.select("text_key", "near")).select("text_key", "entity", "term").distinct()
+    pairs = durable(met.groupBy("entity", "term").agg(F.count("*").alias("texts")).filter(F.col("texts") >= support).select("entity", "term"), "supported")
+    few_pairs = pairs.count() <= FEW_NAMES
     names = F.array_distinct(F.flatten(F.transform("entities", classes)))
-    with_entity = scanned.select(F.explode(names).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    # Many pairs share a kind, so that the counts of the entities in pairs are broadcast while they are few.
-    supported = together.select("entity").distinct()
-    with_entity = durable(with_entity.join(supported, "entity", "left_semi"), "with-entity")
-    few_entities = with_entity.count() <= FEW_NAMES
-    terms = together.select("term").distinct()
+    entities_ = pairs.select("entity").distinct()
+    with_entity = scanned.select(F.explode(names).alias("entity")).join(F.broadcast(entities_) if few_pairs else entities_, "entity", "left_semi")
+    with_entity = with_entity.groupBy("entity").agg(F.count("*").alias("with_entity"))
+    terms = durable(pairs.select("term").distinct(), "terms")
     few = terms.count() <= 1_000_000
-    in_doc = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}]+"))).alias("term"))
-    with_term = in_doc.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
+
+    def asked(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+
+    words = F.array_distinct(F.transform(F.split(F.col(text), r"[^\p{L}]+"), lambda w: F.lower(w)))
+    with_term = asked(docs.select(F.explode(words).alias("term"))).groupBy("term").agg(F.count("*").alias("with_term"))
+    both = asked(scanned.filter(F.size("entities") > 0).select(names.alias("names"), F.explode("terms").alias("term"))).select(F.explode("names").alias("entity"), "term")
+    together = both.join(F.broadcast(pairs) if few_pairs else pairs, ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count("*").alias("together"))
     pmi = F.log2(F.lit(float(total)) * F.col("together") / (F.col("with_entity") * F.col("with_term")))
     own = F.log2(F.lit(float(total)) / F.col("with_entity"))
-    # A term's letters may be written with marks that the count splits at; then its documents with the entity are all that is known.
-    pairs = together.join(F.broadcast(with_entity) if few_entities else with_entity, "entity").join(with_term, "term", "left").withColumn("with_term", F.greatest("with_term", "together"))
     share = F.when(own > 0, pmi / own)
-    found = pairs.withColumn("share", share).filter(F.col("share") >= generalise).select("entity", "term", "share", F.when(F.col("share") >= remove, "removed").otherwise("general").alias("place"))
-    return durable(found, "disclosing")
+    found = together.join(with_entity, "entity").join(with_term, "term").withColumn("share", share).filter(F.col("share") >= generalise)
+    return durable(found.select("entity", "term", "share", F.when(F.col("share") >= remove, "removed").otherwise("general").alias("place")), "disclosing")
 
 
 def _joined(spans: Column) -> Column:
@@ -187,32 +214,42 @@ def _joined(spans: Column) -> Column:
 
 
 def spans(scanned: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc_id, text_key, base and terms (array of start, kind, end) of every scanned row."""
+    """doc_id, text_key, base, more and terms (arrays of start, kind, end) of every scanned row.
+
+    A place that several entities or classes ask for is one span, removed if any asks for that; equal texts have equal spans.
+    """
     few = pairs.count() <= FEW_NAMES
     asked = pairs.select("entity", "term", "place")
     risky = _under_classes(scanned.select("text_key", "near")).join(F.broadcast(asked) if few else asked, ["entity", "term"])
     # A place near two entities, or of several classes, is removed if any asks for it.
     risky = risky.groupBy("text_key", "start", "end").agg(F.max("place").alias("place"))
     risky = risky.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", F.col("place").alias("kind"), "end"))).alias("terms"))
-    rows = scanned.select("doc_id", "text_key", "base").join(risky, "text_key", "left")
+    risky = durable(risky, "risky")
+    rows = scanned.select("doc_id", "text_key", "base", "more").join(F.broadcast(risky) if risky.count() <= FEW_NAMES // 2 else risky, "text_key", "left")
     return rows.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,kind:string,end:int>>")))
 
 
 def _number(kind: str) -> Column:
-    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return F.size(F.filter("base" if kind in KINDS else "more", lambda s: s["kind"] == kind)).cast("long")
 
 
 def report(found: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_term of each row of `spans`."""
-    order = {k: i for i, k in enumerate((*KINDS, "general", "removed"))}
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_term and n_spans of each row of `spans`.
+
+    Rows are reported one by one, whatever their ids; a row without spans has zeros, the digest of an empty text and an empty
+    string. Spans that begin at one place are in the order of the kinds: base kinds, secret, general, removed.
+    """
+    order = {k: i for i, k in enumerate((*KINDS, *MORE_KINDS, "general", "removed"))}
     rank = F.create_map(*(F.lit(x) for kv in order.items() for x in kv))
-    every = F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
+    every = F.transform(F.concat("base", "more", "terms"), lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
     return found.select(
         "doc_id",
         *(_number(k).alias(f"n_{k}") for k in KINDS),
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.array_sort(every)).alias("spans"),
+        _number("secret").alias("n_secret"),
         F.size("terms").cast("long").alias("n_term"),
+        F.size(every).cast("long").alias("n_spans"),
     )
 
 
@@ -240,14 +277,15 @@ def sanitise(docs: DataFrame, reach: int = 8, generalise: float = 0.7, remove: f
     """
     scanned = scan(docs, reach)
     found = spans(scanned, disclosing(docs, scanned, generalise, remove, support))
-    changed = durable(found.filter((F.size("base") > 0) | (F.size("terms") > 0)).select("text_key", F.concat("base", "terms").alias("places")).dropDuplicates(["text_key"]), "places")
+    places = F.concat("base", "more", "terms")
+    changed = durable(found.filter(F.size(places) > 0).select("text_key", places.alias("places")).dropDuplicates(["text_key"]), "places")
     # All other columns travel as one struct, so that none of their names can clash with those used here.
-    rest = F.struct(*(c for c in docs.columns if c != "text"))
+    rest = F.struct(*(quoted(c) for c in docs.columns if c != "text"))
     keyed = docs.select(rest.alias("row"), "text", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("text_key"))
     few = changed.count() <= 100_000
     joined = keyed.join(F.broadcast(changed) if few else changed, "text_key", "left").select("row", "text", "places")
-    out = joined.mapInArrow(_rewrite, f"row {keyed.schema['row'].dataType.simpleString()}, text string")
+    out = joined.mapInArrow(_rewrite, StructType([keyed.schema["row"], StructField("text", StringType())]))
     n_chars = F.coalesce(F.char_length("text"), F.lit(0))
     return out.select(
-        *(F.col("text") if c == "text" else n_chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.{c}").alias(c) for c in docs.columns),
+        *(F.col("text") if c == "text" else n_chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns),
     )

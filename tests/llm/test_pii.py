@@ -100,3 +100,40 @@ def test_odd_rows_keep_their_columns(odd_docs, no_docs):
     assert pii.sanitise(no_docs).count() == 0
     assert pii.report(pii.spans(pii.scan(no_docs), pii.disclosing(no_docs, pii.scan(no_docs)))).count() == 0
     assert pii.report(pii.spans(pii.scan(odd_docs), pii.disclosing(odd_docs, pii.scan(odd_docs)))).count() == 12
+
+
+def test_counts_are_of_the_same_words_and_documents(spark):
+    rows = [(i, f"heute m²x steht {'a' + str(i) + '@b.example' if i < 4 else 'hier'} dabei") for i in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.disclosing(docs, pii.scan(docs)).filter("term in ('m', 'x', 'heute', 'm²x', 'steht', 'dabei')").count() == 0
+    assert sum("m²x" in r.text for r in pii.sanitise(docs).collect()) == 64
+
+
+def test_shares_equal_a_plain_count(spark):
+    import math
+    from itertools import product
+
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a, b in product("kt", "aeiou")]
+    rows = [(i, " ".join(rng.choices(words, k=6) + ([f"Quentin p{i % 3}@one.example"] if i % 5 == 0 else []) + rng.choices(words, k=20))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.entity, r.term): r.share for r in pii.disclosing(docs, pii.scan(docs), generalise=-99).collect()}
+    held = {i: set(re.findall("[a-z]+", t.lower())) for i, t in rows}
+    assert found
+    for (entity, term), share in found.items():
+        mine = {i for i, t in rows if {"email": "@", "email@one.example": "@one.example", "email local p": " p"}.get(entity, entity.partition(":")[2]) in t}
+        both = sum(term in held[i] for i in mine)
+        pmi = math.log2(150 * both / (len(mine) * sum(term in h for h in held.values())))
+        assert abs(share - pmi / math.log2(150 / len(mine))) < 1e-9, (entity, term)
+    assert ("email", "quentin") in found
+
+
+def test_secrets_are_spans_of_their_own_and_replaced(spark):
+    rows = [(1, 'token = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6" ok'), (2, "the token of thanks, password: please"), (3, "key sk-" + "a1" * 12 + " end"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS `my col`", "2 AS `a-b`", "3 AS `a.b`")
+    scanned = pii.scan(docs)
+    out = {r.doc_id: r for r in pii.report(pii.spans(scanned, pii.disclosing(docs, scanned))).collect()}
+    assert [out[i].n_secret for i in (1, 2, 3, 4)] == [1, 0, 1, 0] and out[1].spans == "secret:9:49" and all(r.base_sha256 == digest([]) for r in out.values())
+    clean = pii.sanitise(docs)
+    assert clean.columns == docs.columns
+    assert {r.doc_id: r.text for r in clean.collect()} == {1: 'token = "[SECRET]" ok', 2: rows[1][1], 3: "key [SECRET] end", 4: None}
