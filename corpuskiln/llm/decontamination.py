@@ -2,19 +2,22 @@
 
 Training texts are cut into blocks of a few MB. A block's index holds, for each term, the ascending positions at which it
 stands in the block, and one row that says which document owns which positions. Positions of neighbouring documents are
-`GAP` apart, so that no match spans two. A test window is sought in a block by taking the list of its rarest term there and
-intersecting it with the lists of the others, each shifted by its offset in the window.
+`GAP` apart, so that no match spans two. All test windows are sought in a block at once: those of which a term has no postings
+there fall out, the postings of each other's rarest term there, shifted by its offset, are its candidates, and the candidates
+are intersected with the postings of the other terms, the next rarest first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln.llm.storage import durable
@@ -24,10 +27,10 @@ from corpuskiln.llm.words import ALNUM, lists, pieces, split_words
 GAP = 64
 #: Bytes of text in a block.
 BLOCK_BYTES = 4 << 20
-#: Bytes of test texts that are looked up at once; more are taken in several passes.
+#: Bytes of test texts that are looked up at once, and so the bound of what is broadcast; more are taken in several passes.
 ITEM_BYTES = 32 << 20
-
-INDEX_SCHEMA = "block string, term string, positions array<int>, doc_ids array<bigint>, starts array<int>, lengths array<int>"
+#: Candidates that are intersected at once.
+CANDIDATES = 1 << 20
 
 
 def _index_block(block: str, docs: pa.RecordBatch) -> pa.RecordBatch:
@@ -44,7 +47,7 @@ def _index_block(block: str, docs: pa.RecordBatch) -> pa.RecordBatch:
             pa.array([block] * (n + 1)),
             pa.concat_arrays([words.vocabulary.cast(pa.binary()).cast(pa.string()), pa.nulls(1, pa.string())]),
             lists(pa.array(places), np.append(np.append(0, np.cumsum(counts)), len(places))),
-            lists(docs.column(0).cast(pa.int64()), one),
+            lists(docs.column(0), one),
             lists(pa.array(starts.astype(np.int32)), one),
             lists(pa.array(lengths.astype(np.int32)), one),
         ],
@@ -60,71 +63,116 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n += 1
 
 
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, doc_id: str | Column = "doc_id", text: str = "text") -> DataFrame:
     """The positional index of every text, written to the shared folder.
 
-    One row for each block and term, and one with a null term that lists the block's documents. Null texts have no words;
-    repeated and null ids each keep their own row; other columns are ignored.
+    One row for each block and term, and one with a null term that lists the block's documents by their ids, which may be of
+    any plain type. Null texts have no words; repeated and null ids each keep their own row; other columns are ignored.
     """
-    return durable(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_index, INDEX_SCHEMA), "postings")
-
+    rows = docs.select((F.col(doc_id).cast("long") if isinstance(doc_id, str) else doc_id).alias("doc_id"), F.col(text).alias("text"))
+    schema = f"block string, term string, positions array<int>, doc_ids array<{rows.schema['doc_id'].dataType.simpleString()}>, starts array<int>, lengths array<int>"
+    return durable(rows.mapInArrow(_index, schema), "postings")
 
-def windows(texts: list[str | None], size: int) -> list[list[tuple[bytes, ...]]]:
-    """The distinct windows of each text: `size` consecutive words, or all of them if there are fewer."""
-    words = split_words(pa.array(texts, pa.string()), ALNUM)
-    vocabulary = words.vocabulary.to_pylist()
-    out = []
-    for a, b in zip(words.offsets[:-1], words.offsets[1:], strict=True):
-        own = [vocabulary[c] for c in words.codes[a:b]]
-        out.append(list(dict.fromkeys(tuple(own[i : i + size]) for i in range(max(1, len(own) - size + 1)))) if own else [])
-    return out
 
+@dataclass
+class Windows:
+    """Test windows: window i is codes[starts[i] : starts[i] + sizes[i]], of the item owners[i]; a code is a place among the terms."""
 
-def intersect(postings: dict[str, np.ndarray], window: tuple[str, ...], slop: int = 0) -> np.ndarray:
-    """Positions at which the window begins, from the rarest term's list on.
+    terms: pa.Array
+    codes: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    owners: np.ndarray
 
-    With a slop, each other term may stand up to `slop` words from its place relative to the rarest term.
-    """
-    found = [postings.get(w) for w in window]
-    if any(p is None for p in found):
-        return np.zeros(0, np.int64)
-    order = sorted(range(len(window)), key=lambda i: (len(found[i]), i))
-    begins = found[order[0]] - order[0]
-    for i in order[1:]:
-        at = np.searchsorted(found[i], begins + (i - slop))
-        at[at == len(found[i])] -= 1
-        gap = found[i][at] - begins - i
-        begins = begins[(gap >= -slop) & (gap <= slop)]
-        if not len(begins):
-            break
-    return begins
 
+def windows(texts: pa.Array, size: int) -> Windows:
+    """The windows of each text: every `size` consecutive words, or all of them if there are fewer."""
+    words = split_words(texts, ALNUM)
+    lengths = np.diff(words.offsets)
+    n = np.where(lengths > 0, np.maximum(lengths - size + 1, 1), 0)
+    owners = np.repeat(np.arange(len(n)), n)
+    starts = np.arange(len(owners)) - np.repeat(np.cumsum(n) - n, n) + words.offsets[:-1][owners]
+    return Windows(words.vocabulary, words.codes, starts, np.minimum(lengths, size)[owners], owners)
 
-SEARCH_SCHEMA = "block string, ord int, doc_id long, n_words long, hits array<int>, items array<string>"
 
+def occurrences(asked: Windows, postings: list[np.ndarray | None], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, position at which it begins) of each exact occurrence in a block whose positions are below `end`.
 
-def _search(terms: list[tuple[str, list[tuple[str, ...]]]], slop: int):
+    `postings` has the ascending positions of each term, None for one that the block lacks.
+    """
+    counts = np.array([0 if p is None else len(p) for p in postings], np.int64)
+    firsts = np.cumsum(counts) - counts
+    flow = np.concatenate([p for p in postings if p is not None] or [np.zeros(0, np.int64)])
+    at = np.full(end, -1, np.int32)
+    at[flow] = np.repeat(np.arange(len(counts)), counts)
+    for size in np.unique(asked.sizes):
+        which = np.flatnonzero(asked.sizes == size)
+        terms = asked.codes[asked.starts[which][:, None] + np.arange(size)]
+        held = (counts[terms] > 0).all(1)
+        which, terms = which[held], terms[held]
+        order = np.argsort(counts[terms], axis=1, kind="stable")
+        rarest = np.take_along_axis(terms, order[:, :1], 1)[:, 0]
+        ends = np.cumsum(counts[rarest])
+        low = 0
+        while low < len(which):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CANDIDATES, "right")))
+            n = counts[rarest[low:high]]
+            own = np.repeat(np.arange(low, high), n)
+            begins = flow[np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + firsts[rarest[own]]] - order[own, 0]
+            fit = (begins >= 0) & (begins + size <= end)
+            own, begins = own[fit], begins[fit]
+            for k in range(1, size):
+                same = at[begins + order[own, k]] == terms[own, order[own, k]]
+                own, begins = own[same], begins[same]
+            yield which[own], begins
+            low = high
+
+
+def near(asked: Windows, postings: list[np.ndarray | None], starts: np.ndarray, lengths: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(window, position at which it begins, document) of each match in which every term stands in one document, up to `slop` words from its place relative to the window's rarest term."""
+    for w, (start, size) in enumerate(zip(asked.starts, asked.sizes, strict=True)):
+        found = [postings[c] for c in asked.codes[start : start + size]]
+        if any(p is None for p in found):
+            continue
+        order = sorted(range(size), key=lambda i: (len(found[i]), i))
+        docs = np.searchsorted(starts, found[order[0]], "right") - 1
+        begins = found[order[0]] - order[0]
+        for i in order[1:]:
+            least = np.maximum(begins + (i - slop), starts[docs])
+            most = np.minimum(begins + (i + slop), starts[docs] + lengths[docs] - 1)
+            at = np.minimum(np.searchsorted(found[i], least), len(found[i]) - 1)
+            fit = (found[i][at] >= least) & (found[i][at] <= most)
+            begins, docs = begins[fit], docs[fit]
+        yield np.full(len(begins), w), begins, docs
+
+
+def _search(asked: Windows, ids: list[str], slop: int):
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         docs = rows[rows.term.isna()].iloc[0]
         held = rows[rows.term.notna()]
-        postings = {t: p.astype(np.int64) for t, p in zip(held.term, held.positions, strict=True)}
         starts, lengths = np.asarray(docs.starts, np.int64), np.asarray(docs.lengths, np.int64)
+        postings: list[np.ndarray | None] = [None] * len(asked.terms)
+        places = pc.index_in(pa.array(held.term, pa.large_string()).cast(pa.large_binary()), asked.terms)
+        for c, p in zip(places.to_pylist(), held.positions, strict=True):
+            if c is not None:
+                postings[c] = p.astype(np.int64)
+        end = int(starts[-1] + lengths[-1] + GAP) if len(starts) else 0
         hits: dict[int, set[int]] = {}
         items: dict[int, set[str]] = {}
-        for item, wanted in terms:
-            for window in wanted:
-                for p in intersect(postings, window, slop):
-                    d = int(np.searchsorted(starts, max(p, 0), "right")) - 1
-                    hits.setdefault(d, set()).update(range(p - starts[d], p - starts[d] + len(window)))
-                    items.setdefault(d, set()).add(item)
+        exact = ((w, begins, np.searchsorted(starts, begins, "right") - 1) for w, begins in occurrences(asked, postings, end))
+        for found, begins, owners in near(asked, postings, starts, lengths, slop) if slop else exact:
+            for w, p, d in zip(found.tolist(), begins.tolist(), owners.tolist(), strict=True):
+                first = p - int(starts[d])
+                hits.setdefault(d, set()).update(range(max(first, 0), min(first + int(asked.sizes[w]), int(lengths[d]))))
+                items.setdefault(d, set()).add(ids[asked.owners[w]])
         n = len(starts)
         return pd.DataFrame(
             {
                 "block": rows.block.iloc[0],
                 "ord": np.arange(n, dtype=np.int32),
-                "doc_id": pd.array([None if pd.isna(x) else int(x) for x in docs.doc_ids], "Int64"),
+                "doc_id": pd.Series([None if x is None or x != x else x for x in docs.doc_ids], dtype=object),
                 "n_words": lengths,
-                "hits": [sorted(h for h in hits.get(d, ()) if 0 <= h < lengths[d]) for d in range(n)],
+                "hits": [sorted(hits.get(d, ())) for d in range(n)],
                 "items": [sorted(items.get(d, ())) for d in range(n)],
             }
         )
@@ -138,21 +186,23 @@ def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: s
     One row for each document: block and ord (its place in the index), doc_id, n_words, hits (its word positions inside any
     occurrence) and items (ids, as strings, of the items with occurring windows). slop 0 matches exact phrases; up to GAP,
     terms may stand that far from their places. Items with null text or no words match nothing; a null id reads "null".
-    The items are taken in passes of about ITEM_BYTES, so a test suite of any size is looked up whole.
+    The items are taken in passes of about ITEM_BYTES, so a test suite of any size is looked up whole; a pass's words are what
+    is broadcast.
     """
     if not 0 <= slop <= GAP:
         raise ValueError(f"slop must be from 0 to {GAP}")
     items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = 1 + total // ITEM_BYTES
+    ids = index.schema["doc_ids"].dataType.elementType.simpleString()
     found = None
     for k in range(passes):
-        rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).collect()
-        wanted = [(r.item, [tuple(w.decode() for w in x) for x in ws]) for r, ws in zip(rows, windows([r.text for r in rows], window), strict=True) if ws]
-        terms = sorted({w for _, ws in wanted for x in ws for w in x})
-        needed = index.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+        rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).toArrow().combine_chunks()
+        asked = windows(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), window)
+        needed = index.sparkSession.createDataFrame(pd.DataFrame({"term": asked.terms.cast(pa.binary()).cast(pa.string()).to_pylist()}, dtype=object), "term string")
         lists_ = index.filter(F.col("term").isNotNull()).join(F.broadcast(needed), "term", "left_semi").select(*index.columns)
-        part = lists_.unionByName(index.filter(F.col("term").isNull())).groupBy("block").applyInPandas(_search(wanted, slop), SEARCH_SCHEMA)
+        part = lists_.unionByName(index.filter(F.col("term").isNull())).groupBy("block")
+        part = part.applyInPandas(_search(asked, rows.column("item").to_pylist(), slop), f"block string, ord int, doc_id {ids}, n_words long, hits array<int>, items array<string>")
         found = part if found is None else found.unionByName(part)
     if passes == 1:
         return found
@@ -177,10 +227,14 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of `docs` in which no test window occurs; rows with null ids always stay.
+    """The rows of `docs` in whose text no test window occurs.
 
-    The ids to drop are broadcast only while they are few; beyond that the rows are joined by id.
+    Ids play no part: of rows that share an id, or have none, each stays or goes by its own text; repeated rows go alike; null
+    and empty texts stay; all columns are carried along, whatever their names. The texts to drop are known by a digest, which
+    is broadcast only while they are few; beyond that the rows are joined by it.
     """
-    hit = durable(search(build_index(docs), items, window=window).filter(F.size("hits") > 0).select("doc_id").distinct(), "contaminated")
+    digest = F.unhex(F.md5(F.col("text")))
+    hit = durable(search(build_index(docs, digest), items, window=window).filter(F.size("hits") > 0).select(F.col("doc_id").alias("digest")).distinct(), "contaminated")
     few = hit.count() <= 1_000_000
-    return docs.join(F.broadcast(hit) if few else hit, "doc_id", "left_anti").select(*docs.columns)
+    hit = hit.select(F.col("digest").alias("contaminated digest"))
+    return docs.join(F.broadcast(hit) if few else hit, F.unhex(F.md5(docs["text"])) == hit["contaminated digest"], "left_anti")

@@ -69,3 +69,30 @@ def test_proximity(spark):
         return {r.doc_id for r in decontamination.search(index, bench, slop=slop).filter("size(items) > 0").collect()}
 
     assert found(0) == {3} and found(1) == {1, 3} and found(3) == {1, 2, 3}
+
+
+def test_rows_and_not_ids_are_dropped(spark):
+    passage = "one two three four five six seven eight nine ten"
+    rows = [(5, passage), (5, "clean text here"), (None, f"so {passage} it is"), (None, "clean too"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS `my col`", "2 AS `a-b`", "3 AS `a.b`", "4 AS digest")
+    kept = decontamination.decontaminate(docs, spark.createDataFrame([(1, passage)], "item_id int, text string"))
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == [("5", "clean text here"), ("6", "None"), ("None", "clean too")]
+
+
+def test_random_texts_with_few_words(spark):
+    import random
+
+    rng = random.Random(7)
+    docs = [(i, " ".join(rng.choices("abcd", k=rng.randint(0, 60)))) for i in range(60)]
+    items = [(i, " ".join(rng.choices("abcd", k=rng.randint(0, 7)))) for i in range(25)]
+    index = decontamination.build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    found = decontamination.search(index, spark.createDataFrame(items, "item_id int, text string"), window=4)
+    assert sorted(map(tuple, decontamination.report(found).collect()), key=repr) == brute(docs, items, 4)
+
+
+def test_proximity_stays_within_a_document(spark):
+    docs = spark.createDataFrame([(1, "gamma x alpha"), (2, "beta y z")], "doc_id long, text string").coalesce(1)
+    index = decontamination.build_index(docs)
+    bench = spark.createDataFrame([(1, "alpha beta")], "item_id int, text string")
+    assert decontamination.search(index, bench, slop=64).filter("size(items) > 0").count() == 0
