@@ -15,13 +15,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from corpuskiln.llm.pretokens import letter_words
-from corpuskiln.llm.storage import durable
+from corpuskiln.llm.storage import durable, quoted
 from corpuskiln.llm.words import pieces
 
-#: Bounds of the model: labelled documents of each language it is fitted on, words it keeps (the most frequent), n-grams of each length.
-TRAINING_DOCS, WORDS, NGRAMS, LONGEST = 20_000, 200_000, 50_000, 4
+#: The bound of the model: labelled documents of each language it is fitted on; all their words and n-grams are kept. The longest n-gram.
+TRAINING_DOCS, LONGEST = 20_000, 4
 #: Letters of a word whose n-grams are taken at once, and n-grams looked up at once.
 PIECE, GRAMS = 61, 500_000
 SMOOTHING = 0.1
@@ -109,37 +110,25 @@ def fit(docs: DataFrame) -> Model:
     return model_of(counts, [r.lang for r in by_lang])
 
 
-def _most_frequent(table: DataFrame, limit: int) -> DataFrame:
-    """The rows whose total is at least the least one that no more than `limit` rows reach; those tied below it all stay out."""
-    sizes = table.groupBy(F.least("total", F.lit(10_000)).alias("total")).agg(F.count("*").alias("n")).orderBy(F.col("total").desc()).collect()
-    least, kept = None, 0
-    for s in sizes:
-        if kept + s.n > limit:
-            break
-        least, kept = s.total, kept + s.n
-    return table.filter(F.col("total") >= least) if least is not None else table.limit(0)
-
-
 def model_of(counts: DataFrame, languages: list[str]) -> Model:
     """The model of the counts (lang, word, n); languages without counts are left out.
 
-    Words and n-grams are counted in Spark; only the bounded tables of the model come to the driver.
+    Words and n-grams are counted in Spark; only the tables of the model, which the bound on its documents bounds, come to the driver.
     """
     by = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(languages)]
     again = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(languages))]
-    by_word = durable(counts.groupBy("word").agg(F.sum("n").alias("total"), *by), "word-counts")
+    by_word = durable(counts.groupBy("word").agg(F.sum("n").alias("n"), *by).drop("n"), "word-counts")
     sums = by_word.agg(F.count("*"), *again).first()
     counted = [i for i in range(len(languages)) if sums[i + 1]]
-    by_word = by_word.select("word", "total", *(F.col(f"n{i}").alias(f"n{k}") for k, i in enumerate(counted)))
+    by_word = by_word.select("word", *(F.col(f"n{i}").alias(f"n{k}") for k, i in enumerate(counted)))
     languages = [languages[i] for i in counted]
     again = again[: len(languages)]
 
-    def scores(table: DataFrame, limit: int, kind: pa.DataType) -> Scores:
-        best = _most_frequent(table, limit).drop("total").toArrow()
+    def scores(table: DataFrame, kind: pa.DataType) -> Scores:
+        best = table.toArrow()
         n = np.stack([best.column(f"n{i}").to_numpy() for i in range(len(languages))], 1) + SMOOTHING if languages else np.zeros((best.num_rows, 0))
         return Scores(best.column(0).combine_chunks().cast(pa.binary()).cast(kind), np.log(n / n.sum(0)) if len(n) else n)
 
-    total = sum((F.col(f"n{i}") for i in range(len(languages))), F.lit(0))
     ngrams = []
     # Pieces overlap by what the longest n-gram that starts in the first PIECE letters of one needs of the next.
     padded = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
@@ -149,8 +138,8 @@ def model_of(counts: DataFrame, languages: list[str]) -> Model:
         starts = F.sequence(F.lit(1), F.least(F.lit(PIECE), F.char_length("piece") - size + 1))
         grams = F.when(F.char_length("piece") >= size, F.transform(starts, lambda i: F.substring("piece", i, F.lit(size))))
         table = by_word.select(F.explode(overlapping).alias("piece"), *numbers).select(F.explode(grams).alias("gram"), *numbers).groupBy("gram").agg(F.count("*").alias("words"), *again).drop("words")
-        ngrams.append(scores(durable(table.withColumn("total", total), "gram-counts"), NGRAMS, pa.string()))
-    return Model(languages, scores(by_word, WORDS, pa.large_binary()), ngrams)
+        ngrams.append(scores(table, pa.string()))
+    return Model(languages, scores(by_word, pa.large_binary()), ngrams)
 
 
 def _predict(model: Model):
@@ -189,9 +178,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of `docs` whose language is determined with a score of at least `least`; a null lang is filled in."""
+    """The rows of `docs` whose language is determined with a score of at least `least`; a null lang is filled in.
+
+    Null texts, and texts without letters, go; so does every row if the model has no language. Rows are judged one by one, so
+    repeated rows stay or go alike, whatever their ids. All columns are carried along, whatever their names; lang may be missing.
+    """
     names = docs.columns
-    rows = docs.select(F.struct(*names).alias("row"), F.col("text").alias("text"))
-    scored = rows.mapInArrow(_predict(model), f"row {docs.select(F.struct(*names).alias('row')).schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    rows = docs.select(F.struct(*map(quoted, names)).alias("row"), "text")
+    scored = rows.mapInArrow(_predict(model), StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
     kept = scored.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return kept.select(*(F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"row.{c}") for c in names))
+    own = F.col("row").getField
+    return kept.select(*((F.coalesce(own(c), "lang_pred") if c == "lang" else own(c)).alias(c) for c in names))

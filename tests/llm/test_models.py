@@ -105,3 +105,10 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     rows = toxicity.score(odd_docs, toxicity.fit(odd_docs, labels)).collect()
     assert len(rows) == 12 and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.score(no_docs, toxicity.fit(no_docs, labels.limit(0))).count() == 0
+
+
+def test_column_names_of_any_form_are_carried(spark):
+    docs = spark.createDataFrame([(i, w, l) for i, (w, l) in enumerate([("haus maus", "de"), ("house mouse", "en")] * 20)], "doc_id long, text string, lang string")
+    odd = docs.selectExpr("*", "1 AS `my col`", "2 AS `a-b`", "3 AS `a.b`", "4 AS row")
+    kept = language_id.keep_identified(odd, language_id.fit(docs))
+    assert kept.columns == odd.columns and kept.count() == 40
