@@ -13,6 +13,9 @@ pivots, the key's smallest member and the one that meets most others over all ke
 from if it is there; then against a pivot of those not joined so far. What these tests have joined is not tested again. Only
 members of a key that are still in different components are compared with each other, by signature and then by set, in
 blocks of bounded size, and each pair only under the first key that it shares.
+
+Sets are held as 64-bit hashes of their shingles. Two different shingles of a tested pair have the same hash with a probability
+of about (shingles of both) ** 2 / 2 ** 64, some 1e-13 for texts of a thousand words; that is the error of a confirmed link.
 """
 
 from __future__ import annotations
@@ -32,10 +35,10 @@ from corpuskiln.llm.storage import durable
 from corpuskiln.llm.words import SPACED, lists, pieces, split_words
 
 CHUNKS, SYMBOLS, ERRORS = 16, 6, 1
-#: Pairs whose signatures differ in more symbols are not tested: of pairs at a similarity of 0.8, fewer than one in 10**8.
+#: The signature-distance threshold of the join, in symbols: of pairs at a similarity of exactly 0.8, fewer than one in 10**8 is farther apart.
 FARTHEST = 43
 #: Members of a key that are compared at once, and the largest sets that come along for that; larger ones are joined to the pairs.
-BLOCK, CARRIED = 3000, 1024
+BLOCK, CARRIED = 1500, 1024
 #: Ids up to this number are broadcast; more are joined.
 FEW_IDS = 1_000_000
 
@@ -126,9 +129,10 @@ def _sign(width: int):
                             docs.column(0),
                             pa.array([len(s) for s in sets], pa.int64()),
                             pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary()),
+                            docs.column(2),
                             pa.array([m.tobytes() if len(s) else None for s, m in zip(sets, marks, strict=True)], pa.binary()),
                         ],
-                        names=["doc_id", "n_shingles", "set_key", "signature"],
+                        names=["doc_id", "n_shingles", "set_key", "text_key", "signature"],
                     )
 
     return run
@@ -236,20 +240,13 @@ def components(nodes_pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("high").alias("node"), F.col("low").alias("component")).unionByName(edges.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct())
 
 
-def _among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is among the ids, which are broadcast only while they are few."""
+def _sets_of(texts: DataFrame, classes: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """rep and shingles of the classes among `ids`, made anew from the text that stands for each; they are broadcast only while they are few."""
+    wanted = classes.join(ids, "rep", "left_semi").select("rep", F.col("source.doc_id").alias("wanted"), F.col("source.text_key").alias("wanted_key"))
     few = ids.count() <= FEW_IDS
-    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
-
-
-def _confirm(pairs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """The pairs with 100 * |intersection| >= 80 * |union| over the full sets, which are made anew for the documents in pairs."""
-    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "tested")
-    sets = durable(_among(reps, ids, "rep").mapInArrow(_sets(width), "rep long, shingles array<long>").dropDuplicates(["rep"]), "sets")
-    left, right = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "ab")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    both = F.size("a_set") + F.size("b_set")
-    return pairs.join(left, "a").join(right, "b").filter(100 * common >= 80 * (both - common)).select("a", "b")
+    met = texts.join(F.broadcast(wanted) if few else wanted, texts["doc_id"] == wanted["wanted"]).filter(F.unhex(F.md5(F.coalesce("text", F.lit("")))) == F.col("wanted_key"))
+    # Rows that repeat an id and its text give the same set.
+    return durable(met.select("rep", "text").mapInArrow(_sets(width), "rep long, shingles array<long>").dropDuplicates(["rep"]), "sets")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,17 +254,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", tex
 
     Documents with a Jaccard similarity of 0.8 or more over shingles of `width` words are linked; component_id is the
     smallest doc_id reachable and kept marks that document's rows. Texts without words, and null texts, are linked with
-    nothing. Rows that share a doc_id are one document with several texts. Rows with a null doc_id are nobody's smallest:
-    they take the component of an equal set, are never kept beside it, and stand alone (component null, kept) otherwise.
+    nothing. Rows that share a doc_id are one document with several texts, so whatever any of them is linked with is one
+    component. Rows with a null doc_id are nobody's smallest: they take the component of an equal set, are never kept beside
+    it, and stand alone (component null, kept) otherwise. Other columns are ignored; an empty table gives no rows.
     """
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = durable(texts.mapInArrow(_sign(width), "doc_id long, n_shingles long, set_key binary, signature binary"), "signatures")
-    classes = durable(
-        signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")),
-        "classes",
-    )
+    text_key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    signed = durable(texts.withColumn("text_key", text_key).mapInArrow(_sign(width), "doc_id long, n_shingles long, set_key binary, text_key binary, signature binary"), "signatures")
+    # Classes of equal sets have numbers of their own; an id may have several.
+    equal = signed.filter("set_key is not null and doc_id is not null").groupBy("set_key")
+    equal = equal.agg(F.min(F.struct("doc_id", "text_key")).alias("source"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
+    classes = durable(equal.withColumn("rep", F.monotonically_increasing_id()), "classes")
     marks = classes.select("rep", "signature")
-    reps = texts.withColumnRenamed("doc_id", "rep")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs with 100 * |intersection| >= 80 * |union| over the full sets."""
+        ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "tested")
+        sets = _sets_of(texts, classes, ids, width)
+        left, right = (sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "ab")
+        common = F.size(F.array_intersect("a_set", "b_set"))
+        both = F.size("a_set") + F.size("b_set")
+        return pairs.join(left, "a").join(right, "b").filter(100 * common >= 80 * (both - common)).select("a", "b")
+
     index = marks.mapInArrow(_index, "rep long, key long, place short")
     met = durable(index.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("members")).filter("members > 1"), "keys")
     shared = met.filter("members > 2").select("key", "hub", "members")
@@ -293,9 +301,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", tex
     first = durable(near(to_hub.unionByName(to_pivot)), "near")
     weighed = first.join(weights.withColumnRenamed("rep", "a"), "a", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
     best = weighed.groupBy("b").agg(F.max(F.struct("weight", "a"))["a"].alias("a")).select("a", "b")
-    links = durable(_confirm(best, reps, width), "linked")
+    links = durable(confirmed(best), "linked")
     so_far = durable(components(links), "components")
-    links = durable(links.unionByName(_confirm(apart(first, so_far), reps, width)), "linked")
+    links = durable(links.unionByName(confirmed(apart(first, so_far))), "linked")
     so_far = durable(components(links), "components")
 
     # What each key's central component has not taken in meets a pivot of its own.
@@ -305,14 +313,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", tex
     outside = inside.join(tops, "key").filter("component <> top")
     pivots = outside.groupBy("key").agg(F.max(weighty).alias("p")).select("key", F.col("p.rep").alias("a"), F.col("p.component").alias("ca"))
     second = inside.join(pivots, "key").filter("component <> ca").select("a", F.col("rep").alias("b"))
-    links = durable(links.unionByName(_confirm(durable(near(second), "near"), reps, width)), "linked")
+    links = durable(links.unionByName(confirmed(durable(near(second), "near"))), "linked")
     so_far = durable(components(links), "components")
 
     inside = placed(members.select("key", "place", "rep"), so_far, "rep", "component")
     split = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low <> high").select("key", "members")
     rest = durable(inside.join(split, "key"), "apart")
     ids = durable(rest.select("rep").distinct().join(classes.filter(F.col("n_shingles") <= CARRIED).select("rep"), "rep"), "carried")
-    sets = durable(_among(reps, ids, "rep").mapInArrow(_sets(width), "rep long, shingles array<long>").dropDuplicates(["rep"]), "sets")
+    sets = _sets_of(texts, classes, ids, width)
     rest = rest.join(classes.select("rep", "signature", "n_shingles").join(sets, "rep", "left"), "rep")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
@@ -330,11 +338,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", tex
         "shingles",
     )
     across = durable(dealt.groupBy("key", "i", "j").applyInPandas(_blocks, "a long, b long, proven boolean"), "across")
-    links = links.unionByName(across.filter("proven").select("a", "b")).unionByName(_confirm(across.filter("not proven").select("a", "b"), reps, width))
-    found = components(links)
-
-    by_set = classes.select("set_key", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    by_set = by_set.select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    links = links.unionByName(across.filter("proven").select("a", "b")).unionByName(confirmed(across.filter("not proven").select("a", "b")))
+    several = signed.filter("set_key is not null and doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("least"), F.max("set_key").alias("most")).filter("least <> most")
+    several = durable(several.select("doc_id"), "several")
+    own = signed.join(several, "doc_id").join(classes.select("set_key", "rep"), "set_key").select("doc_id", "rep").distinct()
+    same = own.join(own.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b"))
+    found = durable(components(links.unionByName(same)), "components")
+
+    # The least id of each component, or of the class where nothing is linked.
+    by_class = classes.select("set_key", "rep", F.col("source.doc_id").alias("least")).join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    least = by_class.filter("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
+    by_set = by_class.join(least, "component", "left").select("set_key", F.coalesce("component_id", "least").alias("component_id"))
     placed = signed.join(by_set, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return placed.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -95,3 +95,11 @@ def test_shared_key_for_every_distance_within_the_radius():
         b[i, at] ^= 1
     shared = (near_duplicates.keys(a) == near_duplicates.keys(b)).any(1)
     assert shared.all()
+
+
+def test_repeated_ids_with_different_texts_lose_no_link(spark):
+    a, b = ([f"{c}{i}" for i in range(40)] for c in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "x"])), (3, " ".join([*b, "y"])), (3, "alone here with words"), (4, "alone here with words"), (5, "others"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' AS `text key`", "1 AS `a.b`")
+    assert sorted(map(tuple, near_duplicates.near_duplicates(df, 2).collect())) == brute(rows, 2)
+    assert {r.doc_id for r in near_duplicates.drop_near_duplicates(df, 2).collect()} == {1, 5}
