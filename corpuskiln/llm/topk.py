@@ -1,16 +1,18 @@
 """Exact top-k inner products over an impact-ordered index.
 
-Vectors are integers and lie in blocks. A block's index holds posting segments: for each impact level (the bit length of a
-component's absolute value) and each dimension, the vectors whose component there has that level, with the component. A
-search takes a block's segments by descending impact, score at a time, adding query weight times component to accumulators.
-After a level, what is still missing from a candidate's score is at most the norm of the query times the norm of the
-candidate's components below that level (Cauchy-Schwarz); levels are skipped only when the candidates that could still be
-among the query's best k are few, and those are scored exactly from the stored vectors.
+Vectors are integers and lie in blocks. A block's index holds posting segments by descending impact level (the bit length of a
+component's absolute value): the postings of all components of that level, by vector. With each segment goes what is left
+below it: the norm of every vector's components of lower levels. A search takes a block's segments by descending impact,
+score at a time, adding query weight times component to accumulators. After a level, what is still missing from a candidate's
+score is at most the norm of the query times that remaining norm (Cauchy-Schwarz). A query stops only when the candidates that
+could still be among its best k are few; these alone are scored exactly from the stored vectors. Segments of the levels after
+the last query's stop are not decoded.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,9 +23,11 @@ from pyspark.sql import functions as F
 from corpuskiln.llm.storage import durable
 
 #: Vectors in a block of the index, and queries that are sought together.
-BLOCK, QUERIES_AT_ONCE = 4096, 1024
+BLOCK, QUERIES_AT_ONCE = 8192, 1024
 #: The share of a block that may be left to exact scoring.
 RESCORED = 1 / 64
+#: Exact scores travel as high * 2**62 + low, and are held at this bound.
+LOW_BITS, LARGEST = 62, 2**124
 
 
 def quantised(vectors: DataFrame, scale: int, vec_id: str, embedding: str) -> DataFrame:
@@ -33,7 +37,9 @@ def quantised(vectors: DataFrame, scale: int, vec_id: str, embedding: str) -> Da
     return rows.filter(F.col("x").isNotNull() & F.col("vec_id").isNotNull() & sound).select("vec_id", F.transform("x", lambda x: F.floor(x * scale)).alias("v"))
 
 
-INDEX_SCHEMA = "block int, level int, ids array<long>, dims array<int>, rows array<int>, values array<long>"
+INDEX_SCHEMA = "block int, level int, width int, ids array<long>, rows array<long>, starts array<int>, dims array<int>, values array<long>, below array<double>"
+#: The level of the row that holds a block's vectors whole.
+WHOLE = 99
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -46,59 +52,73 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 
 def _index_block(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("vec_id")
+    rows = rows.sort_values(["vec_id", "row"])
     block, v = int(rows.block.iloc[0]), _matrix(rows.v)
-    levels = np.frexp(np.abs(v).astype(float))[1]
-    out = []
-    for level in range(int(levels.max(initial=0)), -1, -1):
-        dims, at = np.nonzero((levels == level).T & (v != 0).T)
-        if len(dims):
-            out.append((block, level, [], dims, at, v[at, dims]))
-    return pd.DataFrame([(block, 99, rows.vec_id.to_numpy(), [v.shape[1]], [], []), *out], columns=["block", "level", "ids", "dims", "rows", "values"])
+    # The absolute values are taken as floats: that of the least long has no long.
+    sizes = np.abs(v.astype(float))
+    levels = np.where(v != 0, np.frexp(sizes)[1], -1)
+    empty = np.zeros(0, np.int64)
+    out = [(block, WHOLE, v.shape[1], rows.vec_id.to_numpy(), rows.row.to_numpy(), empty, empty, v.ravel(), np.sqrt((sizes**2).sum(1)))]
+    for level in np.unique(levels[levels >= 0])[::-1]:
+        at, dims = np.nonzero(levels == level)
+        starts = np.searchsorted(at, np.arange(len(v) + 1))
+        below = np.sqrt(np.where(levels < level, sizes**2, 0).sum(1))
+        out.append((block, int(level), v.shape[1], empty, empty, starts, dims, v[at, dims], below))
+    return pd.DataFrame(out, columns=["block", "level", "width", "ids", "rows", "starts", "dims", "values", "below"])
 
 
 def build_index(vectors: DataFrame, blocks: int) -> DataFrame:
-    """The posting segments of the vectors (vec_id, v), written to the shared folder: a row for each block and level.
-
-    The row of level 99 has the block's ids and width; the other rows list postings by dimension, then vector.
-    """
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    """The posting segments of the vectors (row, vec_id, v), written to the shared folder: a row for each block and level, and one with the block's vectors whole."""
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
     return durable(dealt.groupBy("block").applyInPandas(_index_block, INDEX_SCHEMA), "impacts")
 
 
-def best(segments: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarray, width: int, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, vec id, score) of each query's k best in one block, ties to the smaller id, the query's own id left out."""
-    n, wide = len(ids), max(width, queries.shape[1])
-    exact = np.zeros((n, wide))
-    for _, dims, rows, values in segments:
-        exact[rows, dims] = values
-    weights = np.zeros((len(queries), wide))
-    weights[:, : queries.shape[1]] = queries
-    norms = np.sqrt((weights**2).sum(1)) * (1 + 1e-12)
-    missing = (exact**2).sum(1)
-    own = query_ids[:, None] == ids[None, :]
-    scores = np.zeros((len(queries), n))
+def exact_scores(vectors: np.ndarray, query: np.ndarray) -> list[int]:
+    """Inner products of integer vectors with an integer query, exact whatever their size."""
+    bound = float(np.abs(vectors.astype(float)).max(initial=0)) * float(np.abs(query.astype(float)).sum())
+    if bound < 2**62:
+        return (vectors @ query).tolist()
+    return (vectors.astype(object) @ query.astype(object)).tolist()
+
+
+def best(whole: pd.Series, segments: Iterator[pd.Series], query_rows: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(query row, vec id, score) of each query's k best in one block, ties to the smaller id, the query's own row left out.
+
+    A segment is taken from `segments` only while a query is open.
+    """
+    ids, rows, n, width = np.asarray(whole.ids), np.asarray(whole["rows"]), len(whole.ids), int(whole.width)
+    stored = np.asarray(whole["values"], np.int64).reshape(n, width)
+    # A component beyond either width meets zeros.
+    shared = min(width, queries.shape[1])
+    weights = np.zeros((len(queries), width))
+    weights[:, :shared] = queries[:, :shared]
+    norms = np.sqrt((queries.astype(float) ** 2).sum(1))
+    full = np.asarray(whole.below, float)
+    # Sums of floats are off by so much at most.
+    rounding = (width + 8) * 2.0**-52
+    own = query_rows[:, None] == rows[None, :]
+    scores, below = np.zeros((len(queries), n)), full
     open_, out = np.arange(len(queries)), []
-    for at in range(len(segments) + 1):
-        if at:
-            _, dims, rows, values = segments[at - 1]
-            level = np.zeros((n, wide))
-            level[rows, dims] = values
-            scores[open_] += weights[open_] @ level.T
-            missing = missing - (level**2).sum(1)
-        slack = norms[open_, None] * np.sqrt(np.maximum(missing, 0))[None, :]
+    while len(open_):
+        slack = norms[open_, None] * (below * (1 + 1e-12) + full * rounding)[None, :]
         low = np.where(own[open_], -np.inf, scores[open_] - slack)
         kth = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
         able = (scores[open_] + slack >= kth[:, None]) & ~own[open_]
-        done = (able.sum(1) <= max(4 * k, RESCORED * n)) | (at == len(segments))
+        last = not below.any()
+        done = (able.sum(1) <= max(4 * k, RESCORED * n)) | last
         for i in np.flatnonzero(done):
             members = np.flatnonzero(able[i])
-            totals = exact[members] @ weights[open_[i]]
-            order = np.lexsort((ids[members], -totals))[:k]
-            out += [(int(query_ids[open_[i]]), int(ids[members[j]]), int(totals[j])) for j in order]
+            totals = exact_scores(stored[members, :shared], queries[open_[i], :shared])
+            found = sorted(zip(totals, ids[members].tolist(), strict=True), key=lambda x: (-x[0], x[1]))[:k]
+            out += [(int(query_rows[open_[i]]), vec, total) for total, vec in found]
         open_ = open_[~done]
-        if not len(open_):
-            break
+        if len(open_):
+            segment = next(segments)
+            starts, dims = np.asarray(segment.starts), np.asarray(segment.dims)
+            level = np.zeros((n, width))
+            level[np.repeat(np.arange(n), np.diff(starts)), dims] = np.asarray(segment["values"], float)
+            scores[open_] += weights[open_] @ level.T
+            below = np.asarray(segment.below, float)
     return out
 
 
@@ -106,14 +126,22 @@ def _search(k: int):
     def run(key: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(index) and len(queries):
-            head = index[index.level == 99].iloc[0]
-            held = index[index.level < 99].sort_values("level", ascending=False)
-            segments = [(r.level, np.asarray(r.dims), np.asarray(r["rows"]), np.asarray(r["values"], float)) for _, r in held.iterrows()]
-            weights = _matrix(queries.v).astype(float)
-            ids = np.asarray(head.ids)
+            index = index.sort_values("level", ascending=False, kind="stable")
+            whole, held = index.iloc[0], index.iloc[1:]
+            weights, rows = _matrix(queries.v), queries.row.to_numpy()
             for at in range(0, len(weights), 128):
-                found += best(segments, ids, int(head.dims[0]), queries.vec_id.to_numpy()[at : at + 128], weights[at : at + 128], k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+                segments = (held.iloc[i] for i in range(len(held)))
+                found += best(whole, segments, rows[at : at + 128], weights[at : at + 128], k)
+        scores = [max(-LARGEST, min(s, LARGEST)) for _, _, s in found]
+        return pd.DataFrame(
+            {
+                "query": [q for q, _, _ in found],
+                "vec_id": [v for _, v, _ in found],
+                "high": [s >> LOW_BITS for s in scores],
+                "low": [s & (2**LOW_BITS - 1) for s in scores],
+            },
+            dtype=np.int64,
+        )
 
     return run
 
@@ -121,18 +149,23 @@ def _search(k: int):
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k best of all other vectors for each vector whose id is divisible by `every`.
 
-    Components become floor(scale * x), x as double; the score is their integer inner product (exact below 2**53); ties go to the smaller vec_id. Vectors or
-    ids that are null, and vectors with null or non-finite components, take no part; shorter vectors end in zeros; rows that
-    repeat a vec_id are candidates of their own, and none of them is a candidate of a query with that id, which asks once.
+    Components become floor(scale * x), x as double, held at the ends of a long; the score is their integer inner product and is
+    compared exactly up to 2**124; where it is beyond a long the score returned is the end of the long. Ties go to the
+    smaller vec_id. Vectors or ids that are null, and vectors with null or non-finite components, take no part; shorter vectors
+    end in zeros. Rows that repeat a vec_id are queries and candidates of their own: each leaves out only itself. Other columns
+    are ignored; an empty table gives no rows.
     Blocks of queries meet blocks of the index; each such meeting is a task's work, and hands on k rows for each query.
     """
-    sound = durable(quantised(vectors, scale, vec_id, embedding), "vectors")
+    sound = durable(quantised(vectors, scale, vec_id, embedding).withColumn("row", F.monotonically_increasing_id()), "vectors")
     n = sound.count()
-    asked = durable(sound.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), "queries")
+    asked = sound.filter(F.col("vec_id") % every == 0)
     blocks = max(1, math.ceil(n / BLOCK))
     rounds = max(1, math.ceil(asked.count() / QUERIES_AT_ONCE))
     index = build_index(sound, blocks).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    queries = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(rounds)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = index.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    queries = asked.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(rounds)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = index.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInPandas(_search(k), "query long, vec_id long, high long, low long")
+    order = W.partitionBy("query").orderBy(F.col("high").desc(), F.col("low").desc(), "vec_id")
+    first = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    score = F.when(F.col("high") > 1, F.lit(2**63 - 1)).when(F.col("high") < -2, F.lit(-(2**63))).otherwise(F.shiftleft("high", LOW_BITS).bitwiseOR(F.col("low")))
+    named = first.join(asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id")), "query")
+    return named.select("query_id", "rank", "vec_id", score.alias("score"))
