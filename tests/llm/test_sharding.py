@@ -62,3 +62,40 @@ def test_slots_over_several_chunks(spark):
     out = sharding.with_slots(rows, ["id"], share=20).collect()
     for s in range(3):
         assert sorted(r.slot for r in out if r.shard == s) == list(range(len([r for r in out if r.shard == s])))
+
+
+def test_runs_pack_as_single_items_do():
+    rng = random.Random(2)
+    for _ in range(200):
+        sizes = sorted((rng.choice([1, 2, 3, 5, 8, 60]) for _ in range(rng.randint(0, 300))), reverse=True)
+        assert sharding.best_fit_decreasing(sizes, 64) == plain_best_fit(sizes, 64)
+
+
+def test_rows_lie_where_a_plain_packing_of_all_groups_puts_them(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 7)
+    monkeypatch.setattr(sharding, "MANY", 5)
+    rng = random.Random(3)
+    texts = [f"{i % 90:03d}" + "x" * rng.choice([0, 5, 5, 5, 40, 300]) for i in range(400)] + ["same"] * 30 + [None] * 9
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS `a.b`", "2 AS `my col`", "3 AS bytes")
+    rows = sharding.shard(docs, 6).collect()
+    groups = defaultdict(int)
+    for t in texts:
+        groups[t] += len(t or "") + 16
+    sizes = sorted(groups.values(), reverse=True)
+    loads, by_text = defaultdict(list), {}
+    for r in rows:
+        assert by_text.setdefault(texts[r.doc_id], r.shard) == r.shard
+    for t, shard in by_text.items():
+        loads[shard].append(groups[t])
+    runs = [(s, sizes.count(s)) for s in sorted(set(sizes), reverse=True)]
+    expected, left = defaultdict(list), [s for s, n in runs for _ in range(n)]
+    for own in sharding.pack_evenly(runs, 6):
+        for shard, n in own:
+            expected[shard] += [left.pop(0) for _ in range(n)]
+    assert {k: sorted(v) for k, v in loads.items()} == {k: sorted(v) for k, v in expected.items()}
+    capacity = 900
+    fixed = sharding.shard(docs, capacity=capacity).groupBy("shard").sum("size").collect()
+    used = defaultdict(int)
+    for s, b in zip(sizes, plain_best_fit(sizes, capacity), strict=True):
+        used[b] += s
+    assert sorted(r[1] for r in fixed) == sorted(used.values())
