@@ -22,17 +22,26 @@ FEW = 200_000
 LEAST_REVISIT = 1000
 
 
+def percent_encoded(url: Column) -> Column:
+    """A url whose characters other than visible ASCII ones are percent-encoded as UTF-8."""
+
+    def encoded(c: Column) -> Column:
+        return F.when(c.rlike("^[\\x21-\\x7e]$"), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1"))
+
+    return F.when(url.rlike("[^\\x21-\\x7e]"), F.array_join(F.transform(F.split(url, ""), encoded), "")).otherwise(url)
+
+
 def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """One WARC record, as a string, for each row of `pages`.
 
     The payload is the html in UTF-8; null is empty. Of the rows with equal payloads of LEAST_REVISIT bytes or more, that with
     the largest page_id is a response and the others are revisits of it; rows that repeat that page_id are responses too, and
     so is every smaller payload. A null page_id is smaller than any other and is written as an empty id. Control characters,
-    spaces and non-ASCII characters of a url are percent-encoded or dropped, so that a header never holds a line break.
+    spaces and non-ASCII characters of a url are percent-encoded as UTF-8, so that a header never holds a line break.
     """
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"),
-        F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "[^\\x21-\\x7e]", "").alias("url"),
+        percent_encoded(F.coalesce(F.col(url), F.lit(""))).alias("url"),
         F.coalesce(F.col(html), F.lit("")).alias("html"),
     ).withColumn("digest", F.sha1("html"))
     large = F.octet_length("html") >= LEAST_REVISIT
@@ -71,10 +80,11 @@ def write(pages: DataFrame, path: str, **columns: str) -> None:
 def stretches(spark: SparkSession, path: str) -> DataFrame:
     """file, start (of the task's part of the file), n and text of every stretch that follows a magic line, in the order of n.
 
-    n depends only on the files and on how they are split among tasks, so it is the same each time this DataFrame is run.
+    How files are split among tasks, and so n, may change from one scan to the next; so the stretches are written once.
     """
     raw = spark.read.option("lineSep", MAGIC).text(path)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("text"))
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("text"))
+    return durable(rows, "stretches", "zstd")
 
 
 def _head() -> Column:
@@ -95,7 +105,7 @@ def candidates(raw: DataFrame) -> DataFrame:
     """
     width = len(MAGIC)
     sizes = raw.select("file", "start", "n", (F.octet_length("text") + width).alias("bytes"), (F.octet_length(_head()) + len(END) + _length()).alias("headed"))
-    sizes = durable(sizes, "stretches")
+    sizes = durable(sizes, "sizes")
     before = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
     parts = sizes.groupBy("file", "start").agg(F.sum("bytes").alias("bytes")).select("file", "start", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("before"))
     within = W.partitionBy("file", "start").orderBy("n").rowsBetween(W.unboundedPreceding, -1)

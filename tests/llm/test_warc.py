@@ -52,3 +52,32 @@ def test_files_cut_into_small_splits(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
     assert found == {f"<urn:page:{i}>": h for i, h in enumerate(htmls)}
+
+
+def test_splits_that_change_between_scans_change_nothing(spark):
+    htmls = [FAKE * (i % 3) + "z" * (i * 211) for i in range(60)]
+    df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(htmls)], "page_id long, url string, html string").coalesce(2)
+    path = new_path(spark, "warc-test")
+    warc.write(df, path)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    raw = warc.stretches(spark, path)
+    first = sorted(map(tuple, raw.collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        assert sorted(map(tuple, raw.collect())) == first
+        records = warc.read(spark, path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+        found = {r.record_id: bytes(r.payload).decode() for r in records.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert found == {f"<urn:page:{i}>": h for i, h in enumerate(htmls)}
+
+
+def test_urls_are_encoded_and_very_long_payloads_kept(spark):
+    long = "WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 40_000
+    df = spark.createDataFrame([(1, "http://h/é?x=ü 한\n\U0001f600", long), (2, None, "x"), (3, "http://h/a%20b", "y")], "page_id long, url string, html string").selectExpr("*", "1 AS `a.b`", "2 AS `my col`")
+    path = new_path(spark, "warc-test")
+    warc.write(df, path)
+    found = {r.record_id: (r.uri, bytes(r.payload).decode()) for r in warc.read(spark, path).collect()}
+    assert found["<urn:page:1>"] == ("http://h/%C3%A9?x=%C3%BC%20%ED%95%9C%0A%F0%9F%98%80", long)
+    assert found["<urn:page:2>"] == ("", "x") and found["<urn:page:3>"] == ("http://h/a%20b", "y")
