@@ -1,6 +1,7 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: fixed and learned lexicons, learned word beginnings, densities and patterns. Each says toxic, not
+Many voters look at a text: fixed lexicons of insults in four languages, fixed patterns (someone addressed with an insult,
+dismissals, threats, masked swearing, shouting), learned words, learned word beginnings and densities. Each says toxic, not
 toxic or nothing. A generative label model estimates, without looking at single labels, how often each voter is right and
 how voters go together, and gives every training text a posterior label. A linear classifier is trained on those
 posteriors; its scores are finally set against the training labels so that they can be read as probabilities.
@@ -21,13 +22,27 @@ from corpuskiln.llm.pretokens import letter_words
 from corpuskiln.llm.storage import durable
 from corpuskiln.llm.words import pieces
 
-#: Bounds: labelled texts that are learned from, and terms of the learned lexicons.
-TRAINING_DOCS, TERMS = 20_000, 4096
+#: The bound: labelled texts that are learned from; all their terms that pass the tests below are kept.
+TRAINING_DOCS = 20_000
 #: A term's likelihood ratio statistic must be this high, which chance hardly reaches among a million terms, and so many toxic texts must hold it.
 LEAST_G, LEAST_DOCS = 25.0, 4
 PREFIXES = (3, 4, 5, 6, 7, 8)
-INSULTS = frozenset("idiot idiots moron morons stupid scum loser losers trash pathetic worthless disgusting clown clowns dumb fool jerk creep filth vermin".split())
-ADDRESS = re.compile(r"(?i)\b(?:you|du|tu|vous|usted)\b(?:\W+\w+){0,3}?\W+(\w+)")
+#: Insults by language; they come from no labels.
+LEXICONS = {
+    "en": "idiot idiots moron morons stupid scum loser losers trash pathetic worthless disgusting clown clowns dumb fool fools jerk jerks creep creeps filth filthy vermin coward cowards liar liars imbecile cretin bastard bastards asshole bitch shit crap fuck fucking",
+    "de": "idiot idioten trottel dummkopf dumm blöd blöde abschaum versager dreck dreckig arschloch wichser schwein schweine penner depp deppen widerlich wertlos erbärmlich lügner scheiße scheiss verpiss",
+    "fr": "idiot idiote idiots imbécile imbéciles crétin crétins stupide ordure ordures minable pathétique débile débiles abruti abrutis salaud connard conne connasse merde putain dégueulasse nul menteur",
+    "es": "idiota idiotas imbécil imbéciles estúpido estúpida basura escoria patético patética inútil asqueroso asquerosa tonto tonta payaso payasos cabrón mierda puta maldito mentiroso",
+}
+INSULTS = frozenset(w for words in LEXICONS.values() for w in words.split())
+#: Patterns by name; they come from no labels either.
+PATTERNS = {
+    "dismissal": re.compile(r"(?i)\b(?:shut up|get lost|go away|nobody (?:likes|wants) you|halt(?: die)? (?:klappe|maul|fresse)|hau ab|ferme[- ]la|casse[- ]toi|ta gueule|cállate|lárgate|vete al infierno)\b"),
+    "threat": re.compile(r"(?i)\b(?:(?:i|we)(?:'ll| will| am going to| are going to) (?:kill|hurt|find|destroy) you|ich (?:bringe dich um|mach dich fertig)|je vais te (?:tuer|trouver)|te voy a (?:matar|encontrar)|drop dead|kill yourself)\b"),
+    "masked": re.compile(r"\b[A-Za-z][*#@$]{2,}[A-Za-z]?\b|[@#$%&*!]{4,}"),
+    "shouting": re.compile(r"(?:\b[^\W\d_a-z]{3,}\b[ ,]+){3}|!{3,}"),
+}
+ADDRESS = re.compile(r"(?i)\b(?:you|your|du|ihr|dein|tu|vous|usted|eres)\b(?:\W+\w+){0,3}?\W+(\w+)")
 
 
 def learned_from(doc_id: Column, folds: int = 3) -> Column:
@@ -64,12 +79,13 @@ class Lexicon:
 
 @dataclass
 class Looks:
-    """What voters and classifier see of a text: learned terms and their counts, fixed insults, insults that address someone, words."""
+    """What voters and classifier see of a text: learned terms and their counts, insults of each lexicon, insults that address someone, matches of each pattern, words."""
 
     places: np.ndarray
     counts: np.ndarray
-    insults: int
+    insults: np.ndarray
     addressed: int
+    matches: np.ndarray
     words: int
 
 
@@ -78,11 +94,13 @@ def look(texts: pa.Array, lexicon: Lexicon) -> Iterator[Looks]:
     words = letter_words(texts)
     vocabulary = [w.decode() for w in words.vocabulary.to_pylist()]
     held: dict[int, list[int]] = {}
-    fixed = np.zeros(len(vocabulary), bool)
+    lexicons = [frozenset(words.split()) for words in LEXICONS.values()]
+    fixed = np.zeros((len(vocabulary), len(lexicons)), bool)
     for i, w in enumerate(vocabulary):
         if mine := [lexicon.terms[t] for t in terms_of(w) if t in lexicon.terms]:
             held[i] = mine
-        fixed[i] = w in INSULTS
+        if w in INSULTS:
+            fixed[i] = [w in words for words in lexicons]
     hot = np.zeros(len(vocabulary), bool)
     hot[list(held)] = True
     for d, (a, b) in enumerate(zip(words.offsets[:-1], words.offsets[1:], strict=True)):
@@ -91,14 +109,27 @@ def look(texts: pa.Array, lexicon: Lexicon) -> Iterator[Looks]:
         for c in own[hot[own]]:
             for p in held[int(c)]:
                 counts[p] = counts.get(p, 0) + 1
-        insults, addressed = int(fixed[own].sum()), 0
-        if insults:
-            addressed = sum(m[1].lower() in INSULTS for m in ADDRESS.finditer(texts[d].as_py()))
-        yield Looks(np.array(list(counts), np.int64), np.array(list(counts.values()), float), insults, addressed, len(own))
-
-
-#: Names of the voters, in the order of `votes`.
-VOTERS = ("insults", "many insults", "addressed", "strong words", "many strong words", "beginnings", "many beginnings", "dense", "odds", "no odds", "no terms", "long and sparse")
+        text = texts[d].as_py() or ""
+        insults = fixed[own].sum(0)
+        addressed = sum(m[1].lower() in INSULTS for m in ADDRESS.finditer(text)) if insults.any() else 0
+        matches = np.array([sum(1 for _ in p.finditer(text)) for p in PATTERNS.values()])
+        yield Looks(np.array(list(counts), np.int64), np.array(list(counts.values()), float), insults, addressed, matches, len(own))
+
+
+#: Names of the voters, in the order of `votes`. The first lot comes from no labels.
+VOTERS = (
+    *(f"insults {c}" for c in LEXICONS),
+    "many insults",
+    "addressed",
+    *PATTERNS,
+    "no insults",
+    "strong words",
+    "many strong words",
+    "beginnings",
+    "dense",
+    "no terms",
+    "long and sparse",
+)
 
 
 def votes(x: Looks, lexicon: Lexicon) -> list[int]:
@@ -106,18 +137,17 @@ def votes(x: Looks, lexicon: Lexicon) -> list[int]:
     odds = lexicon.odds[x.places]
     whole = ~lexicon.beginning[x.places] if len(x.places) else np.zeros(0, bool)
     strong, starts = int((odds[whole] > 2).sum()), int((odds[~whole] > 2).sum())
-    total, share = float(odds.sum()), x.counts.sum() / max(x.words, 1)
+    share, insults = x.counts.sum() / max(x.words, 1), int(x.insults.max(initial=0))
     return [
-        int(x.insults > 0),
-        int(x.insults > 2),
+        *(int(n > 0) for n in x.insults),
+        int(insults > 2),
         int(x.addressed > 0),
+        *(int(n > 0) for n in x.matches),
+        -int(not insults and not x.matches.any()),
         int(strong > 0),
         int(strong > 2),
-        int(starts > 0),
         int(starts > 3),
         int(share > 0.02),
-        int(total > 8),
-        -int(total < 4),
         -int(not len(x.places)),
         -int(x.words > 500 and share < 0.001),
     ]
@@ -153,14 +183,14 @@ def label_model(table: np.ndarray, rate: float, rounds: int = 100) -> np.ndarray
 
 
 #: Features of a text besides its learned terms.
-SUMS = 7
+SUMS = 8 + len(PATTERNS)
 
 
 def features(x: Looks, beginning: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and values of a text's features: its learned terms, then the sums over beginnings and over whole words."""
     size = len(beginning)
     values = np.log1p(x.counts)
-    sums = [np.log1p(x.insults)]
+    sums = [np.log1p(x.insults.max(initial=0)), np.log1p(x.addressed), *np.log1p(x.matches)]
     for kind in (beginning[x.places], ~beginning[x.places]):
         held = x.counts[kind]
         sums += [np.log1p(held.sum()), np.log1p(len(held)), min(1.0, 20 * held.sum() / max(x.words, 1))]
@@ -203,9 +233,10 @@ def _looks(lexicon: Lexicon):
                         docs.column(1),
                         pa.array([x.places.tolist() for x in found], pa.list_(pa.int64())),
                         pa.array([x.counts.tolist() for x in found], pa.list_(pa.float64())),
-                        *(pa.array([getattr(x, c) for x in found], pa.int64()) for c in ("insults", "addressed", "words")),
+                        *(pa.array([getattr(x, c).tolist() for x in found], pa.list_(pa.int64())) for c in ("insults", "matches")),
+                        *(pa.array([getattr(x, c) for x in found], pa.int64()) for c in ("addressed", "words")),
                     ],
-                    names=["toxic", "places", "counts", "insults", "addressed", "words"],
+                    names=["toxic", "places", "counts", "insults", "matches", "addressed", "words"],
                 )
 
     return run
@@ -228,10 +259,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     share = F.col("toxic") / held
     ratio = 2 * (F.col("toxic") * F.log(share / base) + F.when(share < 1, F.col("other") * F.log((1 - share) / (1 - base))).otherwise(0.0))
     told = (F.col("toxic") >= LEAST_DOCS) & (F.col("odds") > 1.5) & (F.col("g") >= LEAST_G)
-    best = counted.withColumns({"odds": odds, "g": ratio}).filter(told).orderBy(F.col("g").desc(), "term").limit(TERMS).collect() if 0 < toxic < rows else []
+    best = counted.withColumns({"odds": odds, "g": ratio}).filter(told).orderBy(F.col("g").desc(), "term").collect() if 0 < toxic < rows else []
     lexicon = Lexicon({r.term: i for i, r in enumerate(best)}, np.array([r.odds for r in best]), np.array([r.term.endswith("*") for r in best], bool))
-    seen = sample.mapInArrow(_looks(lexicon), "toxic int, places array<long>, counts array<double>, insults long, addressed long, words long").toArrow()
-    looks = [Looks(np.array(r["places"], np.int64), np.array(r["counts"], float), r["insults"], r["addressed"], r["words"]) for r in seen.to_pylist()]
+    seen = sample.mapInArrow(_looks(lexicon), "toxic int, places array<long>, counts array<double>, insults array<long>, matches array<long>, addressed long, words long").toArrow()
+    looks = [Looks(*(np.array(r[c], kind) for c, kind in (("places", np.int64), ("counts", float), ("insults", np.int64))), r["addressed"], np.array(r["matches"], np.int64), r["words"]) for r in seen.to_pylist()]
     size = len(best)
     lexicon.weights, lexicon.bias = np.zeros(size + SUMS), -2.0
     if looks and 0 < toxic < rows:
