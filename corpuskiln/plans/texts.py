@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuskiln.functions import text as T
-from corpuskiln.functions.masking import MASKS, mask_pii, mask_sql
+from corpuskiln.functions.masking import MASKS, mask_pii
 from corpuskiln.operators import checks, lexicons, lines
+from corpuskiln.plans.sft import _EMAIL, _PHONE, _RESIDENT, mask_sql
 from corpuskiln.sources.logs import blob_key, blobs
 from corpuskiln.sources.tables import table
 
@@ -188,7 +189,7 @@ _NORMAL = f"""CASE WHEN u = '' THEN '' ELSE (CASE WHEN {_URL.format(1)} = '' THE
 ORACLES = {
     "pii_mask_documents": f"SELECT doc_id, {mask_sql('text')} AS masked FROM documents",
     "pii_candidate_counts": " UNION ALL ".join(
-        f"SELECT '{t}' AS kind, cast(sum(CASE WHEN {_n(p)} > 0 THEN 1 ELSE 0 END) AS bigint) AS n_docs, cast(coalesce(sum({_n(p)}), 0) AS bigint) AS n_matches FROM documents" for p, t in MASKS
+        f"SELECT '{t}' AS kind, cast(sum(CASE WHEN {_n(p)} > 0 THEN 1 ELSE 0 END) AS bigint) AS n_docs, cast(coalesce(sum({_n(p)}), 0) AS bigint) AS n_matches FROM documents" for p, t in ((_EMAIL, '[이메일]'), (_RESIDENT, '[주민번호]'), (_PHONE, '[전화]'))
     ),
     "secret_scan_findings": " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule FROM documents WHERE regexp_matches(text, '{p}')" for r, p in T.SECRETS.items()),
     "content_blobs": "SELECT DISTINCT sha1(text)[1:16] AS digest, length(text) AS n_chars FROM documents WHERE text <> ''",
