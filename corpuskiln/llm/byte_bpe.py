@@ -2,7 +2,8 @@
 
 Texts are cut into pre-tokens in blocks of a few MB. A pre-token that is in the vocabulary is one id. For each distinct other
 word, Spark's higher-order functions fold the ranked merges over the word's bytes, with the rank map as a literal. Words that
-many blocks share are folded once, beforehand, and broadcast; each block folds its own others. Bytes are kept as the
+several blocks share are folded once, beforehand, and broadcast, as many as a fixed bound allows; each block folds its own
+others, most of which no other block has. Bytes are kept as the
 characters U+0000 to U+00FF while they are merged. Decoding concatenates the ids' binary pieces.
 """
 
@@ -13,12 +14,14 @@ import hashlib
 import json
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import tiktoken
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +31,12 @@ from corpuskiln.llm.words import lists, pieces
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 2 << 20
-#: The most widespread words that are folded beforehand; the bound of what is broadcast.
-SHARED_WORDS = 1 << 18
+#: The most widespread words that are folded beforehand, each once; the bound of what is broadcast. Words of fewer blocks are folded in each.
+SHARED_WORDS = 3 << 18
 #: Folding looks at each byte of a word after each merge; longer words, which are rare, are merged by tiktoken, whose work does not grow so.
 LONGEST = 64
 #: Buckets of the literal rank map, so that a look-up compares with few keys.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 NEVER = 2**31 - 1
 
 
@@ -60,8 +63,14 @@ def _let(value: Column, body) -> Column:
 
 
 def merged(word: Column, ranks: Column) -> Column:
-    """array<int>: the ids of a word of two or more bytes (as characters), by merging the pair of lowest rank, leftmost first, until none has a rank."""
+    """array<int>: the ids of a word of two or more bytes (as characters), by merging the pair of lowest rank, leftmost first, until none has a rank.
 
+    The rank map is named once, so that plans and tasks hold it once.
+    """
+    return _let(ranks, lambda named: _folded(word, named))
+
+
+def _folded(word: Column, ranks: Column) -> Column:
     def rank(piece: Column) -> Column:
         bucket = F.pmod(F.crc32(piece.cast("binary")), F.lit(BUCKETS)).cast("int")
         return F.coalesce(F.element_at(F.get(ranks, bucket), piece), F.lit(NEVER))
@@ -101,6 +110,33 @@ def _unknown(words: pa.Array, known: pa.Array) -> np.ndarray:
     return pc.and_(pc.is_null(pc.index_in(words, known)), pc.less_equal(pc.binary_length(words), LONGEST)).to_numpy(zero_copy_only=False)
 
 
+@dataclass
+class Shared:
+    """Words that are looked up many times: ordered by a hash, so that nothing is built for each look-up."""
+
+    words: pa.Array
+    hashes: np.ndarray
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Each word's place among the shared ones; -1 if it is not there."""
+        at = np.searchsorted(self.hashes, _hashes(words))
+        at[at == len(self.hashes)] = 0
+        if not len(self.hashes):
+            return np.full(len(words), -1)
+        same = pc.equal(self.words.take(pa.array(at)), words).to_numpy(zero_copy_only=False)
+        return np.where(same, at, -1)
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()], np.uint64)
+
+
+def shared_words(words: pa.Array, ids: pa.Array) -> tuple[Shared, pa.Array]:
+    """The words in the order of their hashes, and their ids. Of words with one hash only the first is kept; the others are folded in their blocks."""
+    hashes, first = np.unique(_hashes(words), return_index=True)
+    return Shared(words.take(pa.array(first)), hashes), ids.take(pa.array(first))
+
+
 def _distinct(tokens: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(tokens, pa.large_binary())
@@ -115,18 +151,21 @@ def _distinct(tokens: list[bytes]):
 BLOCK_SCHEMA = "doc_ids array<bigint>, offsets array<int>, codes binary, places binary, fresh array<string>, long array<binary>"
 
 
-def _blocks(tokens: list[bytes], shared: pa.Array):
+def _blocks(tokens: list[bytes], shared: Shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.concat_arrays([pa.array(tokens, pa.large_binary()), shared.cast(pa.large_binary())])
+        known = pa.array(tokens, pa.large_binary())
         for batch in batches:
             for docs in pieces(batch, "text", BLOCK_BYTES):
                 words = pretokens(docs.column(1))
                 place = pc.fill_null(pc.index_in(words.vocabulary, known), -1).to_numpy(zero_copy_only=False).astype(np.int32)
-                new = place < 0
-                large = new & (pc.binary_length(words.vocabulary).to_numpy(zero_copy_only=False) > LONGEST)
-                fresh = new & ~large
-                place[fresh] = len(known) + np.arange(fresh.sum())
-                place[large] = len(known) + fresh.sum() + np.arange(large.sum())
+                large = (place < 0) & (pc.binary_length(words.vocabulary).to_numpy(zero_copy_only=False) > LONGEST)
+                short = np.flatnonzero((place < 0) & ~large)
+                latin = _latin(words.vocabulary.take(pa.array(short)))
+                held = shared.places(latin)
+                place[short[held >= 0]] = len(known) + held[held >= 0]
+                fresh, base = short[held < 0], len(known) + len(shared.words)
+                place[fresh] = base + np.arange(len(fresh))
+                place[large] = base + len(fresh) + np.arange(large.sum())
                 one = np.array([0, docs.num_rows])
 
                 def row(values: pa.Array) -> pa.Array:
@@ -138,7 +177,7 @@ def _blocks(tokens: list[bytes], shared: pa.Array):
                         row(pa.array(words.offsets.astype(np.int32))),
                         pa.array([words.codes.tobytes()], pa.binary()),
                         pa.array([place.tobytes()], pa.binary()),
-                        row(_latin(words.vocabulary.filter(pa.array(fresh)))),
+                        row(latin.filter(pa.array(held < 0))),
                         row(words.vocabulary.filter(pa.array(large)).cast(pa.binary())),
                     ],
                     names=["doc_ids", "offsets", "codes", "places", "fresh", "long"],
@@ -167,17 +206,25 @@ def _assemble(tokens: list[bytes], shared_ids: pa.Array, with_ids: bool):
         tiktoken_ = None
         binary = pa.array(tokens, pa.large_binary())
         digits = pa.array([b"%d " % i for i in range(len(tokens))], pa.large_binary())
-        base = pa.concat_arrays([lists(pa.array(np.arange(len(tokens)), pa.int32()), np.arange(len(tokens) + 1)), shared_ids])
+        plain = np.arange(len(tokens) + 1)
+        single, known = lists(pa.array(plain[:-1], pa.int32()), plain), len(tokens) + len(shared_ids)
         for batch in batches:
             for block in (batch.slice(i, 1) for i in range(batch.num_rows)):
                 folded, large = block.column("folded")[0].values, block.column("long")[0].values
                 if len(large):
                     tiktoken_ = tiktoken_ or _library(tokens)
                     large = [tiktoken_.encode_single_piece(w) for w in large.to_pylist()]
-                table = pa.concat_arrays([base, folded.cast(pa.list_(pa.int32())), pa.array(list(large), pa.list_(pa.int32()))])
                 places = np.frombuffer(block.column("places")[0].as_py(), np.int32)
                 codes = np.frombuffer(block.column("codes")[0].as_py(), np.int32)
-                flow = table.take(pa.array(places[codes]))
+                # The ids of the block's own vocabulary: tokens, then shared words, then its others in their order.
+                which = [np.flatnonzero(places < len(tokens)), np.flatnonzero((places >= len(tokens)) & (places < known)), np.flatnonzero(places >= known)]
+                others = pa.concat_arrays([folded.cast(pa.list_(pa.int32())), pa.array(list(large), pa.list_(pa.int32()))])
+                table = pa.concat_arrays(
+                    [single.take(pa.array(places[which[0]])), shared_ids.take(pa.array(places[which[1]] - len(tokens))), others.take(pa.array(places[which[2]] - known))]
+                )
+                order = np.empty(len(places), np.int32)
+                order[np.concatenate(which)] = np.arange(len(places))
+                flow = table.take(pa.array(order[codes]))
                 ids, ends = flow.flatten(), flow.offsets.to_numpy()
                 offsets = (ends - ends[0])[block.column("offsets")[0].values.to_numpy()]
                 texts = _slices(digits.take(ids), offsets)
@@ -207,20 +254,21 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
     pattern, without special tokens. Null texts are empty and have no ids. Rows are encoded one by one, whatever their ids;
     other columns are ignored.
     """
-    spark = docs.sparkSession
     tokens = read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     ranks = rank_literal(tokens)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spread = durable(rows.select("text").mapInArrow(_distinct(tokens), "word string").groupBy("word").agg(F.count("*").alias("blocks")), "words")
-    counts = spread.groupBy(F.least("blocks", F.lit(10_000)).alias("blocks")).agg(F.count("*").alias("n")).orderBy(F.col("blocks").desc()).collect()
-    least, n = 10_001, 0
-    for c in counts:
-        if n + c.n > SHARED_WORDS:
+    # Words in two or more blocks, by how widespread they are, in steps of an eighth of a power of e.
+    level = F.floor(8 * F.log("blocks"))
+    chosen, n = set(), 0
+    for step in spread.filter("blocks > 1").groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.col("level").desc()).collect():
+        if n + step.n > SHARED_WORDS:
             break
-        least, n = c.blocks, n + c.n
-    often = durable(spread.filter(F.col("blocks") >= max(least, 2)).select("word", merged(F.col("word"), ranks).alias("ids")), "folded").toArrow()
-    shared = pa.array([w.encode("latin-1") for w in often.column("word").to_pylist()], pa.binary())
-    shared_ids = often.column("ids").combine_chunks().cast(pa.list_(pa.int32()))
+        chosen, n = {*chosen, step.level}, n + step.n
+    often = spread.filter((F.col("blocks") > 1) & level.isin(chosen)).select("word")
+    often = durable(often.select("word", merged(F.col("word"), ranks).alias("ids")), "folded").toArrow().combine_chunks()
+    shared, shared_ids = shared_words(often.column("word").combine_chunks().cast(pa.string()), often.column("ids").combine_chunks().cast(pa.list_(pa.int32())))
+    del often
     blocks = rows.mapInArrow(_blocks(tokens, shared), BLOCK_SCHEMA)
     folded = blocks.withColumn("folded", F.transform("fresh", lambda w: merged(w, ranks))).drop("fresh")
     return folded.mapInArrow(_assemble(tokens, shared_ids, with_ids), ENCODED_SCHEMA + ", ids array<int>" * with_ids)
