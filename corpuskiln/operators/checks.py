@@ -96,7 +96,60 @@ def missing_documents(names: tuple[str, ...]) -> Check:
     return Check("missing_required_documents", "fail", lambda text: sum((F.when(F.contains(F.regexp_replace(text, r"\s+", ""), F.lit(n)), 0).otherwise(1) for n in bare), F.lit(0)))
 
 
-#: Further checks of the reference, on lines and cells; rows of tables are lines with a |.
+#: Markers, placeholders, labels whose values a blind review must not show, and checks that a strict review promotes.
+MARKER = r"\[확인필요[^\]]*\]|\[산출근거[^\]]*\]\s*\?|\[TODO[^\]]*\]"
+MASK = r"(?<![\p{L}\p{N}_])(OOO|○○○)(?![\p{L}\p{N}_])"
+SLOTS = (r"<\s*사진\s*\(이미지\)[^>]*>", r"<[^<>\n]{0,30}제목\s*>")
+BLIND_INLINE = r"(대표자\s*성명|대표자명|성명|직장명|대학명)\s*[:：]\s*([^\s,/|·]{1,20})"
+BLIND_LABELS = ("성명", "대표자성명", "대표자명", "직장명", "대학명")
+PROMOTED = ("paren_choices", "empty_label_fields_ext", "empty_image_slots")
+
+
+def placeholders(blind: bool = False) -> Check:
+    """Places to fill in, overlapping ones counted once; a blind review takes masks for right.
+
+    No two of the patterns can overlap otherwise than one inside another, so the alternation that tries the wider ones first
+    counts each stretch once.
+    """
+    return Check("template_placeholders", "fail", pattern("|".join((*SLOTS, *(() if blind else (MASK,))))))
+
+
+def _named(value: Column) -> Column:
+    """Whether a value is a name that is not masked."""
+    v = F.trim(value)
+    return v.rlike("^[가-힣]{2,10}$") & ~F.contains(v, F.lit("○")) & ~v.rlike("^O+$")
+
+
+def _unmasked(text: Column) -> Column:
+    """Names beside or after labels that a blind review must not show."""
+    inline = F.size(F.filter(F.regexp_extract_all(text, F.lit(BLIND_INLINE), F.lit(2)), _named))
+
+    def beside(cells: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(cells, 1, F.size(cells) - 1).alias("label"), F.slice(cells, 2, F.size(cells)).alias("value"))
+        return F.size(F.filter(pairs, lambda p: F.regexp_replace(p["label"], r"[\s:：]", "").isin(*BLIND_LABELS) & _named(p["value"])))
+
+    rows = F.transform(F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit("|"))), _cells)
+    return inline + F.aggregate(F.transform(rows, beside), F.lit(0), lambda a, b: a + b)
+
+
+def registry(blind: bool = False, max_pages: int | None = None, required: tuple[str, ...] = (), claims: bool = False, strict: bool = False) -> tuple[Check, ...]:
+    """The checks of texts as the forms' own rules have them; what a call for proposals asks for is switched on by an argument."""
+    pages = lambda text: F.when(F.greatest(F.lit(1), F.ceil(F.char_length(text) / 1500)) > max_pages, 1).otherwise(0)
+    # A row of nothing but bars and blanks has two cells or more.
+    found = (
+        Check("unresolved_markers", "fail", pattern(MARKER)),
+        placeholders(blind),
+        Check("empty_table_rows", "warn", pattern(r"(?m)^[ \t]*\|[ \t|]*$")),
+        *LINE_CHECKS,
+        *((Check("masking_violation", "fail", _unmasked),) if blind else ()),
+        *((Check("page_overflow", "warn", pages),) if max_pages is not None else ()),
+        *((UNVERIFIED_CLAIMS,) if claims else ()),
+        *((missing_documents(required),) if required else ()),
+    )
+    return tuple(Check(c.check_id, "fail", c.count) if strict and c.check_id in PROMOTED else c for c in found)
+
+
+#: Further checks of the forms' rules, on lines and cells; rows of tables are lines with a |.
 LINE_CHECKS = (
     Check("self_inserted_blocks", "fail", _lines_that(lambda x: x.rlike(SELF_BLOCK))),
     Check("unchecked_choices", "fail", _unchecked),
@@ -122,3 +175,52 @@ def rollup(found: DataFrame) -> DataFrame:
         return F.sum(F.when((F.col("severity") == severity) & (F.col("defects") > 0), 1).otherwise(0))
 
     return found.groupBy("doc_id").agg(checks("fail").alias("n_fail"), checks("warn").alias("n_warn"), F.sum("defects").alias("defects"), (checks("fail") == 0).alias("submittable"))
+
+
+#: Who mends what (auto, human or manual) by check; the words of the advice are data of the caller.
+REMEDY_KINDS = {
+    "unresolved_markers": "human",
+    "self_inserted_blocks": "auto",
+    "template_placeholders": "auto",
+    "unchecked_choices": "human",
+    "empty_label_fields": "human",
+    "masking_violation": "manual",
+    "residual_colored_runs": "auto",
+    "font_name_mixing": "auto",
+    "missing_required_documents": "human",
+    "font_size_spread": "auto",
+    "empty_table_rows": "manual",
+    "recruit_date_conflict": "human",
+    "paren_choices": "human",
+    "empty_label_fields_ext": "human",
+    "empty_image_slots": "manual",
+    "page_overflow": "manual",
+    "unverified_claims": "human",
+}
+
+
+def with_remedies(found: DataFrame, remedies: DataFrame | None = None) -> DataFrame:
+    """Open results (defects > 0) with kind and command; a check without a remedy is manual and has no command.
+
+    remedies: check_id, kind, command; by default the fixed kinds, each automatic check with its own id as command. They are
+    one row for each kind of check, and are broadcast.
+    """
+    if remedies is None:
+        rows = [(c, k, c if k == "auto" else None) for c, k in REMEDY_KINDS.items()]
+        remedies = found.sparkSession.createDataFrame(rows, "check_id string, kind string, command string")
+    return found.filter("defects > 0").join(F.broadcast(remedies), "check_id", "left").withColumn("kind", F.coalesce("kind", F.lit("manual")))
+
+
+def remaining_work(items: DataFrame) -> DataFrame:
+    """doc_id, auto_commands (distinct), human_fields, manual_items, blocking_defects and remaining_checks of each document with open items."""
+
+    def total(where: Column) -> Column:
+        return F.sum(F.when(where, F.col("defects")).otherwise(0))
+
+    return items.groupBy("doc_id").agg(
+        F.count_distinct(F.when(F.col("command") != "", F.col("command"))).alias("auto_commands"),
+        total(F.col("kind") == "human").alias("human_fields"),
+        total(F.col("kind") == "manual").alias("manual_items"),
+        total(F.col("severity") == "fail").alias("blocking_defects"),
+        F.count("*").alias("remaining_checks"),
+    )

@@ -8,10 +8,14 @@ from pyspark.sql.types import StructType
 
 
 def read_log(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
-    """The records of a JSON-lines log with their source line, and the lines that are no record; blank lines are neither."""
-    rows = spark.read.text(path).filter(F.trim("value") != "")
-    parsed = rows.withColumn("record", F.from_json("value", schema)).withColumn("sound", F.col("value").rlike(r"^\s*\{") & F.get_json_object("value", "$").isNotNull())
-    return parsed.filter("sound").select("record.*"), parsed.filter(~F.col("sound")).select("value")
+    """The records of a JSON-lines log, and its lines that are no JSON object, as value and file; blank lines are neither.
+
+    Records keep the order of a file only within one task; a log that needs an order carries it in a column.
+    """
+    rows = spark.read.text(path).withColumn("file", F.col("_metadata.file_path")).filter(~F.col("value").rlike(r"^\s*$"))
+    sound = F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull()
+    marked = rows.withColumn("sound", sound)
+    return marked.filter("sound").select(F.from_json("value", schema).alias("record")).select("record.*"), marked.filter(~F.col("sound")).select("value", "file")
 
 
 def append_log(rows: DataFrame, path: str) -> None:
