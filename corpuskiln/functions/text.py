@@ -62,14 +62,23 @@ def cell_whitespace(cell: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(cell, r"^\s+|\s+$", ""), r"\s+", " ")
 
 
+def _rooted(path: Column) -> Column:
+    """A path behind a host, empty or from a slash on."""
+    return F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+
+
 def normal_url(url: Column) -> Column:
-    """Scheme and host in lower case, no fragment and no slash at the end of the path; https where no scheme stands; blank and null are empty."""
+    """Scheme and host in lower case, no fragment, no parameters (;) in the last part of the path and no slash at its end; https where no scheme stands; blank and null are empty.
+
+    A text without scheme and host is all path, and comes out as https:///path, as the standard library joins it.
+    """
     raw = F.regexp_replace(F.coalesce(url, F.lit("")), r"^\s+|\s+$", "")
     parts = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?"
     scheme, host, path, query = (F.regexp_extract(raw, parts, i) for i in range(1, 5))
+    path = F.regexp_replace(path, ";[^/]*$", "")
     scheme = F.when(scheme == "", "https").otherwise(F.lower(scheme))
     query = F.when(query == "?", "").otherwise(query)
-    return F.when(raw == "", "").otherwise(F.concat(scheme, F.lit("://"), F.lower(host), F.regexp_replace(path, "/+$", ""), query))
+    return F.when(raw == "", "").otherwise(F.concat(scheme, F.lit("://"), F.lower(host), _rooted(F.regexp_replace(path, "/+$", "")), query))
 
 
 def first_year(*texts: Column) -> Column:
@@ -95,8 +104,9 @@ def leading_number(text: Column) -> Column:
 
 
 def clip(text: Column, most: int) -> Column:
-    """A text longer than `most` characters cut there, ended by a full stop."""
-    return F.when(F.char_length(text) > most, F.concat(F.regexp_replace(F.substring(text, 1, most), r"[\s.,;:]+$", ""), F.lit("."))).otherwise(text)
+    """A text with single spaces; one longer than `most` characters cut there, ended by a full stop."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), r"[\s\p{Z}]+", " ")
+    return F.when(F.char_length(bare) > most, F.concat(F.regexp_replace(F.substring(bare, 1, most), "[ ,.;:]+$", ""), F.lit("."))).otherwise(bare)
 
 
 def holds_any(text: Column, words: Sequence[str]) -> Column:

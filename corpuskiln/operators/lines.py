@@ -63,3 +63,45 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
     """The first row of each key in the given order."""
     nth = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("nth", nth).filter("nth = 1").drop("nth")
+
+
+def spans(rows: DataFrame, opens: Column, closes: Column) -> DataFrame:
+    """doc_id, first and n_chars of the first stretch of each document from the line after an opening one to before the next closing one."""
+    marked = rows.withColumn("began", F.sum(opens.cast("int")).over(_order().rowsBetween(W.unboundedPreceding, -1)))
+    inside = marked.filter("began > 0").withColumn("ended", F.sum((closes & ~opens).cast("int")).over(_order().rowsBetween(W.unboundedPreceding, 0)))
+    return inside.filter("ended = 0").groupBy("doc_id").agg(F.min("pos").alias("first"), F.sum(F.char_length(F.trim("line"))).alias("n_chars"))
+
+
+def first_sections(rows: DataFrame, keyword: Column) -> DataFrame:
+    """The lines with section: the keyword (null for no heading) of the nearest heading at or before them that has not headed a section before."""
+    named = rows.withColumn("keyword", keyword)
+    nth = F.row_number().over(W.partitionBy("doc_id", "keyword").orderBy("pos"))
+    fresh = named.withColumn("fresh", F.when(F.col("keyword").isNotNull() & (nth == 1), F.col("keyword")))
+    return fresh.withColumn("section", F.last("fresh", ignorenulls=True).over(_order().rowsBetween(W.unboundedPreceding, 0))).drop("fresh", "keyword")
+
+
+def findings(rows: DataFrame, pattern: str, is_heading: Column) -> DataFrame:
+    """doc_id, pos, heading, match and context (100 characters) of every match of a pattern, with the nearest heading at or before it."""
+    held = with_heading(rows, is_heading)
+    found = held.select("doc_id", "pos", "heading", "line", F.explode(F.regexp_extract_all("line", F.lit(f"({pattern})"), F.lit(1))).alias("match"))
+    return found.select("doc_id", "pos", F.substring(F.coalesce("heading", F.lit("")), 1, 80).alias("heading"), "match", F.substring(F.trim("line"), 1, 100).alias("context"))
+
+
+def grep(rows: DataFrame, code: str, most: int) -> DataFrame:
+    """The first `most` lines, by document and place, that hold a code without regard to case."""
+    return rows.filter(F.contains(F.upper("line"), F.lit(code.upper()))).orderBy("doc_id", "pos").limit(most)
+
+
+def key_sentences(rows: DataFrame, keywords: list[str], share: float, least: int, most: int) -> DataFrame:
+    """The first lines of each document with a keyword, a digit and 8 or more characters: `share` of its lines that are not blank, between `least` and `most`."""
+    line = F.trim("line")
+    fits = (F.char_length(line) >= 8) & line.rlike("[0-9０-９]") & F.greatest(F.lit(False), F.lit(False), *(F.contains(line, F.lit(k)) for k in keywords))
+    filled = F.sum((line != "").cast("int")).over(W.partitionBy("doc_id"))
+    budget = F.least(F.lit(most), F.greatest(F.lit(least), F.floor(filled * share)))
+    return first_chosen(rows.withColumn("budget", budget), fits, F.col("budget")).drop("budget")
+
+
+def line_fields(rows: DataFrame) -> DataFrame:
+    """doc_id, pos, label and value of lines that are a label of 1 to 40 characters, a colon and a value."""
+    parts = [F.regexp_extract("line", r"^\s*([^:：|]{1,40})\s*[:：]\s*(.+?)\s*$", i) for i in (1, 2)]
+    return rows.select("doc_id", "pos", F.trim(parts[0]).alias("label"), parts[1].alias("value")).filter("label <> '' and value <> ''")

@@ -35,7 +35,7 @@ def repeat_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ratchet_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean lengths by source of the later half of the documents against those of the earlier half."""
+    """Mean lengths by source of the documents with odd ids against those of the documents with even ids."""
     docs = table(spark, sf_dir, "documents")
 
     def means(part: int) -> DataFrame:
@@ -63,16 +63,6 @@ def merge_first_wins_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_material_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as sections and part brands as materials, by shared type or name token."""
-    part = table(spark, sf_dir, "part")
-    sections = part.groupBy("p_brand").agg(F.collect_set("p_type").alias("categories"), F.array_distinct(F.flatten(F.collect_list(T.tokens(F.col("p_name"))))).alias("tokens"))
-    sections = sections.select(F.col("p_brand").alias("section_id"), F.slice(F.array_sort("categories"), 1, 1).alias("categories"), "tokens")
-    none = F.array().cast("array<string>")
-    materials = part.filter("p_size = 50").select(F.col("p_partkey").alias("material_id"), F.when(F.col("p_retailprice") > 1000, F.array("p_type")).otherwise(none).alias("categories"), T.tokens(F.col("p_name")).alias("tokens"))
-    return matching.section_materials(sections, materials)
-
-
-def section_material_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parts as materials and their brands as sections with all categories, by shared type or name token."""
     part = table(spark, sf_dir, "part")
     sections = part.groupBy(F.col("p_brand").alias("section_id")).agg(
@@ -98,18 +88,11 @@ def jaccard_field_match(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = T.normal_label(F.col(column))
         return part.select(key.alias("key"), F.when(key.startswith("brand"), F.substring(key, 1, 6)).alias("cluster")).distinct()
 
-    found = matching.match_labels(labels("p_type").unionByName(labels("p_brand").limit(0)).distinct(), labels("p_name").unionByName(labels("p_brand")).distinct())
+    found = matching.match_labels(labels("p_type"), labels("p_name").unionByName(labels("p_brand")).distinct())
     return found.select("target", "source", "confidence", F.array_join("candidates", ",").alias("candidates"))
 
 
 def snippet_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 4 benchmark items that share most tokens with each conversation's first turn."""
-    first = table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("question_id"), T.tokens(F.col("text")).alias("tokens"))
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("snippet_id"), T.tokens(F.col("text")).alias("tokens"))
-    return matching.top_snippets(first, items)
-
-
-def snippet_topk_user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 4 benchmark items that share most tokens with each user turn."""
     asked = table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.struct("conv_id", "turn").alias("question_id"), T.tokens(F.col("text")).alias("tokens"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("snippet_id"), T.tokens(F.col("text")).alias("tokens"))
@@ -137,11 +120,9 @@ QUERIES = {
         dominant_source,
         merge_first_wins_conflicts,
         section_material_match,
-        section_material_match_all,
         requirement_missing,
         jaccard_field_match,
         snippet_topk,
-        snippet_topk_user_turns,
         grid_tiling,
     )
 }
@@ -175,10 +156,6 @@ ORACLES = {
                CASE WHEN count(DISTINCT lower(o_orderstatus)) > 1 THEN 'conflict' WHEN count(DISTINCT o_orderkey) > 1 THEN 'high' ELSE 'medium' END AS confidence
         FROM orders WHERE trim(coalesce(o_orderstatus, '')) <> '' GROUP BY 1""",
     "section_material_match": f"""
-        WITH s AS (SELECT p_brand AS section_id, min(p_type) AS category, list_distinct(flatten(list({_TOKENS.format("p_name")}))) AS tokens FROM part GROUP BY 1),
-        m AS (SELECT p_partkey AS material_id, CASE WHEN p_retailprice > 1000 THEN p_type END AS category, {_TOKENS.format("p_name")} AS tokens FROM part WHERE p_size = 50)
-        SELECT section_id, material_id FROM s, m WHERE s.category = m.category OR ((s.category IS NULL OR m.category IS NULL) AND len(list_intersect(s.tokens, m.tokens)) > 0)""",
-    "section_material_match_all": f"""
         WITH s AS (SELECT p_brand AS section_id, list(DISTINCT p_type) AS categories, list_distinct(flatten(list({_TOKENS.format("p_name")}))) AS tokens FROM part GROUP BY 1),
         m AS (SELECT p_partkey AS material_id, CASE WHEN p_retailprice > 1000 THEN p_type END AS category, {_TOKENS.format("p_name")} AS tokens FROM part)
         SELECT section_id, material_id FROM s, m WHERE list_contains(s.categories, m.category) OR (m.category IS NULL AND len(list_intersect(s.tokens, m.tokens)) > 0)""",
@@ -197,12 +174,6 @@ ORACLES = {
                CASE WHEN e.source IS NOT NULL THEN '' ELSE coalesce(array_to_string(near, ','), '') END AS candidates
         FROM t LEFT JOIN s e ON e.source = target LEFT JOIN n USING (target)""",
     "snippet_topk": f"""
-        WITH q AS (SELECT conv_id AS question_id, unnest({_TOKENS.format("text")}) AS t FROM conversations WHERE turn = 0),
-        b AS (SELECT item_id AS snippet_id, unnest({_TOKENS.format("text")}) AS t FROM benchmark),
-        s AS (SELECT question_id, snippet_id, 2.0::double * count(*) AS score FROM q JOIN b USING (t) GROUP BY 1, 2)
-        SELECT question_id, cast(rank AS integer) AS rank, snippet_id, score
-        FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, snippet_id) AS rank FROM s) WHERE rank <= 4""",
-    "snippet_topk_user_turns": f"""
         WITH q AS (SELECT conv_id, turn, unnest({_TOKENS.format("text")}) AS t FROM conversations WHERE role = 'user'),
         b AS (SELECT item_id AS snippet_id, unnest({_TOKENS.format("text")}) AS t FROM benchmark),
         s AS (SELECT conv_id, turn, snippet_id, 2.0::double * count(*) AS score FROM q JOIN b USING (t) GROUP BY 1, 2, 3)

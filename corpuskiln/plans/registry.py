@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from corpuskiln.plans import records, sft, texts
+from corpuskiln.plans import forms, records, sft, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (sft, texts, records):
+for _module in (sft, texts, records, forms):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

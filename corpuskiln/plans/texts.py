@@ -55,16 +55,22 @@ def unique_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bullet_and_space_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that cleaning changes, by document."""
-    rows = lines.lines(_docs(spark, sf_dir)).withColumn("clean", T.bullet_spacing(F.col("line")))
-    return rows.groupBy("doc_id").agg(F.sum(F.when(F.col("clean") != F.col("line"), 1).otherwise(0)).alias("n_changed"), F.count("*").alias("n_lines"))
+    """How many lines of each document cleaning changes; null texts have no row."""
+    own = F.split("text", "\n")
+    changed = F.size(F.filter(own, lambda x: T.bullet_spacing(x) != x))
+    return _docs(spark, sf_dir).filter("text is not null").select("doc_id", changed.cast("long").alias("n_changed"), F.size(own).cast("long").alias("n_lines"))
 
 
 def line_scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of blank, long, cell and shouting lines, by document."""
-    rows = lines.lines(_docs(spark, sf_dir))
-    tests = {"n_blank": F.trim("line") == "", "n_long": F.char_length("line") > 120, "n_cells": F.contains("line", F.lit(" | ")), "n_shout": F.contains("line", F.lit("!!"))}
-    return rows.groupBy("doc_id").agg(*(F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in tests.items()))
+    """Counts of blank, long, cell and shouting lines of each document; null texts have no row."""
+    tests = {
+        "n_blank": lambda x: F.trim(x) == "",
+        "n_long": lambda x: F.char_length(x) > 120,
+        "n_cells": lambda x: F.contains(x, F.lit(" | ")),
+        "n_shout": lambda x: F.contains(x, F.lit("!!")),
+    }
+    own = F.split("text", "\n")
+    return _docs(spark, sf_dir).filter("text is not null").select("doc_id", *(F.size(F.filter(own, t)).cast("long").alias(n) for n, t in tests.items()))
 
 
 def repeated_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,12 +101,12 @@ def structure_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def acceptance_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failing and warning checks of each document, and whether it may be submitted."""
-    return checks.rollup(checks.results(_docs(spark, sf_dir)))
+    return checks.rolled_up(_docs(spark, sf_dir), checks.CHECKS)
 
 
 def acceptance_rollup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The roll-up with the checks on lines and cells as well."""
-    return checks.rollup(checks.results(_docs(spark, sf_dir), checks.CHECKS + checks.LINE_CHECKS))
+    return checks.rolled_up(_docs(spark, sf_dir), checks.CHECKS + checks.LINE_CHECKS)
 
 
 def volume_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,14 +135,18 @@ def citation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns as traces: references to the question's and the answer's blob, previews, and whether the answer is empty."""
+    """Assistant turns as traces: attempt, references to the system's, the question's and the answer's blob, previews, and whether the answer is empty."""
     order = W.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").withColumn("question", F.lag("text").over(order)).filter("role = 'assistant'")
+    system = F.max(F.when(F.col("role") == "system", F.col("text"))).over(W.partitionBy("conv_id"))
+    rows = table(spark, sf_dir, "conversations").withColumn("question", F.lag("text").over(order)).withColumn("system", system).filter("role = 'assistant'")
     return rows.select(
         "conv_id",
         "turn",
+        F.row_number().over(order).alias("attempt"),
+        blob_key(F.col("system")).alias("system_ref"),
         blob_key(F.col("question")).alias("user_ref"),
         blob_key(F.col("text")).alias("response_ref"),
+        F.substring(F.coalesce("question", F.lit("")), 1, 200).alias("user_preview"),
         F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("response_preview"),
         (F.trim(F.coalesce("text", F.lit(""))) == "").alias("empty"),
     )
@@ -184,7 +194,7 @@ _PAIRS = f"""
     FROM (SELECT doc_id, pos, cells, unnest(range(len(cells) // 2)) AS i FROM (SELECT doc_id, pos, string_split(line, '|') AS cells FROM {_LINES} WHERE contains(line, '|')))"""
 _URL = r"regexp_extract(u, '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?', {})"
 _NORMAL = f"""CASE WHEN u = '' THEN '' ELSE (CASE WHEN {_URL.format(1)} = '' THEN 'https' ELSE lower({_URL.format(1)}) END) || '://' || lower({_URL.format(2)})
-    || regexp_replace({_URL.format(3)}, '/+$', '') || (CASE WHEN {_URL.format(4)} = '?' THEN '' ELSE {_URL.format(4)} END) END"""
+    || regexp_replace(regexp_replace({_URL.format(3)}, ';[^/]*$', ''), '/+$', '') || (CASE WHEN {_URL.format(4)} = '?' THEN '' ELSE {_URL.format(4)} END) END"""
 
 ORACLES = {
     "pii_mask_documents": f"SELECT doc_id, {mask_sql('text')} AS masked FROM documents",
@@ -239,7 +249,9 @@ ORACLES = {
         SELECT page_id, CASE WHEN title = '' THEN 'MISSING_TITLE' WHEN org = '' THEN 'MISSING_ORGANIZATION' WHEN year = '' THEN 'MISSING_YEAR' WHEN url = '' THEN 'MISSING_URL'
                WHEN url NOT IN (SELECT url FROM p WHERE page_id % 3 = 0) THEN 'MISMATCH' ELSE 'VERIFIED' END AS status FROM p""",
     "trace_records": """
-        SELECT conv_id, turn, CASE WHEN coalesce(q, '') = '' THEN '' ELSE sha1(q)[1:16] END AS user_ref, CASE WHEN coalesce(text, '') = '' THEN '' ELSE sha1(text)[1:16] END AS response_ref,
+        SELECT conv_id, turn, cast(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS integer) AS attempt, CASE WHEN coalesce(sys, '') = '' THEN '' ELSE sha1(sys)[1:16] END AS system_ref,
+               substring(coalesce(q, ''), 1, 200) AS user_preview, CASE WHEN coalesce(q, '') = '' THEN '' ELSE sha1(q)[1:16] END AS user_ref, CASE WHEN coalesce(text, '') = '' THEN '' ELSE sha1(text)[1:16] END AS response_ref,
                substring(coalesce(text, ''), 1, 200) AS response_preview, trim(coalesce(text, '')) = '' AS empty
-        FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations) WHERE role = 'assistant'""",
+        FROM (
+            SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS q, max(CASE WHEN role = 'system' THEN text END) OVER (PARTITION BY conv_id) AS sys FROM conversations) WHERE role = 'assistant'""",
 }

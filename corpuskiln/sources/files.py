@@ -4,22 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskiln.functions.predicates import protected_path
 
 #: Encodings that are tried in turn, suffixes of forms, and what tells an announcement from a form.
-ENCODINGS = ("utf-8", "x-windows-949", "euc-kr")
+ENCODINGS = ("utf-8", "cp949", "euc-kr")
 POOL_SUFFIXES = (".docx", ".hwp", ".hwpx")
 LOGS = ("runs", "defects", "candidates", "traces", "feedback")
 
 
+@F.pandas_udf("string")
+def _decoded(content: pd.Series) -> pd.Series:
+    def text(data: bytes | None) -> str | None:
+        for encoding in ENCODINGS if data is not None else ():
+            try:
+                return data.decode(encoding)
+            except UnicodeDecodeError:
+                continue
+        return None if data is None else data.decode(errors="replace")
+
+    return content.map(text)
+
+
 def decoded(content: Column) -> Column:
-    """The text of bytes: UTF-8 if they are that, else the first Korean encoding whose text encodes back to them, else UTF-8 with replacements."""
-    utf8 = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
-    korean = [F.when(F.encode(F.decode(content, e), e) == content, F.decode(content, e)) for e in ENCODINGS[1:]]
-    return F.coalesce(utf8, *korean, F.make_valid_utf8(content.cast("string")))
+    """The text of bytes: in the first of the encodings that they are sound in, else UTF-8 with replacements; null stays null."""
+    return _decoded(content)
 
 
 def files(spark: SparkSession, path: str, recursive: bool = True, suffixes: Sequence[str] = ()) -> DataFrame:

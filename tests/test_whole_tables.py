@@ -1,4 +1,4 @@
-"""Queries that run over whole tables, beside those over a subset of the rows."""
+"""Queries that run over whole tables."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_materials_are_all_parts(spark):
-    found = registry.QUERIES["section_material_match_all"](spark, SF)
+    found = registry.QUERIES["section_material_match"](spark, SF)
     assert found.select("material_id").distinct().count() == table(spark, SF, "part").count()
     part = {r.p_partkey: r for r in table(spark, SF, "part").collect()}
     types = {}
@@ -20,7 +20,7 @@ def test_materials_are_all_parts(spark):
 
 
 def test_every_user_turn_is_asked(spark):
-    found = registry.QUERIES["snippet_topk_user_turns"](spark, SF).select("conv_id", "turn").distinct()
+    found = registry.QUERIES["snippet_topk"](spark, SF).select("conv_id", "turn").distinct()
     turns = table(spark, SF, "conversations").filter("role = 'user'")
     # Only turns that share no token with any item have no row.
     assert found.join(turns, ["conv_id", "turn"], "left_anti").count() == 0
