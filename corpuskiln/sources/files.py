@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpuskiln.functions.predicates import protected_path
 
@@ -16,7 +17,7 @@ POOL_SUFFIXES = (".docx", ".hwp", ".hwpx")
 LOGS = ("runs", "defects", "candidates", "traces", "feedback")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decoded(content: pd.Series) -> pd.Series:
     def text(data: bytes | None) -> str | None:
         for encoding in ENCODINGS if data is not None else ():
