@@ -36,7 +36,7 @@ def decoded(content: Column) -> Column:
 
 
 def files(spark: SparkSession, path: str, recursive: bool = True, suffixes: Sequence[str] = ()) -> DataFrame:
-    """path, modificationTime, length and content of each file under `path` with one of the suffixes (all without any); a missing folder fails."""
+    """path, modificationTime, length and content of each file under `path` with one of the suffixes (all without any); empty files have no row, and a missing folder fails."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     lower = F.lower("path")
     return rows.filter(F.greatest(F.lit(False), F.lit(False), *(lower.endswith(s) for s in suffixes))) if suffixes else rows
