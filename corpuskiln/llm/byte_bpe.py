@@ -14,20 +14,18 @@ import hashlib
 import json
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import tiktoken
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln.llm.pretokens import pretokens
 from corpuskiln.llm.storage import durable
-from corpuskiln.llm.words import lists, pieces
+from corpuskiln.llm.words import Lookup, lists, lookup, pieces, release
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 2 << 20
@@ -110,33 +108,6 @@ def _unknown(words: pa.Array, known: pa.Array) -> np.ndarray:
     return pc.and_(pc.is_null(pc.index_in(words, known)), pc.less_equal(pc.binary_length(words), LONGEST)).to_numpy(zero_copy_only=False)
 
 
-@dataclass
-class Shared:
-    """Words that are looked up many times: ordered by a hash, so that nothing is built for each look-up."""
-
-    words: pa.Array
-    hashes: np.ndarray
-
-    def places(self, words: pa.Array) -> np.ndarray:
-        """Each word's place among the shared ones; -1 if it is not there."""
-        at = np.searchsorted(self.hashes, _hashes(words))
-        at[at == len(self.hashes)] = 0
-        if not len(self.hashes):
-            return np.full(len(words), -1)
-        same = pc.equal(self.words.take(pa.array(at)), words).to_numpy(zero_copy_only=False)
-        return np.where(same, at, -1)
-
-
-def _hashes(words: pa.Array) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()], np.uint64)
-
-
-def shared_words(words: pa.Array, ids: pa.Array) -> tuple[Shared, pa.Array]:
-    """The words in the order of their hashes, and their ids. Of words with one hash only the first is kept; the others are folded in their blocks."""
-    hashes, first = np.unique(_hashes(words), return_index=True)
-    return Shared(words.take(pa.array(first)), hashes), ids.take(pa.array(first))
-
-
 def _distinct(tokens: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(tokens, pa.large_binary())
@@ -151,7 +122,7 @@ def _distinct(tokens: list[bytes]):
 BLOCK_SCHEMA = "doc_ids array<bigint>, offsets array<int>, codes binary, places binary, fresh array<string>, long array<binary>"
 
 
-def _blocks(tokens: list[bytes], shared: Shared):
+def _blocks(tokens: list[bytes], shared: Lookup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(tokens, pa.large_binary())
         for batch in batches:
@@ -163,7 +134,7 @@ def _blocks(tokens: list[bytes], shared: Shared):
                 latin = _latin(words.vocabulary.take(pa.array(short)))
                 held = shared.places(latin)
                 place[short[held >= 0]] = len(known) + held[held >= 0]
-                fresh, base = short[held < 0], len(known) + len(shared.words)
+                fresh, base = short[held < 0], len(known) + len(shared.terms)
                 place[fresh] = base + np.arange(len(fresh))
                 place[large] = base + len(fresh) + np.arange(large.sum())
                 one = np.array([0, docs.num_rows])
@@ -182,6 +153,7 @@ def _blocks(tokens: list[bytes], shared: Shared):
                     ],
                     names=["doc_ids", "offsets", "codes", "places", "fresh", "long"],
                 )
+            release()
 
     return run
 
@@ -239,6 +211,7 @@ def _assemble(tokens: list[bytes], shared_ids: pa.Array, with_ids: bool):
                 if with_ids:
                     columns.append(lists(ids.cast(pa.int32()), offsets))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+            release()
 
     return run
 
@@ -267,7 +240,9 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
         chosen, n = {*chosen, step.level}, n + step.n
     often = spread.filter((F.col("blocks") > 1) & level.isin(chosen)).select("word")
     often = durable(often.select("word", merged(F.col("word"), ranks).alias("ids")), "folded").toArrow().combine_chunks()
-    shared, shared_ids = shared_words(often.column("word").combine_chunks().cast(pa.string()), often.column("ids").combine_chunks().cast(pa.list_(pa.int32())))
+    # Of shared words with one hash all but the first are folded in their blocks.
+    shared, order = lookup(often.column("word").combine_chunks().cast(pa.string()))
+    shared_ids = often.column("ids").combine_chunks().cast(pa.list_(pa.int32())).take(pa.array(order))
     del often
     blocks = rows.mapInArrow(_blocks(tokens, shared), BLOCK_SCHEMA)
     folded = blocks.withColumn("folded", F.transform("fresh", lambda w: merged(w, ranks))).drop("fresh")
@@ -286,6 +261,10 @@ def _decoded(tokens: list[bytes]):
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and data: for each row's ids, their binary pieces concatenated (the UTF-8 bytes of the text). Null ids are none."""
+    """doc_id and data: for each row's ids, their binary pieces concatenated (the UTF-8 bytes of the text).
+
+    Null ids are none, and give no bytes; repeated rows and null doc_ids each keep their row; an empty table gives no rows; an
+    id that no rank has gives nothing; other columns are left behind.
+    """
     tokens = read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return encoded.select("doc_id", "ids").mapInArrow(_decoded(tokens), "doc_id long, data binary")

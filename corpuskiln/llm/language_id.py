@@ -12,19 +12,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from corpuskiln.llm.pretokens import letter_words
 from corpuskiln.llm.storage import durable, quoted
-from corpuskiln.llm.words import pieces
+from corpuskiln.llm.words import Lookup, lookup, pieces, release
 
 #: The bound of the model: labelled documents of each language it is fitted on; all their words and n-grams are kept. The longest n-gram.
-TRAINING_DOCS, LONGEST = 20_000, 4
+TRAINING_DOCS, LONGEST = 5_000, 4
 #: Letters of a word whose n-grams are taken at once, and n-grams looked up at once.
 PIECE, GRAMS = 61, 500_000
+#: Bytes of text that are split into words at once.
+BYTES = 1 << 20
 SMOOTHING = 0.1
 UNDETERMINED = "und"
 
@@ -33,12 +34,12 @@ UNDETERMINED = "und"
 class Scores:
     """Terms, and for each its log frequency in every language."""
 
-    terms: pa.Array
+    terms: Lookup
     values: np.ndarray
 
     def places(self, terms: pa.Array) -> np.ndarray:
         """Each term's row among the values; -1 if it is not known."""
-        return pc.fill_null(pc.index_in(terms, self.terms), -1).to_numpy(zero_copy_only=False)
+        return self.terms.places(terms)
 
 
 def _grams(words: list[str], which: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -84,7 +85,7 @@ class Model:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for docs in pieces(batch, "text"):
+        for docs in pieces(batch, "text", BYTES):
             words = letter_words(docs.column(1))
             langs = docs.column(0).to_pylist()
             for lang in set(langs):
@@ -93,6 +94,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = np.flatnonzero(counts)
                 own = words.vocabulary.take(pa.array(held)).cast(pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(held), pa.string()), own, pa.array(counts[held].astype(np.int64))], names=["lang", "word", "n"])
+        release()
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -126,8 +128,12 @@ def model_of(counts: DataFrame, languages: list[str]) -> Model:
 
     def scores(table: DataFrame, kind: pa.DataType) -> Scores:
         best = table.toArrow()
-        n = np.stack([best.column(f"n{i}").to_numpy() for i in range(len(languages))], 1) + SMOOTHING if languages else np.zeros((best.num_rows, 0))
-        return Scores(best.column(0).combine_chunks().cast(pa.binary()).cast(kind), np.log(n / n.sum(0)) if len(n) else n)
+        terms, order = lookup(best.column(0).combine_chunks().cast(pa.binary()).cast(kind))
+        values = np.zeros((best.num_rows, len(languages)), np.float32)
+        for i in range(len(languages)):
+            n = best.column(f"n{i}").to_numpy() + SMOOTHING
+            values[:, i] = np.log(n / n.sum())
+        return Scores(terms, values[order])
 
     ngrams = []
     # Pieces overlap by what the longest n-gram that starts in the first PIECE letters of one needs of the next.
@@ -147,7 +153,7 @@ def _predict(model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for docs in pieces(batch, "text"):
+            for docs in pieces(batch, "text", BYTES):
                 words = letter_words(docs.column(1))
                 table = np.zeros((len(words.vocabulary), k))
                 place = model.words.places(words.vocabulary)
@@ -163,6 +169,7 @@ def _predict(model: Model):
                     score = np.where(some, 1 / np.exp(totals - totals.max(1, keepdims=True)).sum(1), 0.0)
                     langs = [model.languages[b] if s else UNDETERMINED for b, s in zip(best, some, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(docs.column(i) for i in range(docs.num_columns) if i != 1), pa.array(langs), pa.array(score)], names=[*(n for n in docs.schema.names if n != "text"), "lang_pred", "score"])
+            release()
 
     return run
 

@@ -31,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskiln.llm.storage import durable
-from corpuskiln.llm.words import SPACED, lists, pieces, split_words
+from corpuskiln.llm.storage import durable, quoted
+from corpuskiln.llm.words import SPACED, lists, pieces, release, split_words
 
 CHUNKS, SYMBOLS, ERRORS = 16, 6, 1
 #: The signature-distance threshold of the join, in symbols: of pairs at a similarity of exactly 0.8, fewer than one in 10**8 is farther apart.
@@ -134,6 +134,7 @@ def _sign(width: int):
                         ],
                         names=["doc_id", "n_shingles", "set_key", "text_key", "signature"],
                     )
+                release()
 
     return run
 
@@ -360,4 +361,4 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """
     dropped = durable(near_duplicates(docs, width).filter("not kept and doc_id is not null").select("doc_id").distinct(), "dropped")
     few = dropped.count() <= FEW_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*map(quoted, docs.columns))

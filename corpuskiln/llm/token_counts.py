@@ -52,6 +52,10 @@ def proven(tokenizer: Tokenizer) -> list[bytes]:
 
 
 def _specials(tokenizer: Tokenizer) -> list[str]:
+    """The special strings, longest first; those that the library would match in another way than as they stand are refused."""
+    for t in tokenizer.get_added_tokens_decoder().values():
+        if t.lstrip or t.rstrip or t.single_word:
+            raise ValueError(f"special string {t.content!r} takes white space or asks for word boundaries, which is not supported")
     return sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=lambda s: (-len(s), s))
 
 
@@ -108,6 +112,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, doc
     no tokens. Rows are counted one by one, whatever their ids; other columns are ignored.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    whole = proven(Tokenizer.from_file(path))
+    tokenizer = Tokenizer.from_file(path)
+    _specials(tokenizer)
+    whole = proven(tokenizer)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(_counter(path, whole, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
 
 def byte_map(separators: bytes) -> np.ndarray:
@@ -35,7 +37,42 @@ class Words:
     offsets: np.ndarray
 
 
-def pieces(batch: pa.RecordBatch, column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+@dataclass
+class Lookup:
+    """Terms in the order of their hashes, which are found without building anything for each call."""
+
+    terms: pa.Array
+    hashes: np.ndarray
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Each word's place among the terms; -1 if it is not there."""
+        if not len(self.hashes) or not len(words):
+            return np.full(len(words), -1)
+        at = np.searchsorted(self.hashes, hashes(words))
+        at[at == len(self.hashes)] = 0
+        same = pc.equal(self.terms.take(pa.array(at)), words).to_numpy(zero_copy_only=False)
+        return np.where(same, at, -1)
+
+
+def hashes(words: pa.Array) -> np.ndarray:
+    """The 64-bit hash of each word, of its UTF-8 bytes."""
+    # A slice at a time, so that there are never many Python objects.
+    slices = (words.slice(at, 1 << 16).to_pylist() for at in range(0, len(words), 1 << 16))
+    return np.concatenate([np.zeros(0, np.uint64), *(np.array([xxhash.xxh3_64_intdigest(w) for w in some], np.uint64) for some in slices)])
+
+
+def lookup(terms: pa.Array) -> tuple[Lookup, np.ndarray]:
+    """The look-up of distinct terms, and the place that each of its terms had. Of terms with one hash only the first is kept, and the others are not found."""
+    found, first = np.unique(hashes(terms), return_index=True)
+    return Lookup(terms.take(pa.array(first)), found), first
+
+
+def release() -> None:
+    """Gives memory that Arrow has freed back to the system, so that a worker kept for later tasks does not hold it."""
+    pa.default_memory_pool().release_unused()
+
+
+def pieces(batch: pa.RecordBatch, column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of the batch's rows with about `size` bytes of text each; a row is never cut."""
     lengths = np.nan_to_num(np.asarray(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=float))
     ends = np.cumsum(lengths)

@@ -34,7 +34,7 @@ def test_n_grams_of_whole_runs(spark, monkeypatch):
     model = language_id.model_of(spark.createDataFrame([("de", word, 1), ("en", "a" * 70 + "zzzz", 1)], "lang string, word string, n long"), ["de", "en"])
     for n in range(1, 5):
         expected = {w[i : i + n] for w in (f"<{word}>", f"<{'a' * 70}zzzz>") for i in range(len(w) - n + 1)}
-        assert set(model.ngrams[n - 1].terms.to_pylist()) == expected
+        assert set(model.ngrams[n - 1].terms.terms.to_pylist()) == expected
     words = ["a" * 70 + run + "q", "a" * 90 + "zzzz"]
     whole = model.unseen(words)
     assert whole[0, 0] > whole[0, 1] and whole[1, 1] > whole[1, 0]
@@ -51,7 +51,7 @@ def test_small_languages_are_learned_whole_beside_large_ones(spark, monkeypatch)
     model = language_id.fit(docs)
     assert model.languages == ["de", "en"]
     learned = {f"wort{chr(97 + i)}" for i in range(12) if zlib.crc32(str(100_000 + i).encode()) % 5}
-    assert learned <= {w.decode() for w in model.words.terms.to_pylist()}
+    assert learned <= {w.decode() for w in model.words.terms.terms.to_pylist()}
     assert {r.lang_pred for r in language_id.predict(docs.filter("lang = 'de'"), model).collect()} == {"de"}
 
 
@@ -112,3 +112,78 @@ def test_column_names_of_any_form_are_carried(spark):
     odd = docs.selectExpr("*", "1 AS `my col`", "2 AS `a-b`", "3 AS `a.b`", "4 AS row")
     kept = language_id.keep_identified(odd, language_id.fit(docs))
     assert kept.columns == odd.columns and kept.count() == 40
+
+
+def test_language_equals_a_plain_backoff(spark):
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    texts = [("das haus und die maus", "de"), ("der hund und das haus", "de"), ("the house and the mouse", "en"), ("a dog and a house", "en"), ("la maison et le chien", "fr")]
+    docs = [(i, t, lang) for i, (t, lang) in enumerate(texts * 8)]
+    asked = ["haus maus", "mousetrap housing", "hundehaus", "le chien", "zzz", "12", "house haus maison"]
+    fitted = [(t, lang) for i, t, lang in docs if zlib.crc32(str(i).encode()) % 5]
+    words, grams, langs = defaultdict(Counter), [defaultdict(Counter) for _ in range(4)], ["de", "en", "fr"]
+    for t, lang in fitted:
+        for w in re.findall("[a-z]+", t):
+            words[lang][w] += 1
+    for lang in langs:
+        for w, n in words[lang].items():
+            for size in range(1, 5):
+                for i in range(len(w) + 3 - size):
+                    grams[size - 1][lang][f"<{w}>"[i : i + size]] += n
+
+    def logs(table):
+        known = {k for c in table.values() for k in c}
+        totals = {lang: sum(table[lang][k] + 0.1 for k in known) for lang in langs}
+        return {k: [math.log((table[lang][k] + 0.1) / totals[lang]) for lang in langs] for k in known}
+
+    by_word, by_gram = logs(words), [logs(g) for g in grams]
+
+    def score(w):
+        if w in by_word:
+            return by_word[w]
+        for size in range(4, 0, -1):
+            found = [by_gram[size - 1][g] for g in (f"<{w}>"[i : i + size] for i in range(len(w) + 3 - size)) if g in by_gram[size - 1]]
+            if found:
+                return [sum(x) / len(found) for x in zip(*found, strict=True)]
+        return [0.0] * 3
+
+    model = language_id.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    rows = language_id.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()
+    for r in rows:
+        sums = [sum(x) for x in zip(*map(score, re.findall("[a-z]+", asked[r.doc_id])), strict=True)] or None
+        if sums is None:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert r.lang_pred == langs[sums.index(max(sums))]
+            assert abs(r.score - 1 / sum(math.exp(x - max(sums)) for x in sums)) < 1e-4
+
+
+def test_toxicity_equals_plain_features(spark):
+    import math
+    import re
+
+    rng = np.random.default_rng(4)
+    common, bad = [f"word{c}" for c in "abcdefghij"], ["grobian", "stinkt", "idiot"]
+    docs, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        own = list(rng.choice(common, 12)) + (list(rng.choice(bad, 3)) if toxic else [])
+        docs.append((i, " ".join(own)))
+        labels.append((i, int(toxic)))
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {"grobian", "stinkt"} <= set(model.terms)
+    asked = [*docs[:20], (1000, "you idiot!!! grobian"), (1001, ""), (1002, None)]
+    for r in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect():
+        text = dict(asked)[r.doc_id] or ""
+        words = re.findall("[a-z]+", text)
+        counts = {t: n for t in model.terms if (n := sum(t in toxicity.terms_of(w) for w in words))}
+        insults = max(sum(w in lexicon.split() for w in words) for lexicon in toxicity.LEXICONS.values())
+        addressed = sum(m[1].lower() in toxicity.INSULTS for m in toxicity.ADDRESS.finditer(text))
+        sums = [math.log1p(insults), math.log1p(addressed if insults else 0), *(math.log1p(len(list(p.finditer(text)))) for p in toxicity.PATTERNS.values())]
+        for kind in (True, False):
+            held = [n for t, n in counts.items() if t.endswith("*") == kind]
+            sums += [math.log1p(sum(held)), math.log1p(len(held)), min(1.0, 20 * sum(held) / max(len(words), 1))]
+        z = model.bias + sum(model.weights[model.terms[t]] * math.log1p(n) for t, n in counts.items()) + sum(w * x for w, x in zip(model.weights[len(model.terms) :], sums, strict=True))
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9

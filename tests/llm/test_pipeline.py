@@ -37,3 +37,15 @@ def test_no_rows(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.encode(spark, docs, sf).count() == 0
+
+
+def test_odd_rows_pass_all_stages(spark, odd_docs):
+    sf = "/root/testdata/sf0.001"
+    docs = odd_docs.selectExpr("*", "1 AS `my col`", "2 AS `a-b`", "3 AS `a.b`")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in docs.collect()}
+    out = corpus_pipeline.encode(spark, docs, sf)
+    assert out.count() == docs.count()
