@@ -14,27 +14,47 @@ from corpuskiln.llm.storage import durable
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in a language that can be told; a null lang is filled in."""
+    """Rows in a language that can be told with a score of 0.5 or more; a null lang is filled in.
+
+    Null, empty and letterless texts go. Repeated rows stay or go alike; ties go to the language first in order; a table without
+    a labelled text learns no language and so keeps nothing; an empty one stays empty; other columns stay as they are.
+    """
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, the one of the smallest id, with all its rows.
+
+    Null and wordless texts, and rows with a null id, stay; rows that share an id are one document with several texts; an empty
+    table stays empty; columns are carried along, whatever their names.
+    """
     return near_duplicates.drop_near_duplicates(docs, width=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a passage of the benchmark."""
+    """Rows without a passage of ten words of the benchmark, or without a whole shorter item.
+
+    Each row stays or goes by its own text, whatever its id; null and empty texts stay; an empty table, or an empty benchmark,
+    changes nothing; columns are carried along, whatever their names.
+    """
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without personal data."""
+    """All rows, with personal data and secrets, and terms that give them away, replaced; n_chars follows the text.
+
+    Null and empty texts stay as they are; repeated rows are changed alike; overlapping spans are replaced as one; an empty
+    table stays empty; other columns are carried along, whatever their names.
+    """
     return pii.sanitise(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and their digests of every row."""
+    """doc_id, n_tokens, ids and their digests of every row.
+
+    A null text is empty and has no ids; repeated rows and null ids each keep their row; an empty table gives no rows; other
+    columns are left behind.
+    """
     return byte_bpe.encode(docs, with_ids=True)
 
 
