@@ -136,3 +136,49 @@ def unwrapped_link(url: Column) -> Column:
     decoded = F.when(plain.rlike("^[A-Za-z0-9+/]+$") & (F.char_length(plain) % 4 != 1), F.try_to_binary(padded, F.lit("base64")).cast("string"))
     host = F.contains(F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("bing.com"))
     return F.when(~host, u).otherwise(F.coalesce(F.when(decoded.startswith("http"), decoded), F.when(coded != "", coded), u))
+
+
+#: Names that a file must not have, and the most characters of a name.
+RESERVED = ("CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10)))
+LONGEST_NAME = 180
+
+
+def file_name(raw: Column) -> Column:
+    """struct<name, error>: a user's file name made safe, or why it cannot be: blank, path, unusable or reserved."""
+    trimmed = F.regexp_replace(F.coalesce(raw, F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    safe = F.regexp_replace(F.regexp_replace(trimmed, r'[\x00-\x1f<>:"/\\|?*]+', "_"), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    safe = F.regexp_replace(safe, r"^\.+|\.+$", "")
+    suffix = F.regexp_extract(safe, r"^.+(\.[^.]+)$", 1)
+    stem = F.trim(F.substring(safe, F.lit(1), F.char_length(safe) - F.char_length(suffix)))
+    plain = F.regexp_replace(stem, r"[\s\p{Z}]+", " ")
+    short = F.when(F.char_length(plain) + F.char_length(suffix) > LONGEST_NAME, F.substring(plain, F.lit(1), F.greatest(F.lit(1), LONGEST_NAME - F.char_length(suffix)))).otherwise(plain)
+    path = F.contains(trimmed, F.lit("/")) | F.contains(trimmed, F.lit("\\")) | F.contains(trimmed, F.lit(".."))
+    error = F.when(trimmed == "", "blank").when(path, "path").when((safe == "") | (stem == ""), "unusable").when(F.upper(stem).isin(*RESERVED), "reserved")
+    return F.struct(F.when(error.isNull(), F.concat(short, suffix)).alias("name"), error.alias("error"))
+
+
+def square_heading(line: Column) -> Column:
+    """A line that begins with a square, with its label in parentheses, and without what follows a dash or parenthesis; left alone if that holds digits or commas, or if nothing follows."""
+    bare = F.regexp_replace(F.coalesce(line, F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    label = F.trim(F.regexp_extract(bare, r"^■\s*([^(（–—-]+?)\s*(?:\s[-–—]\s|[–—]|[(（]).*$", 1))
+    tail = F.substring(bare, F.lit(1) + F.instr(bare, label) + F.char_length(label) - 1, F.char_length(bare))
+    return F.when((label != "") & ~tail.rlike(r"[\p{Nd},]"), F.concat(F.lit("■ ("), label, F.lit(")"))).otherwise(line)
+
+
+def packed_snippets(text: Column, least: int = 40, long: int = 800, most: int = 700) -> Column:
+    """array<string>: blocks between blank lines, with single spaces, of `least` characters or more; ones longer than `long` as runs of whole sentences of `most` characters; without markup."""
+    blocks = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), lambda b: F.regexp_replace(F.regexp_replace(b, r"[\s\p{Z}]+", " "), "^ | $", "")), lambda b: F.char_length(b) >= least)
+
+    def packed(block: Column) -> Column:
+        sentences = F.filter(F.split(block, r"(?<=[.!?。]) "), lambda x: F.trim(x) != "")
+        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+
+        def step(a: Column, x: Column) -> Column:
+            trial = F.when(a["now"] == "", x).otherwise(F.concat_ws(" ", a["now"], x))
+            closed = F.when(F.char_length(a["now"]) >= least, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])
+            return F.when(F.char_length(trial) <= most, F.struct(a["done"].alias("done"), trial.alias("now"))).otherwise(F.struct(closed.alias("done"), x.alias("now")))
+
+        end = lambda a: F.when(F.char_length(a["now"]) >= least, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])
+        return F.when(F.char_length(block) > long, F.aggregate(sentences, start, step, end)).otherwise(F.array(block))
+
+    return F.filter(F.flatten(F.transform(blocks, packed)), lambda b: ~(F.contains(b, F.lit("<")) & F.contains(b, F.lit(">"))))

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -236,3 +237,38 @@ def remaining_work(items: DataFrame) -> DataFrame:
         total(F.col("severity") == "fail").alias("blocking_defects"),
         F.count("*").alias("remaining_checks"),
     )
+
+
+def categories(items: DataFrame, least: int = 3) -> DataFrame:
+    """`items` with category: by the remedy's kind auto_fix, human_input or manual_review; of `least` or more runs (n_runs) code_improvement.
+
+    Only manual ones, and automatic ones that warn, are promoted so; what a person must enter never is.
+    """
+    plain = F.when(F.col("kind") == "auto", "auto_fix").when(F.col("kind") == "human", "human_input").otherwise("manual_review")
+    promoted = (F.coalesce("n_runs", F.lit(0)) >= least) & ((F.col("kind") == "manual") | ((F.col("kind") == "auto") & (F.col("severity") == "warn")))
+    return items.withColumn("category", F.when(promoted, "code_improvement").otherwise(plain))
+
+
+def merged_advice(advice: DataFrame, run: str = "run") -> tuple[DataFrame, DataFrame]:
+    """Each advice (run, code, form, message, seq) of a run once, where it first stood, and the run's exit code: the largest of exit_code."""
+    nth = F.row_number().over(W.partitionBy(run, "code", "form", "message").orderBy("seq"))
+    return advice.withColumn("nth", nth).filter("nth = 1").drop("nth"), advice.groupBy(run).agg(F.max("exit_code").alias("exit_code"))
+
+
+def compared_to_baseline(current: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
+    """key, check and passed for every key of either: both there, equal pages, 70 % of the text, as many pictures, half of the bold stretches (one at least).
+
+    Both have key, pages, chars, images and bold; what the baseline has none of is not asked for; of a key with one side only the file check alone is given.
+    """
+    b = baseline.select(key, *(F.col(c).alias(f"b_{c}") for c in ("pages", "chars", "images", "bold")), F.lit(True).alias("was"))
+    both = current.withColumn("is", F.lit(True)).join(b, key, "full_outer")
+    there = F.col("is").isNotNull() & F.col("was").isNotNull()
+    tests = {
+        "file": there,
+        "pages": F.col("pages") == F.col("b_pages"),
+        "text": (F.col("b_chars") == 0) | (F.col("chars") >= 0.7 * F.col("b_chars")),
+        "images": F.col("images") >= F.col("b_images"),
+        "bold": (F.col("b_bold") == 0) | (F.col("bold") >= F.greatest(F.lit(1), F.floor(F.col("b_bold") / 2))),
+    }
+    rows = F.array(*(F.struct(F.lit(name).alias("check"), test.alias("passed")) for name, test in tests.items()))
+    return both.select(key, F.explode(F.when(there, rows).otherwise(F.slice(rows, 1, 1))).alias("x")).select(key, "x.*")

@@ -5,20 +5,28 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuskiln.functions.text import holds_any, weight
 
 
 def classify(docs: DataFrame, lexicon: Mapping[str, Mapping[str, int]], least: int = 4, unknown: str = "unknown") -> DataFrame:
-    """doc_id, label, score and runner_up: the class of greatest weight, ties to the one declared first; below `least` unknown."""
+    """doc_id, label, score, runner_up and confidence: the class of greatest weight, ties to the one declared first; below `least` unknown.
+
+    confidence: 0.4, 0.4 of the best score's share of all, and 0.2 of its lead over the next; 0.99 at most; 0.3 for unknown.
+    """
     text = F.lower(F.coalesce("text", F.lit("")))
     scored = F.array(*(F.struct(weight(text, words).alias("score"), F.lit(-i).alias("ord"), F.lit(name).alias("label")) for i, (name, words) in enumerate(lexicon.items())))
     best = F.reverse(F.array_sort(scored))
-    rows = docs.select("doc_id", best.alias("best"))
+    total = F.aggregate(scored, F.lit(0), lambda a, x: a + F.greatest(x["score"], F.lit(0)))
+    rows = docs.select("doc_id", best.alias("best"), total.alias("total"))
     top = F.get("best", F.lit(0))
     runner_up = F.coalesce(F.get("best", F.lit(1))["score"], F.lit(0))
-    return rows.select("doc_id", F.when(top["score"] >= least, top["label"]).otherwise(unknown).alias("label"), top["score"].alias("score"), runner_up.alias("runner_up"))
+    lead = F.least(F.lit(1.0), (top["score"] - runner_up) / F.greatest(F.lit(1), top["score"]))
+    sure = F.least(F.lit(0.99), 0.4 + 0.4 * (top["score"] / F.greatest(F.lit(1), F.col("total"))) + 0.2 * lead)
+    sure = F.round(F.when(top["score"] >= least, sure).otherwise(0.3), 6)
+    return rows.select("doc_id", F.when(top["score"] >= least, top["label"]).otherwise(unknown).alias("label"), top["score"].alias("score"), runner_up.alias("runner_up"), sure.alias("confidence"))
 
 
 def coverage(docs: DataFrame, areas: Mapping[str, Mapping[str, list[str]]]) -> DataFrame:
@@ -32,3 +40,10 @@ def coverage(docs: DataFrame, areas: Mapping[str, Mapping[str, list[str]]]) -> D
     )
     found = docs.select("doc_id", F.explode(rows).alias("x")).select("doc_id", "x.*")
     return found.withColumn("ratio", F.round(F.col("n_hit") / F.col("n_items"), 4))
+
+
+def graded(found: DataFrame, bands: Mapping[str, float]) -> DataFrame:
+    """`coverage` with the grade of each area, the first band (in falling order) that its ratio reaches, and overall, the share of all of a document's items that are hit."""
+    own = W.partitionBy("doc_id")
+    grade = F.coalesce(*(F.when(F.col("ratio") >= least, F.lit(name)) for name, least in bands.items()))
+    return found.withColumn("grade", grade).withColumn("overall", F.round(F.sum("n_hit").over(own) / F.sum("n_items").over(own), 4))

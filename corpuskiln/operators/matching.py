@@ -161,3 +161,32 @@ def top_snippets(questions: DataFrame, snippets: DataFrame, k: int = 4, least: f
     scored = met.groupBy("question_id", "snippet_id").agg((2.0 * F.count("*")).alias("score")).filter(F.col("score") >= least)
     order = W.partitionBy("question_id").orderBy(F.col("score").desc(), "snippet_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("question_id", "rank", "snippet_id", "score")
+
+
+def named_options(confirms: DataFrame, options: DataFrame) -> DataFrame:
+    """confirm, label and status of each confirmation that is not blank.
+
+    options: label, aliases (array). exact: it is a label or alias, the first such option (seq) counts; loose: just one label
+    has a key that holds it or that it holds; else ambiguous or unknown, without a label. The options are the few of one form,
+    and each confirmation meets them all; they are broadcast only by Spark's own size limit.
+    """
+    said = confirms.select(F.trim("confirm").alias("confirm")).filter("confirm <> ''").distinct()
+    keys = options.select("label", "seq", F.explode(F.array_union(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("k"))
+    met = said.join(keys, F.contains("confirm", F.col("k")) | F.contains("k", F.col("confirm")), "left")
+    hits = met.groupBy("confirm").agg(
+        F.min(F.when(F.col("k") == F.col("confirm"), F.struct("seq", "label")))["label"].alias("exact"), F.collect_set("label").alias("loose")
+    )
+    status = F.when(F.col("exact").isNotNull(), "exact").when(F.size("loose") == 1, "loose").when(F.size("loose") > 1, "ambiguous").otherwise("unknown")
+    return hits.select("confirm", F.coalesce("exact", F.when(F.size("loose") == 1, F.col("loose")[0])).alias("label"), status.alias("status"))
+
+
+def narrative_unmatched(unmatched: DataFrame, labels: DataFrame) -> DataFrame:
+    """The unmatched targets (label) that a form's narrative labels name: equal, or one within the other, without regard to case; a form's labels are few."""
+    named = labels.filter("kind = 'narrative'").select(F.lower(F.trim("label")).alias("n")).filter("n <> ''").distinct()
+    own = F.lower(F.trim("label"))
+    return unmatched.filter(own != "").join(named, F.contains(own, F.col("n")) | F.contains("n", own), "left_semi")
+
+
+def pair_scores(matched: DataFrame, pair: list[str]) -> DataFrame:
+    """The number of high matches of each pair of a source and a target; 0 for a pair without any."""
+    return matched.groupBy(*pair).agg(F.sum((F.col("confidence") == "high").cast("long")).alias("score"))

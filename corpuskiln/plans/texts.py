@@ -223,7 +223,9 @@ ORACLES = {
     "doc_type_argmax": f"""
         WITH s AS ({" UNION ALL ".join(f"SELECT doc_id, '{c}' AS label, {i} AS ord, {_weights(w)} AS score FROM documents" for i, (c, w) in enumerate(CLASSES.items()))}),
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS nth, lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS runner_up FROM s)
-        SELECT doc_id, CASE WHEN score >= 4 THEN label ELSE 'unknown' END AS label, score, runner_up FROM r WHERE nth = 1""",
+        SELECT doc_id, CASE WHEN score >= 4 THEN label ELSE 'unknown' END AS label, score, runner_up,
+               cast(round(CASE WHEN score >= 4 THEN least(0.99::double, 0.4::double + 0.4::double * (score / greatest(1, total)) + 0.2::double * least(1, (score - runner_up) / greatest(1, score))) ELSE 0.3 END, 6) AS double) AS confidence
+        FROM (SELECT *, sum(score) OVER (PARTITION BY doc_id) AS total FROM r) WHERE nth = 1""",
     "structure_coverage": " UNION ALL ".join(
         f"SELECT doc_id, '{a}' AS area, n_hit, {len(items)} AS n_items, round(n_hit / {len(items)}, 4) AS ratio FROM (SELECT doc_id, "
         + " + ".join("CASE WHEN " + " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in ws) + " THEN 1 ELSE 0 END" for ws in items.values())

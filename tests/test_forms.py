@@ -241,3 +241,90 @@ def test_overlay(spark):
     a = spark.createDataFrame([(1, " "), (2, "x")], "k int, v string")
     b = spark.createDataFrame([(1, "y"), (3, None)], "k int, v string")
     assert {tuple(r) for r in records.overlay(a, b, "k", "v").collect()} == {(1, "y"), (2, "x"), (3, "")}
+
+
+def test_file_names_headings_and_snippets(say):
+    names = say(parsing.file_name, [" a  b?.txt ", "", None, "../x", "nul.txt", "x" * 200 + ".pdf", "???", "..."])
+    assert [(n["name"], n["error"]) for n in names[:5]] == [("a b_.txt", None), (None, "blank"), (None, "blank"), (None, "path"), (None, "reserved")]
+    assert len(names[5]["name"]) == 180 and names[5]["name"].endswith(".pdf") and names[6]["name"] == "_" and names[7]["error"] == "path"
+    found = say(parsing.square_heading, ["■ 핵심 기술 — 요약", "■ 핵심 성과 — 매출 3억, 고용", "■ 개요", "■ (개요)", "본문", "■ 시장 (국내)", None])
+    assert found == ["■ (핵심 기술)", "■ 핵심 성과 — 매출 3억, 고용", "■ 개요", "■ (개요)", "본문", "■ (시장)", None]
+    long = " ".join(f"Sentence number {i} is here to fill the block." for i in range(40))
+    rows = say(parsing.packed_snippets, [f"short\n\n{'word ' * 12}\n \n<b>{'tag ' * 20}</b>", long, None])
+    assert rows[0] == [("word " * 12).strip()] and rows[2] == []
+    assert " ".join(rows[1]) == long and all(40 <= len(x) <= 700 for x in rows[1]) and len(rows[1]) == 3
+
+
+def test_options_narratives_and_pairs(spark):
+    options = spark.createDataFrame([("경영기반 전문상담", ["경영"], 1), ("기술 전문상담", ["기술"], 2)], "label string, aliases array<string>, seq int")
+    said = spark.createDataFrame([("경영",), ("기술 전문",), ("전문상담",), ("법률",), (" ",), (None,)], "confirm string")
+    assert {r.confirm: (r.label, r.status) for r in matching.named_options(said, options).collect()} == {"경영": ("경영기반 전문상담", "exact"), "기술 전문": ("기술 전문상담", "loose"), "전문상담": (None, "ambiguous"), "법률": (None, "unknown")}
+    labels = spark.createDataFrame([("사업 개요", "narrative"), ("기업명", "fact")], "label string, kind string")
+    targets = spark.createDataFrame([("개요",), ("기업명",), ("",)], "label string")
+    assert [r.label for r in matching.narrative_unmatched(targets, labels).collect()] == ["개요"]
+    matched = spark.createDataFrame([("s", "t", "high"), ("s", "t", "low"), ("s", "u", "low")], "s string, t string, confidence string")
+    assert {(r.t, r.score) for r in matching.pair_scores(matched, ["s", "t"]).collect()} == {("t", 1), ("u", 0)}
+
+
+def test_categories_advice_and_baselines(spark):
+    items = spark.createDataFrame([("a", "auto", "warn", 3), ("b", "auto", "fail", 3), ("c", "human", "fail", 9), ("d", "manual", "fail", 3), ("e", "manual", "fail", None)], "check_id string, kind string, severity string, n_runs int")
+    assert {r.check_id: r.category for r in checks.categories(items).collect()} == {"a": "code_improvement", "b": "auto_fix", "c": "human_input", "d": "code_improvement", "e": "manual_review"}
+    advice = spark.createDataFrame([("r", "A", None, "m", 1, 0), ("r", "A", None, "m", 2, 2), ("r", "B", "f", "m", 3, 1)], "run string, code string, form string, message string, seq int, exit_code int")
+    once, codes = checks.merged_advice(advice)
+    assert sorted(r.seq for r in once.collect()) == [1, 3] and codes.first().exit_code == 2
+    kind = "k string, pages int, chars int, images int, bold int"
+    now = spark.createDataFrame([("x", 2, 70, 1, 1), ("y", 1, 5, 0, 0)], kind)
+    was = spark.createDataFrame([("x", 2, 100, 1, 3), ("z", 1, 1, 1, 1)], kind)
+    found = {(r.k, r.check): r.passed for r in checks.compared_to_baseline(now, was, "k").collect()}
+    assert found == {("x", "file"): True, ("x", "pages"): True, ("x", "text"): True, ("x", "images"): True, ("x", "bold"): True, ("y", "file"): False, ("z", "file"): False}
+
+
+def test_records_of_people_and_rules(spark):
+    edu = [("p", "대학", "학과", "석사 수료", 1), ("p", "대학", "학과", "석사", 2), ("p", "대학", "학과", "학사 졸업", 3), ("p", None, None, "석사", 4), ("p", "대학", "학과", None, 5)]
+    rows = records.consolidated_education(spark.createDataFrame(edu, "person string, school string, major string, degree string, seq int"), "person", "seq")
+    assert sorted(r.seq for r in rows.filter("kept").collect()) == [2, 3, 4, 5]
+    dup = spark.createDataFrame([("a", None, 2), ("a", None, 1), ("b", "x", 3)], "k string, v string, seq int")
+    assert sorted(r.seq for r in records.union_distinct(dup, ["k", "v"], ["seq"]).collect()) == [1, 3]
+    q = spark.createDataFrame([("1", "section", "f1", True), ("2", "section", "f2", False), ("3", "image", None, True), ("4", "table_cell", None, True)], "question_id string, kind string, field_id string, required boolean")
+    a = spark.createDataFrame([("4", "  "), ("2", "x")], "question_id string, value string")
+    none = spark.createDataFrame([("f1",)], "field_id string")
+    assert [r.question_id for r in records.missing_questions(q, a, none).collect()] == ["4"]
+    assert sorted(r.question_id for r in records.missing_questions(q, a.limit(0), none.limit(0), True).collect()) == ["1", "4"]
+    rules = spark.createDataFrame([("r1", "all", True), ("r2", "x", False), ("r3", "y", True), ("r4", "all", False), ("r5", "all", True)], "rule_id string, domain string, automated boolean")
+    guards = spark.createDataFrame([("r1", True), ("r5", False)], "rule_id string, passed boolean")
+    assert {r.rule_id: r.status for r in records.rule_status(rules, guards, "y").collect()} == {"r1": "PASS", "r2": "NA", "r3": "UNVERIFIABLE", "r4": "REVIEW_REQUIRED", "r5": "FAIL"}
+    assert [r.rule_id for r in records.filtered(rules, "R", ["rule_id"], {"domain": "x"}).collect()] == ["r2"]
+    gold = spark.createDataFrame([("g1", 1, ["a"]), ("g2", 1, ["z"]), ("g3", 9, ["a"]), ("g4", 1, [])], "assertion_id string, doc_id int, terms array<string>")
+    docs = spark.createDataFrame([(1, "a b")], "doc_id int, text string")
+    found = records.golden(gold, docs, F.forall("terms", lambda t: parsing.contains_term(F.col("text"), t)))
+    assert {r.assertion_id: r.status for r in found.collect()} == {"g1": "FOUND", "g2": "READ_MISS", "g3": "FILE_MISSING", "g4": "SKIPPED"}
+    assert {r.doc_id: r.found_rate for r in records.status_report(found).collect()} == {1: 0.5, 9: None}
+    defects = spark.createDataFrame([("c", 3)], "check string, n_runs int")
+    first = records.promote(defects, "check", "k", F.lit("fail"))
+    assert first.count() == 1 and records.promote(defects, "check", "k", F.lit("fail"), stored=first).count() == 0
+
+
+def test_lines_of_sections(spark):
+    rows = lines.lines(spark.createDataFrame([(1, "intro\nAI plan\nab\ncd\n1. Next\nAI plan\nef 10\nlabel: value")], "doc_id int, text string"))
+    assert [tuple(r) for r in lines.spans(rows, F.col("line").startswith("AI"), F.col("line").rlike("^[0-9]")).collect()] == [(1, 2, 4)]
+    key = F.when(F.col("line").startswith("AI"), "ai").when(F.col("line").startswith("1."), "next")
+    assert [r.section for r in lines.first_sections(rows, key).orderBy("pos").collect()] == [None, "ai", "ai", "ai", "next", "next", "next", "next"]
+    assert [(r.match, r.heading) for r in lines.findings(rows, "[0-9]+", F.col("line").startswith("AI")).orderBy("pos").collect()] == [("1", "AI plan"), ("10", "AI plan")]
+    assert [r.pos for r in lines.grep(rows, "ai", 1).collect()] == [1]
+    assert [(r.label, r.value) for r in lines.line_fields(rows).collect()] == [("label", "value")]
+    text_ = spark.createDataFrame([(1, "key 12345\nkey none here\nkey 99999\nkey 77777")], "doc_id int, text string")
+    assert [r.pos for r in lines.key_sentences(lines.lines(text_), ["key"], 0.5, 1, 5).orderBy("pos").collect()] == [0, 2]
+
+
+def test_similarity_and_votes(spark, say):
+    row = spark.createDataFrame([(["a", "b"], ["b", "c"], [])], "x array<string>, y array<string>, z array<string>").select(text.jaccard(F.col("x"), F.col("y")).alias("j"), text.jaccard(F.col("x"), F.col("z")).alias("n")).first()
+    assert abs(row.j - 1 / 3) < 1e-9 and row.n == 0
+    from corpuskiln.operators import assets, lexicons
+
+    lexicon = {"problem": ("문제", "pain"), "team": ("팀", "대표")}
+    assert say(lambda x: assets.voted(x, lexicon), ["문제 제기", "문제와 팀", "없음", None, "팀 대표 문제"]) == ["problem", "unclassified", "unclassified", "unclassified", "team"]
+    assert say(lambda x: assets.voted(x, lexicon, F.lit("03_team"), {"team": "team"}), ["문제"]) == ["team"]
+    docs = spark.createDataFrame([(1, "mail a@b and http")], "doc_id int, text string")
+    areas = {"c": {"mail": ["@"], "web": ["http"]}, "d": {"x": ["zz"], "y": ["yy"]}}
+    found = {r.area: (r.grade, r.overall) for r in lexicons.graded(lexicons.coverage(docs, areas), {"A": 0.9, "B": 0.5, "C": 0.0}).collect()}
+    assert found == {"c": ("A", 0.5), "d": ("C", 0.5)}
