@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 UNCLASSIFIED = "unclassified"
 #: The weights of a pair's score, and what makes a match automatic or worth a review.
@@ -66,3 +68,41 @@ def best_assets(pairs: DataFrame) -> DataFrame:
 def missing_anchors(anchors: DataFrame, decided: DataFrame) -> DataFrame:
     """The anchors without an automatic match."""
     return anchors.join(decided.filter("decision = 'auto'").select("anchor_id"), "anchor_id", "left_anti")
+
+
+def assigned(pairs: DataFrame, doc: str) -> DataFrame:
+    """doc, anchor_id, asset_id and decision: as `best_assets`, but within a document an asset that an earlier place (seq) has taken automatically is no longer to be had.
+
+    pairs: doc, seq, anchor_id, asset_id, score. A document's places are few (8 by their rule) and its library is the caller's.
+    """
+
+    def take(rows: pd.DataFrame) -> pd.DataFrame:
+        used: set = set()
+        out = []
+        for (_, anchor), own in rows.sort_values(["seq", "anchor_id", "score", "asset_id"], ascending=[True, True, False, True], kind="stable").groupby(["seq", "anchor_id"], sort=False):
+            free = own[~own.asset_id.isin(used)]
+            if len(free):
+                best, rest = free.iloc[0], free.iloc[1:]
+                margin = best.score - (rest.score.iloc[0] if len(rest) else 0.0)
+                decision = "auto" if best.score >= AUTO and margin >= MARGIN - 1e-9 else "review" if best.score >= REVIEW else "none"
+                used |= {best.asset_id} if decision == "auto" else set()
+                out.append((rows[doc].iloc[0], anchor, best.asset_id, decision))
+        return pd.DataFrame(out, columns=[doc, "anchor_id", "asset_id", "decision"])
+
+    return pairs.groupBy(doc).applyInPandas(take, StructType([*(pairs.schema[c] for c in (doc, "anchor_id", "asset_id")), StructField("decision", StringType())]))
+
+
+def suggestions(text: Column, rules: Mapping[str, Sequence[str]], most: int = 8) -> Column:
+    """array<struct<line, type, keyword>>: the lines that ask for a picture, in order; each line for the first type, in the order of the rules, that none before has taken, each type once."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    words = [(t, w) for t, own in rules.items() for w in own]
+    table = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(w).alias("keyword")) for t, w in words))
+    asking = F.filter(lines, lambda x: F.exists(table, lambda r: F.contains(x, r["keyword"])))
+    start = F.array().cast("array<struct<line:string,type:string,keyword:string>>")
+
+    def step(taken: Column, line: Column) -> Column:
+        free = F.filter(table, lambda r: F.contains(line, r["keyword"]) & ~F.exists(taken, lambda t: t["type"] == r["type"]))
+        added = F.concat(taken, F.array(F.struct(line.alias("line"), free[0]["type"].alias("type"), free[0]["keyword"].alias("keyword"))))
+        return F.when((F.size(free) > 0) & (F.size(taken) < most), added).otherwise(taken)
+
+    return F.aggregate(asking, start, step)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpuskiln.functions.predicates import bracket_conflict, is_dummy_value, looks_like_name
 from corpuskiln.functions.text import letters
@@ -155,7 +157,8 @@ def missing_requirements(requirements: DataFrame, matched: DataFrame, key: list[
 def top_snippets(questions: DataFrame, snippets: DataFrame, k: int = 4, least: float = 1.0) -> DataFrame:
     """question_id, rank, snippet_id and score of each question's k best snippets, not exclusive; ties to the smaller id.
 
-    score: twice the shared tokens. Both inputs have an id and tokens.
+    score: twice the shared tokens. Both inputs have an id and tokens. A token that many rows of both sides hold makes as many
+    pairs, whose rows AQE splits among tasks; leave such words out of the tokens by a stop list where they tell nothing.
     """
     met = questions.select("question_id", F.explode("tokens").alias("t")).join(snippets.select("snippet_id", F.explode("tokens").alias("t")), "t")
     scored = met.groupBy("question_id", "snippet_id").agg((2.0 * F.count("*")).alias("score")).filter(F.col("score") >= least)
@@ -190,3 +193,43 @@ def narrative_unmatched(unmatched: DataFrame, labels: DataFrame) -> DataFrame:
 def pair_scores(matched: DataFrame, pair: list[str]) -> DataFrame:
     """The number of high matches of each pair of a source and a target; 0 for a pair without any."""
     return matched.groupBy(*pair).agg(F.sum((F.col("confidence") == "high").cast("long")).alias("score"))
+
+
+def ranked_snippets(questions: DataFrame, snippets: DataFrame, keywords: Sequence[str] = (), k: int = 4, least: float = 1.0) -> DataFrame:
+    """question_id, rank, snippet_id and score of each question's k best snippets of `least` or more, not exclusive; ties to the smaller id.
+
+    score: twice the shared tokens, half a point for each keyword in the snippet's text, -1.5 for texts under 50 characters and
+    -1 for those over 280. Snippets have text besides; questions and snippets without tokens take no part. A snippet that shares
+    nothing can only be among the best if it is one of the k best by text alone, so just these meet every question.
+    """
+    text = F.coalesce("text", F.lit(""))
+    own = sum((F.contains(text, F.lit(w)).cast("int") * 0.5 for w in keywords), F.lit(0.0)) + F.when(F.char_length(text) < 50, -1.5).when(F.char_length(text) > 280, -1.0).otherwise(0.0)
+    held = snippets.filter(F.size("tokens") > 0).select("snippet_id", "tokens", own.alias("own"))
+    asked = questions.filter(F.size("tokens") > 0)
+    shared = asked.select("question_id", F.explode("tokens").alias("t")).join(held.select("snippet_id", F.explode("tokens").alias("t")), "t").groupBy("question_id", "snippet_id").agg((2.0 * F.count("*")).alias("shared"))
+    alone = held.orderBy(F.col("own").desc(), "snippet_id").limit(k).select("snippet_id")
+    pairs = shared.unionByName(asked.select("question_id").join(F.broadcast(alone)).withColumn("shared", F.lit(0.0)))
+    scored = pairs.groupBy("question_id", "snippet_id").agg(F.max("shared").alias("shared")).join(held.select("snippet_id", "own"), "snippet_id").withColumn("score", F.col("shared") + F.col("own"))
+    order = W.partitionBy("question_id").orderBy(F.col("score").desc(), "snippet_id")
+    ranked = scored.filter(F.col("score") >= least).withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= k).select("question_id", "rank", "snippet_id", "score")
+
+
+def exclusively(scored: DataFrame, group: str, k: int = 4) -> DataFrame:
+    """group, question_id and snippet_id: each question of a group, in order (seq), takes its k best snippets that no earlier one has.
+
+    scored: group, question_id, seq, snippet_id and score, with all snippets of a question that may be taken. A group is one
+    document's questions and its library, which the caller bounds; groups are independent and spread over tasks.
+    """
+
+    def take(rows: pd.DataFrame) -> pd.DataFrame:
+        used: set = set()
+        kept = []
+        rows = rows.sort_values(["seq", "question_id", "score", "snippet_id"], ascending=[True, True, False, True], kind="stable")
+        for _, own in rows.groupby(["seq", "question_id"], sort=False):
+            mine = own[~own.snippet_id.isin(used)].head(k)
+            used |= set(mine.snippet_id)
+            kept.append(mine[[group, "question_id", "snippet_id"]])
+        return pd.concat(kept)
+
+    return scored.groupBy(group).applyInPandas(take, StructType([scored.schema[c] for c in (group, "question_id", "snippet_id")]))

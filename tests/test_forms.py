@@ -328,3 +328,39 @@ def test_similarity_and_votes(spark, say):
     areas = {"c": {"mail": ["@"], "web": ["http"]}, "d": {"x": ["zz"], "y": ["yy"]}}
     found = {r.area: (r.grade, r.overall) for r in lexicons.graded(lexicons.coverage(docs, areas), {"A": 0.9, "B": 0.5, "C": 0.0}).collect()}
     assert found == {"c": ("A", 0.5), "d": ("C", 0.5)}
+
+
+def test_greedy_choices(spark, say):
+    from corpuskiln.operators import assets
+
+    kind = "g string, question_id string, seq int, snippet_id string, score double"
+    rows = [("p", "q1", 1, "a", 9.0), ("p", "q1", 1, "b", 8.0), ("p", "q2", 2, "a", 9.0), ("p", "q2", 2, "c", 1.0), ("r", "q2", 1, "a", 1.0)]
+    out = matching.exclusively(spark.createDataFrame(rows, kind), "g", 2)
+    assert sorted(map(tuple, out.collect())) == [("p", "q1", "a"), ("p", "q1", "b"), ("p", "q2", "c"), ("r", "q2", "a")]
+    pairs = [("d", 1, "p1", "x", 0.9), ("d", 1, "p1", "y", 0.7), ("d", 2, "p2", "x", 0.95), ("d", 2, "p2", "y", 0.65), ("d", 3, "p3", "y", 0.5)]
+    found = assets.assigned(spark.createDataFrame(pairs, "doc string, seq int, anchor_id string, asset_id string, score double"), "doc")
+    assert {r.anchor_id: (r.asset_id, r.decision) for r in found.collect()} == {"p1": ("x", "auto"), "p2": ("y", "review"), "p3": ("y", "none")}
+    rules = {"chart": ("시장", "매출"), "flow": ("일정", "시장")}
+    got = say(lambda x: assets.suggestions(x, rules), ["시장 규모\n시장 전망\n매출", "없음", None])
+    assert [[(x["line"], x["type"]) for x in row] for row in got] == [[("시장 규모", "chart"), ("시장 전망", "flow")], [], []]
+
+
+def test_snippet_scores_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(30)]
+    qs = [(i, rng.sample(words, rng.randint(0, 3))) for i in range(25)]
+    ss = [(i, " ".join(rng.choices([*words, "표", "그림"], k=rng.randint(1, 90)))) for i in range(40)]
+    tokens = {i: set(t.split()) - {"표"} for i, t in ss}
+    expected = []
+    for q, own in qs:
+        scores = []
+        for i, t in ss:
+            score = 2.0 * len(set(own) & tokens[i]) + 0.5 * (("표" in t) + ("그림" in t)) + (-1.5 if len(t) < 50 else -1.0 if len(t) > 280 else 0.0)
+            if own and tokens[i] and score >= 0.5:
+                scores.append((-score, i))
+        expected += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:4])]
+    a = spark.createDataFrame(qs, "question_id int, tokens array<string>")
+    b = spark.createDataFrame([(i, t, sorted(tokens[i])) for i, t in ss], "snippet_id int, text string, tokens array<string>")
+    assert sorted(map(tuple, matching.ranked_snippets(a, b, ("표", "그림"), least=0.5).collect())) == sorted(expected)
