@@ -35,6 +35,11 @@ def normal_label(label: Column) -> Column:
     return F.lower(F.regexp_replace(label, r"[^\p{L}\p{N}]+", ""))
 
 
+def normal_text(label: str) -> str:
+    """As `normal_label`, of a plain string."""
+    return "".join(c for c in label if c.isalnum()).lower()
+
+
 def value_key(value: Column) -> Column:
     """A value without white space, hyphens, middle dots and full stops, in lower case."""
     return F.lower(F.regexp_replace(value, r"[\s\-·.]+", ""))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuskiln.functions.text import normal_label, normal_text
+
 
 def lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, pos (from 0) and line of every line; a null text has none, an empty one has one empty line."""
@@ -105,3 +109,19 @@ def line_fields(rows: DataFrame) -> DataFrame:
     """doc_id, pos, label and value of lines that are a label of 1 to 40 characters, a colon and a value."""
     parts = [F.regexp_extract("line", r"^\s*([^:：|]{1,40})\s*[:：]\s*(.+?)\s*$", i) for i in (1, 2)]
     return rows.select("doc_id", "pos", F.trim(parts[0]).alias("label"), parts[1].alias("value")).filter("label <> '' and value <> ''")
+
+
+def positional_diff(source: DataFrame, target: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, fills, drops and edits of two forms whose texts (key, pos, line) stand at the same places: blank to text, text to blank, and one text to another."""
+    before, after = source.select(key, "pos", F.trim("line").alias("before")), target.select(key, "pos", F.trim("line").alias("after"))
+    both = before.join(after, [key, "pos"], "full_outer").fillna("", ["before", "after"])
+    count = lambda c: F.sum(c.cast("long"))
+    was, now = F.col("before") != "", F.col("after") != ""
+    return both.groupBy(key).agg(count(~was & now).alias("fills"), count(was & ~now).alias("drops"), count(was & now & (F.col("before") != F.col("after"))).alias("edits"))
+
+
+def autofill(rows: DataFrame, aliases: Mapping[str, Sequence[str]]) -> DataFrame:
+    """doc_id, field and value: the first value of each field among a document's lines of label and value, a label naming the field of which it is an alias."""
+    names = F.create_map(*(F.lit(x) for field, words in aliases.items() for word in words for x in (normal_text(word), field)))
+    found = line_fields(rows).withColumn("field", F.try_element_at(names, normal_label(F.col("label")))).filter("field is not null")
+    return first_per_key(found, ["doc_id", "field"], ["pos"]).select("doc_id", "field", "value")

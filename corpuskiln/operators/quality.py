@@ -93,3 +93,20 @@ def evaluation(scores: DataFrame, key: str = "run", weak: float = 0.6) -> DataFr
     sections = F.transform(F.array_sort(F.collect_list(F.when(low & F.col("section").isNotNull(), F.struct("seq", "section")))), lambda x: x["section"])
     found = scores.groupBy(key).agg(F.sum("score").alias("total"), F.sum("max_score").alias("most"), F.array_distinct(sections).alias("weak_sections"))
     return found.select(key, "total", "most", F.when(F.col("most") > 0, F.bround(F.col("total") / F.col("most"), 4)).otherwise(0.0).alias("ratio"), "weak_sections")
+
+
+def criterion_scores(said: DataFrame, criteria: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, name, score and max_score of what a judge said (key, name, score) about criteria (key, name, max_score, seq).
+
+    A name is that of a criterion, else of the first one that it holds or that holds it; else it is left out. Scores are held
+    between 0 and the maximum. Criteria whose own name was not said get half of theirs, rounded down.
+    """
+    c = criteria.select(key, F.col("name").alias("criterion"), "max_score", "seq")
+    bare = said.select(key, F.trim("name").alias("name"), "score")
+    near = (F.col("name") == F.col("criterion")) | F.contains("name", F.col("criterion")) | F.contains("criterion", F.col("name"))
+    # The criteria of a call for proposals are few, so a document's names meet them all.
+    met = bare.join(c, key).filter(near)
+    best = F.row_number().over(W.partitionBy(key, "name", "score").orderBy((F.col("name") != F.col("criterion")).cast("int"), "seq"))
+    held = met.withColumn("nth", best).filter("nth = 1").select(key, "name", F.greatest(F.lit(0), F.least("score", "max_score")).cast("int").alias("score"), "max_score")
+    unsaid = c.join(held.select(key, F.col("name").alias("criterion")).distinct(), [key, "criterion"], "left_anti")
+    return held.unionByName(unsaid.select(key, F.col("criterion").alias("name"), F.floor(F.col("max_score") * 0.5).cast("int").alias("score"), "max_score"))

@@ -364,3 +364,15 @@ def test_snippet_scores_equal_all_pairs(spark):
     a = spark.createDataFrame(qs, "question_id int, tokens array<string>")
     b = spark.createDataFrame([(i, t, sorted(tokens[i])) for i, t in ss], "snippet_id int, text string, tokens array<string>")
     assert sorted(map(tuple, matching.ranked_snippets(a, b, ("표", "그림"), least=0.5).collect())) == sorted(expected)
+
+
+def test_criteria_diffs_and_autofill(spark):
+    crit = spark.createDataFrame([(1, "사업성", 20, 1), (1, "기술성 평가", 25, 2), (1, "팀", 11, 3)], "doc_id int, name string, max_score int, seq int")
+    said = spark.createDataFrame([(1, "사업성", 30), (1, "기술성", 7), (1, "모름", 9)], "doc_id int, name string, score int")
+    got = {(r.name, r.score) for r in quality.criterion_scores(said, crit).collect()}
+    assert got == {("사업성", 20), ("기술성", 7), ("기술성 평가", 12), ("팀", 5)}
+    a = spark.createDataFrame([(1, "a\n\nc\nd")], "doc_id int, text string")
+    b = spark.createDataFrame([(1, "a\nb\n\nx")], "doc_id int, text string")
+    assert [tuple(r) for r in lines.positional_diff(lines.lines(a), lines.lines(b)).collect()] == [(1, 1, 1, 1)]
+    doc = spark.createDataFrame([(1, "회사 명: 가나\n기업명: 다라\n기타: x\nTel : 02")], "doc_id int, text string")
+    assert {(r.field, r.value) for r in lines.autofill(lines.lines(doc), {"name": ["회사명", "기업명"], "phone": ["TEL"]}).collect()} == {("name", "가나"), ("phone", "02")}
