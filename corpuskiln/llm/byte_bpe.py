@@ -115,6 +115,7 @@ def _distinct(tokens: list[bytes]):
             for docs in pieces(batch, "text", BLOCK_BYTES):
                 found = pretokens(docs.column(0)).vocabulary
                 yield pa.RecordBatch.from_arrays([_latin(found.filter(pa.array(_unknown(found, known))))], names=["word"])
+            release()
 
     return run
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln.llm.storage import durable
-from corpuskiln.llm.words import ALNUM, lists, pieces, split_words
+from corpuskiln.llm.words import ALNUM, lists, pieces, release, split_words
 
 #: Free positions between documents, and so the largest slop of a proximity match.
 GAP = 64
@@ -61,6 +61,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs in pieces(batch, "text", BLOCK_BYTES):
             yield _index_block(f"{task}-{n}", docs)
             n += 1
+        release()
 
 
 def build_index(docs: DataFrame, doc_id: str | Column = "doc_id", text: str = "text") -> DataFrame:

@@ -173,6 +173,7 @@ def _sets(width: int):
                     sets = shingle_sets(docs.column(1), width)
                     offsets = np.append(0, np.cumsum([len(s) for s in sets]))
                     yield pa.RecordBatch.from_arrays([docs.column(0), lists(pa.array(np.concatenate([np.sort(s.view(np.int64)) for s in sets])), offsets)], names=["rep", "shingles"])
+                release()
 
     return run
 

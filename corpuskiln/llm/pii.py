@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from corpuskiln.llm.storage import durable, quoted
+from corpuskiln.llm.words import release
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that are found beside the base ones.
@@ -155,6 +156,7 @@ def _scan(reach: int):
                 terms.append(sorted({w.lower() for w in WORD.findall(text)}) if found else [])
             keys = [hashlib.md5((t or "").encode()).digest() for t in rows.text]
             yield pd.DataFrame({"doc_id": rows.doc_id.astype("Int64"), "text_key": keys, "base": base, "more": more, "near": near, "entities": names, "terms": terms})
+            release()
 
     return run
 
@@ -267,6 +269,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = max(at, p["end"])
             out.append("".join(parts) + text[at:])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "text"])
+        release()
 
 
 def sanitise(docs: DataFrame, reach: int = 8, generalise: float = 0.7, remove: float = 0.9, support: int = 3) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpuskiln.llm.pretokens import letter_words
 from corpuskiln.llm.storage import durable
-from corpuskiln.llm.words import pieces
+from corpuskiln.llm.words import pieces, release
 
 #: The bound: labelled texts that are learned from; all their terms that pass the tests below are kept.
 TRAINING_DOCS = 20_000
@@ -281,6 +281,7 @@ def _score(lexicon: Lexicon, threshold: float):
                 z = np.array([v @ lexicon.weights[p] + lexicon.bias for p, v in (features(x, lexicon.beginning) for x in look(docs.column(2), lexicon))])
                 score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 yield pa.RecordBatch.from_arrays([docs.column(0), docs.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            release()
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -68,8 +69,10 @@ def lookup(terms: pa.Array) -> tuple[Lookup, np.ndarray]:
 
 
 def release() -> None:
-    """Gives memory that Arrow has freed back to the system, so that a worker kept for later tasks does not hold it."""
+    """Gives memory that Arrow and the C library have freed back to the system, so that a worker kept for later tasks does not hold it."""
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def pieces(batch: pa.RecordBatch, column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
