@@ -148,30 +148,43 @@ def model_of(counts: DataFrame, languages: list[str]) -> Model:
     return Model(languages, scores(by_word, pa.large_binary()), ngrams)
 
 
-def _predict(model: Model):
+def _told(model: Model, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The language and score of each text."""
     k = len(model.languages)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for docs in pieces(batch, "text", BYTES):
-                words = letter_words(docs.column(1))
-                table = np.zeros((len(words.vocabulary), k))
-                place = model.words.places(words.vocabulary)
-                table[place >= 0] = model.words.values[place[place >= 0]]
-                fresh = pa.array(place < 0)
-                table[place < 0] = model.unseen([w.decode() for w in words.vocabulary.filter(fresh).to_pylist()])
-                sums = np.vstack([np.zeros((1, k)), np.cumsum(table[words.codes], axis=0)])
-                totals = sums[words.offsets[1:]] - sums[words.offsets[:-1]]
-                some = (np.diff(words.offsets) > 0) & (k > 0)
-                langs, score = [UNDETERMINED] * docs.num_rows, np.zeros(docs.num_rows)
-                if k:
-                    best = totals.argmax(1)
-                    score = np.where(some, 1 / np.exp(totals - totals.max(1, keepdims=True)).sum(1), 0.0)
-                    langs = [model.languages[b] if s else UNDETERMINED for b, s in zip(best, some, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(docs.column(i) for i in range(docs.num_columns) if i != 1), pa.array(langs), pa.array(score)], names=[*(n for n in docs.schema.names if n != "text"), "lang_pred", "score"])
+    words = letter_words(texts)
+    table = np.zeros((len(words.vocabulary), k))
+    place = model.words.places(words.vocabulary)
+    table[place >= 0] = model.words.values[place[place >= 0]]
+    fresh = pa.array(place < 0)
+    table[place < 0] = model.unseen([w.decode() for w in words.vocabulary.filter(fresh).to_pylist()])
+    sums = np.vstack([np.zeros((1, k)), np.cumsum(table[words.codes], axis=0)])
+    totals = sums[words.offsets[1:]] - sums[words.offsets[:-1]]
+    some = (np.diff(words.offsets) > 0) & (k > 0)
+    langs, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    if k:
+        best = totals.argmax(1)
+        score = np.where(some, 1 / np.exp(totals - totals.max(1, keepdims=True)).sum(1), 0.0)
+        langs = [model.languages[b] if s else UNDETERMINED for b, s in zip(best, some, strict=True)]
+    return pa.array(langs, pa.string()), pa.array(score, pa.float64())
+
+
+TOLD = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+
+
+def told(model: Model, text: Column) -> Column:
+    """struct<lang_pred, score> of a text; only the texts go to the Python workers, and only this comes back."""
+
+    @F.arrow_udf(TOLD)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+            found = [_told(model, part.column(0)) for part in pieces(batch, "text", BYTES)]
+            langs, score = (pa.concat_arrays([f[i] for f in found] or [pa.array([], kind)]) for i, kind in enumerate((pa.string(), pa.float64())))
+            yield pa.StructArray.from_arrays([langs, score], names=["lang_pred", "score"])
             release()
 
-    return run
+    # Else the optimiser would run it once in a filter and again in the projection below.
+    return run.asNondeterministic()(text)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -180,8 +193,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     A text that is null or has no letters is `und` with a score of 0, and so is every text if the model has no language.
     Ties go to the language first in order. Rows are scored one by one, whatever their ids; other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), told(model, F.col("text")).alias("told"))
+    return rows.select("doc_id", "held_out", "told.lang_pred", "told.score")
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -191,8 +204,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
     repeated rows stay or go alike, whatever their ids. All columns are carried along, whatever their names; lang may be missing.
     """
     names = docs.columns
-    rows = docs.select(F.struct(*map(quoted, names)).alias("row"), "text")
-    scored = rows.mapInArrow(_predict(model), StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
-    kept = scored.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    scored = docs.select(F.struct(*map(quoted, names)).alias("row"), told(model, docs["text"]).alias("told"))
+    kept = scored.filter((F.col("told.lang_pred") != UNDETERMINED) & (F.col("told.score") >= least))
     own = F.col("row").getField
-    return kept.select(*((F.coalesce(own(c), "lang_pred") if c == "lang" else own(c)).alias(c) for c in names))
+    return kept.select(*((F.coalesce(own(c), "told.lang_pred") if c == "lang" else own(c)).alias(c) for c in names))
