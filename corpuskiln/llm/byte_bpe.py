@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from corpuskiln.llm.pretokens import pretokens
 from corpuskiln.llm.storage import durable
-from corpuskiln.llm.words import Lookup, lists, lookup, pieces, release
+from corpuskiln.llm.words import Lookup, lists, lookup, pieces, release, tidy
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 2 << 20
@@ -245,6 +245,7 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
     shared, order = lookup(often.column("word").combine_chunks().cast(pa.string()))
     shared_ids = often.column("ids").combine_chunks().cast(pa.list_(pa.int32())).take(pa.array(order))
     del often
+    tidy()
     blocks = rows.mapInArrow(_blocks(tokens, shared), BLOCK_SCHEMA)
     folded = blocks.withColumn("folded", F.transform("fresh", lambda w: merged(w, ranks))).drop("fresh")
     return folded.mapInArrow(_assemble(tokens, shared_ids, with_ids), ENCODED_SCHEMA + ", ids array<int>" * with_ids)

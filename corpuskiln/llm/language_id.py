@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from corpuskiln.llm.pretokens import letter_words
 from corpuskiln.llm.storage import durable, quoted
-from corpuskiln.llm.words import Lookup, lookup, pieces, release
+from corpuskiln.llm.words import Lookup, lookup, pieces, release, tidy
 
 #: The bound of the model: labelled documents of each language it is fitted on; all their words and n-grams are kept. The longest n-gram.
 TRAINING_DOCS, LONGEST = 5_000, 4
@@ -145,7 +145,9 @@ def model_of(counts: DataFrame, languages: list[str]) -> Model:
         grams = F.when(F.char_length("piece") >= size, F.transform(starts, lambda i: F.substring("piece", i, F.lit(size))))
         table = by_word.select(F.explode(overlapping).alias("piece"), *numbers).select(F.explode(grams).alias("gram"), *numbers).groupBy("gram").agg(F.count("*").alias("words"), *again).drop("words")
         ngrams.append(scores(table, pa.string()))
-    return Model(languages, scores(by_word, pa.large_binary()), ngrams)
+    model = Model(languages, scores(by_word, pa.large_binary()), ngrams)
+    tidy()
+    return model
 
 
 def _told(model: Model, texts: pa.Array) -> tuple[pa.Array, pa.Array]:

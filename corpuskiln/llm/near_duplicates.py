@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln.llm.storage import durable, quoted
-from corpuskiln.llm.words import SPACED, lists, pieces, release, split_words
+from corpuskiln.llm.words import SPACED, lists, pieces, release, split_words, tidy
 
 CHUNKS, SYMBOLS, ERRORS = 16, 6, 1
 #: The signature-distance threshold of the join, in symbols: of pairs at a similarity of exactly 0.8, fewer than one in 10**8 is farther apart.
@@ -351,6 +351,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", tex
     by_class = classes.select("set_key", "rep", F.col("source.doc_id").alias("least")).join(found.withColumnRenamed("node", "rep"), "rep", "left")
     least = by_class.filter("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
     by_set = by_class.join(least, "component", "left").select("set_key", F.coalesce("component_id", "least").alias("component_id"))
+    tidy()
     placed = signed.join(by_set, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return placed.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,6 +76,12 @@ def release() -> None:
         trim(0)
 
 
+def tidy() -> None:
+    """On the driver, after an operator: collects what it has left behind, the handles of its tables too, and gives the memory back."""
+    gc.collect()
+    release()
+
+
 def pieces(batch: pa.RecordBatch, column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of the batch's rows with about `size` bytes of text each; a row is never cut."""
     lengths = np.nan_to_num(np.asarray(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=float))
