@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskiln.llm import byte_bpe, decontamination, language_id, near_duplicates, pii, sharding, token_counts, topk, toxicity, warc
+from corpuskiln.llm import byte_bpe, decontamination, language_id, near_duplicates, pii, secret_scan, sharding, token_counts, topk, toxicity, warc
 from corpuskiln.sources.tables import table
 
 
@@ -63,6 +63,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: those of fixed shapes, and strings of high entropy."""
+    return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_decontamination": op2_decontamination,
@@ -74,6 +79,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -81,7 +87,57 @@ _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _SPACED = rf"list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+
+
+def _places(name: str, pattern: str, group: int = 0) -> str:
+    """SQL of `name`: the matches m of a pattern, with their start, their group g and up to 24 characters before them."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+        {name}_f AS (
+            SELECT doc_id, regexp_extract_all(t, '{quoted}') AS f, regexp_extract_all(t, '{quoted}', {group}) AS g, string_split_regex(t, '{quoted}') AS gaps
+            FROM d WHERE regexp_matches(t, '{quoted}')),
+        {name} AS (
+            SELECT doc_id, f[i] AS m, g[i] AS g, gaps[i][-24:] AS before,
+                   cast(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS bigint) AS start
+            FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM {name}_f))"""
+
+
+def _hot(k: secret_scan.CharacterClass) -> str:
+    """SQL of the hot spans of a character class."""
+    symbol = "lower(m)" if k.folded else "m"
+    known = " OR ".join(f"regexp_full_match(m, '{p}')" for p in secret_scan.ALLOWED)
+    return f"""
+        {_places(k.kind + "_c", k.pattern)},
+        {k.kind}_w AS (
+            SELECT doc_id, start, i, string_split({symbol}[i + 1:i + {k.window}], '') AS w
+            FROM (SELECT *, unnest(range(0, length(m) - {k.window} + 1)) AS i FROM {k.kind}_c WHERE NOT ({known} OR regexp_matches(before, '{secret_scan.ALLOWED_AFTER}')))),
+        {k.kind}_h AS (
+            SELECT doc_id, start, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id, start ORDER BY i), -1000) >= {k.window} AS fresh
+            FROM {k.kind}_w
+            WHERE list_sum(list_transform(list_distinct(w), lambda c: cast(round(1000000 * len(list_filter(w, lambda x: x = c)) * log2(len(list_filter(w, lambda x: x = c)))) AS bigint))) <= {k.largest_sum}),
+        {k.kind}_i AS (SELECT *, sum(cast(fresh AS int)) OVER (PARTITION BY doc_id, start ORDER BY i) AS island FROM {k.kind}_h),
+        {k.kind} AS (
+            SELECT doc_id, start + min(i) AS a, start + max(i) + {k.window} AS b, '{k.kind}' AS kind
+            FROM {k.kind}_i GROUP BY doc_id, start, island)"""
+
+
+def _secrets() -> str:
+    base = ", ".join(_places(kind, pattern, group) for kind, (pattern, group, _) in secret_scan.BASE.items())
+    rows = " UNION ALL ".join(f"SELECT doc_id, start AS a, start + length(m) AS b, '{kind}' AS kind, {i} AS r FROM {kind} WHERE length(g) >= {least}" for i, (kind, (_, _, least)) in enumerate(secret_scan.BASE.items()))
+    added = " UNION ALL ".join(f"SELECT doc_id, a, b, kind, 3 AS r FROM {k.kind}" for k in secret_scan.CLASSES)
+    digest = "string_agg(concat_ws(':', kind, a, b), ',' ORDER BY a, r, kind)"
+    counts = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secret_scan.BASE)
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {base}, {", ".join(map(_hot, secret_scan.CLASSES))},
+        s AS ({rows} UNION ALL {added}),
+        g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secret_scan.BASE)}, count(*) FILTER (r = 3) AS n_entropy,
+                     {digest} FILTER (r < 3) AS base, {digest} AS spans FROM s GROUP BY doc_id)
+        SELECT d.doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy
+        FROM d LEFT JOIN g USING (doc_id)"""
+
+
 ORACLES = {
+    "op13_secret_scan": _secrets(),
     "op3_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS double)) AS double)) AS v
