@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskiln.llm import byte_bpe, decontamination, language_id, near_duplicates, pii, secret_scan, sharding, token_counts, topk, toxicity, warc
+from corpuskiln.llm import byte_bpe, decontamination, language_id, lexical, near_duplicates, pii, secret_scan, sharding, token_counts, topk, toxicity, warc
 from corpuskiln.sources.tables import table
 
 
@@ -63,6 +63,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that rank highest for every benchmark item."""
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 50)
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets: those of fixed shapes, and strings of high entropy."""
     return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
@@ -79,6 +84,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_lexical_search": op11_lexical_search,
     "op13_secret_scan": op13_secret_scan,
 }
 
@@ -136,7 +142,22 @@ def _secrets() -> str:
         FROM d LEFT JOIN g USING (doc_id)"""
 
 
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 ORACLES = {
+    "op11_lexical_search": f"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '{_TERMS}') AS w FROM documents),
+        b AS (SELECT item_id, row_number() OVER () AS q, regexp_extract_all({_LOWER}, '{_TERMS}') AS w FROM benchmark),
+        c AS (SELECT count(*) AS n, cast(sum(len(w)) AS bigint) AS l FROM d WHERE len(w) > 0),
+        t AS (SELECT r, x, count(*) AS tf FROM (SELECT r, unnest(w) AS x FROM d) GROUP BY r, x),
+        asked AS (SELECT DISTINCT q, x FROM (SELECT q, unnest(w) AS x FROM b)),
+        v AS (SELECT x, cast(floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1))) AS bigint) AS weight FROM t, c WHERE x IN (SELECT x FROM asked) GROUP BY x),
+        m AS (SELECT r, 100 - 50 + ((50 * len(w) * n) // l) AS m FROM d, c WHERE len(w) > 0),
+        s AS (
+            SELECT q, r, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS bigint) AS score
+            FROM asked JOIN v USING (x) JOIN t USING (x) JOIN m USING (r) GROUP BY q, r),
+        o AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s JOIN d USING (r) JOIN b USING (q) WHERE score > 0)
+        SELECT item_id, cast(rank AS integer) AS rank, doc_id, score FROM o WHERE rank <= 50""",
     "op13_secret_scan": _secrets(),
     "op3_topk": """
         WITH v AS (

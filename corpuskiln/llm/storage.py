@@ -29,11 +29,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/corpuskiln/{label}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def durable(df: DataFrame, label: str, compression: str = "snappy", **options: object) -> DataFrame:
     """`df` written to the shared folder and read again: its lineage is cut, and lost executors lose nothing.
 
     The folders stay until the shared folder is emptied; they may be removed once the results are written.
     """
     path = new_path(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(compression=compression, **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
