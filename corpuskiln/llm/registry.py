@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuskiln.llm import byte_bpe, decontamination, language_id, lexical, near_duplicates, pii, secret_scan, sharding, token_counts, topk, toxicity, warc
+from corpuskiln.llm import byte_bpe, decontamination, hard_negatives, language_id, lexical, near_duplicates, pii, secret_scan, sharding, token_counts, topk, toxicity, warc
 from corpuskiln.sources.tables import table
 
 
@@ -68,6 +69,13 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 50)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every 100th embedding, where every 7th carries the label after its own."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets: those of fixed shapes, and strings of high entropy."""
     return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
@@ -85,6 +93,7 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_lexical_search": op11_lexical_search,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_secret_scan": op13_secret_scan,
 }
 
@@ -145,6 +154,22 @@ def _secrets() -> str:
 _TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 ORACLES = {
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, row_number() OVER () AS r,
+                   list_transform(embedding, lambda x: cast(floor(256 * cast(x AS double)) AS double)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.r AS a, a.vec_id AS anchor_id, c.r AS c, c.vec_id, a.label = c.label AS same, cast(list_dot_product(a.v, c.v) AS bigint) AS score
+            FROM v a JOIN v c ON a.r <> c.r WHERE a.vec_id % 100 = 0),
+        p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS nth FROM s WHERE same),
+        n AS (
+            SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.a, p.nth ORDER BY s.score DESC, s.vec_id) AS rank
+            FROM p JOIN s ON p.a = s.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+            WHERE p.nth <= 5)
+        SELECT anchor_id, positive_id, cast(rank AS integer) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
     "op11_lexical_search": f"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '{_TERMS}') AS w FROM documents),
         b AS (SELECT item_id, row_number() OVER () AS q, regexp_extract_all({_LOWER}, '{_TERMS}') AS w FROM benchmark),

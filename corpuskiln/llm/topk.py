@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,11 +30,11 @@ RESCORED = 1 / 64
 LOW_BITS, LARGEST = 62, 2**124
 
 
-def quantised(vectors: DataFrame, scale: int, vec_id: str, embedding: str) -> DataFrame:
-    """vec_id and v (array<long>, floor(scale * x) of each component) of the vectors without null or non-finite components."""
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("x"))
+def quantised(vectors: DataFrame, scale: int, vec_id: str, embedding: str, *more: Column) -> DataFrame:
+    """vec_id, v (array<long>, floor(scale * x) of each component) and `more` of the vectors without null or non-finite components."""
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("x"), F.struct(F.lit(0).alias("0"), *more).alias("more"))
     sound = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.filter(F.col("x").isNotNull() & F.col("vec_id").isNotNull() & sound).select("vec_id", F.transform("x", lambda x: F.floor(x * scale)).alias("v"))
+    return rows.filter(F.col("x").isNotNull() & F.col("vec_id").isNotNull() & sound).select("vec_id", F.transform("x", lambda x: F.floor(x * scale)).alias("v"), "more.*").drop("0")
 
 
 INDEX_SCHEMA = "block int, level int, width int, ids array<long>, rows array<long>, starts array<int>, dims array<int>, values array<long>, below array<double>"

@@ -17,6 +17,7 @@ COLUMNS = {
     "op8_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
     "op9_near_duplicates": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
     "op11_lexical_search": "item_id bigint, rank int, doc_id bigint, score bigint",
+    "op12_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
     "op13_secret_scan": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_entropy bigint",
     "op10_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
 }
