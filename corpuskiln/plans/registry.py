@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from corpuskiln.plans import forms, records, sft, texts
+from corpuskiln.plans import forms, records, resumes, sft, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (sft, texts, records, forms):
+for _module in (sft, texts, records, forms, resumes):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
