@@ -104,8 +104,8 @@ def amount_in_won(text: Column) -> Column:
 
 
 def leading_number(text: Column) -> Column:
-    """The first number, units ignored; null without one."""
-    return _number(F.regexp_replace(text, ",", ""), "")
+    """The first number, units ignored; 0 without one and for null."""
+    return F.coalesce(_number(F.regexp_replace(F.coalesce(text, F.lit("")), ",", ""), ""), F.lit(0.0))
 
 
 def clip(text: Column, most: int) -> Column:

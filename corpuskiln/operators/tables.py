@@ -74,3 +74,30 @@ def without_guide_rows(found: DataFrame, is_guide: Column) -> DataFrame:
     whole = F.min(F.col("guide") | F.col("blank")).over(in_table) & F.max("guide").over(in_table)
     gone = by_row.withColumn("whole", whole).filter(F.col("guide") | F.col("whole")).select(*TABLE, "row")
     return found.join(gone, [*TABLE, "row"], "left_anti")
+
+
+def vertical_cards(found: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """doc_id, table, row, col, key, label and value of the cards whose labels stand above their values.
+
+    synonyms: alias and cluster, as label keys. A row is a card's header if two or more of its cells are not blank and all of
+    those are labels of clusters of their own. The row below has its values: it must have as many cells, and none of its cells
+    below a label may be a label itself. If the row after that, with as many cells, has any cell below a label that is neither
+    blank nor a label, the table is a roster of several records and gives nothing. Blank values are left out.
+    """
+    aliases = synonyms.select(F.col("alias").alias("key"), "cluster").dropDuplicates(["key"])
+    keyed = found.withColumn("cell", bare(F.col("cell"))).withColumn("key", label_key(F.col("cell"))).join(aliases, "key", "left")
+    one = F.struct("col", "cell", "key", "cluster")
+    rows = keyed.groupBy(*TABLE, "row").agg(F.array_sort(F.collect_list(one)).alias("cells"))
+    order = W.partitionBy(*TABLE).orderBy("row")
+    rows = rows.withColumns({"below": F.lead("cells", 1).over(order), "after": F.lead("cells", 2).over(order)})
+    filled = F.transform(F.filter(F.transform("cells", lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda x: x["c"]["cell"] != ""), lambda x: x)
+    rows = rows.withColumn("labels", filled)
+    clusters = F.transform("labels", lambda x: x["c"]["cluster"])
+    is_header = (F.size("labels") >= 2) & F.forall(clusters, lambda c: c.isNotNull()) & (F.size(F.array_distinct(clusters)) == F.size("labels"))
+    under = lambda cells, x: F.get(F.col(cells), x["i"])
+    labelled = F.exists("labels", lambda x: (under("below", x)["cell"] != "") & under("below", x)["cluster"].isNotNull())
+    roster = (F.size("after") == F.size("cells")) & F.exists("labels", lambda x: (under("after", x)["cell"] != "") & under("after", x)["cluster"].isNull())
+    cards = rows.filter(is_header & (F.size("below") == F.size("cells")) & ~labelled & ~F.coalesce(roster, F.lit(False)))
+    pairs = F.transform("labels", lambda x: F.struct(x["c"]["col"].alias("col"), x["c"]["key"].alias("key"), x["c"]["cell"].alias("label"), under("below", x)["cell"].alias("value")))
+    out = cards.select(*TABLE, "row", F.explode(pairs).alias("x")).select(*TABLE, "row", "x.*")
+    return out.filter("value <> '' and key <> ''")

@@ -58,7 +58,7 @@ def test_labels(say, spark):
 def test_amounts_and_numbers(say):
     assert say(text.amount_in_won, ["1조 2억", "3만", "1,500", "없음", None]) == [1_000_200_000_000.0, 30_000.0, 1500.0, 0.0, 0.0]
     assert say(parsing.amount_in_hundred_millions, ["1조 2억", "1,644억원", "2조", "100,000,000", "1234", "x", None]) == [2.0, 1644.0, 20000.0, 1.0, 1234.0, 0.0, 0.0]
-    assert say(text.leading_number, ["약 1,200명", "없음", None]) == [1200.0, None, None]
+    assert say(text.leading_number, ["약 1,200명", "없음", None]) == [1200.0, 0.0, 0.0]
     found = say(parsing.stated_numbers, ["매출 10억원, 고용: 5명, 수출 3억원", "하나 1명", None])
     assert [[(x["label"], x["value"], x["unit"]) for x in row] for row in found] == [[("매출", 10.0, "억원"), ("수출", 3.0, "억원")], [], []]
     assert say(parsing.criteria, ["차별성 및 경쟁력 (20점) 기타 (3) 총점(200)"])[0][0]["max_score"] == 20
