@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from corpuskiln.plans import contracts, forms, records, resumes, sft, texts
+from corpuskiln.plans import contracts, forms, records, resumes, sft, templates, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (sft, texts, records, forms, resumes, contracts):
+for _module in (sft, texts, records, forms, resumes, contracts, templates):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
