@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpuskiln.functions.text import said_once
+
 #: Units of numbers, and what lines of announcements and scores look like.
 UNITS = "%|％|억원|억|조|만원|백만원|천원|원|명|건|개|배|점|위|년"
 ANNOUNCED = {
@@ -96,12 +98,7 @@ def match_text(text: Column) -> Column:
     """A text for comparing: single spaces, plain dashes, and one half of a text of 16 or more characters that says the same twice (up to two times)."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\p{Z}]+", " ")
     out = F.regexp_replace(F.regexp_replace(out, "^ | $", ""), "[–—‑]", "-")
-    for _ in range(2):
-        n = F.char_length(out)
-        half = (n / 2).cast("int")
-        left, right = F.trim(F.substring(out, F.lit(1), half)), F.trim(F.substring(out, half + 1, n))
-        out = F.when((n >= 16) & (n % 2 == 0) & (left != "") & (left == right), left).otherwise(out)
-    return out
+    return said_once(out, 16)
 
 
 def holds_anchor(text: Column, anchor: Column) -> Column:

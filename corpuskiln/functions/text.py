@@ -20,6 +20,23 @@ SECRETS = {
 }
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def said_once(text: Column, least: int) -> Column:
+    """A text of `least` characters or more, and of an even number, whose halves say the same but for spaces at their ends: one of them. For up to two rounds."""
+
+    def halved(t: Column) -> Column:
+        n = F.char_length(t)
+        half = F.floor(n / 2).cast("int")
+        left, right = F.trim(F.substring(t, F.lit(1), half)), F.trim(F.substring(t, half + 1, n))
+        return F.when((n >= least) & (n % 2 == 0) & (left != "") & (left == right), left).otherwise(t)
+
+    return let(let(text, halved), halved)
+
+
 def label_key(label: Column) -> Column:
     """A label without parentheses, white space and, in two passes, leading bullets and one ordinal; whole if no word is left."""
     bare = F.regexp_replace(F.regexp_replace(label, r"\([^)]*\)", ""), r"(?U)\s+", "")

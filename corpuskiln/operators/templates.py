@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType
 
 from corpuskiln.functions.parsing import holds_anchor
 from corpuskiln.functions.predicates import bare, is_guide
+from corpuskiln.functions.text import said_once
 
 #: What numbers a heading, and lines of signs only.
 NUMBERED = r"^((\p{Nd}+[.)])|([IVX]+\.)|([가-하]\.)|([A-Z]\.)|([①-⑮]))[\s\p{Z}]*.+"
@@ -51,13 +52,7 @@ def single_spaced(text: Column) -> Column:
 
 def heading_text(text: Column, least: int = 20) -> Column:
     """A heading with single spaces; one of `least` characters or more that says the same twice says it once, for up to two rounds."""
-    out = single_spaced(text)
-    for _ in range(2):
-        n = F.char_length(out)
-        half = F.floor(n / 2).cast("int")
-        left, right = F.trim(F.substring(out, F.lit(1), half)), F.trim(F.substring(out, half + 1, n))
-        out = F.when((n >= least) & (n % 2 == 0) & (left != "") & (left == right), left).otherwise(out)
-    return out
+    return said_once(single_spaced(text), least)
 
 
 def _slug(text: str) -> str:

@@ -15,7 +15,7 @@ def paragraphs(spark, docs):
 
 def test_sections_open_where_their_heading_stands_first(spark):
     long = "이 문단은 여덟 단어가 넘는 문장이라서 제목이 될 수 없고 절을 열지 않는 본문으로 남아야만 한다 그래서 아무 일도 없다"
-    xs = ["1. 사업  개요", long, "□ 개인정보 동의서", "1. 사업 개요", "◦ ●", " ", None, "담당자 확인", "가나다라마바사아자차 가나다라마바사아자차", "목표", f"{long}:", "Über Straße"]
+    xs = ["1. 사업  개요", long, "□ 개인정보 동의서", "1. 사업 개요", "◦ ●", " ", None, "담당자 확인", "가나다라마바사아자차가나다라마바사아자차", "목표", f"{long}:", "Über Straße"]
     found = [(r.pos, r.field_id, r.label, r.required, r.excluded) for r in templates.sections(paragraphs(spark, {1: xs})).orderBy("pos").collect()]
     assert [f[0] for f in found] == [0, 2, 8, 9, 10, 11]
     assert found[0][1:] == ("section_001_1", "1. 사업 개요", True, False)
