@@ -49,6 +49,9 @@ SECRET = re.compile(
     r"|\b(?P<shape>sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{30,}|gh[pousr]_[A-Za-z0-9]{30,}|(?:AKIA|ASIA)[0-9A-Z]{16}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)"
     r"|(?P<block>-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)"
 )
+#: Parts of which every secret has one; a text without any is not searched.
+SECRET_NAMES = ("token", "secret", "passw", "api", "access", "auth")
+SECRET_SHAPES = ("sk-", "AIza", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "AKIA", "ASIA", "xox", "eyJ", "-----BEGIN ")
 #: What an entity, or a term that must be removed or made general, is replaced by.
 PLACES = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "removed": "", "general": "[TERM]"}
 
@@ -95,14 +98,18 @@ def entities(text: str) -> list[tuple[int, str, int, str]]:
 
 def secrets(text: str) -> list[tuple[int, str, int, str]]:
     """(start, kind, end, entity) of the secrets in a text, by start."""
+    lower = text.lower()
+    if not any(x in lower for x in SECRET_NAMES) and not any(x in text for x in SECRET_SHAPES):
+        return []
     return [(m.start(m.lastgroup), "secret", m.end(m.lastgroup), m[m.lastgroup]) for m in SECRET.finditer(text)]
 
 
 def near_terms(text: str, found: list[tuple[int, str, int, str]], reach: int) -> Iterator[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words within `reach` words of each entity and outside all entities."""
-    starts, busy = [x[0] for x in found], []
-    for x in found:
-        busy.append(max(busy[-1] if busy else 0, x[2]))
+    """(entity, term, start, end) of the words within `reach` words of each entity and outside all entities, and outside the names that secrets are assigned to."""
+    taken = sorted([(a, b) for a, _, b, _ in found] + [m.span() for m in SECRET.finditer(text)])
+    starts, busy = [x[0] for x in taken], []
+    for x in taken:
+        busy.append(max(busy[-1] if busy else 0, x[1]))
 
     def inside(a: int, b: int) -> bool:
         i = bisect_right(starts, b - 1)
@@ -190,10 +197,13 @@ def disclosing(docs: DataFrame, scanned: DataFrame, generalise: float = 0.7, rem
     met = _under_classes(scanned.select("text_key", "near")).select("text_key", "entity", "term").distinct()
     pairs = durable(met.groupBy("entity", "term").agg(F.count("*").alias("texts")).filter(F.col("texts") >= support).select("entity", "term"), "supported")
     few_pairs = pairs.count() <= FEW_NAMES
+    # Equal texts have equal entities and terms, so each is taken once, with the number of its rows.
+    texts = scanned.filter(F.size("entities") > 0).groupBy("text_key").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    texts = durable(texts, "texts")
     names = F.array_distinct(F.flatten(F.transform("entities", classes)))
     entities_ = pairs.select("entity").distinct()
-    with_entity = scanned.select(F.explode(names).alias("entity")).join(F.broadcast(entities_) if few_pairs else entities_, "entity", "left_semi")
-    with_entity = with_entity.groupBy("entity").agg(F.count("*").alias("with_entity"))
+    named = texts.select("text_key", "n", F.explode(names).alias("entity")).join(F.broadcast(entities_) if few_pairs else entities_, "entity", "left_semi")
+    with_entity = named.groupBy("entity").agg(F.sum("n").alias("with_entity"))
     terms = durable(pairs.select("term").distinct(), "terms")
     few = terms.count() <= 1_000_000
 
@@ -202,8 +212,9 @@ def disclosing(docs: DataFrame, scanned: DataFrame, generalise: float = 0.7, rem
 
     words = F.array_distinct(F.transform(F.split(F.col(text), r"[^\p{L}]+"), lambda w: F.lower(w)))
     with_term = asked(docs.select(F.explode(words).alias("term"))).groupBy("term").agg(F.count("*").alias("with_term"))
-    both = asked(scanned.filter(F.size("entities") > 0).select(names.alias("names"), F.explode("terms").alias("term"))).select(F.explode("names").alias("entity"), "term")
-    together = both.join(F.broadcast(pairs) if few_pairs else pairs, ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count("*").alias("together"))
+    # From the terms of a text to the entities that they are paired with, and from those to the text's own: never all of its names by all of its terms.
+    both = texts.select("text_key", "n", F.explode("terms").alias("term")).join(F.broadcast(pairs) if few_pairs else pairs, "term")
+    together = both.join(named.select("text_key", "entity"), ["text_key", "entity"], "left_semi").groupBy("entity", "term").agg(F.sum("n").alias("together"))
     pmi = F.log2(F.lit(float(total)) * F.col("together") / (F.col("with_entity") * F.col("with_term")))
     own = F.log2(F.lit(float(total)) / F.col("with_entity"))
     share = F.when(own > 0, pmi / own)

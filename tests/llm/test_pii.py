@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -137,3 +138,39 @@ def test_secrets_are_spans_of_their_own_and_replaced(spark):
     clean = pii.sanitise(docs)
     assert clean.columns == docs.columns
     assert {r.doc_id: r.text for r in clean.collect()} == {1: 'token = "[SECRET]" ok', 2: rows[1][1], 3: "key [SECRET] end", 4: None}
+
+
+def test_names_of_secrets_are_no_terms(spark):
+    docs = spark.createDataFrame([(i, f'report {i} token = "{i:08d}0b96a8c8d79c4a5085c919698889f59b" ok', "en", "s", 1) for i in range(6)] + [(100 + i, f"plain report {i}", "en", "s", 1) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert pii.disclosing(docs, pii.scan(docs)).filter("term = 'token'").count() == 0
+
+
+def test_the_search_for_secrets_is_skipped_only_without_any():
+    rng = random.Random(9)
+    parts = ["Token", "API_KEY", "access-key", "x_auth", "passwd", "PassWord", "=", ":", " ", '"', "a1b2c3d4e5", "sk-", "ghp_", "AKIA", "xoxb-", "A1" * 20, "eyJ", ".", "-----BEGIN PRIVATE KEY-----", "secret"]
+    found = 0
+    for _ in range(5000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 8)))
+        expected = [(m.start(m.lastgroup), m.end(m.lastgroup)) for m in pii.SECRET.finditer(text)]
+        assert [(a, b) for a, _, b, _ in pii.secrets(text)] == expected
+        found += len(expected)
+    assert found > 500
+
+
+def test_counts_of_disclosure_equal_a_plain_count(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        words = rng.choices(["alpha", "beta", "gamma", "delta"], k=6)
+        if rng.random() < 0.5:
+            words.insert(rng.randint(0, 6), rng.choice(["a.b@example.org", "c@example.org", "10.0.0.1", "10.0.0.2"]))
+        rows.append((i, " ".join(words), "en", "s", 1))
+    rows += [(200 + i, rows[3][1], "en", "s", 1) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    shares = {(r.entity, r.term): r.share for r in pii.disclosing(docs, pii.scan(docs), generalise=-100.0).collect()}
+    assert len(shares) > 20
+    names = {"a.b@example.org": {"email:a.b@example.org", "email", "email@example.org", "email local a", "email local b"}, "c@example.org": {"email:c@example.org", "email", "email@example.org", "email local c"}, "10.0.0.1": {"ip:10.0.0.1", "ip", "ip prefix 10.0"}, "10.0.0.2": {"ip:10.0.0.2", "ip", "ip prefix 10.0"}}
+    held = [(set().union(*(names[w] for w in t.split() if w in names)), set(w for w in t.split() if w not in names)) for _, t, *_ in rows]
+    for (entity, term), share in shares.items():
+        e, t, both = (sum(1 for x in held if ok(x)) for ok in (lambda x: entity in x[0], lambda x: term in x[1], lambda x: entity in x[0] and term in x[1]))
+        assert abs(share - math.log2(len(rows) * both / (e * t)) / math.log2(len(rows) / e)) < 1e-9
