@@ -157,7 +157,8 @@ def label_model(table: np.ndarray, rate: float, rounds: int = 100) -> np.ndarray
     """The posterior of class 1 for each row of votes (1, -1, 0), by expectation maximisation.
 
     Each voter has its own chances of voting 1, -1 and 0 in either class. Voters that go together within the classes count
-    less: each one's evidence is divided by the sum of its absolute correlations, within classes, with all voters.
+    less: each one's evidence is divided by the square root of the sum of its absolute correlations, within classes, with all
+    voters.
     """
     patterns, at, n = np.unique(table, axis=0, return_inverse=True, return_counts=True)
     at = at.ravel()
@@ -245,13 +246,16 @@ def _looks(lexicon: Lexicon):
 def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Lexicons and classifier from the labelled texts that may be learned from, or about TRAINING_DOCS of them by a hash of their ids.
 
-    Labels that are null are left out; of several labels of one id the largest counts; equal texts are learned from once.
+    Labels that are null are left out; of several labels of one id, and of equal texts,
+    the largest counts; equal texts are learned from once.
     """
     known = labels.filter(F.col("toxic").isNotNull() & learned_from(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     total = known.count()
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1, TRAINING_DOCS / max(total, 1))))
     sample = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = durable(sample.select("text", "toxic").withColumn("h", F.md5("text")).dropDuplicates(["h"]).drop("h"), "labelled")
+    # The largest label, so that it does not depend on the order of rows.
+    sample = sample.groupBy(F.md5("text").alias("h")).agg(F.any_value("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = durable(sample.select("text", "toxic"), "labelled")
     rows, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     counted = sample.mapInArrow(_count_terms, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (rows - toxic + 1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -187,3 +188,41 @@ def test_toxicity_equals_plain_features(spark):
             sums += [math.log1p(sum(held)), math.log1p(len(held)), min(1.0, 20 * sum(held) / max(len(words), 1))]
         z = model.bias + sum(model.weights[model.terms[t]] * math.log1p(n) for t, n in counts.items()) + sum(w * x for w, x in zip(model.weights[len(model.terms) :], sums, strict=True))
         assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+
+
+def test_label_model_equals_a_plain_one():
+    rng = np.random.default_rng(8)
+    truth = rng.random(300) < 0.3
+    table = np.stack([np.where(rng.random(300) < p, np.where(truth, 1, -1), 0) for p in (0.9, 0.6, 0.3, 0.8)], 1)
+    table[:, 3] = table[:, 0]
+    n, voters = table.shape
+    post = [0.9 if sum(row) > 0 else 0.1 * 0.3 for row in table.tolist()]
+    for _ in range(100):
+        chance = {}
+        for c in (1, 0):
+            mass = [p if c else 1 - p for p in post]
+            for v in range(voters):
+                for vote in (1, -1, 0):
+                    chance[c, v, vote] = (sum(m for m, row in zip(mass, table) if row[v] == vote) + 0.5) / (sum(mass) + 1.5)
+        mean = lambda c, v: chance[c, v, 1] - chance[c, v, -1]
+        spread = [[row[v] - p * mean(1, v) - (1 - p) * mean(0, v) for v in range(voters)] for p, row in zip(post, table.tolist())]
+        cov = [[sum(s[v] * s[w] for s in spread) / n for w in range(voters)] for v in range(voters)]
+        sd = [math.sqrt(max(cov[v][v], 1e-9)) for v in range(voters)]
+        weight = [1 / max(1, math.sqrt(sum(abs(cov[w][v]) / (sd[v] * sd[w]) for w in range(voters)))) for v in range(voters)]
+        logits = [sum(weight[v] * math.log(chance[1, v, row[v]] / chance[0, v, row[v]]) for v in range(voters)) + math.log(0.3 / 0.7) for row in table.tolist()]
+        new = [1 / (1 + math.exp(-max(-30, min(x, 30)))) for x in logits]
+        moved, post = max(abs(a - b) for a, b in zip(new, post)), new
+        if moved < 1e-6:
+            break
+    assert np.allclose(toxicity.label_model(table, 0.3), post, atol=1e-6)
+
+
+def test_equal_texts_are_toxic_if_any_is(spark):
+    texts = [f"word{i % 7} {'shadow grumpel' if i % 3 == 0 else 'common'} line {i % 40}" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
+    # The same text under other ids, not toxic there, changes nothing, in whatever order the rows come.
+    more = docs.unionByName(docs.selectExpr("doc_id + 1000 AS doc_id", "text"))
+    clean = labels.unionByName(labels.selectExpr("doc_id + 1000 AS doc_id", "0 AS toxic"))
+    asked = [toxicity.score(docs, toxicity.fit(d, y)).orderBy("doc_id").collect() for d, y in ((more, clean), (more.orderBy("doc_id", ascending=False).repartition(5), clean))]
+    assert [r.score for r in asked[0]] == [r.score for r in asked[1]]
