@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpuskiln.functions.text import bare
+
 #: Words and patterns that must match the forms' own.
 NOT_A_NAME = r"[,，;/·•∙ㆍ、|&]|및|총괄|담당|수행|자문"
 NUMERIC_VALUE = r"^[\s\p{Nd}.,\-/원만억천백십개%()~–—:]+$"
@@ -24,9 +26,7 @@ PLACEHOLDERS = (
 NOISE_LABELS = (r"^\s*(?:\p{Nd}{1,3}|[①-⑳]|[Ⅰ-Ⅻ]|\p{Nd}{1,3}\s*[.)])\s*$", r"^[.．…‥⋯\s]+$")
 EXAMPLE_LABEL = r"^[Oo0○Ｏ]{3,}(?:\s*(?:대표|과장|부장|차장|대리|사원|팀장|이사|주임))?$"
 NOTICE_PREFIXES = ("※", "☞", "주)")
-NARRATIVE_HINTS = (
-    "개요 계획 방안 전략 목표 추진 내용 설명 서술 현황 배경 필요성 기대효과 차별성 사업화 로드맵 problem solution scale team psst".split()
-)
+NARRATIVE_HINTS = ("개요", "계획", "방안", "전략", "목표", "추진", "내용", "설명", "서술", "현황", "배경", "필요성", "기대효과", "차별성", "사업화", "로드맵", "problem", "solution", "scale", "team", "psst")
 NARRATIVE_LABELS = ("문제인식", "문제 인식", "실현가능성", "실현 가능성", "성장전략", "성장 전략", "팀구성", "팀 구성")
 IMPROVABLE = (
     r"<[^>]+>|○○○|OOO|000",
@@ -35,7 +35,7 @@ IMPROVABLE = (
 )
 PURE_GUIDE = r"^\s*(?:[<\(［【]\s*)?(?:작성\s*요령|작성\s*방법|작성\s*예시|기재\s*요령|기재\s*방법|유의\s*사항|예\s*시|참고\s*용|※[^。\n]{0,40}(?:작성|기재|예시))"
 GUIDE_EXTRA = (
-    r"^[\s○●▪◦·•‣⁃\-–—－*ㅇㅁ<\(［【]*(?:(?:작성|기재|기입|입력)\s*(?:요령|방법|예시|방식|요망)|[^\n]{0,80}?(?:기재|작성|기입|입력|서술|기술)\s*"
+    r"^[\s○●▪◦·•‣⁃\-–—－*ㅇㅁ<\(（［【]*(?:(?:작성|기재|기입|입력)\s*(?:요령|방법|예시|방식|요망)|[^\n]{0,80}?(?:기재|작성|기입|입력|서술|기술)\s*"
     r"(?:하(?:시오|십시오|세요|시기\s*바랍니다)|해\s*주(?:십시오|시기\s*바랍니다|세요)|하여\s*주(?:십시오|시기\s*바랍니다|세요)|하기\s*바랍니다|할\s*것|바랍니다|바람|요망|요함))"
 )
 EMPTY_BOXES, CHECKED_BOXES = "□☐▢◻◽⬚〼", "■☑☒✓✔◼◾🗹"
@@ -43,11 +43,6 @@ FOUNDER_LABELS = ("기업형태", "사업자형태", "기업유형", "사업유
 COMPANY_INFO_LABELS = ("투자유치", "산업재산권", "지식재산권", "지재권", "특허")
 
 
-def bare(text: Column) -> Column:
-    """A text without white space at its ends; null is empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-
-
 def any_of(text: Column, patterns) -> Column:
     """Whether any of the patterns matches somewhere."""
     return F.greatest(F.lit(False), F.lit(False), *(text.rlike(p) for p in patterns))

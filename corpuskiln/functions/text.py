@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space as the forms take it: no-break and ideographic spaces too.
+WHITE = r"\s\p{Z}\x1C-\x1F\x85"
 #: Symbols that begin a label, and the forms of ordinals that may follow them.
 LABEL_BULLETS = "○●◯◌▶▷◀◁◆◇■□▪▫▸▹◦‣⦁·∙•*※→⇒"
 LABEL_ORDINALS = (r"\d{1,2}\s*[.)]\s*", "[①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳]\\s*", r"[가나다라마바사아자차카타파하]\s*[.)]\s*", r"[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]\s*[.)]?\s*")
@@ -20,6 +22,11 @@ SECRETS = {
 }
 
 
+def bare(text: Column) -> Column:
+    """A text without white space at its ends; null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{WHITE}]+|[{WHITE}]+$", "")
+
+
 def let(value: Column, then) -> Column:
     """then(value), with the value computed once however often it is used."""
     return F.transform(F.array(value), then)[0]
@@ -59,7 +66,7 @@ def normal_text(label: str) -> str:
 
 def value_key(value: Column) -> Column:
     """A value without white space, hyphens, middle dots and full stops, in lower case."""
-    return F.lower(F.regexp_replace(value, r"[\s\-·.]+", ""))
+    return F.lower(F.regexp_replace(value, f"[{WHITE}\\-·.]+", ""))
 
 
 def tokens(text: Column, stop: Sequence[str] = ()) -> Column:
@@ -70,7 +77,7 @@ def tokens(text: Column, stop: Sequence[str] = ()) -> Column:
 
 def unique_lines(text: Column) -> Column:
     """The distinct trimmed lines that are not blank, each at its first place."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    lines = F.transform(F.split(text, "\n"), bare)
     return F.array_distinct(F.filter(lines, lambda x: x != ""))
 
 
@@ -81,7 +88,7 @@ def bullet_spacing(line: Column) -> Column:
 
 def cell_whitespace(cell: Column) -> Column:
     """A cell trimmed, with runs of white space inside made one space."""
-    return F.regexp_replace(F.regexp_replace(cell, r"^\s+|\s+$", ""), r"\s+", " ")
+    return F.regexp_replace(F.regexp_replace(cell, f"^[{WHITE}]+|[{WHITE}]+$", ""), f"[{WHITE}]+", " ")
 
 
 def _rooted(path: Column) -> Column:
@@ -94,7 +101,7 @@ def normal_url(url: Column) -> Column:
 
     A text without scheme and host is all path, and comes out as https:///path, as the standard library joins it.
     """
-    raw = F.regexp_replace(F.coalesce(url, F.lit("")), r"^\s+|\s+$", "")
+    raw = bare(url)
     parts = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?"
     scheme, host, path, query = (F.regexp_extract(raw, parts, i) for i in range(1, 5))
     path = F.regexp_replace(path, ";[^/]*$", "")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuskiln.functions.text import bare
+
 
 @dataclass(frozen=True)
 class Check:
@@ -51,8 +53,8 @@ def _lines_that(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
 
 def _cells(line: Column) -> Column:
     """The trimmed cells of a line; an outer border makes no cell of its own."""
-    bare = F.trim(line)
-    return F.transform(F.split(F.when(bare.startswith("|"), F.regexp_replace(bare, r"^\||\|$", "")).otherwise(bare), r"\|"), lambda c: F.trim(c))
+    own = bare(line)
+    return F.transform(F.split(F.when(own.startswith("|"), F.regexp_replace(own, r"^\||\|$", "")).otherwise(own), r"\|"), bare)
 
 
 def _empty_after(is_label: Callable[[Column], Column]) -> Callable[[Column], Column]:
@@ -93,8 +95,8 @@ def _recruit_dates(text: Column) -> Column:
 
 def missing_documents(names: tuple[str, ...]) -> Check:
     """The required names that a text does not hold, without regard to white space."""
-    bare = [n for n in ("".join(x.split()) for x in names) if n]
-    return Check("missing_required_documents", "fail", lambda text: sum((F.when(F.contains(F.regexp_replace(text, r"\s+", ""), F.lit(n)), 0).otherwise(1) for n in bare), F.lit(0)))
+    held = [n for n in ("".join(x.split()) for x in names) if n]
+    return Check("missing_required_documents", "fail", lambda text: sum((F.when(F.contains(F.regexp_replace(text, r"\s+", ""), F.lit(n)), 0).otherwise(1) for n in held), F.lit(0)))
 
 
 #: Markers, placeholders, labels whose values a blind review must not show, and checks that a strict review promotes.
@@ -117,7 +119,7 @@ def placeholders(blind: bool = False) -> Check:
 
 def _named(value: Column) -> Column:
     """Whether a value is a name that is not masked."""
-    v = F.trim(value)
+    v = bare(value)
     return v.rlike("^[가-힣]{2,10}$") & ~F.contains(v, F.lit("○")) & ~v.rlike("^O+$")
 
 

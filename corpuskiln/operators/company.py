@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuskiln.functions.text import label_key
+from corpuskiln.functions.text import bare, label_key
 
 #: The fields of a company, and words that tell a role from a name.
 COMPANY_FIELDS = ("기업명", "대표자", "사업자등록번호", "설립일", "업종", "주소", "연락처", "이메일", "홈페이지", "직원수", "자본금", "팩스")
@@ -35,9 +35,9 @@ def with_field(rows: DataFrame, label: str, synonyms: DataFrame, fields: Sequenc
 
 def valid_value(field: Column, value: Column, is_label: Column) -> Column:
     """Whether a value may stand in a field: not blank, 200 characters at most, no label itself; a name has 20 at most, no comma and no role."""
-    bare = F.trim(F.coalesce(value, F.lit("")))
-    name = (F.char_length(bare) <= 20) & ~F.contains(bare, F.lit(",")) & ~F.greatest(*(F.contains(bare, F.lit(w)) for w in ROLE_WORDS))
-    return (bare != "") & (F.char_length(bare) <= 200) & ~is_label & F.when(field == NAME_FIELD, name).otherwise(True)
+    held = bare(value)
+    name = (F.char_length(held) <= 20) & ~F.contains(held, F.lit(",")) & ~F.greatest(*(F.contains(held, F.lit(w)) for w in ROLE_WORDS))
+    return (held != "") & (F.char_length(held) <= 200) & ~is_label & F.when(field == NAME_FIELD, name).otherwise(True)
 
 
 def first_valid(pairs: DataFrame, synonyms: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -47,7 +47,7 @@ def first_valid(pairs: DataFrame, synonyms: DataFrame, key: str, order: list[str
     held = own.join(F.broadcast(as_label), label_key(F.col("value")) == F.col("value alias"), "left")
     held = held.filter(valid_value(F.col("field"), F.col("value"), F.coalesce("is_label", F.lit(False))))
     nth = F.row_number().over(W.partitionBy(key, "field").orderBy(*order))
-    return held.withColumn("nth", nth).filter("nth = 1").select(key, "field", F.trim("value").alias("value"), F.trim("label").alias("raw_label"))
+    return held.withColumn("nth", nth).filter("nth = 1").select(key, "field", bare(F.col("value")).alias("value"), bare(F.col("label")).alias("raw_label"))
 
 
 def missing_fields(held: DataFrame, key: str, fields: Sequence[str] = COMPANY_FIELDS) -> DataFrame:
@@ -65,7 +65,7 @@ def coverage(labels: DataFrame, master: DataFrame, form: str = "form_id", compan
     nth = F.row_number().over(W.partitionBy(form, "field").orderBy(order))
     asked = labels.withColumn("nth", nth).filter("field is null or nth = 1").drop("nth")
     held = asked.join(master.select(company, "field", "value", "confidence"), [company, "field"], "left")
-    status = F.when(F.col("field").isNull(), "unmapped").when(F.trim(F.coalesce("value", F.lit(""))) == "", "missing").when(F.col("confidence") == "conflict", "conflict").otherwise("fillable")
+    status = F.when(F.col("field").isNull(), "unmapped").when(bare(F.col("value")) == "", "missing").when(F.col("confidence") == "conflict", "conflict").otherwise("fillable")
     counts = held.withColumn("status", status).groupBy(form).agg(*(F.sum((F.col("status") == s).cast("long")).alias(s) for s in ("fillable", "conflict", "missing", "unmapped")))
     mappable = F.col("fillable") + F.col("conflict") + F.col("missing")
     return counts.withColumn("mappable", mappable).withColumn("coverage_pct", F.when(mappable > 0, F.bround(100.0 * F.col("fillable") / mappable, 1)).otherwise(0.0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuskiln.functions.text import normal_label, normal_text
+from corpuskiln.functions.text import bare, normal_label, normal_text
 
 
 def lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -28,7 +28,7 @@ def runs(rows: DataFrame, marked: Column, least: int = 2) -> DataFrame:
 
 def without_repeated_blanks(rows: DataFrame) -> DataFrame:
     """The lines, but of each run of blank ones only the first."""
-    blank = F.trim("line") == ""
+    blank = bare(F.col("line")) == ""
     before = F.lag(blank).over(_order())
     return rows.withColumn("after_blank", F.coalesce(before, F.lit(False))).filter(~(blank & F.col("after_blank"))).drop("after_blank")
 
@@ -57,7 +57,7 @@ def first_chosen(rows: DataFrame, chosen: Column, budget: Column) -> DataFrame:
 
 def paired_cells(rows: DataFrame, separator: str = "|") -> DataFrame:
     """doc_id, pos, pair, label and value of the cells of lines with separators, taken in pairs; a last odd cell has no pair."""
-    cells = F.transform(F.split("line", f"[{separator}]"), lambda c: F.trim(c))
+    cells = F.transform(F.split("line", f"[{separator}]"), bare)
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(cells) / 2).cast("int") - 1), lambda i: F.struct(F.get(cells, 2 * i).alias("label"), F.get(cells, 2 * i + 1).alias("value")))
     held = rows.filter(F.contains("line", F.lit(separator)))
     return held.select("doc_id", "pos", F.posexplode(pairs).alias("pair", "x")).select("doc_id", "pos", "pair", "x.label", "x.value")
@@ -73,7 +73,7 @@ def spans(rows: DataFrame, opens: Column, closes: Column) -> DataFrame:
     """doc_id, first and n_chars of the first stretch of each document from the line after an opening one to before the next closing one."""
     marked = rows.withColumn("began", F.sum(opens.cast("int")).over(_order().rowsBetween(W.unboundedPreceding, -1)))
     inside = marked.filter("began > 0").withColumn("ended", F.sum((closes & ~opens).cast("int")).over(_order().rowsBetween(W.unboundedPreceding, 0)))
-    return inside.filter("ended = 0").groupBy("doc_id").agg(F.min("pos").alias("first"), F.sum(F.char_length(F.trim("line"))).alias("n_chars"))
+    return inside.filter("ended = 0").groupBy("doc_id").agg(F.min("pos").alias("first"), F.sum(F.char_length(bare(F.col("line")))).alias("n_chars"))
 
 
 def first_sections(rows: DataFrame, keyword: Column) -> DataFrame:
@@ -88,7 +88,7 @@ def findings(rows: DataFrame, pattern: str, is_heading: Column) -> DataFrame:
     """doc_id, pos, heading, match and context (100 characters) of every match of a pattern, with the nearest heading at or before it."""
     held = with_heading(rows, is_heading)
     found = held.select("doc_id", "pos", "heading", "line", F.explode(F.regexp_extract_all("line", F.lit(f"({pattern})"), F.lit(1))).alias("match"))
-    return found.select("doc_id", "pos", F.substring(F.coalesce("heading", F.lit("")), 1, 80).alias("heading"), "match", F.substring(F.trim("line"), 1, 100).alias("context"))
+    return found.select("doc_id", "pos", F.substring(F.coalesce("heading", F.lit("")), 1, 80).alias("heading"), "match", F.substring(bare(F.col("line")), 1, 100).alias("context"))
 
 
 def grep(rows: DataFrame, code: str, most: int) -> DataFrame:
@@ -98,7 +98,7 @@ def grep(rows: DataFrame, code: str, most: int) -> DataFrame:
 
 def key_sentences(rows: DataFrame, keywords: list[str], share: float, least: int, most: int) -> DataFrame:
     """The first lines of each document with a keyword, a digit and 8 or more characters: `share` of its lines that are not blank, between `least` and `most`."""
-    line = F.trim("line")
+    line = bare(F.col("line"))
     fits = (F.char_length(line) >= 8) & line.rlike("[0-9０-９]") & F.greatest(F.lit(False), F.lit(False), *(F.contains(line, F.lit(k)) for k in keywords))
     filled = F.sum((line != "").cast("int")).over(W.partitionBy("doc_id"))
     budget = F.least(F.lit(most), F.greatest(F.lit(least), F.floor(filled * share)))
@@ -108,12 +108,12 @@ def key_sentences(rows: DataFrame, keywords: list[str], share: float, least: int
 def line_fields(rows: DataFrame) -> DataFrame:
     """doc_id, pos, label and value of lines that are a label of 1 to 40 characters, a colon and a value."""
     parts = [F.regexp_extract("line", r"^\s*([^:：|]{1,40})\s*[:：]\s*(.+?)\s*$", i) for i in (1, 2)]
-    return rows.select("doc_id", "pos", F.trim(parts[0]).alias("label"), parts[1].alias("value")).filter("label <> '' and value <> ''")
+    return rows.select("doc_id", "pos", bare(parts[0]).alias("label"), parts[1].alias("value")).filter("label <> '' and value <> ''")
 
 
 def positional_diff(source: DataFrame, target: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, fills, drops and edits of two forms whose texts (key, pos, line) stand at the same places: blank to text, text to blank, and one text to another."""
-    before, after = source.select(key, "pos", F.trim("line").alias("before")), target.select(key, "pos", F.trim("line").alias("after"))
+    before, after = source.select(key, "pos", bare(F.col("line")).alias("before")), target.select(key, "pos", bare(F.col("line")).alias("after"))
     both = before.join(after, [key, "pos"], "full_outer").fillna("", ["before", "after"])
     count = lambda c: F.sum(c.cast("long"))
     was, now = F.col("before") != "", F.col("after") != ""

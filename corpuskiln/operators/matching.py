@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpuskiln.functions.predicates import bracket_conflict, is_dummy_value, looks_like_name
-from corpuskiln.functions.text import letters
+from corpuskiln.functions.text import bare, letters
 
 FUZZY = 0.6
 
@@ -173,7 +173,7 @@ def named_options(confirms: DataFrame, options: DataFrame) -> DataFrame:
     has a key that holds it or that it holds; else ambiguous or unknown, without a label. The options are the few of one form,
     and each confirmation meets them all; they are broadcast only by Spark's own size limit.
     """
-    said = confirms.select(F.trim("confirm").alias("confirm")).filter("confirm <> ''").distinct()
+    said = confirms.select(bare(F.col("confirm")).alias("confirm")).filter("confirm <> ''").distinct()
     keys = options.select("label", "seq", F.explode(F.array_union(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("k"))
     met = said.join(keys, F.contains("confirm", F.col("k")) | F.contains("k", F.col("confirm")), "left")
     hits = met.groupBy("confirm").agg(
@@ -185,8 +185,8 @@ def named_options(confirms: DataFrame, options: DataFrame) -> DataFrame:
 
 def narrative_unmatched(unmatched: DataFrame, labels: DataFrame) -> DataFrame:
     """The unmatched targets (label) that a form's narrative labels name: equal, or one within the other, without regard to case; a form's labels are few."""
-    named = labels.filter("kind = 'narrative'").select(F.lower(F.trim("label")).alias("n")).filter("n <> ''").distinct()
-    own = F.lower(F.trim("label"))
+    named = labels.filter("kind = 'narrative'").select(F.lower(bare(F.col("label"))).alias("n")).filter("n <> ''").distinct()
+    own = F.lower(bare(F.col("label")))
     return unmatched.filter(own != "").join(named, F.contains(own, F.col("n")) | F.contains("n", own), "left_semi")
 
 

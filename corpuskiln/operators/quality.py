@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuskiln.functions.text import bare
+
 EPS = 1e-9
 
 
@@ -102,10 +104,10 @@ def criterion_scores(said: DataFrame, criteria: DataFrame, key: str = "doc_id")
     between 0 and the maximum. Criteria whose own name was not said get half of theirs, rounded down.
     """
     c = criteria.select(key, F.col("name").alias("criterion"), "max_score", "seq")
-    bare = said.select(key, F.trim("name").alias("name"), "score")
+    named = said.select(key, bare(F.col("name")).alias("name"), "score")
     near = (F.col("name") == F.col("criterion")) | F.contains("name", F.col("criterion")) | F.contains("criterion", F.col("name"))
     # The criteria of a call for proposals are few, so a document's names meet them all.
-    met = bare.join(c, key).filter(near)
+    met = named.join(c, key).filter(near)
     best = F.row_number().over(W.partitionBy(key, "name", "score").orderBy((F.col("name") != F.col("criterion")).cast("int"), "seq"))
     held = met.withColumn("nth", best).filter("nth = 1").select(key, "name", F.greatest(F.lit(0), F.least("score", "max_score")).cast("int").alias("score"), "max_score")
     unsaid = c.join(held.select(key, F.col("name").alias("criterion")).distinct(), [key, "criterion"], "left_anti")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuskiln.functions.text import bare
+
 
 def merge_sources(rows: DataFrame, entity: str, field: str, value: str, source: str, priority: str, norm: Column) -> DataFrame:
     """One row for each entity and field: the first value by priority, how far the sources agree, and the candidates.
@@ -15,7 +17,7 @@ def merge_sources(rows: DataFrame, entity: str, field: str, value: str, source:
     confidence: conflict if normalised values differ, high if two or more sources agree, medium otherwise. Blank and null
     values are no values.
     """
-    held = rows.filter(F.trim(F.coalesce(F.col(value), F.lit(""))) != "").withColumn("norm", norm)
+    held = rows.filter(bare(F.col(value)) != "").withColumn("norm", norm)
     return (
         held.groupBy(entity, field)
         .agg(
@@ -35,7 +37,7 @@ def recent(rows: DataFrame, order: str, n: int) -> DataFrame:
 
 def recurrence(defects: DataFrame, runs: DataFrame, check: str, run: str, seq: str) -> DataFrame:
     """check, n_runs and runs (in the order first seen) of the defects whose run is among `runs`; blank run ids are left out."""
-    known = runs.select(run).filter(F.trim(F.col(run).cast("string")) != "").distinct()
+    known = runs.select(run).filter(bare(F.col(run).cast("string")) != "").distinct()
     met = defects.join(known, run, "left_semi").groupBy(check, run).agg(F.min(seq).alias("first"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("first", run))), lambda x: x[run])
     return met.groupBy(check).agg(F.count("*").alias("n_runs"), ordered.alias("runs"))
@@ -90,7 +92,7 @@ def tiling(cells: DataFrame, tables: DataFrame, grid: str = "grid_id") -> DataFr
 def overlay(primary: DataFrame, secondary: DataFrame, key: str, value: str) -> DataFrame:
     """All keys of either; a blank or missing value is filled from the secondary."""
     def set_(c: str) -> Column:
-        return F.when(F.trim(c) != "", F.col(c))
+        return F.when(bare(F.col(c)) != "", F.col(c))
 
     both = primary.select(key, F.col(value).alias("first")).join(secondary.select(key, F.col(value).alias("second")), key, "full_outer")
     return both.select(key, F.coalesce(set_("first"), set_("second"), F.lit("")).alias(value))
@@ -169,7 +171,7 @@ def rule_status(rules: DataFrame, guards: DataFrame, domain: str) -> DataFrame:
 
 def facets(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: for each column its distinct values that are not blank, sorted."""
-    return rows.agg(*(F.array_sort(F.collect_set(F.when(F.trim(c) != "", F.col(c)))).alias(c) for c in columns))
+    return rows.agg(*(F.array_sort(F.collect_set(F.when(bare(F.col(c)) != "", F.col(c)))).alias(c) for c in columns))
 
 
 def filtered(rows: DataFrame, query: str, text: Sequence[str], equal: Mapping[str, str]) -> DataFrame:
@@ -201,10 +203,10 @@ def status_report(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def duplicate_ids(rows: DataFrame, key: str) -> DataFrame:
     """key and n of the ids that stand more than once, and of blank ones: what breaks a contract of unique ids."""
-    counted = rows.groupBy(F.trim(F.coalesce(key, F.lit(""))).alias(key)).agg(F.count("*").alias("n"))
+    counted = rows.groupBy(bare(key).alias(key)).agg(F.count("*").alias("n"))
     return counted.filter((F.col("n") > 1) | (F.col(key) == ""))
 
 
 def unlisted(emitted: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
     """The emitted keys, each once, that are not allowed; blank ones are none."""
-    return emitted.select(key).filter(F.trim(key) != "").distinct().join(allowed.select(key), key, "left_anti")
+    return emitted.select(key).filter(bare(F.col(key)) != "").distinct().join(allowed.select(key), key, "left_anti")

@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuskiln.functions.text import bare
+
 #: States of a material in which it must not be used, and how such states may begin.
 BLOCKED = ("UNKNOWN", "CONFLICT", "INTERNAL_CONFLICT", "STALE", "UNVERIFIABLE", "REVIEW_REQUIRED")
 BLOCKED_PREFIXES = ("CONFLICT_", "INTERNAL_CONFLICT_", "STALE_")
@@ -18,7 +20,7 @@ BLOCKED_PREFIXES = ("CONFLICT_", "INTERNAL_CONFLICT_", "STALE_")
 
 def state(raw: Column) -> Column:
     """A state's name: trimmed, in upper case, with underscores; null is empty."""
-    return F.translate(F.upper(F.trim(F.coalesce(raw, F.lit("")))), "- ", "__")
+    return F.translate(F.upper(bare(raw)), "- ", "__")
 
 
 def with_categories(rows: DataFrame, aliases: Mapping[str, Sequence[str]], text: Column, explicit: str = "explicit") -> DataFrame:
@@ -31,8 +33,8 @@ def with_categories(rows: DataFrame, aliases: Mapping[str, Sequence[str]], text:
 
 def sources(raw: str = "sources") -> Column:
     """The distinct (file, location) of a material's sources (array of structs), without those that have neither."""
-    bare = F.transform(raw, lambda s: F.struct(F.trim(F.coalesce(s["file"], F.lit(""))).alias("file"), F.trim(F.coalesce(s["location"], F.lit(""))).alias("location")))
-    return F.array_distinct(F.filter(bare, lambda s: (s["file"] != "") | (s["location"] != "")))
+    held = F.transform(raw, lambda s: F.struct(bare(s["file"]).alias("file"), bare(s["location"]).alias("location")))
+    return F.array_distinct(F.filter(held, lambda s: (s["file"] != "") | (s["location"] != "")))
 
 
 def unusable_reason(value: Column, origin: Column, verification: Column, semantic: Column) -> Column:
@@ -40,7 +42,7 @@ def unusable_reason(value: Column, origin: Column, verification: Column, semanti
     states = [state(verification), state(semantic)]
     blocked = [s.isin(*BLOCKED) for s in states] + [s.startswith(p) for s in states for p in BLOCKED_PREFIXES]
     sourced = F.coalesce(F.exists(origin, lambda s: (s["file"] != "") & (s["location"] != "")), F.lit(False))
-    return F.when(F.trim(F.coalesce(value, F.lit(""))) == "", "EMPTY").when(~sourced, "NO_SOURCE").when(F.greatest(*blocked), "BLOCKED_STATE")
+    return F.when(bare(value) == "", "EMPTY").when(~sourced, "NO_SOURCE").when(F.greatest(*blocked), "BLOCKED_STATE")
 
 
 def semantic_allowed(semantic: Column, expected: Column) -> Column:
@@ -84,8 +86,8 @@ def applicable(rules: DataFrame, sections: DataFrame, rule_id: str = "requiremen
 
     Explicit target_ids (array) alone count where there are any; else categories, else tokens, as in `related`.
     """
-    bare = F.filter(F.coalesce("target_ids", F.array().cast("array<string>")), lambda t: F.trim(t) != "")
-    rules = rules.withColumn("target_ids", bare)
+    held = F.filter(F.coalesce("target_ids", F.array().cast("array<string>")), lambda t: bare(t) != "")
+    rules = rules.withColumn("target_ids", held)
     named = rules.select(rule_id, F.explode("target_ids").alias("section_id")).join(sections.select("section_id"), "section_id", "left_semi")
     others = related(rules.filter(F.size("target_ids") == 0), sections, rule_id, "section_id")
     return named.select(rule_id, "section_id").distinct().unionByName(others)
@@ -98,8 +100,8 @@ def satisfied(requirements: DataFrame, applied: DataFrame, matched: DataFrame, m
     materials: material_id, material_type, field, semantic, categories, tokens. A required field asks for a fact of that field;
     else categories must meet if both have any, else tokens if the requirement has any; with neither, any material does.
     """
-    r = requirements.select("requirement_id", F.trim(F.coalesce("required_field", F.lit(""))).alias("wanted"), state(F.col("material_type")).alias("wanted_type"), "expected", F.col("categories").alias("rc"), F.col("tokens").alias("rt"))
-    m = materials.select("material_id", F.col("material_type").alias("own_type"), F.trim(F.coalesce("field", F.lit(""))).alias("field"), "semantic", F.col("categories").alias("mc"), F.col("tokens").alias("mt"))
+    r = requirements.select("requirement_id", bare(F.col("required_field")).alias("wanted"), state(F.col("material_type")).alias("wanted_type"), "expected", F.col("categories").alias("rc"), F.col("tokens").alias("rt"))
+    m = materials.select("material_id", F.col("material_type").alias("own_type"), bare(F.col("field")).alias("field"), "semantic", F.col("categories").alias("mc"), F.col("tokens").alias("mt"))
     met = applied.join(matched, "section_id").join(r, "requirement_id").join(m, "material_id")
     met = met.filter(~F.col("wanted_type").isin("FACT", "EVIDENCE") | (F.col("wanted_type") == F.col("own_type"))).filter(semantic_allowed(F.col("semantic"), F.col("expected")))
     by_field = (F.col("own_type") == "FACT") & (F.col("field") == F.col("wanted"))

@@ -32,7 +32,7 @@ def empty_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def empty_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of two or more blank lines; any other line, of a table too, ends one."""
-    return lines.runs(lines.lines(table(spark, sf_dir, "documents")), F.trim("line") == "")
+    return lines.runs(lines.lines(table(spark, sf_dir, "documents")), T.bare(F.col("line")) == "")
 
 
 def value_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +258,7 @@ ORACLES = {
     "empty_table_rows": f"""WITH {_CELLS} SELECT doc_id, "table", "row" FROM c GROUP BY ALL HAVING bool_and(cell = '')""",
     "empty_runs": f"""
         SELECT doc_id, min(pos) AS first, count(*) AS size
-        FROM (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM {_LINES} WHERE trim(line, ' ') = '') GROUP BY doc_id, island HAVING count(*) >= 2""",
+        FROM (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM {_LINES} WHERE regexp_matches(line, '^[\s\pZ]*$')) GROUP BY doc_id, island HAVING count(*) >= 2""",
     "value_predicates": rf"""
         WITH {_CELLS} SELECT doc_id, count(*) FILTER (WHERE regexp_matches(cell, '\p{{Nd}}') AND regexp_matches(cell, '^[\s\p{{Nd}}.,\-/원만억천백십개%()~–—:]+$')) AS n_numeric,
             count(*) FILTER (WHERE cell <> '' AND length(cell) <= 20 AND NOT regexp_matches(cell, '[,，;/·•∙ㆍ、|&]|및|총괄|담당|수행|자문')) AS n_names,
@@ -282,7 +282,7 @@ ORACLES = {
                     AND list_contains(list_transform(regexp_extract_all(t, '[0-9]+(?:[\s,._-]+[0-9]+)*'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), '7') THEN 'FOUND' ELSE 'READ_MISS' END AS status FROM j)
         SELECT status, count(*) AS n FROM s GROUP BY 1""",
     "citation_allowlist": rf"""
-        WITH p AS (SELECT page_id, {_SIMPLE_URL} AS url FROM (SELECT page_id, regexp_replace(coalesce(url, ''), '^\s+|\s+$', '', 'g') AS u FROM pages))
+        WITH p AS (SELECT page_id, {_SIMPLE_URL} AS url FROM (SELECT page_id, regexp_replace(coalesce(url, ''), '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS u FROM pages))
         SELECT DISTINCT url FROM p WHERE page_id % 2 = 0 AND url <> '' AND url NOT IN (SELECT url FROM p WHERE page_id % 2 = 1)""",
     "unusable_materials": """
         SELECT CASE WHEN p_size % 7 = 0 OR trim(p_name) = '' THEN 'EMPTY' WHEN p_size % 5 = 0 OR trim(p_brand) = '' THEN 'NO_SOURCE' WHEN p_size % 11 = 0 THEN 'BLOCKED_STATE' ELSE 'USABLE' END AS reason, count(*) AS n
@@ -344,7 +344,7 @@ ORACLES = {
             UNION ALL SELECT *, 'phone', unnest(regexp_extract_all(line, '0[0-9]{{1,2}}[-.\s]?[0-9]{{3,4}}[-.\s]?[0-9]{{4}}')) FROM l
             UNION ALL SELECT *, 'university', unnest(regexp_extract_all(line, '대학교|대학원|전문대학')) FROM l
             UNION ALL SELECT *, 'name', unnest(regexp_extract_all(line, '성명|대표자|책임자|연구책임|주관기관장')) FROM l)
-        SELECT doc_id, cast(pos AS integer) AS pos, substring(coalesce(h, ''), 1, 80) AS heading, match, substring(trim(line, ' '), 1, 100) AS context, kind FROM m""",
+        SELECT doc_id, cast(pos AS integer) AS pos, substring(coalesce(h, ''), 1, 80) AS heading, match, substring(regexp_replace(line, '^[\s\pZ]+|[\s\pZ]+$', '', 'g'), 1, 100) AS context, kind FROM m""",
     "structure_fidelity": f"""
         WITH n AS (SELECT doc_id, doc_id // 2 AS pair_id, length(text) AS c, len(string_split(text, ' ')) AS t, len(string_split(text, chr(10))) AS p FROM documents WHERE text IS NOT NULL)
         SELECT pair_id, {", ".join(f"cast(CASE WHEN greatest(a.{x}, b.{x}) = 0 THEN 100 ELSE round_even(least(a.{x}, b.{x}) / greatest(a.{x}, b.{x}) * 100.0::double, 2) END AS double) AS {name}" for x, name in (("p", "paragraphs"), ("c", "chars"), ("t", "tokens")))}

@@ -64,7 +64,7 @@ def bullet_and_space_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of blank, long, cell and shouting lines of each document; null texts have no row."""
     tests = {
-        "n_blank": lambda x: F.trim(x) == "",
+        "n_blank": lambda x: T.bare(x) == "",
         "n_long": lambda x: F.char_length(x) > 120,
         "n_cells": lambda x: F.contains(x, F.lit(" | ")),
         "n_shout": lambda x: F.contains(x, F.lit("!!")),
@@ -124,9 +124,9 @@ def citation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first thing that a page lacks as a citation: title, organisation, year, address, or a place on the list of plain http addresses."""
     pages = table(spark, sf_dir, "pages").select(
         "page_id",
-        F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"),
+        T.bare(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"),
         F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("organisation"),
-        F.regexp_extract("html", "(?:^|[^0-9])((?:19|20)[0-9][0-9])(?:[^0-9]|$)", 1).alias("year"),
+        T.first_year(F.col("html")).alias("year"),
         T.normal_url(F.col("url")).alias("url"),
     )
     allowed = pages.filter("page_id % 3 = 0").select("url").distinct().withColumn("listed", F.lit(True))
@@ -148,7 +148,7 @@ def trace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         blob_key(F.col("text")).alias("response_ref"),
         F.substring(F.coalesce("question", F.lit("")), 1, 200).alias("user_preview"),
         F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("response_preview"),
-        (F.trim(F.coalesce("text", F.lit(""))) == "").alias("empty"),
+        (T.bare(F.col("text")) == "").alias("empty"),
     )
 
 
@@ -176,8 +176,9 @@ QUERIES = {
     )
 }
 
+_BARE = r"regexp_replace({}, '^[\s\pZ]+|[\s\pZ]+$', '', 'g')"
 _LINES = r"(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)"
-_TRIMMED = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+_TRIMMED = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\s\pZ]+|[\s\pZ]+$', '', 'g')), lambda x: x <> '')"
 _DISTINCT = f"list_filter(list_transform(range(1, len({_TRIMMED}) + 1), lambda i: CASE WHEN list_position({_TRIMMED}, {_TRIMMED}[i]) = i THEN {_TRIMMED}[i] END), lambda x: x IS NOT NULL)"
 
 
@@ -190,7 +191,7 @@ def _weights(words: dict[str, int]) -> str:
 
 
 _PAIRS = f"""
-    SELECT doc_id, pos, i AS pair, trim(cells[2 * i + 1]) AS label, trim(cells[2 * i + 2]) AS value
+    SELECT doc_id, pos, i AS pair, {_BARE.format('cells[2 * i + 1]')} AS label, {_BARE.format('cells[2 * i + 2]')} AS value
     FROM (SELECT doc_id, pos, cells, unnest(range(len(cells) // 2)) AS i FROM (SELECT doc_id, pos, string_split(line, '|') AS cells FROM {_LINES} WHERE contains(line, '|')))"""
 _URL = r"regexp_extract(u, '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?', {})"
 _NORMAL = f"""CASE WHEN u = '' THEN '' ELSE (CASE WHEN {_URL.format(1)} = '' THEN 'https' ELSE lower({_URL.format(1)}) END) || '://' || lower({_URL.format(2)})
@@ -208,7 +209,7 @@ ORACLES = {
         SELECT doc_id, cast(sum(CASE WHEN regexp_replace(regexp_replace(line, '^([ \t]*)([{T.LINE_BULLETS}]+)[ \t]{{2,}}', '\1\2 '), ' {{2,}}', ' ', 'g') <> line THEN 1 ELSE 0 END) AS bigint) AS n_changed,
                count(*) AS n_lines FROM {_LINES} GROUP BY 1""",
     "line_scan_counts": f"""
-        SELECT doc_id, cast(sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) AS bigint) AS n_blank, cast(sum(CASE WHEN length(line) > 120 THEN 1 ELSE 0 END) AS bigint) AS n_long,
+        SELECT doc_id, cast(sum(CASE WHEN regexp_matches(line, '^[\\s\\pZ]*$') THEN 1 ELSE 0 END) AS bigint) AS n_blank, cast(sum(CASE WHEN length(line) > 120 THEN 1 ELSE 0 END) AS bigint) AS n_long,
                cast(sum(CASE WHEN contains(line, ' | ') THEN 1 ELSE 0 END) AS bigint) AS n_cells, cast(sum(CASE WHEN contains(line, '!!') THEN 1 ELSE 0 END) AS bigint) AS n_shout
         FROM {_LINES} GROUP BY 1""",
     "repeated_line_runs": f"""
@@ -242,12 +243,12 @@ ORACLES = {
     "volume_metrics": f"""
         SELECT doc_id, cast(coalesce(length(text), 0) AS integer) AS chars, cast(coalesce(len({_DISTINCT}), 0) AS integer) AS paragraphs,
                round(coalesce(length(text), 0) / 900, 1) AS pages, cast(greatest(1, ceil(coalesce(length(text), 0) / 1500)) AS bigint) AS page_estimate FROM documents""",
-    "url_normalise": rf"SELECT page_id, {_NORMAL} AS url FROM (SELECT page_id, regexp_replace(coalesce(url, ''), '^\s+|\s+$', '', 'g') AS u FROM pages)",
+    "url_normalise": rf"SELECT page_id, {_NORMAL} AS url FROM (SELECT page_id, regexp_replace(coalesce(url, ''), '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS u FROM pages)",
     "citation_status": rf"""
         WITH p AS (
             SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS org,
                    regexp_extract(html, '(?:^|[^0-9])((?:19|20)[0-9][0-9])(?:[^0-9]|$)', 1) AS year, {_NORMAL} AS url
-            FROM (SELECT *, regexp_replace(coalesce(url, ''), '^\s+|\s+$', '', 'g') AS u FROM pages))
+            FROM (SELECT *, regexp_replace(coalesce(url, ''), '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS u FROM pages))
         SELECT page_id, CASE WHEN title = '' THEN 'MISSING_TITLE' WHEN org = '' THEN 'MISSING_ORGANIZATION' WHEN year = '' THEN 'MISSING_YEAR' WHEN url = '' THEN 'MISSING_URL'
                WHEN url NOT IN (SELECT url FROM p WHERE page_id % 3 = 0) THEN 'MISMATCH' ELSE 'VERIFIED' END AS status FROM p""",
     "trace_records": """

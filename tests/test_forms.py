@@ -376,3 +376,20 @@ def test_criteria_diffs_and_autofill(spark):
     assert [tuple(r) for r in lines.positional_diff(lines.lines(a), lines.lines(b)).collect()] == [(1, 1, 1, 1)]
     doc = spark.createDataFrame([(1, "회사 명: 가나\n기업명: 다라\n기타: x\nTel : 02")], "doc_id int, text string")
     assert {(r.field, r.value) for r in lines.autofill(lines.lines(doc), {"name": ["회사명", "기업명"], "phone": ["TEL"]}).collect()} == {("name", "가나"), ("phone", "02")}
+
+
+def test_white_space_of_every_kind(say, spark):
+    """Tabs, no-break and ideographic spaces are white space everywhere."""
+    wide = "　  \t"
+    assert say(text.bare, [f"{wide}a b{wide}", wide, None]) == ["a b", "", ""]
+    assert say(text.unique_lines, [f"x\n{wide}\n{wide}x{wide}\ny"]) == [["x", "y"]]
+    assert say(text.cell_whitespace, [f"{wide}a{wide}b"]) == ["a b"]
+    assert say(text.value_key, [f"A{wide}-b"]) == ["ab"]
+    assert say(text.normal_url, [f"{wide}HTTP://A.b/c/{wide}"]) == ["http://a.b/c"]
+    assert say(predicates.is_guide, ["（작성 요령", "(기재하시오", "가나"]) == [True, True, False]
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(["a", "\t", "　", "b", " "])], "doc_id int, pos int, line string")
+    assert [(r.first, r["size"]) for r in lines.runs(rows, text.bare(F.col("line")) == "").collect()] == [(1, 2)]
+    assert [r.pos for r in lines.without_repeated_blanks(rows).orderBy("pos").collect()] == [0, 1, 3, 4]
+    docs = spark.createDataFrame([(1, "명칭 | \t"), (2, "| 기업명 |　| 명칭 |")], "doc_id int, text string")
+    found = {r.doc_id: r.defects for r in checks.results(docs, checks.LINE_CHECKS).filter("check_id = 'empty_label_fields'").collect()}
+    assert found == {1: 1, 2: 1}
