@@ -65,6 +65,35 @@ def best_assets(pairs: DataFrame) -> DataFrame:
     return top.select("anchor_id", "asset_id", "score", "margin", decision.alias("decision"))
 
 
+#: Distinct keywords of places, which are a lexicon's.
+MOST_KEYWORDS = 10_000
+
+
+def best_matches(anchors: DataFrame, assets: DataFrame) -> DataFrame:
+    """As `best_assets` of `scored_pairs`, without scoring every pair.
+
+    A score depends on an asset's class, type, size and the keywords that its text holds, and on an anchor's class, type and
+    keywords; so only distinct ones of either are scored, with the two first assets of each, and the anchors are joined to what
+    is best for their kind. How many kinds there are is up to the lexicons, not to the rows.
+    """
+    words = [r.k for r in anchors.select(F.explode("keywords").alias("k")).select(F.lower("k").alias("k")).distinct().limit(MOST_KEYWORDS + 1).collect() if r.k is not None]
+    if len(words) > MOST_KEYWORDS:
+        raise ValueError("keywords of anchors are those of a lexicon; there are too many")
+    kind = ["class", "type", "keywords"]
+    same = F.to_json(F.struct(*(F.col(c).alias(c) for c in kind)))
+    named = anchors.select("anchor_id", *kind, same.alias("kind"))
+    places = named.groupBy("kind").agg(*(F.any_value(c).alias(c) for c in kind)).withColumnRenamed("kind", "anchor_id")
+    # Of a text only the keywords that it holds count, and of a size its band.
+    held = F.array_join(F.filter(F.array(*map(F.lit, words)).cast("array<string>"), lambda k: F.contains(F.lower("text"), k)), "\n")
+    n = F.coalesce(F.col("pixels"), F.lit(0))
+    band = F.when(n >= 480_000, 480_000).when(n >= 120_000, 120_000).when(n > 0, 1).otherwise(0)
+    kinds = assets.select("asset_id", "class", "type", held.alias("text"), band.alias("pixels"))
+    first = F.row_number().over(W.partitionBy("class", "type", "text", "pixels").orderBy("asset_id"))
+    kinds = kinds.withColumn("nth", first).filter("nth <= 2").drop("nth")
+    best = best_assets(scored_pairs(places, kinds)).withColumnRenamed("anchor_id", "kind")
+    return named.select("anchor_id", "kind").join(best, "kind").drop("kind")
+
+
 def missing_anchors(anchors: DataFrame, decided: DataFrame) -> DataFrame:
     """The anchors without an automatic match."""
     return anchors.join(decided.filter("decision = 'auto'").select("anchor_id"), "anchor_id", "left_anti")

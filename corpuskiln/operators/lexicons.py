@@ -16,13 +16,14 @@ def classify(docs: DataFrame, lexicon: Mapping[str, Mapping[str, int]], least: i
 
     confidence: 0.4, 0.4 of the best score's share of all, and 0.2 of its lead over the next; 0.99 at most; 0.3 for unknown.
     """
-    text = F.lower(F.coalesce("text", F.lit("")))
-    scored = F.array(*(F.struct(weight(text, words).alias("score"), F.lit(-i).alias("ord"), F.lit(name).alias("label")) for i, (name, words) in enumerate(lexicon.items())))
-    best = F.reverse(F.array_sort(scored))
-    total = F.aggregate(scored, F.lit(0), lambda a, x: a + F.greatest(x["score"], F.lit(0)))
-    rows = docs.select("doc_id", best.alias("best"), total.alias("total"))
-    top = F.get("best", F.lit(0))
-    runner_up = F.coalesce(F.get("best", F.lit(1))["score"], F.lit(0))
+    lower = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    each = lower.select("doc_id", *(weight(F.col("text"), words).alias(f"class {i}") for i, words in enumerate(lexicon.values())))
+    scores = [F.col(f"class {i}") for i in range(len(lexicon))]
+    ranked = [F.struct(s.alias("score"), F.lit(-i).alias("ord"), F.lit(name).alias("label")) for i, (s, name) in enumerate(zip(scores, lexicon, strict=True))]
+    total = sum((F.greatest(s, F.lit(0)) for s in scores), F.lit(0))
+    second = F.coalesce(F.get(F.sort_array(F.array(*scores), asc=False), F.lit(1)), F.lit(0))
+    rows = each.select("doc_id", (F.greatest(*ranked) if len(ranked) > 1 else ranked[0]).alias("top"), second.alias("runner_up"), total.alias("total"))
+    top, runner_up = F.col("top"), F.col("runner_up")
     lead = F.least(F.lit(1.0), (top["score"] - runner_up) / F.greatest(F.lit(1), top["score"]))
     sure = F.least(F.lit(0.99), 0.4 + 0.4 * (top["score"] / F.greatest(F.lit(1), F.col("total"))) + 0.2 * lead)
     sure = F.round(F.when(top["score"] >= least, sure).otherwise(0.3), 6)

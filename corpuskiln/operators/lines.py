@@ -84,11 +84,16 @@ def first_sections(rows: DataFrame, keyword: Column) -> DataFrame:
     return fresh.withColumn("section", F.last("fresh", ignorenulls=True).over(_order().rowsBetween(W.unboundedPreceding, 0))).drop("fresh", "keyword")
 
 
-def findings(rows: DataFrame, pattern: str, is_heading: Column) -> DataFrame:
-    """doc_id, pos, heading, match and context (100 characters) of every match of a pattern, with the nearest heading at or before it."""
+def findings(rows: DataFrame, patterns: str | Mapping[str, str], is_heading: Column) -> DataFrame:
+    """doc_id, pos, heading, match and context (100 characters) of every match of a pattern, with the nearest heading at or before it; of several patterns by kind, the kind too, in one pass."""
+    kinds = {"": patterns} if isinstance(patterns, str) else patterns
     held = with_heading(rows, is_heading)
-    found = held.select("doc_id", "pos", "heading", "line", F.explode(F.regexp_extract_all("line", F.lit(f"({pattern})"), F.lit(1))).alias("match"))
-    return found.select("doc_id", "pos", F.substring(F.coalesce("heading", F.lit("")), 1, 80).alias("heading"), "match", F.substring(bare(F.col("line")), 1, 100).alias("context"))
+    named = lambda k: lambda m: F.struct(F.lit(k).alias("kind"), m.alias("match"))
+    each = [F.transform(F.regexp_extract_all("line", F.lit(f"({p})"), F.lit(1)), named(k)) for k, p in kinds.items()]
+    found = held.select("doc_id", "pos", "heading", "line", F.explode(F.concat(*each)).alias("x"))
+    context = F.substring(bare(F.col("line")), 1, 100).alias("context")
+    out = found.select("doc_id", "pos", F.substring(F.coalesce("heading", F.lit("")), 1, 80).alias("heading"), F.col("x.match").alias("match"), context, F.col("x.kind").alias("kind"))
+    return out.drop("kind") if isinstance(patterns, str) else out
 
 
 def grep(rows: DataFrame, code: str, most: int) -> DataFrame:

@@ -27,18 +27,22 @@ def _rarest_first(keys: DataFrame, every: DataFrame) -> DataFrame:
 def _similar(targets: DataFrame, sources: DataFrame) -> DataFrame:
     """target, source and similarity of the pairs of keys with a similarity of FUZZY or more, or one inside the other with lengths at most 2 apart.
 
-    Of two sets of n and m characters that are FUZZY alike, one of the first n - ceil(FUZZY * n) + 1 characters of either, in
-    one order of all characters, is shared; only such pairs meet, the rarest characters first. Keys within each other share the
+    Two sets that are FUZZY alike share o = ceil(FUZZY * n) of the n characters of either, and the first two that they share,
+    in one order of all characters, are among its first n - o + 2. So keys meet by pairs of such characters, the rarest first,
+    and only if their sizes allow it; a single character meets the same one. Keys within each other share the
     longer one with a character or two deleted, so each key is indexed under what is left of it without up to 2 characters at its ends.
     """
     every = targets.select("key").unionByName(sources.select("key"))
     t, s = (_rarest_first(x.select("key").distinct(), every) for x in (targets, sources))
 
     def prefixes(rows: DataFrame, name: str) -> DataFrame:
-        n = F.col("size") - F.ceil(F.col("size") * FUZZY).cast("int") + 1
-        return rows.select(F.col("key").alias(name), F.explode(F.slice("ranks", 1, n)).alias("c"))
+        first = F.slice("ranks", 1, F.col("size") - F.ceil(F.col("size") * FUZZY).cast("int") + 2)
+        pairs = F.flatten(F.transform(first, lambda a, i: F.transform(F.slice(first, i + 2, F.size(first)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+        alone = F.array(F.struct(F.get("ranks", F.lit(0)).alias("a"), F.lit(0).alias("b")))
+        return rows.select(F.col("key").alias(name), F.col("size").alias(f"{name}_size"), F.explode(F.when(F.col("size") == 1, alone).otherwise(pairs)).alias("c"))
 
-    by_letters = prefixes(t, "target").join(prefixes(s, "source"), "c").select("target", "source")
+    least, most = (f("target_size", "source_size") for f in (F.least, F.greatest))
+    by_letters = prefixes(t, "target").join(prefixes(s, "source"), "c").filter(least >= FUZZY * most).select("target", "source")
 
     def within(rows: DataFrame, name: str) -> DataFrame:
         cuts = [(i, j) for i in range(3) for j in range(3 - i)]
@@ -139,13 +143,14 @@ def section_materials(sections: DataFrame, materials: DataFrame) -> DataFrame:
     They match if their categories meet; if both have categories that do not meet they never match; otherwise they match if
     a token is shared.
     """
-    def exploded(rows: DataFrame, c: str) -> DataFrame:
-        return rows.select("*", F.explode(c).alias("on"))
 
-    s = sections.select("section_id", F.col("categories").alias("sc"), F.col("tokens").alias("st"))
-    m = materials.select("material_id", F.col("categories").alias("mc"), F.col("tokens").alias("mt"))
-    by_category = exploded(s, "sc").join(exploded(m, "mc"), "on").select("section_id", "material_id")
-    by_token = exploded(s, "st").join(exploded(m, "mt"), "on").filter((F.size("sc") == 0) | (F.size("mc") == 0)).select("section_id", "material_id")
+    def by(rows: DataFrame, id_: str, c: str, loose: str) -> DataFrame:
+        """A row for each of a row's distinct words; what it is joined by, and whether it has no categories, is all that travels."""
+        return rows.select(id_, (F.coalesce(F.size("categories"), F.lit(0)) <= 0).alias(loose), F.explode(F.array_distinct(c)).alias("on"))
+
+    pair = ["section_id", "material_id"]
+    by_category = by(sections, "section_id", "categories", "a").join(by(materials, "material_id", "categories", "b"), "on").select(*pair)
+    by_token = by(sections, "section_id", "tokens", "a").join(by(materials, "material_id", "tokens", "b"), "on").filter("a or b").select(*pair)
     return by_category.unionByName(by_token).distinct()
 
 

@@ -178,7 +178,7 @@ def asset_match_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors = supplier.select(F.col("s_suppkey").alias("anchor_id"), kind(F.col("s_nationkey")).alias("class"), F.when(F.col("s_nationkey") % 2 == 0, "t").alias("type"), F.array(F.lit("tin"), F.when(F.col("s_nationkey") % 5 == 0, "large").otherwise("brass")).alias("keywords"))
     pictures = part.groupBy(F.col("p_type").alias("asset_id")).agg(F.min("p_size").alias("size"))
     pictures = pictures.select("asset_id", kind(F.col("size")).alias("class"), F.when(F.col("size") % 2 == 0, "t").otherwise("u").alias("type"), F.col("asset_id").alias("text"), (F.col("size") * 100_000).alias("pixels"))
-    return assets.best_assets(assets.scored_pairs(anchors, pictures))
+    return assets.best_matches(anchors, pictures)
 
 
 def acceptance_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,11 +192,7 @@ def masking_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.lines(table(spark, sf_dir, "documents"))
     heading = (F.char_length("line") < 40) & ~F.contains("line", F.lit("."))
     kinds = {"email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "phone": r"0[0-9]{1,2}[-.\s]?[0-9]{3,4}[-.\s]?[0-9]{4}", "university": "대학교|대학원|전문대학", "name": "성명|대표자|책임자|연구책임|주관기관장"}
-    found = None
-    for kind, pattern in kinds.items():
-        part = lines.findings(rows, pattern, heading).withColumn("kind", F.lit(kind))
-        found = part if found is None else found.unionByName(part)
-    return found
+    return lines.findings(rows, kinds, heading)
 
 
 def structure_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,9 +65,10 @@ def merge_first_wins_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def section_material_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parts as materials and their brands as sections with all categories, by shared type or name token."""
     part = table(spark, sf_dir, "part")
-    sections = part.groupBy(F.col("p_brand").alias("section_id")).agg(
-        F.collect_set("p_type").alias("categories"), F.array_distinct(F.flatten(F.collect_list(T.tokens(F.col("p_name"))))).alias("tokens")
-    )
+    # The distinct words of a brand, before they meet in one row.
+    word = F.explode(F.concat(F.array(F.struct(F.lit(True).alias("category"), F.col("p_type").alias("word"))), F.transform(T.tokens(F.col("p_name")), lambda t: F.struct(F.lit(False).alias("category"), t.alias("word")))))
+    words = part.select(F.col("p_brand").alias("section_id"), word.alias("x")).select("section_id", "x.*").distinct()
+    sections = words.groupBy("section_id").agg(*(F.collect_list(F.when(c, F.col("word"))).alias(n) for n, c in (("categories", F.col("category")), ("tokens", ~F.col("category")))))
     none = F.array().cast("array<string>")
     materials = part.select(F.col("p_partkey").alias("material_id"), F.when(F.col("p_retailprice") > 1000, F.array("p_type")).otherwise(none).alias("categories"), T.tokens(F.col("p_name")).alias("tokens"))
     return matching.section_materials(sections, materials)

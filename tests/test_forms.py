@@ -393,3 +393,33 @@ def test_white_space_of_every_kind(say, spark):
     docs = spark.createDataFrame([(1, "명칭 | \t"), (2, "| 기업명 |　| 명칭 |")], "doc_id int, text string")
     found = {r.doc_id: r.defects for r in checks.results(docs, checks.LINE_CHECKS).filter("check_id = 'empty_label_fields'").collect()}
     assert found == {1: 1, 2: 1}
+
+
+def test_best_matches_equal_those_of_all_pairs(spark):
+    import random
+
+    from corpuskiln.operators import assets
+
+    rng = random.Random(5)
+    kinds, types = ["a", "b", assets.UNCLASSIFIED], ["t", "u", "", None]
+    anchors = spark.createDataFrame([(i, rng.choice(kinds), rng.choice(types), rng.sample(["Tin", "brass", "steel", "x y"], rng.randint(0, 3))) for i in range(60)], "anchor_id int, class string, type string, keywords array<string>")
+    pictures = spark.createDataFrame([(i, rng.choice(kinds), rng.choice(types), rng.choice(["tin brass", "STEEL", "", None, "x y tin", "nothing"]), rng.choice([None, 0, 5, 200_000, 900_000])) for i in range(50)], "asset_id int, class string, type string, text string, pixels int")
+    expected = sorted(map(tuple, assets.best_assets(assets.scored_pairs(anchors, pictures)).collect()))
+    assert sorted(map(tuple, assets.best_matches(anchors, pictures).select("anchor_id", "asset_id", "score", "margin", "decision").collect())) == expected
+    assert assets.best_matches(anchors.limit(0), pictures).count() == 0
+
+
+def test_similar_keys_are_all_found(spark):
+    import random
+
+    from corpuskiln.operators import matching
+
+    rng = random.Random(6)
+    keys = sorted({"".join(rng.choices("abcdefgh가나다", k=rng.randint(1, 8))) for _ in range(150)})
+    df = spark.createDataFrame([(k, None) for k in keys], "key string, cluster string")
+    found = {(r.target, r.source): r.similarity for r in matching._similar(df, df).collect()}
+    for a in keys:
+        for b in keys:
+            similarity = len(set(a) & set(b)) / len(set(a) | set(b))
+            near = (a in b or b in a) and abs(len(a) - len(b)) <= 2
+            assert ((a, b) in found) == (round(similarity, 9) >= matching.FUZZY or near), (a, b)
