@@ -29,6 +29,7 @@ def pattern(regex: str) -> Callable[[Column], Column]:
     return lambda text: F.regexp_count(text, F.lit(regex))
 
 
+#: Stand-ins for corpora without the forms' own words; the forms' checks are those of `registry`.
 CHECKS = (
     Check("unresolved_markers", "fail", pattern(r"\[(TODO|TBD|CHECK)\]|lorem ipsum")),
     Check("template_placeholders", "fail", pattern(r"_{3,}|\{\{[^}]*\}\}|O{2,}")),

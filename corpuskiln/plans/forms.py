@@ -187,6 +187,51 @@ def acceptance_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.remaining_work(checks.with_remedies(found))
 
 
+def _acceptance_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer as a form whose lines, one for each order, hold what the checks look for."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    n = lambda m: (k % m).cast("string")
+    kinds = [
+        F.concat(F.lit("[확인필요: "), n(9), F.lit("] 본문")),
+        F.lit("이 블록은 삭제하세요"),
+        F.lit("성과 OOO 달성, <제목>"),
+        F.concat(F.lit("형태 "), n(5), F.lit(" 택 1 | □ 개인 □ 법인")),
+        F.concat(F.lit("형태 "), n(5), F.lit(" 택 1 | ■ 개인 □ 법인")),
+        F.lit("기업명 |　"),
+        F.lit("사업자 등록번호 : | \t"),
+        F.concat(F.lit("채용 '26."), (k % 12 + 1).cast("string"), F.lit(" 부터")),
+        F.lit("해당 여부 | ( )"),
+        F.lit("성명: 홍길동 | 대표자명 | 김철수"),
+        F.when(k % 2 == 0, "업무 협약 체결").otherwise("업무 협약 체결 예정"),
+        F.lit("| | |"),
+        F.lit("본문은 그대로 둔다"),
+    ]
+    line = F.element_at(F.array(*kinds), (k % len(kinds) + 1).cast("int"))
+    rows = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), line.alias("line")))).alias("lines"))
+    ends = F.array_compact(F.array(F.when(F.col("doc_id") % 3 == 0, "청렴 서약서"), F.when(F.col("doc_id") % 4 == 0, "재직 증명서 제출")))
+    return rows.select("doc_id", F.array_join(F.concat(F.transform("lines", lambda x: x["line"]), ends), "\n").alias("text"))
+
+
+def _acceptance_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = checks.registry(blind=True, max_pages=0, required=("청렴서약서", "재직증명서"), claims=True, strict=True)
+    return checks.results(_acceptance_forms(spark, sf_dir), (*asked, checks.Check("open_masks", "fail", checks.placeholders().count)))
+
+
+def acceptance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every check of a strict blind review on every customer's form, and the places to fill in of an open one."""
+    return _acceptance_results(spark, sf_dir)
+
+
+def acceptance_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks of every form rolled up: whether it may be submitted."""
+    return checks.rollup(_acceptance_results(spark, sf_dir))
+
+
+def acceptance_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains to be done on every form, by who has to do it."""
+    return checks.remaining_work(checks.with_remedies(_acceptance_results(spark, sf_dir)))
+
+
 def masking_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of the kinds of masking candidates in lines, with the nearest heading (a short line without a full stop) before them."""
     rows = lines.lines(table(spark, sf_dir, "documents"))
@@ -227,7 +272,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         table_cells, label_cells, empty_table_rows, empty_runs, value_predicates, doc_type_scores, secret_scan_counts, golden_term_presence, citation_allowlist, unusable_materials, section_status,
-        run_summaries, ratchet_status, score_plateaus, lowest_scores, form_coverage, source_ranks, asset_match_margin, acceptance_registry, masking_candidates, structure_fidelity, first_edits, duplicate_texts, table_facets,
+        run_summaries, ratchet_status, score_plateaus, lowest_scores, form_coverage, source_ranks, asset_match_margin, acceptance_registry, acceptance_checks, acceptance_decisions, acceptance_work, masking_candidates, structure_fidelity, first_edits, duplicate_texts, table_facets,
     )
 }
 
@@ -239,14 +284,75 @@ _CELLS = f"""
     c AS (
         SELECT doc_id, "table", pos - "table" AS "row", cast(unnest(range(len(string_split(line, '|')))) AS integer) AS col, {_TRIM.format("unnest(string_split(line, '|'))")} AS cell FROM u)
 """
+#: Defects by the arithmetic of the lines' kinds, without looking at any text.
+_ACCEPTANCE = """
+    o AS (SELECT o_custkey AS d, o_orderkey AS k, o_orderkey % 13 AS t FROM orders),
+    c AS (SELECT d, k, CASE WHEN t = 8 THEN -1 ELSE k % 5 END AS label, t = 3 AS open FROM o WHERE t IN (3, 4, 8)),
+    f AS (SELECT d, count(*) FILTER (WHERE nth = 1 AND open) AS n FROM (SELECT *, row_number() OVER (PARTITION BY d, label ORDER BY k) AS nth FROM c) GROUP BY 1),
+    n AS (
+        SELECT d, {}, count(DISTINCT k % 12) FILTER (WHERE t = 7) AS months FROM o GROUP BY 1),
+    r AS (
+        SELECT n.d AS doc_id, unnest([
+            {{'check_id': 'unresolved_markers', 'severity': 'fail', 'defects': n0}},
+            {{'check_id': 'template_placeholders', 'severity': 'fail', 'defects': n2}},
+            {{'check_id': 'open_masks', 'severity': 'fail', 'defects': 2 * n2}},
+            {{'check_id': 'empty_table_rows', 'severity': 'warn', 'defects': n11}},
+            {{'check_id': 'self_inserted_blocks', 'severity': 'fail', 'defects': n1}},
+            {{'check_id': 'unchecked_choices', 'severity': 'fail', 'defects': coalesce(f.n, 0)}},
+            {{'check_id': 'empty_label_fields', 'severity': 'fail', 'defects': n5}},
+            {{'check_id': 'recruit_date_conflict', 'severity': 'warn', 'defects': greatest(0, months - 1)}},
+            {{'check_id': 'paren_choices', 'severity': 'fail', 'defects': n8}},
+            {{'check_id': 'empty_label_fields_ext', 'severity': 'fail', 'defects': n6}},
+            {{'check_id': 'masking_violation', 'severity': 'fail', 'defects': 2 * n9}},
+            {{'check_id': 'page_overflow', 'severity': 'warn', 'defects': 1}},
+            {{'check_id': 'unverified_claims', 'severity': 'warn', 'defects': claims}},
+            {{'check_id': 'missing_required_documents', 'severity': 'fail', 'defects': 2 - (n.d % 3 = 0)::int - (n.d % 4 = 0)::int}}]) AS x
+        FROM n LEFT JOIN f USING (d))""".format(", ".join(f"count(*) FILTER (WHERE t = {i}) AS n{i}" for i in range(12)) + ", count(*) FILTER (WHERE t = 10 AND k % 2 = 0) AS claims")
+_KINDS = "CASE x.check_id " + " ".join(f"WHEN '{c}' THEN '{k}'" for c, k in checks.REMEDY_KINDS.items()) + " ELSE 'manual' END"
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 _SIMPLE_URL = r"""CASE WHEN u = '' THEN '' ELSE (CASE WHEN regexp_extract(u, P, 1) = '' THEN 'https' ELSE lower(regexp_extract(u, P, 1)) END) || '://' || lower(regexp_extract(u, P, 2))
     || regexp_replace(regexp_replace(regexp_extract(u, P, 3), ';[^/]*$', ''), '/+$', '') || (CASE WHEN regexp_extract(u, P, 4) = '?' THEN '' ELSE regexp_extract(u, P, 4) END) END""".replace(
     "P", r"'^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?'"
 )
+_NUMERIC = r"(regexp_matches(cell, '\p{Nd}') AND regexp_matches(cell, '^[\s\pZ\p{Nd}.,\-/원만억천백십개%()~–—:]+$'))"
+
+
+def _label_key() -> str:
+    """SQL of a label's key: without parentheses, white space, and twice its bullets and one ordinal."""
+    bare = r"regexp_replace(regexp_replace(cell, '\([^)]*\)', '', 'g'), '[\s\pZ]+', '', 'g')"
+    out = bare
+    for _ in range(2):
+        out = f"regexp_replace(regexp_replace({out}, '^[{T.LABEL_BULLETS}]+', ''), '^({'|'.join(T.LABEL_ORDINALS)})', '')"
+    return f"CASE WHEN regexp_matches({out}, '[가-힣A-Za-z0-9]') THEN {out} ELSE {bare} END"
+
+
+_LABEL_KEY = _label_key()
 _PAIRS = "round(0.35 * {k} + 0.30 * {w} + 0.20 * {t} + 0.10 * {p} + 0.05, 6)"
 
 ORACLES = {
+    "acceptance_checks": f"WITH {_ACCEPTANCE} SELECT doc_id, x.check_id AS check_id, x.severity AS severity, cast(x.defects AS bigint) AS defects FROM r",
+    "acceptance_decisions": f"""
+        WITH {_ACCEPTANCE} SELECT doc_id, count(*) FILTER (WHERE x.severity = 'fail' AND x.defects > 0) AS n_fail, count(*) FILTER (WHERE x.severity = 'warn' AND x.defects > 0) AS n_warn,
+            cast(sum(x.defects) AS bigint) AS defects, count(*) FILTER (WHERE x.severity = 'fail' AND x.defects > 0) = 0 AS submittable FROM r GROUP BY 1""",
+    "acceptance_work": f"""
+        WITH {_ACCEPTANCE}, w AS (SELECT doc_id, x.check_id AS c, x.severity AS s, x.defects AS n, {_KINDS} AS kind FROM r WHERE x.defects > 0)
+        SELECT doc_id, count(DISTINCT CASE WHEN kind = 'auto' THEN c END) AS auto_commands, {", ".join(f"cast(coalesce(sum(n) FILTER (WHERE {w}), 0) AS bigint) AS {a}" for w, a in (("kind = 'human'", "human_fields"), ("kind = 'manual'", "manual_items"), ("s = 'fail'", "blocking_defects")))},
+               count(*) AS remaining_checks FROM w GROUP BY 1""",
+    "acceptance_registry": r"""
+        WITH n AS (
+            SELECT doc_id, len(regexp_extract_all(t, '(?m)^[ \t]*\|[ \t|]*$')) AS bars, (length(t) > 4500)::int AS pages, (NOT contains(regexp_replace(t, '\s+', '', 'g'), 'license'))::int AS missing
+            FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+        SELECT doc_id, 0::bigint AS auto_commands, missing::bigint AS human_fields, (bars + pages)::bigint AS manual_items, missing::bigint AS blocking_defects, ((bars > 0)::int + pages + missing)::bigint AS remaining_checks
+        FROM n WHERE bars + pages + missing > 0""",
+    "label_cells": f"""
+        WITH {_CELLS}, k AS (SELECT *, {_LABEL_KEY} AS key, {_NUMERIC} AS numeric FROM c),
+        s AS (SELECT doc_id, "table", "row", count(*) FILTER (WHERE cell <> '') AS n, count(*) FILTER (WHERE cell <> '' AND numeric) AS m FROM k GROUP BY ALL),
+        w AS (SELECT *, lead("row") OVER o AS r2, lead(n) OVER o AS n2, lead(m) OVER o AS m2 FROM s WINDOW o AS (PARTITION BY doc_id, "table" ORDER BY "row")),
+        h AS (SELECT doc_id, "table", "row" FROM w WHERE n >= 3 AND m = 0 AND r2 = "row" + 1 AND n2 >= 2 AND m2 * 2 >= n2),
+        l AS (
+            SELECT doc_id, key FROM k WHERE key <> '' AND (col % 2 = 0 OR (doc_id, "table", "row") IN (SELECT doc_id, "table", "row" FROM h))
+            UNION SELECT doc_id, key FROM k WHERE key <> '' AND NOT numeric GROUP BY doc_id, col, key HAVING count(*) >= 2)
+        SELECT doc_id, count(DISTINCT key) AS n_labels FROM l GROUP BY 1""",
     "table_cells": f"""
         WITH {_CELLS} SELECT *,
             coalesce(last_value(nullif(cell, '') IGNORE NULLS) OVER (PARTITION BY doc_id, "table", "row" ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS row_header,

@@ -258,3 +258,5 @@ ORACLES = {
         FROM (
             SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS q, max(CASE WHEN role = 'system' THEN text END) OVER (PARTITION BY conv_id) AS sys FROM conversations) WHERE role = 'assistant'""",
 }
+#: The driver's documents hold none of the words that the checks on lines ask for, so only the first five count.
+ORACLES["acceptance_rollup_lines"] = ORACLES["acceptance_rollup"]
