@@ -201,8 +201,9 @@ def disclosing(docs: DataFrame, scanned: DataFrame, generalise: float = 0.7, rem
     texts = scanned.filter(F.size("entities") > 0).groupBy("text_key").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
     texts = durable(texts, "texts")
     names = F.array_distinct(F.flatten(F.transform("entities", classes)))
-    entities_ = pairs.select("entity").distinct()
-    named = texts.select("text_key", "n", F.explode(names).alias("entity")).join(F.broadcast(entities_) if few_pairs else entities_, "entity", "left_semi")
+    # Each entity of a text with the terms that it is paired with, which are intersected with the text's own: never all of its names by all of its terms.
+    paired = pairs.groupBy("entity").agg(F.collect_list("term").alias("paired"))
+    named = texts.select("n", "terms", F.explode(names).alias("entity")).join(F.broadcast(paired) if few_pairs else paired, "entity")
     with_entity = named.groupBy("entity").agg(F.sum("n").alias("with_entity"))
     terms = durable(pairs.select("term").distinct(), "terms")
     few = terms.count() <= 1_000_000
@@ -212,9 +213,7 @@ def disclosing(docs: DataFrame, scanned: DataFrame, generalise: float = 0.7, rem
 
     words = F.array_distinct(F.transform(F.split(F.col(text), r"[^\p{L}]+"), lambda w: F.lower(w)))
     with_term = asked(docs.select(F.explode(words).alias("term"))).groupBy("term").agg(F.count("*").alias("with_term"))
-    # From the terms of a text to the entities that they are paired with, and from those to the text's own: never all of its names by all of its terms.
-    both = texts.select("text_key", "n", F.explode("terms").alias("term")).join(F.broadcast(pairs) if few_pairs else pairs, "term")
-    together = both.join(named.select("text_key", "entity"), ["text_key", "entity"], "left_semi").groupBy("entity", "term").agg(F.sum("n").alias("together"))
+    together = named.select("entity", "n", F.explode(F.array_intersect("terms", "paired")).alias("term")).groupBy("entity", "term").agg(F.sum("n").alias("together"))
     pmi = F.log2(F.lit(float(total)) * F.col("together") / (F.col("with_entity") * F.col("with_term")))
     own = F.log2(F.lit(float(total)) / F.col("with_entity"))
     share = F.when(own > 0, pmi / own)
