@@ -35,7 +35,8 @@ from corpuskiln.llm.storage import durable, quoted
 from corpuskiln.llm.words import SPACED, lists, pieces, release, split_words, tidy
 
 CHUNKS, SYMBOLS, ERRORS = 16, 6, 1
-#: The signature-distance threshold of the join, in symbols: of pairs at a similarity of exactly 0.8, fewer than one in 10**8 is farther apart.
+#: The signature-distance threshold that the index guarantees is its radius, 31 symbols. Pairs up to this distance that share a key are held against the
+#: sets too: of pairs at a similarity of exactly 0.8, fewer than one in 10**8 is farther apart.
 FARTHEST = 43
 #: Members of a key that are compared at once, and the largest sets that come along for that; larger ones are joined to the pairs.
 BLOCK, CARRIED = 1500, 1024
