@@ -1,9 +1,10 @@
 """Exact top-k inner products over an impact-ordered index.
 
 Vectors are integers and lie in blocks. A block's index holds posting segments by descending impact level (the bit length of a
-component's absolute value): the postings of all components of that level, by vector. With each segment goes what is left
-below it: the norm of every vector's components of lower levels. A search takes a block's segments by descending impact,
-score at a time, adding query weight times component to accumulators. After a level, what is still missing from a candidate's
+component's absolute value): for each dimension the vectors whose component is of that level, and those components. With each
+segment goes what is left below it: the norm of every vector's components of lower levels. A search takes a block's segments
+by descending impact, score at a time: for each dimension, the open queries' weights times the posted components go to the
+accumulators of the posted vectors, so the work is that of the postings read. After a level, what is still missing from a candidate's
 score is at most the norm of the query times that remaining norm (Cauchy-Schwarz). A query stops only when the candidates that
 could still be among its best k are few; these alone are scored exactly from the stored vectors. Segments of the levels after
 the last query's stop are not decoded.
@@ -37,7 +38,8 @@ def quantised(vectors: DataFrame, scale: int, vec_id: str, embedding: str, *more
     return rows.filter(F.col("x").isNotNull() & F.col("vec_id").isNotNull() & sound).select("vec_id", F.transform("x", lambda x: F.floor(x * scale)).alias("v"), "more.*").drop("0")
 
 
-INDEX_SCHEMA = "block int, level int, width int, ids array<long>, rows array<long>, starts array<int>, dims array<int>, values array<long>, below array<double>"
+#: starts has where each dimension's postings begin among vectors (their places in the block) and values.
+INDEX_SCHEMA = "block int, level int, width int, ids array<long>, rows array<long>, starts array<int>, vectors array<int>, values array<long>, below array<double>"
 #: The level of the row that holds a block's vectors whole.
 WHOLE = 99
 
@@ -60,11 +62,11 @@ def _index_block(rows: pd.DataFrame) -> pd.DataFrame:
     empty = np.zeros(0, np.int64)
     out = [(block, WHOLE, v.shape[1], rows.vec_id.to_numpy(), rows.row.to_numpy(), empty, empty, v.ravel(), np.sqrt((sizes**2).sum(1)))]
     for level in np.unique(levels[levels >= 0])[::-1]:
-        at, dims = np.nonzero(levels == level)
-        starts = np.searchsorted(at, np.arange(len(v) + 1))
+        dims, at = np.nonzero((levels == level).T)
+        starts = np.searchsorted(dims, np.arange(v.shape[1] + 1))
         below = np.sqrt(np.where(levels < level, sizes**2, 0).sum(1))
-        out.append((block, int(level), v.shape[1], empty, empty, starts, dims, v[at, dims], below))
-    return pd.DataFrame(out, columns=["block", "level", "width", "ids", "rows", "starts", "dims", "values", "below"])
+        out.append((block, int(level), v.shape[1], empty, empty, starts, at, v[at, dims], below))
+    return pd.DataFrame(out, columns=["block", "level", "width", "ids", "rows", "starts", "vectors", "values", "below"])
 
 
 def build_index(vectors: DataFrame, blocks: int) -> DataFrame:
@@ -97,13 +99,15 @@ def best(whole: pd.Series, segments: Iterator[pd.Series], query_rows: np.ndarray
     # Sums of floats are off by so much at most.
     rounding = (width + 8) * 2.0**-52
     own = query_rows[:, None] == rows[None, :]
-    scores, below = np.zeros((len(queries), n)), full
+    # A row for each vector, so that a posting touches what lies together.
+    sums, below = np.zeros((n, len(queries))), full
     open_, out = np.arange(len(queries)), []
     while len(open_):
         slack = norms[open_, None] * (below * (1 + 1e-12) + full * rounding)[None, :]
-        low = np.where(own[open_], -np.inf, scores[open_] - slack)
+        scores = sums[:, open_].T
+        low = np.where(own[open_], -np.inf, scores - slack)
         kth = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
-        able = (scores[open_] + slack >= kth[:, None]) & ~own[open_]
+        able = (scores + slack >= kth[:, None]) & ~own[open_]
         last = not below.any()
         done = (able.sum(1) <= max(4 * k, RESCORED * n)) | last
         for i in np.flatnonzero(done):
@@ -114,10 +118,16 @@ def best(whole: pd.Series, segments: Iterator[pd.Series], query_rows: np.ndarray
         open_ = open_[~done]
         if len(open_):
             segment = next(segments)
-            starts, dims = np.asarray(segment.starts), np.asarray(segment.dims)
-            level = np.zeros((n, width))
-            level[np.repeat(np.arange(n), np.diff(starts)), dims] = np.asarray(segment["values"], float)
-            scores[open_] += weights[open_] @ level.T
+            starts, posted, values = np.asarray(segment.starts), np.asarray(segment.vectors), np.asarray(segment["values"], float)
+            asked, all_open = weights[open_], len(open_) == len(queries)
+            for d in np.flatnonzero((np.diff(starts) > 0) & asked.any(0)):
+                at = posted[starts[d] : starts[d + 1]]
+                added = np.outer(values[starts[d] : starts[d + 1]], asked[:, d])
+                # A vector stands once in a dimension's postings.
+                if all_open:
+                    sums[at] += added
+                else:
+                    sums[np.ix_(at, open_)] += added
             below = np.asarray(segment.below, float)
     return out
 
