@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuskiln.llm import byte_bpe, decontamination, language_id, near_duplicates, pii
-from corpuskiln.llm.storage import durable
+from corpuskiln.llm.storage import drop_since, durable, last, mark
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,8 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents in order, each written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to documents in order, each written as Parquet and read again by the next.
+
+    What a stage has written for itself, and what it has read, goes once its own result is written.
+    """
+    docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_since(spark, start, last())
     return STAGES[-1][1](spark, docs, sf_dir)
