@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from corpuskiln.plans import contracts, forms, records, reports, resumes, sft, templates, texts
+from corpuskiln.plans import contracts, forms, records, reports, resumes, sft, structure, templates, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (sft, texts, records, forms, resumes, contracts, templates, reports):
+for _module in (sft, texts, records, forms, resumes, contracts, templates, reports, structure):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
