@@ -100,6 +100,14 @@ def sections(rows: DataFrame, rules: Rules = KOREAN, strict: bool = False) -> Da
     return first.select("doc_id", "pos", field.alias("field_id"), "label", required.alias("required"), excluded.alias("excluded"))
 
 
+def sanitised(found: DataFrame, completed: DataFrame, rules: Rules = KOREAN) -> DataFrame:
+    """The sections that a form asks a business about: none that is excluded or whose label no business answers; of documents that are completed already (doc_id, completed) only major headings."""
+    done = completed.filter("completed").select("doc_id", F.lit(True).alias("done")).distinct()
+    label = F.col("label")
+    held = found.filter(~F.col("excluded") & ~label.rlike(rules.non_business)).join(done, "doc_id", "left")
+    return held.filter(F.col("done").isNull() | is_heading(label, strict=True)).drop("done")
+
+
 #: The questions that every template asks first.
 FIRST_QUESTIONS = (("project_title", "과제명", "project_meta", "project_title"), ("organization_name", "기관명 또는 회사명", "organization_profile", "name"))
 

@@ -38,9 +38,13 @@ def pii_candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secret_scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rule and doc_id of each document in which a secret's pattern occurs."""
+    """rule and doc_id of each document in which a secret's pattern occurs, where its hexadecimal tokens have been made keys of the rules' services."""
+    n = F.col("doc_id") % 4
+    token = r'"([0-9a-f]{40})"'
+    made = F.coalesce(*(F.when(n == i, F.regexp_replace("text", token, f"{prefix}$1")) for i, prefix in enumerate(("sk-", "AIza", "ghp_"))), F.col("text"))
+    docs = _docs(spark, sf_dir).select("doc_id", made.alias("text"))
     rules = F.filter(F.array(*(F.when(F.col("text").rlike(p), r) for r, p in T.SECRETS.items())), lambda r: r.isNotNull())
-    return _docs(spark, sf_dir).select("doc_id", F.explode(rules).alias("rule"))
+    return docs.select("doc_id", F.explode(rules).alias("rule"))
 
 
 def content_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +206,11 @@ ORACLES = {
     "pii_candidate_counts": " UNION ALL ".join(
         f"SELECT '{t}' AS kind, cast(sum(CASE WHEN {_n(p)} > 0 THEN 1 ELSE 0 END) AS bigint) AS n_docs, cast(coalesce(sum({_n(p)}), 0) AS bigint) AS n_matches FROM documents" for p, t in ((_EMAIL, '[이메일]'), (_RESIDENT, '[주민번호]'), (_PHONE, '[전화]'))
     ),
-    "secret_scan_findings": " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule FROM documents WHERE regexp_matches(text, '{p}')" for r, p in T.SECRETS.items()),
+    "secret_scan_findings": r"""
+        WITH d AS (
+            SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN text ELSE regexp_replace(text, '"([0-9a-f]{40})"', CASE doc_id % 4 WHEN 0 THEN 'sk-\1' WHEN 1 THEN 'AIza\1' ELSE 'ghp_\1' END, 'g') END AS t FROM documents)
+        """
+    + " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule FROM d WHERE regexp_matches(t, '{p}')" for r, p in T.SECRETS.items()),
     "content_blobs": "SELECT DISTINCT sha1(text)[1:16] AS digest, length(text) AS n_chars FROM documents WHERE text <> ''",
     "unique_lines": f"SELECT doc_id, array_to_string({_DISTINCT}, chr(10)) AS lines, cast(len({_DISTINCT}) AS integer) AS n_lines FROM documents",
     "bullet_and_space_cleanup": rf"""

@@ -98,3 +98,9 @@ def test_scores(spark):
     assert [found[1][p] for p in parts] == [15, 10, 10, 15, 10, 10, 12.0, 5.0, 5] and (found[1].total, found[1].grade, found[1].passed) == (92.0, "우수", True)
     assert [found[2][p] for p in parts] == [9, 8, 6, 10, 8, 4, 0.0, 0.0, 2] and (found[2].grade, found[2].passed) == ("실패", False)
     assert [found[3][p] for p in parts] == [15, 10, 10, 15, 10, 5, 6.3, 0.0, 2] and found[3].grade == "보완 필요"
+
+
+def test_sanitised_sections(spark):
+    found = spark.createDataFrame([(d, p, f"f{p}", x, True, e) for d in (1, 2) for p, (x, e) in enumerate([("1. 목표", False), ("짧은 제목", False), ("신청기업", False), ("2. 별첨", True)])], "doc_id int, pos int, field_id string, label string, required boolean, excluded boolean")
+    done = spark.createDataFrame([(1, True), (2, False), (2, None)], "doc_id int, completed boolean")
+    assert sorted((r.doc_id, r.pos) for r in templates.sanitised(found, done).collect()) == [(1, 0), (2, 0), (2, 1)]
