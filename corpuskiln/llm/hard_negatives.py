@@ -126,7 +126,7 @@ def dual_search(a: Side, c: Side, wanted: Wanted) -> tuple[np.ndarray, np.ndarra
     left, right = a.vectors[:, :width], c.vectors[:, :width]
     kind = float if exact else object
     low, high = wanted.low.astype(kind), wanted.high.astype(kind)
-    n, k = len(wanted.anchors), wanted.k
+    n = len(wanted.anchors)
     kth = np.full(n, -np.inf, kind)
     found = {}
     scored = 0
