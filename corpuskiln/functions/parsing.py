@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuskiln.functions.text import said_once
+from corpuskiln.functions.text import bare, said_once
 
 #: Units of numbers, and what lines of announcements and scores look like.
 UNITS = "%|％|억원|억|조|만원|백만원|천원|원|명|건|개|배|점|위|년"
@@ -101,6 +101,14 @@ def match_text(text: Column) -> Column:
     return said_once(out, 16)
 
 
+def preview_text(text: Column, breaks: bool = False) -> Column:
+    """A text for a preview: its lines that are not blank, with single spaces and one kind of line end, without NUL; with `breaks`, the tags of line breaks end lines too. Null is empty."""
+    out = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\\x00", ""), "\r\n?", "\n")
+    out = F.regexp_replace(out, "<br ?/>|<br>", "\n") if breaks else out
+    lines = F.transform(F.split(out, "\n"), lambda x: bare(F.regexp_replace(x, "[ \t]+", " ")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
 def holds_anchor(text: Column, anchor: Column) -> Column:
     """Whether a text holds an anchor, with or without spaces; blank ones match nothing."""
     a, t = match_text(anchor), match_text(text)

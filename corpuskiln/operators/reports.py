@@ -146,6 +146,39 @@ def rule_decisions(rules: DataFrame, guards: DataFrame, runs: DataFrame) -> Data
     return rows.select("run_id", F.lit(every.total).cast("long").alias("total"), "passed", "na", "failed", "review_required", "unverifiable", (blocked == "").alias("can_finalize"), blocked.alias("blocked"))
 
 
+#: What a status of a download means, and what in an error speaks of the connection.
+DOWNLOAD_CODES = {"NO_ATTACHMENTS": "DOWNLOAD_NO_ATTACHMENTS", "PAGE_FETCH_FAILED": "DOWNLOAD_PAGE_FAILED", "EXTRACT_FAILED": "DOWNLOAD_EXTRACT_FAILED", "DOWNLOAD_FAILED": "DOWNLOAD_HTTP_FAILED"}
+BEHIND_LOGIN = ("PAGE_FETCH_FAILED", "NO_ATTACHMENTS", "EXTRACT_FAILED")
+CONNECTION = "(?i)ssl|certificate|unexpected_eof|tls"
+
+
+def download_failures(runs: DataFrame, logs: DataFrame, walled: Sequence[str], always: Sequence[str]) -> DataFrame:
+    """run_id, seq, code and cause of what went wrong with each run's downloads.
+
+    runs: run_id, url, exit_code, errors (a text) and folder_found; logs: run_id, seq, status, error and detail_url. A run on a
+    site behind a login (a domain of `walled` in its address or in one of its logs' addresses) has LOGIN_WALL alone, if one of
+    its logs says so or its own address is of `always`. Else each failed log has its code in order, a page that could not be
+    fetched with the cause connection or page; without any, DOWNLOAD_UNKNOWN for an exit code other than 0, else
+    DOWNLOAD_FOLDER_UNKNOWN for a folder that was not found. Runs without failures have no row.
+    """
+    lower = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    of = lambda c, domains: holds_any(lower(F.col(c)), [d.lower() for d in domains])
+    told = logs.groupBy("run_id").agg(F.max(of("detail_url", walled)).alias("log_walled"), F.max(F.col("status").isin(*BEHIND_LOGIN)).alias("bad"))
+    rows = runs.join(told, "run_id", "left")
+    wall = (of("url", walled) | F.coalesce("log_walled", F.lit(False))) & (F.coalesce("bad", F.lit(False)) | of("url", always))
+    rows = rows.withColumn("wall", wall)
+    login = rows.filter("wall").select("run_id", F.lit(0).cast("long").alias("seq"), F.lit("LOGIN_WALL").alias("code"), F.lit("").alias("cause"))
+    codes = F.create_map(*(F.lit(x) for kv in DOWNLOAD_CODES.items() for x in kv))
+    failed = logs.withColumn("code", F.try_element_at(codes, F.col("status"))).filter("code is not null").join(rows.filter(~F.col("wall")).select("run_id", "errors"), "run_id")
+    broken = lower(F.col("errors")).rlike(CONNECTION) | lower(F.col("error")).rlike(CONNECTION)
+    cause = F.when(F.col("status") == "PAGE_FETCH_FAILED", F.when(broken, "connection").otherwise("page")).otherwise("")
+    failed = failed.select("run_id", F.col("seq").cast("long").alias("seq"), "code", cause.alias("cause"))
+    other = rows.filter(~F.col("wall")).join(failed.select("run_id"), "run_id", "left_anti")
+    code = F.when(F.col("exit_code") != 0, "DOWNLOAD_UNKNOWN").when(~F.coalesce("folder_found", F.lit(True)), "DOWNLOAD_FOLDER_UNKNOWN")
+    other = other.select("run_id", F.lit(0).cast("long").alias("seq"), code.alias("code"), F.lit("").alias("cause")).filter("code is not null")
+    return login.unionByName(failed).unionByName(other)
+
+
 #: What is said of a run's result.
 VERDICTS = {"error": "검사불능", "unchecked": "미검사", "submittable": "제출가능", "not submittable": "제출불가"}
 

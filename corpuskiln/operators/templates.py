@@ -138,6 +138,26 @@ def questions(docs: DataFrame, found: DataFrame, cells: DataFrame, images: DataF
     return every.withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("order"))).select("doc_id", "nth", "question_id", "label", "field_type", "required", "kind", "target")
 
 
+def drafting_questions(missing: DataFrame, cells: DataFrame, skip_section: str, skip_cell: str, transfer: bool, large: int = 20, wide: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The missing questions (doc_id, question_id, kind, target, label, required) that may be drafted, and required ones that may not.
+
+    cells: doc_id, table, cell_id, row_header and col_header of every cell that is asked for. Sections whose label matches
+    `skip_section` go, as do cells without a label or with one that matches `skip_cell`. When one form is transferred to
+    another, cells of tables of more than `large` asked cells go unless they are required, and so do cells of tables of more
+    than `wide` without a header in their row or column; required ones of these are the second result.
+    """
+    sizes = cells.groupBy("doc_id", "table").agg(F.count("*").alias("size"))
+    meta = cells.join(sizes, ["doc_id", "table"]).select("doc_id", F.col("cell_id").alias("target"), "size", (bare(F.col("row_header")) != "").alias("in_row"), (bare(F.col("col_header")) != "").alias("in_col"))
+    rows = missing.join(meta.dropDuplicates(["doc_id", "target"]), ["doc_id", "target"], "left").fillna(0, ["size"])
+    label, is_cell = bare(F.col("label")), F.col("kind") == "table_cell"
+    required = F.coalesce("required", F.lit(False))
+    skipped = F.when(is_cell, (label == "") | label.rlike(skip_cell)).when(F.col("kind") == "section", label.rlike(skip_section)).otherwise(False)
+    too_large = is_cell & F.lit(transfer) & (F.col("size") > large) & ~required
+    unnamed = is_cell & F.lit(transfer) & (F.col("size") > wide) & ~F.coalesce(F.col("in_row") & F.col("in_col"), F.lit(False))
+    told = rows.filter(~skipped & ~too_large)
+    return told.filter(~unnamed).select(*missing.columns), told.filter(unnamed & required).select(*missing.columns)
+
+
 def meaningful(text: Column, rules: Rules = KOREAN, guide: str | None = None) -> Column:
     """Whether a text says anything: not blank, no label that no business answers, no guide (by a pattern, or `is_guide`)."""
     t = bare(text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuskiln.functions import parsing
 from corpuskiln.operators import lines, reports, tables, templates
 from corpuskiln.plans import templates as plans
 from corpuskiln.sources.tables import table
@@ -78,7 +79,22 @@ def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("needs_input", F.array_join("needs_input", ","))
 
 
-QUERIES = {f.__name__: f for f in (heading_groups, heading_coverage, form_summaries, completed_documents, benchmark_gaps, rule_decisions, run_records)}
+def preview_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a preview of its lines."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(parsing.preview_text(F.col("html"), breaks=True)).alias("digest"), F.char_length(parsing.preview_text(F.col("html"))).alias("n_plain"))
+
+
+def download_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as runs and orders as logs of downloads: what went wrong."""
+    o, k, c = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("c_custkey")
+    pick = lambda i, *xs: F.element_at(F.array(*map(F.lit, xs)), (i % len(xs) + 1).cast("int"))
+    runs = table(spark, sf_dir, "customer").select(c.alias("run_id"), pick(c, "https://Wall.one/a", "https://always.two/b", "https://open.org/c", None, "https://open.org/d").alias("url"), (c % 3).alias("exit_code"), F.when(c % 7 == 0, "TLS alert").alias("errors"), (c % 4 != 0).alias("folder_found"))
+    few = o.filter("o_orderkey % 13 < 3")
+    logs = few.select(F.col("o_custkey").alias("run_id"), k.alias("seq"), pick(k, "OK", "NO_ATTACHMENTS", "PAGE_FETCH_FAILED", "EXTRACT_FAILED", "DOWNLOAD_FAILED", "OK", "OK").alias("status"), F.when(k % 3 == 0, "bad SSL").alias("error"), F.when(k % 17 == 0, "http://WALL.one/x").alias("detail_url"))
+    return reports.download_failures(runs, logs, ("wall.one", "always.two"), ("always.two",))
+
+
+QUERIES = {f.__name__: f for f in (heading_groups, heading_coverage, form_summaries, completed_documents, benchmark_gaps, rule_decisions, run_records, preview_texts, download_failures)}
 
 _BARE = r"regexp_replace({}, '^[\s\pZ]+|[\s\pZ]+$', '', 'g')"
 _HEADINGS = rf"""
@@ -98,6 +114,20 @@ _METRICS = rf"""
 _REQUIRED = ", ".join(f"'{c}'" for c in REQUIRED)
 
 ORACLES = {
+    "preview_texts": r"""
+        WITH t AS (SELECT page_id, regexp_replace(replace(coalesce(html, ''), chr(0), ''), '\r\n?', chr(10), 'g') AS t FROM pages),
+        l AS (SELECT page_id, string_split(regexp_replace(t, '<br ?/>|<br>', chr(10), 'g'), chr(10)) AS a, string_split(t, chr(10)) AS b FROM t)
+        SELECT page_id, md5(array_to_string(list_filter(list_transform(a, lambda x: regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^[\s\pZ]+|[\s\pZ]+$', '', 'g')), lambda x: x <> ''), chr(10))) AS digest,
+               cast(length(array_to_string(list_filter(list_transform(b, lambda x: regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^[\s\pZ]+|[\s\pZ]+$', '', 'g')), lambda x: x <> ''), chr(10))) AS integer) AS n_plain FROM l""",
+    "download_failures": """
+        WITH l AS (SELECT o_custkey AS run, o_orderkey AS k, o_orderkey % 7 AS s FROM orders WHERE o_orderkey % 13 < 3),
+        g AS (SELECT run, bool_or(k % 17 = 0) AS w, bool_or(s IN (1, 2, 3)) AS bad, bool_or(s BETWEEN 1 AND 4) AS failed FROM l GROUP BY 1),
+        r AS (
+            SELECT c_custkey AS run, (c_custkey % 5 < 2 OR coalesce(w, false)) AND (coalesce(bad, false) OR c_custkey % 5 = 1) AS wall, coalesce(failed, false) AS failed FROM customer LEFT JOIN g ON run = c_custkey)
+        SELECT run AS run_id, 0::bigint AS seq, 'LOGIN_WALL' AS code, '' AS cause FROM r WHERE wall
+        UNION ALL SELECT l.run, k, CASE s WHEN 1 THEN 'DOWNLOAD_NO_ATTACHMENTS' WHEN 2 THEN 'DOWNLOAD_PAGE_FAILED' WHEN 3 THEN 'DOWNLOAD_EXTRACT_FAILED' ELSE 'DOWNLOAD_HTTP_FAILED' END,
+            CASE WHEN s = 2 THEN CASE WHEN l.run % 7 = 0 OR k % 3 = 0 THEN 'connection' ELSE 'page' END ELSE '' END FROM l JOIN r ON r.run = l.run AND NOT wall WHERE s BETWEEN 1 AND 4
+        UNION ALL SELECT run, 0, CASE WHEN run % 3 <> 0 THEN 'DOWNLOAD_UNKNOWN' ELSE 'DOWNLOAD_FOLDER_UNKNOWN' END, '' FROM r WHERE NOT wall AND NOT failed AND (run % 3 <> 0 OR run % 4 = 0)""",
     "heading_groups": f"WITH {_HEADINGS} SELECT doc_id, category, count(*) AS n, string_agg(line, '~' ORDER BY pos) AS headings FROM g GROUP BY ALL",
     "heading_coverage": f"""
         WITH {_HEADINGS}, s AS (SELECT doc_id, list(DISTINCT category) AS held FROM g GROUP BY 1), r AS (SELECT doc_id, list_filter([{_REQUIRED}], lambda x: NOT list_contains(held, x)) AS missing FROM s)

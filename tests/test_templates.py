@@ -104,3 +104,17 @@ def test_sanitised_sections(spark):
     found = spark.createDataFrame([(d, p, f"f{p}", x, True, e) for d in (1, 2) for p, (x, e) in enumerate([("1. 목표", False), ("짧은 제목", False), ("신청기업", False), ("2. 별첨", True)])], "doc_id int, pos int, field_id string, label string, required boolean, excluded boolean")
     done = spark.createDataFrame([(1, True), (2, False), (2, None)], "doc_id int, completed boolean")
     assert sorted((r.doc_id, r.pos) for r in templates.sanitised(found, done).collect()) == [(1, 0), (2, 0), (2, 1)]
+
+
+def test_questions_that_may_be_drafted(spark):
+    missing = [("a", "section", "s1", "목표", True), ("b", "section", "s2", "서약", True), ("c", "table_cell", "c1", "이름", False), ("d", "table_cell", "c2", " ", True), ("e", "table_cell", "c3", "순번", True), ("f", "table_cell", "w1", "값", True), ("g", "table_cell", "w2", "값", False), ("h", "project_meta", "t", "", None), ("i", "table_cell", "w3", "값", False)]
+    missing = spark.createDataFrame([(1, *m) for m in missing], "doc_id int, question_id string, kind string, target string, label string, required boolean")
+    cells = [(0, f"c{i}", "r", "c") for i in range(1, 4)] + [(1, f"w{i}", "" if i < 3 else "r", "c") for i in range(1, 12)]
+    cells = spark.createDataFrame([(1, *c) for c in cells], "doc_id int, `table` int, cell_id string, row_header string, col_header string")
+    ids = lambda df: sorted(r.question_id for r in df.collect())
+    kept, dropped = templates.drafting_questions(missing, cells, "서약", "순번", transfer=True)
+    assert ids(kept) == ["a", "c", "h", "i"] and ids(dropped) == ["f"]
+    kept, dropped = templates.drafting_questions(missing, cells, "서약", "순번", transfer=False)
+    assert ids(kept) == ["a", "c", "f", "g", "h", "i"] and ids(dropped) == []
+    kept, dropped = templates.drafting_questions(missing, cells, "서약", "순번", transfer=True, large=5)
+    assert ids(kept) == ["a", "c", "h"] and ids(dropped) == ["f"]
