@@ -116,6 +116,30 @@ def line_fields(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "pos", bare(parts[0]).alias("label"), parts[1].alias("value")).filter("label <> '' and value <> ''")
 
 
+#: Fixed value: a label, a colon and what follows it up to the next field of the line, which two spaces or a tab set off.
+LINE_FIELD = r"([^\s\p{Z}:：][^:：\t]{0,38}?)[ \t\u3000]*[:：](.*?)(?=(?:[ \t\u3000]{2,}|\t)[^\s\p{Z}]|[ \t\u3000]*$)"
+
+
+def fields_in_place(rows: DataFrame) -> DataFrame:
+    """doc_id, pos, nth, label, value, start and end of each field of a line that has one or several of them.
+
+    value is what follows the colon, with its white space; start and end (exclusive) are its place in the line, in characters,
+    so that a value can be written there. A line without a colon, or a null one, has none.
+    """
+    groups = F.struct(*(F.regexp_extract_all("line", F.lit(LINE_FIELD), F.lit(i)).alias(n) for i, n in enumerate(("whole", "label", "value"))), F.split("line", LINE_FIELD, -1).alias("gaps"))
+    held = rows.filter(F.col("line").rlike("[:：]")).select("doc_id", "pos", groups.alias("g"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<label:string,value:string,start:int,end:int>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        end = a["at"] + F.char_length(x["gap"]) + F.char_length(x["whole"])
+        one = F.struct(x["label"].alias("label"), x["value"].alias("value"), (end - F.char_length(x["value"])).alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+
+    each = F.transform("g.whole", lambda w, i: F.struct(w.alias("whole"), *(F.get(F.col(f"g.{n}s" if n == "gap" else f"g.{n}"), i).alias(n) for n in ("gap", "label", "value"))))
+    found = held.select("doc_id", "pos", F.posexplode(F.aggregate(each, zero, step, lambda a: a["out"])).alias("nth", "x"))
+    return found.select("doc_id", "pos", "nth", "x.*")
+
+
 def positional_diff(source: DataFrame, target: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, fills, drops and edits of two forms whose texts (key, pos, line) stand at the same places: blank to text, text to blank, and one text to another."""
     before, after = source.select(key, "pos", bare(F.col("line")).alias("before")), target.select(key, "pos", bare(F.col("line")).alias("after"))

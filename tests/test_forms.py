@@ -423,3 +423,19 @@ def test_similar_keys_are_all_found(spark):
             similarity = len(set(a) & set(b)) / len(set(a) | set(b))
             near = (a in b or b in a) and abs(len(a) - len(b)) <= 2
             assert ((a, b) in found) == (round(similarity, 9) >= matching.FUZZY or near), (a, b)
+
+
+def test_fields_of_a_line_and_their_places(spark):
+    import random
+    import re
+
+    plain = re.compile(r"(?P<label>[^\s:：][^:：\t]{0,38}?)[ \t　]*(?P<colon>[:：])(?P<value>.*?)(?=(?:[ \t　]{2,}|\t)\S|[ \t　]*$)")
+    rng = random.Random(7)
+    parts = ["기업명", "대표자", " ", "  ", "\t", "　　", ":", "：", "___", "홍 길동", "a", "\U0001f600", "x" * 45]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 10))) for _ in range(600)] + [None, "", "기업명 : __   대표자 : 홍"]
+    found = {}
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id int, pos int, line string")
+    for r in lines.fields_in_place(rows).orderBy("pos", "nth").collect():
+        found.setdefault(r.pos, []).append((r.label, r.value, r.start, r.end))
+    for i, t in enumerate(texts):
+        assert found.get(i, []) == [(m["label"], m["value"], m.start("value"), m.end("value")) for m in plain.finditer(t or "")], repr(t)
