@@ -207,13 +207,14 @@ def search(index: DataFrame, items: DataFrame, k: int = 50, item_id: str = "item
     id, or have none, are ranked each for itself. Items are taken in passes of about ITEM_BYTES, so that any number of them is
     ranked whole; a pass's terms are what is sent to the tasks.
     """
-    asked = items.select(quoted(item_id).alias("item_id"), quoted(text).alias("text"))
+    asked = items.select(quoted(item_id).alias("item_id"), quoted(text).alias("text")).filter(F.octet_length("text") > 0)
     schema = StructType([StructField("item", IntegerType()), asked.schema["item_id"]])
-    total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # An item counts for some bytes besides its text, so that a pass holds no more of short ones either.
+    total = asked.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     passes, n = 1 + total // ITEM_BYTES, index.agg(F.sum("n_documents")).first()[0] or 0
     found = None
     for at in range(passes):
-        rows = asked.filter(F.pmod(F.xxhash64("text"), F.lit(passes)) == at).toArrow().combine_chunks()
+        rows = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == at).toArrow().combine_chunks()
         some = items_of(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()))
         df = index.select("terms", "offsets").mapInArrow(_frequencies(some.terms), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
         weights = np.zeros(len(some.terms.terms), np.int64)
