@@ -8,6 +8,7 @@ need no comparison.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -44,28 +45,28 @@ def longest_chain(places: list[int]) -> list[int]:
     return chain[::-1]
 
 
-def _chained(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("a")
-    return rows.iloc[longest_chain(rows["b"].tolist())]
+def _chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        yield pd.DataFrame({"key": rows.key, "held": [longest_chain([x["b"] for x in xs]) for xs in rows.anchors]})
 
 
 def chain(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """The anchors of each pair of forms that hold."""
-    return found.groupBy(key).applyInPandas(_chained, found.schema)
+    lists = found.groupBy(F.col(key).alias("key")).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("anchors"))
+    kind = found.schema[key].dataType.simpleString()
+    # Only the places of those that hold come back.
+    held = lists.mapInPandas(_chained, f"key {kind}, held array<int>").select("key", F.explode("held").alias("nth"))
+    placed = lists.select("key", F.posexplode("anchors").alias("nth", "x"))
+    return placed.join(held, ["key", "nth"], "left_semi").select(F.col("key").alias(key), "x.a", "x.b")
 
 
-def _blocks(a: pd.DataFrame, b: pd.DataFrame) -> list[tuple[str, int, int, int, int]]:
-    a, b = a.sort_values("pos"), b.sort_values("pos")
-    return SequenceMatcher(None, a.line.tolist(), b.line.tolist(), autojunk=False).get_opcodes()
-
-
-def _gap_operations(key: str, kind: str):
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        first, begin, other = (a[key].iloc[0], int(a.pos.min()), int(b.pos.min()))
-        rows = [(first, tag, begin + i, begin + j, other + k, other + m) for tag, i, j, k, m in _blocks(a, b)]
-        return pd.DataFrame(rows, columns=[key, "tag", "a_from", "a_to", "b_from", "b_to"])
-
-    return run, f"`{key}` {kind}, tag string, a_from int, a_to int, b_from int, b_to int"
+def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        found = [
+            [(tag, a + i, a + j, b + k, b + m) for tag, i, j, k, m in SequenceMatcher(None, list(x), list(y), autojunk=False).get_opcodes()]
+            for a, b, x, y in zip(rows.a_from, rows.b_from, rows.a_lines, rows.b_lines, strict=True)
+        ]
+        yield pd.DataFrame({"key": rows.key, "found": [[dict(zip(("tag", "a_from", "a_to", "b_from", "b_to"), o, strict=True)) for o in ops] for ops in found]})
 
 
 def operations(source: DataFrame, target: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -82,19 +83,24 @@ def operations(source: DataFrame, target: DataFrame, key: str = "doc_id") -> Dat
         # As many anchors stand before a line in either form if it lies in the same gap.
         gap = F.coalesce(F.sum("anchor").over(W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
         marked[side] = own.withColumn("gap", gap).filter("anchor is null").drop("anchor")
-    ends = lambda df, s: df.groupBy(key, "gap").agg(F.min("pos").alias(f"{s}_from"), (F.max("pos") + 1).alias(f"{s}_to"))
-    spans = ends(marked["a"], "a").join(ends(marked["b"], "b"), [key, "gap"], "full_outer")
+
+    def gathered(s: str) -> DataFrame:
+        """The lines of each gap in one form. Columns of their own, as both forms may come of one table."""
+        own = F.array_sort(F.collect_list(F.struct("pos", "line")))
+        rows = marked[s].groupBy(F.col(key).alias("key"), F.col("gap").alias("gap")).agg(F.min("pos").alias(f"{s}_from"), (F.max("pos") + 1).alias(f"{s}_to"), own.alias("lines"))
+        return rows.select("key", "gap", f"{s}_from", f"{s}_to", F.transform("lines", lambda x: x["line"]).alias(f"{s}_lines"))
+
+    gaps = gathered("a").join(gathered("b"), ["key", "gap"], "full_outer")
     nth = F.row_number().over(W.partitionBy(key).orderBy("a"))
-    numbered = held.withColumn("gap", nth).select(key, "gap", F.col("a").alias("a_before"), F.col("b").alias("b_before"))
-    lone = spans.filter("a_from is null or b_from is null").join(numbered, [key, "gap"], "left")
+    numbered = held.select(F.col(key).alias("key"), nth.alias("gap"), F.col("a").alias("a_before"), F.col("b").alias("b_before"))
+    lone = gaps.filter("a_from is null or b_from is null").join(numbered, ["key", "gap"], "left")
     # Where one side has nothing, its place is behind the anchor before the gap.
     place = lambda s, end: F.coalesce(f"{s}_{end}", F.col(f"{s}_before") + 1, F.lit(0)).cast("int").alias(f"{s}_{end}")
-    lone = lone.select(key, F.when(F.col("b_from").isNull(), "delete").otherwise("insert").alias("tag"), place("a", "from"), place("a", "to"), place("b", "from"), place("b", "to"))
-    both = spans.filter("a_from is not null and b_from is not null").select(key, "gap")
-    run, schema = _gap_operations(key, source.schema[key].dataType.simpleString())
-    # Columns of their own, as both forms may come of one table.
-    sides = [df.join(both, [key, "gap"], "left_semi").select(*(F.col(c).alias(c) for c in (key, "gap", "pos", "line"))).groupBy(key, "gap") for df in (marked["a"], marked["b"])]
-    compared = sides[0].cogroup(sides[1]).applyInPandas(run, schema)
+    lone = lone.select(F.col("key").alias(key), F.when(F.col("b_from").isNull(), "delete").otherwise("insert").alias("tag"), place("a", "from"), place("a", "to"), place("b", "from"), place("b", "to"))
+    both = gaps.filter("a_from is not null and b_from is not null").select("key", "a_from", "b_from", "a_lines", "b_lines")
+    kind = source.schema[key].dataType.simpleString()
+    compared = both.mapInPandas(_compared, f"key {kind}, found array<struct<tag:string,a_from:int,a_to:int,b_from:int,b_to:int>>")
+    compared = compared.select(F.col("key").alias(key), F.explode("found").alias("x")).select(key, "x.*")
     equal = held.select(key, F.lit("equal").alias("tag"), F.col("a").alias("a_from"), (F.col("a") + 1).alias("a_to"), F.col("b").alias("b_from"), (F.col("b") + 1).alias("b_to"))
     return equal.unionByName(lone).unionByName(compared)
 

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuskiln.functions.predicates import bare
-from corpuskiln.functions.text import amount_in_won, leading_number
+from corpuskiln.functions.text import amount_in_won, bare, leading_number, let
 
 #: What may be said of a fact's meaning, and of how far it is verified.
 SEMANTIC_STATES = ("ACTUAL", "PLAN", "ESTIMATE", "HYPOTHESIS", "UNKNOWN", "NOT_APPLICABLE", "CONFLICT")
@@ -129,19 +128,19 @@ def profile(raw: Column, fields: Sequence[Field] = FIELDS) -> Column:
     A text that is nowhere is empty, a list has no blank elements, and a number is the first in its text, or 0.
     """
 
-    def taken(f: Field) -> Column:
-        found = [F.try_element_at(raw, F.lit(p)) for p in f.paths]
+    def taken(f: Field, values: Column) -> Column:
+        found = [F.try_element_at(values, F.lit(p)) for p in f.paths]
         found = [F.when(F.exists(x, lambda v: bare(v) != ""), x) for x in found] if f.filled else found
         return F.coalesce(*found, F.array().cast("array<string>"))
 
-    def value(f: Field) -> Column:
+    def value(f: Field, values: Column) -> Column:
         if f.kind == "list":
-            return F.filter(taken(f), lambda v: bare(v) != "")
-        text = F.coalesce(F.get(taken(f), F.lit(0)), F.lit(""))
+            return F.filter(taken(f, values), lambda v: bare(v) != "")
+        text = F.coalesce(F.get(taken(f, values), F.lit(0)), F.lit(""))
         return leading_number(text) if f.kind == "number" else text
 
     blocks = dict.fromkeys(f.block for f in fields)
-    return F.struct(*(F.struct(*(value(f).alias(f.name) for f in fields if f.block == b)).alias(b) for b in blocks))
+    return let(raw, lambda values: F.struct(*(F.struct(*(value(f, values).alias(f.name) for f in fields if f.block == b)).alias(b) for b in blocks)))
 
 
 @dataclass(frozen=True)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuskiln.functions.predicates import bare
+from corpuskiln.functions.text import bare, let
 from corpuskiln.operators.records import consolidated_education
 
 
@@ -93,19 +93,21 @@ def _norm(text: str) -> str:
 def split_cells(line: Column, form: Form) -> Column:
     """A line's cells, trimmed, without those at its end that hold nothing; none of a line without a separator."""
     cells = F.transform(F.split(line, re.escape(form.separator)), bare)
-    held = F.array_max(F.transform(cells, lambda c, i: F.when(~label_norm(c).isin([_norm(x) for x in form.drop]), i + 1)))
-    return F.when(F.contains(line, F.lit(form.separator)), F.slice(cells, F.lit(1), F.coalesce(held, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    empty = lambda c: label_norm(c).isin([_norm(x) for x in form.drop])
+    last = lambda cs: F.array_max(F.transform(cs, lambda c, i: F.when(~empty(c), i + 1)))
+    # Most lines end in a cell that holds something.
+    cut = lambda cs: F.when(~empty(F.element_at(cs, -1)), cs).otherwise(F.slice(cs, F.lit(1), F.coalesce(last(cs), F.lit(0))))
+    return F.when(F.contains(line, F.lit(form.separator)), let(cells, cut)).otherwise(F.array().cast("array<string>"))
 
 
 def header_kind(cells: Column, form: Form) -> Column:
     """The section that a row of cells is the header of; null if of none, or if it begins with a date."""
-    joined = F.array_join(F.transform(cells, label_norm), "")
 
-    def all_of(words: tuple[str, ...]) -> Column:
-        return F.least(F.lit(True), F.lit(True), *(F.contains(joined, F.lit(_norm(w))) for w in words))
+    def kind(joined: Column) -> Column:
+        all_of = lambda words: F.least(F.lit(True), F.lit(True), *(F.contains(joined, F.lit(_norm(w))) for w in words))
+        return F.coalesce(*(F.when(F.greatest(F.lit(False), F.lit(False), *map(all_of, s.signatures)), F.lit(s.kind)) for s in form.sections))
 
-    kinds = [F.when(F.greatest(F.lit(False), F.lit(False), *map(all_of, s.signatures)), F.lit(s.kind)) for s in form.sections]
-    return F.when((F.size(cells) > 0) & ~F.coalesce(F.get(cells, F.lit(0)).rlike(form.lead), F.lit(False)), F.coalesce(*kinds))
+    return F.when((F.size(cells) > 0) & ~F.coalesce(F.get(cells, F.lit(0)).rlike(form.lead), F.lit(False)), let(label_norm(F.array_join(cells, "")), kind))
 
 
 def parse(rows: DataFrame, form: Form = KOREAN, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
