@@ -176,14 +176,20 @@ TOLD = StructType([StructField("lang_pred", StringType()), StructField("score",
 def told(model: Model, text: Column) -> Column:
     """struct<lang_pred, score> of a text; only the texts go to the Python workers, and only this comes back."""
 
+    held = [model]
+
     @F.arrow_udf(TOLD)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # Each task has its own copy of the model, and lets it go at its end, so that a worker kept for later tasks does not hold it.
+        own = held.pop()
         for texts in batches:
             batch = pa.RecordBatch.from_arrays([texts], names=["text"])
-            found = [_told(model, part.column(0)) for part in pieces(batch, "text", BYTES)]
+            found = [_told(own, part.column(0)) for part in pieces(batch, "text", BYTES)]
             langs, score = (pa.concat_arrays([f[i] for f in found] or [pa.array([], kind)]) for i, kind in enumerate((pa.string(), pa.float64())))
             yield pa.StructArray.from_arrays([langs, score], names=["lang_pred", "score"])
             release()
+        del own
+        tidy()
 
     # Else the optimiser would run it once in a filter and again in the projection below.
     return run.asNondeterministic()(text)
