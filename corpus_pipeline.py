@@ -13,12 +13,24 @@ from corpuskiln.llm import byte_bpe, decontamination, language_id, near_duplicat
 from corpuskiln.llm.storage import drop_since, durable, last, mark
 
 
+#: Rows that go to a Python worker at once. Whole texts travel, so the session's own number, which suits short rows, would hold too much in an executor.
+ROWS_AT_ONCE = 1000
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Holds the batches of this session's Python workers at ROWS_AT_ONCE, if they are not smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_AT_ONCE:
+        spark.conf.set(name, str(ROWS_AT_ONCE))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in a language that can be told with a score of 0.5 or more; a null lang is filled in.
 
     Null, empty and letterless texts go. Repeated rows stay or go alike; ties go to the language first in order; a table without
     a labelled text learns no language and so keeps nothing; an empty one stays empty; other columns stay as they are.
     """
+    _bounded(spark)
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
@@ -28,6 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null and wordless texts, and rows with a null id, stay; rows that share an id are one document with several texts; an empty
     table stays empty; columns are carried along, whatever their names.
     """
+    _bounded(spark)
     return near_duplicates.drop_near_duplicates(docs, width=5)
 
 
@@ -37,6 +50,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Each row stays or goes by its own text, whatever its id; null and empty texts stay; an empty table, or an empty benchmark,
     changes nothing; columns are carried along, whatever their names.
     """
+    _bounded(spark)
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -46,6 +60,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay as they are; repeated rows are changed alike; overlapping spans are replaced as one; an empty
     table stays empty; other columns are carried along, whatever their names.
     """
+    _bounded(spark)
     return pii.sanitise(docs)
 
 
@@ -55,6 +70,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is empty and has no ids; repeated rows and null ids each keep their row; an empty table gives no rows; other
     columns are left behind.
     """
+    _bounded(spark)
     return byte_bpe.encode(docs, with_ids=True)
 
 
