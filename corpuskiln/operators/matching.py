@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from corpuskiln.functions.predicates import bracket_conflict, is_dummy_value, looks_like_name
 from corpuskiln.functions.text import bare, letters
+from corpuskiln.operators.sections import related
 
 FUZZY = 0.6
 
@@ -143,15 +144,7 @@ def section_materials(sections: DataFrame, materials: DataFrame) -> DataFrame:
     They match if their categories meet; if both have categories that do not meet they never match; otherwise they match if
     a token is shared.
     """
-
-    def by(rows: DataFrame, id_: str, c: str, loose: str) -> DataFrame:
-        """A row for each of a row's distinct words; what it is joined by, and whether it has no categories, is all that travels."""
-        return rows.select(id_, (F.coalesce(F.size("categories"), F.lit(0)) <= 0).alias(loose), F.explode(F.array_distinct(c)).alias("on"))
-
-    pair = ["section_id", "material_id"]
-    by_category = by(sections, "section_id", "categories", "a").join(by(materials, "material_id", "categories", "b"), "on").select(*pair)
-    by_token = by(sections, "section_id", "tokens", "a").join(by(materials, "material_id", "tokens", "b"), "on").filter("a or b").select(*pair)
-    return by_category.unionByName(by_token).distinct()
+    return related(sections, materials, "section_id", "material_id")
 
 
 def missing_requirements(requirements: DataFrame, matched: DataFrame, key: list[str]) -> DataFrame:

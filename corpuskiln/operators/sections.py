@@ -51,34 +51,58 @@ def semantic_allowed(semantic: Column, expected: Column) -> Column:
     return none | ((state(semantic) != "") & F.array_contains(F.transform(expected, state), state(semantic)))
 
 
-def _spread(rows: DataFrame, column: str) -> DataFrame:
-    return rows.withColumn("on", F.explode(column))
+def _words(rows: DataFrame, id_: str | Column, c: str, none: str) -> DataFrame:
+    """A row for each of a row's distinct words; what it is joined by, and whether it has no categories, is all that travels."""
+    return rows.select(id_, (F.coalesce(F.size("categories"), F.lit(0)) <= 0).alias(none), F.explode(F.array_distinct(c)).alias("on"))
+
+
+def _grouped(rows: DataFrame, id_: str, what: Column) -> DataFrame:
+    """Each id once, with kinds: the set of what its rows are. The ids are spread first, as a small file is read by one task."""
+    return rows.select(id_, what.alias("x")).repartition(id_).groupBy(id_).agg(F.array_sort(F.collect_set("x")).alias("kinds"))
 
 
 def related(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """left_id and right_id of the pairs that belong together: a shared category if both have categories, else a shared token.
+    """left_id and right_id of the pairs that belong together, each once: a shared category if both have categories, else a shared token.
 
-    Tokens are joined only where one side lacks categories. Every pair that shares one is a row of the result, so the join makes
-    no more rows than that times the tokens a pair shares; AQE splits a token that many rows hold.
+    Rows of the right side that have the same categories and tokens are related to the same ones, so each such kind meets the
+    left side once, by its words, and only its pairs are made distinct; the ids of a kind are then joined to them. Every row of
+    that join is one of the result. Ids on the left are few or have words of their own; null words relate nothing.
+    """
+    plain = lambda c: F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.col(c), F.array().cast("array<string>"))))).alias(c)
+    # A null among the categories is one that is not known; it still counts as having some.
+    size = F.coalesce(F.size("categories"), F.lit(0)) > 0
+    ids = _grouped(right, right_id, F.struct(size.alias("some"), plain("categories"), plain("tokens")))
+    kinds = ids.select("kinds").distinct().select("kinds", F.explode("kinds").alias("k"))
+    b = lambda c: kinds.select("kinds", (~F.col("k.some")).alias("b"), F.explode(f"k.{c}").alias("on"))
+    by_category = _words(left, left_id, "categories", "a").join(b("categories"), "on").select(left_id, "kinds")
+    by_token = _words(left, left_id, "tokens", "a").join(b("tokens"), "on").filter("a or b").select(left_id, "kinds")
+    pairs = by_category.unionByName(by_token).distinct()
+    # Merged, as the sizes of either side are not known beforehand: what looks small in a file may not be sent to all tasks.
+    return ids.join(pairs.hint("merge"), "kinds").select(left_id, right_id)
+
+
+def by_kind(materials: DataFrame) -> DataFrame:
+    """Materials by what decides on sections and requirements: material_id (the kinds that an id has, a set), n (how many ids have just these), material_type, field, semantic, categories, tokens and reason (see `unusable_reason`).
+
+    What follows on it costs what the kinds cost, however many materials there are of each.
     """
-    a = left.select(left_id, F.col("categories").alias("ac"), F.col("tokens").alias("at"))
-    b = right.select(right_id, F.col("categories").alias("bc"), F.col("tokens").alias("bt"))
-    by_category = _spread(a.select(left_id, "ac"), "ac").join(_spread(b.select(right_id, "bc"), "bc"), "on").select(left_id, right_id).distinct()
-    with_both = (F.size("ac") > 0) & (F.size("bc") > 0)
-    by_token = _spread(a.select(left_id, "ac", "at"), "at").join(_spread(b.select(right_id, "bc", "bt"), "bt"), "on").filter(~with_both)
-    return by_category.unionByName(by_token.select(left_id, right_id).distinct())
+    why = unusable_reason(F.col("value"), F.col("origin"), F.col("verification"), F.col("semantic")).alias("reason")
+    ids = _grouped(materials, "material_id", F.struct("material_type", "field", "semantic", "categories", "tokens", why))
+    counted = ids.groupBy("kinds").agg(F.count("material_id").alias("n"))
+    return counted.select(F.col("kinds").alias("material_id"), "n", F.explode("kinds").alias("k")).select("material_id", "n", "k.*")
 
 
 def matched_materials(sections: DataFrame, materials: DataFrame) -> DataFrame:
     """section_id, material_id and reason of every related pair; reason is null where the material may be used.
 
     materials: value, origin (see `sources`), verification and semantic besides; sections: expected (states, or null). A usable
-    material in none of the states that the section expects has the reason SEMANTIC_MISMATCH.
+    material in none of the states that the section expects has the reason SEMANTIC_MISMATCH. Materials `by_kind` keep their n.
     """
     pairs = related(sections, materials, "section_id", "material_id")
-    why = unusable_reason(F.col("value"), F.col("origin"), F.col("verification"), F.col("semantic"))
-    held = pairs.join(materials.select("material_id", "semantic", why.alias("reason")), "material_id").join(sections.select("section_id", "expected"), "section_id")
-    return held.select("section_id", "material_id", F.coalesce("reason", F.when(~semantic_allowed(F.col("semantic"), F.col("expected")), "SEMANTIC_MISMATCH")).alias("reason"))
+    counted = ["n"] if "n" in materials.columns else []
+    why = F.col("reason") if counted else unusable_reason(F.col("value"), F.col("origin"), F.col("verification"), F.col("semantic"))
+    held = pairs.join(materials.select("material_id", "semantic", *counted, why.alias("reason")), "material_id").join(sections.select("section_id", "expected"), "section_id")
+    return held.select("section_id", "material_id", *counted, F.coalesce("reason", F.when(~semantic_allowed(F.col("semantic"), F.col("expected")), "SEMANTIC_MISMATCH")).alias("reason"))
 
 
 def applicable(rules: DataFrame, sections: DataFrame, rule_id: str = "requirement_id") -> DataFrame:
@@ -119,9 +143,13 @@ def section_status(sections: DataFrame, matched: DataFrame, applied: DataFrame,
 
     missing: applied requirements that are required (by default they are) and not met; blocking: those of them that block (by
     default they do not). status: BLOCKED_REQUIRED_INFO with a blocking one, NO_USABLE_MATERIAL without materials,
-    PARTIAL_WRITABLE with a missing one or a conflict that applies (rows of conflict_id and section_id), else WRITABLE.
+    PARTIAL_WRITABLE with a missing one or a conflict that applies (rows of conflict_id and section_id), else WRITABLE. Materials matched
+    `by_kind` count as many as they stand for.
     """
-    n = matched.groupBy("section_id").agg(F.count_distinct("material_id").alias("n_materials"))
+    if "n" in matched.columns:
+        n = matched.select("section_id", "material_id", "n").distinct().groupBy("section_id").agg(F.sum("n").alias("n_materials"))
+    else:
+        n = matched.groupBy("section_id").agg(F.count_distinct("material_id").alias("n_materials"))
     open_ = applied.join(met, ["requirement_id", "section_id"], "left_anti")
     open_ = open_.join(requirements.select("requirement_id", F.coalesce("required", F.lit(True)).alias("required"), F.coalesce("blocking", F.lit(False)).alias("blocking")), "requirement_id").filter("required")
     lacks = open_.groupBy("section_id").agg(F.count("*").alias("n_missing"), F.sum(F.col("blocking").cast("long")).alias("n_blocking"))
