@@ -117,6 +117,7 @@ def unusable_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
 def section_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each section has and lacks."""
     own, mats, reqs = _sections(spark, sf_dir)
+    mats = sections.by_kind(mats)
     used = sections.matched_materials(own, mats).filter("reason is null")
     applied = sections.applicable(reqs, own)
     met = sections.satisfied(reqs, applied, used, mats)

@@ -23,3 +23,23 @@ def test_pairs_are_not_gathered_to_be_made_distinct(spark):
     pairs = [(r.section_id, r.material_id) for r in found.collect()]
     assert sorted(pairs) == [("a", "m1"), ("a", "m2"), ("a", "m4"), ("b", "m1"), ("b", "m2"), ("b", "m3"), ("c", "m2"), ("c", "m3"), ("c", "m4"), ("c", "m5")]
     assert not re.search(r"Aggregate \[section_id#\d+, material_id#\d+\]", plan_of(found))
+
+
+def test_status_costs_what_the_kinds_of_materials_cost(spark):
+    own = spark.createDataFrame([("a", ["x"], [], None), ("b", ["y"], [], ["ACTUAL"])], WORDS.format("section_id") + ", expected array<string>")
+    rows = spark.range(300).select(
+        F.when(F.col("id") == 299, "1").otherwise(F.col("id").cast("string")).alias("material_id"), F.lit("FACT").alias("material_type"), F.lit("f").alias("field"),
+        F.when(F.col("id") % 3 != 0, F.concat(F.lit("v"), F.col("id").cast("string"))).alias("value"), F.array(F.struct(F.lit("p").alias("file"), F.col("id").cast("string").alias("location"))).alias("origin"),
+        F.lit(None).cast("string").alias("verification"), F.lit("actual").alias("semantic"), F.array(F.when(F.col("id") % 2 == 0, "x").otherwise("y")).alias("categories"), F.array().cast("array<string>").alias("tokens"),
+    )
+    none = lambda names: spark.createDataFrame([], ", ".join(f"{n} string" for n in names))
+    reqs = spark.createDataFrame([], "requirement_id string, required boolean, blocking boolean")
+    pair = none(("requirement_id", "section_id"))
+
+    def status(mats):
+        used = sections.matched_materials(own, mats).filter("reason is null")
+        return sorted(map(tuple, sections.section_status(own, used, pair, pair, reqs, none(("conflict_id", "section_id"))).collect()))
+
+    kinds = sections.by_kind(rows)
+    assert kinds.count() == 4
+    assert status(kinds) == status(rows) == [("a", 100, 0, 0, 0, "WRITABLE"), ("b", 99, 0, 0, 0, "WRITABLE")]
