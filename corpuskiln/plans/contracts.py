@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuskiln.operators import alignment, contracts, lines, tables
-from corpuskiln.sources.tables import table
+from corpuskiln.sources.tables import spread, table
 
 
 def contract_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,8 @@ def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("1,000").alias("total"), (k % 900).alias("government"), (F.lit(1000) - k % 900 + (k % 2) * 100).alias("self")).alias("budget"),
         some(k % 8 != 0, F.struct(F.lit("x").alias("current"))).alias("team"),
     ))
-    return table(spark, sf_dir, "customer").select("c_custkey", contracts.profile(contracts.raw_values(raw)).alias("profile"))
+    customers = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
+    return customers.select("c_custkey", contracts.profile(contracts.raw_values(raw)).alias("profile"))
 
 
 def profile_issues(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,9 @@ import re
 from pyspark.sql import functions as F
 
 from corpuskiln.operators import matching, sections
+from corpuskiln.plans import contracts as plans
+
+from .conftest import DATA
 
 
 def plan_of(df) -> str:
@@ -43,3 +46,7 @@ def test_status_costs_what_the_kinds_of_materials_cost(spark):
     kinds = sections.by_kind(rows)
     assert kinds.count() == 4
     assert status(kinds) == status(rows) == [("a", 100, 0, 0, 0, "WRITABLE"), ("b", 99, 0, 0, 0, "WRITABLE")]
+
+
+def test_heavy_rows_of_a_small_file_are_spread(spark):
+    assert plans._profiles(spark, f"{DATA}/sf0.001").rdd.getNumPartitions() >= 8
