@@ -122,9 +122,14 @@ def _number(text: Column, unit: str) -> Column:
 
 def amount_in_won(text: Column) -> Column:
     """Trillions, hundred millions and ten thousands added up; without units the first number, and 0 without any."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), ",", "")
-    total = sum((F.coalesce(_number(bare, u), F.lit(0.0)) * F.lit(w) for u, w in (("조", 1e12), ("억", 1e8), ("만", 1e4))), F.lit(0.0))
-    return F.when(total > 0, total).otherwise(F.coalesce(_number(bare, ""), F.lit(0.0)))
+    units = (("조", 1e12), ("억", 1e8), ("만", 1e4))
+
+    def amount(bare: Column) -> Column:
+        # A unit is sought only where it stands.
+        total = sum((F.when(F.contains(bare, F.lit(u)), F.coalesce(_number(bare, u), F.lit(0.0)) * F.lit(w)).otherwise(0.0) for u, w in units), F.lit(0.0))
+        return let(total, lambda t: F.when(t > 0, t).otherwise(F.coalesce(_number(bare, ""), F.lit(0.0))))
+
+    return let(F.translate(F.coalesce(text, F.lit("")), ",", ""), amount)
 
 
 def leading_number(text: Column) -> Column:

@@ -167,8 +167,8 @@ def _below(larger: str, smaller: str):
     """Whether the larger market is smaller, where both are given."""
 
     def broken(p: Column) -> Column:
-        x, y = amount_in_won(_at(p, larger)), amount_in_won(_at(p, smaller))
-        return (x > 0) & (y > 0) & (x < y)
+        both = F.struct(amount_in_won(_at(p, larger)).alias("x"), amount_in_won(_at(p, smaller)).alias("y"))
+        return let(both, lambda m: (m["x"] > 0) & (m["y"] > 0) & (m["x"] < m["y"]))
 
     return broken
 

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from corpuskiln.functions import text
 from corpuskiln.operators import matching, sections
 from corpuskiln.plans import contracts as plans
 
@@ -50,3 +51,10 @@ def test_status_costs_what_the_kinds_of_materials_cost(spark):
 
 def test_heavy_rows_of_a_small_file_are_spread(spark):
     assert plans._profiles(spark, f"{DATA}/sf0.001").rdd.getNumPartitions() >= 8
+
+
+def test_an_amount_is_computed_once(spark):
+    rows = spark.createDataFrame([("1조 2억 3만",), ("1.5억원, 7",), ("약 1,200",), ("억",), ("1.2.3억 4만",), ("0억 5",), (None,)], "t string")
+    found = rows.select(text.amount_in_won(F.col("t")).alias("n"))
+    assert [r.n for r in found.collect()] == [1_000_200_030_000.0, 150_000_000.0, 1200.0, 0.0, 40_000.0, 0.0, 0.0]
+    assert plan_of(found).count("regexp_extract") == 4
