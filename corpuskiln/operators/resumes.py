@@ -239,17 +239,24 @@ def map_tables(cells: DataFrame, form: Form, labels: Mapping[str, Mapping[str, s
     value in any of them stay as they are. A null cell is blank.
     """
     table = ["doc_id", "table"]
-    by_row = cells.groupBy(*table, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", bare(F.col("cell")).alias("cell")))), lambda x: x["cell"]).alias("cells"))
+    by_row = cells.groupBy(*table, "row").agg(F.array_sort(F.collect_list(F.struct("col", bare(F.col("cell")).alias("cell")))).alias("cells"))
     kinds = [s.kind for s in form.sections if s.kind in labels]
-    heads = by_row.withColumn("kind", header_kind(F.col("cells"), form)).filter(F.col("kind").isin(kinds)).select(*table, "row", "kind")
-    named = cells.join(heads, [*table, "row"]).withColumn("field", F.coalesce(*(F.when(F.col("kind") == k, column_fields(k, labels, bare(F.col("cell")))) for k in kinds)))
-    named = named.filter("field is not null")
-    first = F.min("row").over(W.partitionBy(*table))
-    columns = named.withColumn("header", first).filter("row = header").select(*table, "header", "kind", "col", "field").dropDuplicates([*table, "col"])
-    below = cells.join(columns, [*table, "col"]).filter("row > header")
-    blank = below.groupBy(*table, "kind", "row").agg(F.max(bare(F.col("cell")) != "").alias("some")).filter("not some").drop("some")
-    nth = F.row_number().over(W.partitionBy(*table).orderBy("row"))
-    return columns, blank.withColumn("nth", nth)
+
+    def mapped(kind: str) -> Column:
+        """The columns of a header of a kind that name a field, each once."""
+        named = F.filter(F.transform("cells", lambda c: F.struct(c["col"].alias("col"), column_fields(kind, labels, c["cell"]).alias("field"))), lambda x: x["field"].isNotNull())
+        return let(named, lambda xs: F.filter(xs, lambda x, i: F.array_position(F.transform(xs, lambda y: y["col"]), x["col"]) == i + 1))
+
+    head = F.struct(F.col("row").alias("header"), "kind", "columns")
+    rows = by_row.withColumn("kind", header_kind(F.transform("cells", lambda c: c["cell"]), form))
+    rows = rows.withColumn("columns", F.coalesce(*(F.when(F.col("kind") == k, mapped(k)) for k in kinds)))
+    # A table's rows in order know their header from there on; no cell is sent anywhere else.
+    order = W.partitionBy(*table).orderBy("row")
+    rows = rows.withColumn("head", F.first(F.when(F.size("columns") > 0, head), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))).select(*table, "row", "cells", "head.*")
+    columns = rows.filter("row = header").select(*table, "header", "kind", F.explode("columns").alias("x")).select(*table, "header", "kind", "x.*")
+    under = F.filter("cells", lambda c: F.exists("columns", lambda x: x["col"] == c["col"]))
+    below = rows.filter("row > header").select(*table, "kind", "row", under.alias("under")).filter((F.size("under") > 0) & F.forall("under", lambda c: c["cell"] == ""))
+    return columns, below.select(*table, "kind", "row").withColumn("nth", F.row_number().over(order))
 
 
 def fill_tables(cells: DataFrame, records: DataFrame, form: Form, labels: Mapping[str, Mapping[str, str]]) -> tuple[DataFrame, DataFrame]:
@@ -261,10 +268,11 @@ def fill_tables(cells: DataFrame, records: DataFrame, form: Form, labels: Mappin
     """
     columns, blank = map_tables(cells, form, labels)
     places = F.create_map(*(F.lit(x) for s in form.sections for i, f in enumerate(s.fields) for x in (f"{s.kind} {f}", i)))
-    met = blank.join(records, ["doc_id", "kind", "nth"]).join(columns.drop("header", "kind"), ["doc_id", "table"])
+    # Merged: what comes of a small file by exploding it looks small, and would be broadcast through the driver.
+    met = blank.join(records.hint("merge"), ["doc_id", "kind", "nth"]).join(columns.drop("header", "kind").hint("merge"), ["doc_id", "table"])
     value = F.get("values", F.element_at(places, F.concat_ws(" ", "kind", "field")))
     fills = met.select("doc_id", "table", "row", "col", "field", value.alias("value")).filter("value is not null")
-    n_rows = columns.select("doc_id", "table", "kind").distinct().join(blank.groupBy("doc_id", "table", "kind").agg(F.count("*").alias("n_rows")), ["doc_id", "table", "kind"], "left").fillna(0, ["n_rows"])
+    n_rows = columns.select("doc_id", "table", "kind").distinct().join(blank.groupBy("doc_id", "table", "kind").agg(F.count("*").alias("n_rows")).hint("merge"), ["doc_id", "table", "kind"], "left").fillna(0, ["n_rows"])
     n_records = records.groupBy("doc_id", "kind").agg(F.count("*").alias("n_records"))
-    report = n_rows.join(n_records, ["doc_id", "kind"], "left").fillna(0, ["n_records"]).withColumn("n_filled", F.least("n_rows", "n_records"))
+    report = n_rows.join(n_records.hint("merge"), ["doc_id", "kind"], "left").fillna(0, ["n_records"]).withColumn("n_filled", F.least("n_rows", "n_records"))
     return fills, report.select("doc_id", "table", "kind", "n_records", "n_rows", "n_filled", (F.col("n_records") - F.col("n_filled")).alias("n_left"))

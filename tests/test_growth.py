@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from corpuskiln.functions import text
-from corpuskiln.operators import matching, sections
+from corpuskiln.operators import matching, resumes, sections
 from corpuskiln.plans import contracts as plans
 
 from .conftest import DATA
@@ -58,3 +58,14 @@ def test_an_amount_is_computed_once(spark):
     found = rows.select(text.amount_in_won(F.col("t")).alias("n"))
     assert [r.n for r in found.collect()] == [1_000_200_030_000.0, 150_000_000.0, 1200.0, 0.0, 40_000.0, 0.0, 0.0]
     assert plan_of(found).count("regexp_extract") == 4
+
+
+def test_cells_of_tables_are_sent_to_no_other_task(spark):
+    form = resumes.Form((resumes.Section("s", (("Name",),), ("name", "year")),), {}, ())
+    cells = [("d", 0, 0, 0, "title"), ("d", 0, 1, 0, "Name x"), ("d", 0, 1, 1, "?"), ("d", 0, 2, 0, "Name"), ("d", 0, 2, 1, "Year"), ("d", 0, 2, 2, "Name"), ("d", 0, 3, 0, " "), ("d", 0, 3, 1, None), ("d", 0, 3, 2, "")]
+    cells += [("d", 0, 4, 0, ""), ("d", 0, 4, 1, "1"), ("d", 0, 5, 2, "\t"), ("d", 0, 6, 3, ""), ("d", 1, 0, 0, ""), ("e", 0, 0, 1, "Name"), ("e", 0, 1, 0, "")]
+    cells = spark.createDataFrame(cells, "doc_id string, table int, row int, col int, cell string")
+    columns, blank = resumes.map_tables(cells, form, {"s": {"Name": "name", "Year": "year"}})
+    assert sorted(map(tuple, columns.collect())) == [("d", 0, 2, "s", 0, "name"), ("d", 0, 2, "s", 1, "year"), ("d", 0, 2, "s", 2, "name"), ("e", 0, 0, "s", 1, "name")]
+    assert sorted(map(tuple, blank.collect())) == [("d", 0, "s", 3, 1), ("d", 0, "s", 5, 2)]
+    assert "Join" not in plan_of(blank)
