@@ -51,7 +51,8 @@ def label_key(label: Column) -> Column:
     for _ in range(2):
         out = F.regexp_replace(out, f"^[{LABEL_BULLETS}]+", "")
         out = F.regexp_replace(out, "^(" + "|".join(LABEL_ORDINALS) + ")", "")
-    return F.when(out.rlike("[가-힣A-Za-z0-9]"), out).otherwise(bare)
+    # Most cells are one plain word, of which nothing goes.
+    return F.when((label == "") | label.rlike(r"^[가-힣A-Za-z0-9]+\z"), label).when(out.rlike("[가-힣A-Za-z0-9]"), out).otherwise(bare)
 
 
 def normal_label(label: Column) -> Column:

@@ -85,19 +85,22 @@ def vertical_cards(found: DataFrame, synonyms: DataFrame) -> DataFrame:
     blank nor a label, the table is a roster of several records and gives nothing. Blank values are left out.
     """
     aliases = synonyms.select(F.col("alias").alias("key"), "cluster").dropDuplicates(["key"])
-    keyed = found.withColumn("cell", bare(F.col("cell"))).withColumn("key", label_key(F.col("cell"))).join(aliases, "key", "left")
-    one = F.struct("col", "cell", "key", "cluster")
+    # The synonyms are a table of words of forms; joined by key, all cells would travel, most of them to the tasks of a few labels.
+    keyed = found.withColumn("cell", bare(F.col("cell"))).withColumn("key", label_key(F.col("cell"))).join(F.broadcast(aliases), "key", "left")
+    one = F.struct("col", "cell", "cluster")
     rows = keyed.groupBy(*TABLE, "row").agg(F.array_sort(F.collect_list(one)).alias("cells"))
     order = W.partitionBy(*TABLE).orderBy("row")
     rows = rows.withColumns({"below": F.lead("cells", 1).over(order), "after": F.lead("cells", 2).over(order)})
     filled = F.transform(F.filter(F.transform("cells", lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda x: x["c"]["cell"] != ""), lambda x: x)
-    rows = rows.withColumn("labels", filled)
+    # Most rows hold a cell that is no label; they are told by one look at their cells.
+    only_labels = F.forall("cells", lambda c: (c["cell"] == "") | c["cluster"].isNotNull())
+    rows = rows.filter(only_labels & (F.size("below") == F.size("cells"))).withColumn("labels", filled)
     clusters = F.transform("labels", lambda x: x["c"]["cluster"])
-    is_header = (F.size("labels") >= 2) & F.forall(clusters, lambda c: c.isNotNull()) & (F.size(F.array_distinct(clusters)) == F.size("labels"))
+    is_header = (F.size("labels") >= 2) & (F.size(F.array_distinct(clusters)) == F.size("labels"))
     under = lambda cells, x: F.get(F.col(cells), x["i"])
     labelled = F.exists("labels", lambda x: (under("below", x)["cell"] != "") & under("below", x)["cluster"].isNotNull())
     roster = (F.size("after") == F.size("cells")) & F.exists("labels", lambda x: (under("after", x)["cell"] != "") & under("after", x)["cluster"].isNull())
-    cards = rows.filter(is_header & (F.size("below") == F.size("cells")) & ~labelled & ~F.coalesce(roster, F.lit(False)))
-    pairs = F.transform("labels", lambda x: F.struct(x["c"]["col"].alias("col"), x["c"]["key"].alias("key"), x["c"]["cell"].alias("label"), under("below", x)["cell"].alias("value")))
-    out = cards.select(*TABLE, "row", F.explode(pairs).alias("x")).select(*TABLE, "row", "x.*")
+    cards = rows.filter(is_header & ~labelled & ~F.coalesce(roster, F.lit(False)))
+    pairs = F.transform("labels", lambda x: F.struct(x["c"]["col"].alias("col"), x["c"]["cell"].alias("label"), under("below", x)["cell"].alias("value")))
+    out = cards.select(*TABLE, "row", F.explode(pairs).alias("x")).select(*TABLE, "row", "x.col", label_key(F.col("x.label")).alias("key"), "x.label", "x.value")
     return out.filter("value <> '' and key <> ''")

@@ -70,10 +70,12 @@ def content_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vertical_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's items as the rows of a form, in which flags and states are labels: the cards among them."""
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    order = W.partitionBy("doc_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     third = F.when(F.col("l_discount") < 0.03, " ").when(F.col("l_quantity") % 3 == 0, "T").otherwise(F.col("l_quantity").cast("int").cast("string"))
     fourth = F.when(F.col("l_tax") < 0.05, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("table"), F.row_number().over(order).alias("row"), F.concat(F.array("l_returnflag", "l_linestatus", third), fourth).alias("cells"))
+    # Named before the window, so that its rows lie by document for all that follows.
+    items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "doc_id")
+    rows = items.select("doc_id", F.lit(0).alias("table"), F.row_number().over(order).alias("row"), F.concat(F.array("l_returnflag", "l_linestatus", third), fourth).alias("cells"))
     synonyms = spark.createDataFrame([("A", "flag"), ("R", "flag"), ("F", "status"), ("T", "third")], "alias string, cluster string")
     return tables.vertical_cards(rows.select("doc_id", "table", "row", F.posexplode("cells").alias("col", "cell")), synonyms)
 

@@ -69,3 +69,10 @@ def test_cells_of_tables_are_sent_to_no_other_task(spark):
     assert sorted(map(tuple, columns.collect())) == [("d", 0, 2, "s", 0, "name"), ("d", 0, 2, "s", 1, "year"), ("d", 0, 2, "s", 2, "name"), ("e", 0, 0, "s", 1, "name")]
     assert sorted(map(tuple, blank.collect())) == [("d", 0, "s", 3, 1), ("d", 0, "s", 5, 2)]
     assert "Join" not in plan_of(blank)
+
+
+def test_items_of_orders_travel_once(spark):
+    plan = plans.vertical_cards(spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\((?:doc_id|l_orderkey)#", plan)) == 1
+    words = spark.createDataFrame([("plain",), ("가나1",), ("",), ("plain\n",), ("1. a",), ("가. 나",), ("○ (x) y",), ("-",), (None,)], "t string")
+    assert [r.k for r in words.select(text.label_key(F.col("t")).alias("k")).collect()] == ["plain", "가나1", "", "plain", "a", "나", "y", "-", None]
