@@ -8,21 +8,30 @@ need no comparison.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln.functions.predicates import bare
 
 
-def anchors(source: DataFrame, target: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, a and b: where the lines stand that are in the source (key, pos, line) and in the target once each."""
-    once = lambda df, name: df.groupBy(key, "line").agg(F.count("*").alias("n"), F.min("pos").alias(name)).filter("n = 1").drop("n")
-    return once(source, "a").join(once(target, "b"), [key, "line"]).select(key, "a", "b")
+def paired(source: DataFrame, target: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, a_lines and b_lines: the lines of each form, in order, in one row; each form's lines are shuffled once, by key.
+
+    source and target: key, pos (from 0, without gaps) and line; a null line is an empty one. The lines of a form that is
+    missing are null; null keys are left out.
+    """
+
+    def gathered(df: DataFrame, s: str) -> DataFrame:
+        rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col("pos").cast("int").alias("pos"), F.coalesce("line", F.lit("")).alias("line"))
+        lists = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
+        return lists.select("key", F.transform("lines", lambda x: x["line"]).alias(f"{s}_lines"))
+
+    return gathered(source, "a").join(gathered(target, "b"), "key", "full_outer")
 
 
 def longest_chain(places: list[int]) -> list[int]:
@@ -45,28 +54,44 @@ def longest_chain(places: list[int]) -> list[int]:
     return chain[::-1]
 
 
-def _chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        yield pd.DataFrame({"key": rows.key, "held": [longest_chain([x["b"] for x in xs]) for xs in rows.anchors]})
+def held_anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Where the anchors that hold stand in either form."""
+    seen, other = Counter(a), Counter(b)
+    place = {y: k for k, y in enumerate(b) if other[y] == 1}
+    found = [(i, place[x]) for i, x in enumerate(a) if seen[x] == 1 and x in place]
+    return [found[n] for n in longest_chain([k for _, k in found])]
+
 
+def aligned(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
+    """What turns one form into the other: anchors, and the blocks of the gaps between them."""
+    out, i, k = [], 0, 0
+    for j, m in [*held_anchors(a, b), (len(a), len(b))]:
+        out += [(tag, i + p, i + q, k + r, k + s) for tag, p, q, r, s in SequenceMatcher(None, a[i:j], b[k:m], autojunk=False).get_opcodes()]
+        out += [("equal", j, j + 1, m, m + 1)] * (j < len(a) and m < len(b))
+        i, k = j + 1, m + 1
+    return out
 
-def chain(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The anchors of each pair of forms that hold."""
-    lists = found.groupBy(F.col(key).alias("key")).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("anchors"))
-    kind = found.schema[key].dataType.simpleString()
-    # Only the places of those that hold come back.
-    held = lists.mapInPandas(_chained, f"key {kind}, held array<int>").select("key", F.explode("held").alias("nth"))
-    placed = lists.select("key", F.posexplode("anchors").alias("nth", "x"))
-    return placed.join(held, ["key", "nth"], "left_semi").select(F.col("key").alias(key), "x.a", "x.b")
 
+def _of_lines(made: Callable[[list[str], list[str]], list[tuple]], fields: dict[str, pa.DataType]) -> Column:
+    """What `made` gives for a row's two forms, one pair of forms at a time."""
+    kind = pa.list_(pa.struct(list(fields.items())))
+    names = {pa.string(): "string", pa.int32(): "int"}
 
-def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        found = [
-            [(tag, a + i, a + j, b + k, b + m) for tag, i, j, k, m in SequenceMatcher(None, list(x), list(y), autojunk=False).get_opcodes()]
-            for a, b, x, y in zip(rows.a_from, rows.b_from, rows.a_lines, rows.b_lines, strict=True)
-        ]
-        yield pd.DataFrame({"key": rows.key, "found": [[dict(zip(("tag", "a_from", "a_to", "b_from", "b_to"), o, strict=True)) for o in ops] for ops in found]})
+    @F.arrow_udf(f"array<struct<{','.join(f'{n}:{names[t]}' for n, t in fields.items())}>>")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([[dict(zip(fields, o, strict=True)) for o in made(x.as_py() or [], y.as_py() or [])] for x, y in zip(a, b, strict=True)], kind)
+
+    return run("a_lines", "b_lines")
+
+
+def anchors(source: DataFrame, target: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, a and b: where the lines stand that either form has once, and that keep their order."""
+    held = _of_lines(held_anchors, {"a": pa.int32(), "b": pa.int32()})
+    return paired(source, target, key).select(F.col("key").alias(key), F.inline(held))
+
+
+def _operations() -> Column:
+    return _of_lines(aligned, {"tag": pa.string(), **dict.fromkeys(("a_from", "a_to", "b_from", "b_to"), pa.int32())})
 
 
 def operations(source: DataFrame, target: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -75,34 +100,7 @@ def operations(source: DataFrame, target: DataFrame, key: str = "doc_id") -> Dat
     source and target: key, pos (from 0, without gaps) and line; a null line is an empty one. Ends are exclusive. Keys on one
     side only are all deleted or inserted; a null key has no operations.
     """
-    source, target = (df.filter(F.col(key).isNotNull()).select(key, F.col("pos").cast("int").alias("pos"), F.coalesce("line", F.lit("")).alias("line")) for df in (source, target))
-    held = chain(anchors(source, target, key), key)
-    marked = {"a": source, "b": target}
-    for side, df in marked.items():
-        own = df.join(held.select(key, F.col(side).alias("pos"), F.lit(1).alias("anchor")), [key, "pos"], "left")
-        # As many anchors stand before a line in either form if it lies in the same gap.
-        gap = F.coalesce(F.sum("anchor").over(W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
-        marked[side] = own.withColumn("gap", gap).filter("anchor is null").drop("anchor")
-
-    def gathered(s: str) -> DataFrame:
-        """The lines of each gap in one form. Columns of their own, as both forms may come of one table."""
-        own = F.array_sort(F.collect_list(F.struct("pos", "line")))
-        rows = marked[s].groupBy(F.col(key).alias("key"), F.col("gap").alias("gap")).agg(F.min("pos").alias(f"{s}_from"), (F.max("pos") + 1).alias(f"{s}_to"), own.alias("lines"))
-        return rows.select("key", "gap", f"{s}_from", f"{s}_to", F.transform("lines", lambda x: x["line"]).alias(f"{s}_lines"))
-
-    gaps = gathered("a").join(gathered("b"), ["key", "gap"], "full_outer")
-    nth = F.row_number().over(W.partitionBy(key).orderBy("a"))
-    numbered = held.select(F.col(key).alias("key"), nth.alias("gap"), F.col("a").alias("a_before"), F.col("b").alias("b_before"))
-    lone = gaps.filter("a_from is null or b_from is null").join(numbered, ["key", "gap"], "left")
-    # Where one side has nothing, its place is behind the anchor before the gap.
-    place = lambda s, end: F.coalesce(f"{s}_{end}", F.col(f"{s}_before") + 1, F.lit(0)).cast("int").alias(f"{s}_{end}")
-    lone = lone.select(F.col("key").alias(key), F.when(F.col("b_from").isNull(), "delete").otherwise("insert").alias("tag"), place("a", "from"), place("a", "to"), place("b", "from"), place("b", "to"))
-    both = gaps.filter("a_from is not null and b_from is not null").select("key", "a_from", "b_from", "a_lines", "b_lines")
-    kind = source.schema[key].dataType.simpleString()
-    compared = both.mapInPandas(_compared, f"key {kind}, found array<struct<tag:string,a_from:int,a_to:int,b_from:int,b_to:int>>")
-    compared = compared.select(F.col("key").alias(key), F.explode("found").alias("x")).select(key, "x.*")
-    equal = held.select(key, F.lit("equal").alias("tag"), F.col("a").alias("a_from"), (F.col("a") + 1).alias("a_to"), F.col("b").alias("b_from"), (F.col("b") + 1).alias("b_to"))
-    return equal.unionByName(lone).unionByName(compared)
+    return paired(source, target, key).select(F.col("key").alias(key), F.inline(_operations()))
 
 
 def form_diff(source: DataFrame, target: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -111,18 +109,17 @@ def form_diff(source: DataFrame, target: DataFrame, key: str = "doc_id") -> Data
     Only within what `operations` does not hold equal, where lines are taken in order, one with one. Texts are compared without
     white space at their ends. A form is intact without drops and edits. Every key of either side has a row.
     """
-    changed = operations(source, target, key).filter("tag <> 'equal'")
-    lines = F.explode(F.sequence(F.lit(0), F.greatest(F.col("a_to") - F.col("a_from"), F.col("b_to") - F.col("b_from")) - 1)).alias("k")
-    pairs = changed.select(key, "a_from", "a_to", "b_from", "b_to", lines)
-    at = lambda s: F.when(F.col(f"{s}_from") + F.col("k") < F.col(f"{s}_to"), F.col(f"{s}_from") + F.col("k")).alias(s)
-    pairs = pairs.select(key, at("a"), at("b"))
-    text = lambda df, s: df.select(key, F.col("pos").cast("int").alias(s), bare(F.col("line")).alias(f"{s}_text"))
-    both = pairs.join(text(source, "a"), [key, "a"], "left").join(text(target, "b"), [key, "b"], "left")
-    was, now = F.coalesce("a_text", F.lit("")), F.coalesce("b_text", F.lit(""))
-    count = lambda c: F.sum(c.cast("long"))
-    counts = both.groupBy(key).agg(
-        count((was == "") & (now != "")).alias("fills"), count((was != "") & (now == "")).alias("drops"), count((was != "") & (now != "") & (was != now)).alias("edits")
-    )
-    every = source.select(key).unionByName(target.select(key)).filter(F.col(key).isNotNull()).distinct()
-    out = every.join(counts, key, "left").fillna(0, ["fills", "drops", "edits"])
+    changed = F.filter("found", lambda x: x["tag"] != "equal")
+
+    def text(x: Column, s: str, k: Column) -> Column:
+        return F.when(x[f"{s}_from"] + k < x[f"{s}_to"], bare(F.get(F.col(f"{s}_lines"), x[f"{s}_from"] + k))).otherwise("")
+
+    def compared(x: Column) -> Column:
+        longest = F.greatest(x["a_to"] - x["a_from"], x["b_to"] - x["b_from"])
+        return F.transform(F.sequence(F.lit(0), longest - 1), lambda k: F.struct(text(x, "a", k).alias("was"), text(x, "b", k).alias("now")))
+
+    rows = paired(source, target, key).withColumn("found", _operations()).select("key", F.flatten(F.transform(changed, compared)).alias("pairs"))
+    count = lambda holds: F.size(F.filter("pairs", lambda x: holds(x["was"], x["now"]))).cast("long")
+    fills, drops, edits = count(lambda was, now: (was == "") & (now != "")), count(lambda was, now: (was != "") & (now == "")), count(lambda was, now: (was != "") & (now != "") & (was != now))
+    out = rows.select(F.col("key").alias(key), fills.alias("fills"), drops.alias("drops"), edits.alias("edits"))
     return out.withColumn("intact", (F.col("drops") == 0) & (F.col("edits") == 0))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from corpuskiln.functions import text
-from corpuskiln.operators import matching, resumes, sections
+from corpuskiln.operators import alignment, matching, resumes, sections
 from corpuskiln.plans import contracts as plans
 
 from .conftest import DATA
@@ -76,3 +76,12 @@ def test_items_of_orders_travel_once(spark):
     assert len(re.findall(r"Exchange hashpartitioning\((?:doc_id|l_orderkey)#", plan)) == 1
     words = spark.createDataFrame([("plain",), ("가나1",), ("",), ("plain\n",), ("1. a",), ("가. 나",), ("○ (x) y",), ("-",), (None,)], "t string")
     assert [r.k for r in words.select(text.label_key(F.col("t")).alias("k")).collect()] == ["plain", "가나1", "", "plain", "a", "나", "y", "-", None]
+
+
+def test_differences_of_forms_move_each_form_once_by_key(spark):
+    one, two = (spark.createDataFrame([(k, p, f"{n} {p % 3}" if p % 2 else f"line {p}") for k in range(4) for p in range(9)], "doc_id int, pos int, line string") for n in "ab")
+    for made in (alignment.form_diff, alignment.operations, alignment.anchors):
+        plan = made(one, two)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(key") == plan.count("Exchange ") == 2
+    assert {(r.fills, r.drops, r.edits, r.intact) for r in alignment.form_diff(one, two).collect()} == {(0, 0, 4, False)}
+    assert sorted(tuple(r) for r in alignment.anchors(one, two).filter("doc_id = 0").collect()) == [(0, p, p) for p in (0, 2, 4, 6, 8)]
