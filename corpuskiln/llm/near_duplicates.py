@@ -226,19 +226,20 @@ def components(nodes_pairs: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds, each written to the shared folder, until a round changes nothing.
     """
+    pair = lambda low, high: F.struct(F.col(low).alias("low"), F.col(high).alias("high"))
+    total = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
     edges = durable(nodes_pairs.filter("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), "edges")
+    found = total(edges)
     while True:
-        both = edges.unionByName(edges.select(F.col("high").alias("low"), F.col("low").alias("high")))
+        # A row that gives two is read once; tables joined by a merge are not sent to the driver, which would hold one of each join of each round.
+        both = edges.select(F.inline(F.array(pair("low", "high"), pair("high", "low"))))
         least = both.groupBy(F.col("low").alias("node")).agg(F.min("high").alias("m")).withColumn("m", F.least("node", "m"))
-        large = both.filter("high > low").withColumnRenamed("low", "node").join(least, "node").select(F.col("m").alias("low"), "high").distinct()
+        large = both.filter("high > low").withColumnRenamed("low", "node").join(least.hint("merge"), "node").select(F.col("m").alias("low"), "high").distinct()
         least = large.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("m"))
-        small = large.withColumnRenamed("high", "node").join(least, "node")
-        after = durable(
-            small.select(F.col("m").alias("low"), F.col("low").alias("high")).filter("low <> high").unionByName(small.select(F.col("m").alias("low"), F.col("node").alias("high"))).distinct(), "edges"
-        )
-        sums = [e.agg(F.count("*"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first() for e in (edges, after)]
-        edges = after
-        if sums[0] == sums[1]:
+        small = large.withColumnRenamed("high", "node").join(least.hint("merge"), "node")
+        edges = durable(small.select(F.inline(F.array(pair("m", "low"), pair("m", "node")))).filter("low <> high").distinct(), "edges")
+        before, found = found, total(edges)
+        if before == found:
             break
     return edges.select(F.col("high").alias("node"), F.col("low").alias("component")).unionByName(edges.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct())
 

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from corpuskiln.functions import text
+from corpuskiln.llm import near_duplicates
 from corpuskiln.operators import alignment, matching, resumes, sections
 from corpuskiln.plans import contracts as plans
 
@@ -85,3 +86,11 @@ def test_differences_of_forms_move_each_form_once_by_key(spark):
         assert plan.count("Exchange hashpartitioning(key") == plan.count("Exchange ") == 2
     assert {(r.fills, r.drops, r.edits, r.intact) for r in alignment.form_diff(one, two).collect()} == {(0, 0, 4, False)}
     assert sorted(tuple(r) for r in alignment.anchors(one, two).filter("doc_id = 0").collect()) == [(0, p, p) for p in (0, 2, 4, 6, 8)]
+
+
+def test_rounds_of_components_send_no_table_to_the_driver(spark, monkeypatch):
+    plans, kept = [], near_duplicates.durable
+    monkeypatch.setattr(near_duplicates, "durable", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, *a))
+    found = near_duplicates.components(spark.createDataFrame([(1, 2), (3, 2), (5, 4), (6, 6)], "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
