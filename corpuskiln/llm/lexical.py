@@ -6,6 +6,9 @@ frequency is worth in a document of that length, (10**9 * tf) div (1000 * tf + 2
 corpus is left to the search. A search goes through each shard a term at a time, adding weight times impact to a dense
 accumulator over the shard's documents. The best k are selected by a partial sort that keeps all ties of the k-th, and then
 put in order. A task keeps the best k of all its shards; the tasks' lists are merged.
+
+Spark holds a shard as two packed values, its vocabulary and its postings, and a few shards at a time: as lists, Spark would
+keep levels beside every number, and all shards of a task at once.
 """
 
 from __future__ import annotations
@@ -29,12 +32,16 @@ from corpuskiln.llm.words import ALNUM, Lookup, lookup, pieces, release, split_w
 SHARD_BYTES = 4 << 20
 #: Bytes of item texts that are ranked at once, and so the bound of what is sent to the tasks; more are taken in several passes.
 ITEM_BYTES = 16 << 20
-#: Bytes of a row group of the index, so that no task holds more shards at once.
+#: Bytes of a row group of the index, so that no task holds more shards at once. Parquet's writer would look at them only after 100 rows.
 ROW_GROUP = 16 << 20
+#: How the index is written.
+LAYOUT = {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.enable.dictionary": "false"}
 #: Lists of tasks that are merged before all are.
 MERGED = 64
 
-INDEX_SCHEMA = "n_documents long, doc_ids array<long>, terms array<binary>, offsets array<int>, documents array<int>, impacts array<int>"
+#: The columns of a shard that are packed together.
+VOCABULARY, POSTINGS = ["terms", "offsets"], ["doc_ids", "documents", "impacts"]
+INDEX_SCHEMA = "n_documents long, vocabulary binary, postings binary"
 
 
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,6 +89,19 @@ def _shard(docs: pa.RecordBatch, total: int, terms: int) -> pa.RecordBatch:
     )
 
 
+def _packed(shard: pa.RecordBatch, names: list[str]) -> bytes:
+    """Some columns of a shard, as a compressed Arrow stream."""
+    columns, out = shard.select(names), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, columns.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(columns)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(batch: pa.RecordBatch, column: str, row: int) -> pa.RecordBatch:
+    """The columns that a row of the index has packed."""
+    return pa.ipc.open_stream(batch.column(batch.schema.get_field_index(column))[row].as_buffer()).read_next_batch()
+
+
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The index of every document, a row for each shard, written to the shared folder.
 
@@ -94,10 +114,11 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text", SHARD_BYTES):
-                yield _shard(part, total, terms)
+                shard = _shard(part, total, terms)
+                yield pa.RecordBatch.from_pydict({"n_documents": shard.column(0), "vocabulary": [_packed(shard, VOCABULARY)], "postings": [_packed(shard, POSTINGS)]})
             release()
 
-    return durable(rows.mapInArrow(index, INDEX_SCHEMA), "csr", **{"parquet.block.size": ROW_GROUP})
+    return durable(rows.mapInArrow(index, INDEX_SCHEMA), "csr", **{"parquet.block.size": ROW_GROUP}, **LAYOUT)
 
 
 @dataclass
@@ -120,14 +141,13 @@ def items_of(texts: pa.Array) -> Items:
     return Items(found, pairs % max(1, len(place)), np.searchsorted(pairs // max(1, len(place)), np.arange(len(texts) + 1)))
 
 
-def _flat(batch: pa.RecordBatch, column: str, row: int) -> pa.Array:
-    values = batch.column(batch.schema.get_field_index(column))
-    return values.values[values.offsets[row].as_py() : values.offsets[row + 1].as_py()]
+def _flat(shard: pa.RecordBatch, column: str) -> pa.Array:
+    return shard.column(shard.schema.get_field_index(column)).flatten()
 
 
-def _placed(batch: pa.RecordBatch, row: int, asked: Lookup) -> tuple[np.ndarray, np.ndarray]:
+def _placed(vocabulary: pa.RecordBatch, asked: Lookup) -> tuple[np.ndarray, np.ndarray]:
     """Places among the asked terms of a shard's terms, and which of its terms they are."""
-    places = asked.places(_flat(batch, "terms", row))
+    places = asked.places(_flat(vocabulary, "terms"))
     held = np.flatnonzero(places >= 0)
     return places[held], held
 
@@ -137,8 +157,10 @@ def _frequencies(asked: Lookup):
         df = np.zeros(len(asked.terms), np.int64)
         for batch in batches:
             for row in range(batch.num_rows):
-                places, held = _placed(batch, row, asked)
-                df[places] += np.diff(_flat(batch, "offsets", row).to_numpy())[held]
+                vocabulary = _unpacked(batch, "vocabulary", row)
+                places, held = _placed(vocabulary, asked)
+                df[places] += np.diff(_flat(vocabulary, "offsets").to_numpy())[held]
+            release()
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"place": some, "df": df[some]})
 
@@ -168,11 +190,12 @@ def _search(asked: Items, weights: np.ndarray, k: int):
         best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [nothing] * n
         for batch in batches:
             for row in range(batch.num_rows):
-                places, held = _placed(batch, row, asked.terms)
+                vocabulary, postings = _unpacked(batch, "vocabulary", row), _unpacked(batch, "postings", row)
+                places, held = _placed(vocabulary, asked.terms)
                 where = np.full(len(asked.terms.terms), -1)
                 where[places] = held
-                offsets, documents = _flat(batch, "offsets", row).to_numpy(), _flat(batch, "documents", row).to_numpy()
-                worth, named = _flat(batch, "impacts", row).to_numpy(), _flat(batch, "doc_ids", row)
+                offsets, documents = _flat(vocabulary, "offsets").to_numpy(), _flat(postings, "documents").to_numpy()
+                worth, named = _flat(postings, "impacts").to_numpy(), _flat(postings, "doc_ids")
                 ids, unnamed = named.fill_null(0).to_numpy(), named.is_null().to_numpy(zero_copy_only=False)
                 scores = np.zeros(len(ids), np.int64)
                 for i in range(n):
@@ -216,10 +239,10 @@ def search(index: DataFrame, items: DataFrame, k: int = 50, item_id: str = "item
     for at in range(passes):
         rows = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == at).toArrow().combine_chunks()
         some = items_of(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()))
-        df = index.select("terms", "offsets").mapInArrow(_frequencies(some.terms), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
+        df = index.select("vocabulary").mapInArrow(_frequencies(some.terms), "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
         weights = np.zeros(len(some.terms.terms), np.int64)
         weights[df.column("place").to_numpy()] = [weight(n, x) for x in df.column("df").to_pylist()]
-        lists = index.select("doc_ids", "terms", "offsets", "documents", "impacts").mapInArrow(_search(some, weights, k), "part int, item int, doc_id long, score long")
+        lists = index.select("vocabulary", "postings").mapInArrow(_search(some, weights, k), "part int, item int, doc_id long, score long")
         for keys in (["item", "part"], ["item"]):
             lists = _first(lists, keys, k)
         names = index.sparkSession.createDataFrame(pa.table({"item": pa.array(range(rows.num_rows), pa.int32()), "item_id": rows.column("item_id")}), schema)

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from corpuskiln.llm import lexical
 
@@ -86,3 +87,17 @@ def test_lengths_beyond_64_bits():
     out = lexical._shard(docs, 10**18, 10**19)
     m = 50 + 50 * 3 * 10**18 // 10**19
     assert out.column("impacts").to_pylist() == [[10**9 * 2 // (2000 + 20 * m), 10**9 // (1000 + 20 * m)]]
+
+
+def test_a_task_holds_few_shards_at_once(spark, monkeypatch):
+    rng = random.Random(12)
+    docs = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(100))) for i in range(90)]
+    monkeypatch.setattr(lexical, "SHARD_BYTES", 1000)
+    monkeypatch.setattr(lexical, "ROW_GROUP", 30_000)
+    index = lexical.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    files = [pq.read_metadata(path.removeprefix("file:")) for path in index.inputFiles()]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 90 and max(g.total_byte_size for g in groups) < 60_000
+    # Lists would be held with levels beside every number.
+    assert not any("array" in kind for _, kind in index.dtypes)
+    assert rows(lexical.search(index, spark.createDataFrame(docs[::30], "item_id long, text string"), 3)) == brute(docs, docs[::30], 3)
